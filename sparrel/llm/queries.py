@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, html_text, token_files, warc
+from . import bpe, common, decontaminate, html_text, language_id, substring_dedup, token_files, toxicity, warc
 
 table = common.table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -21,6 +26,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -35,7 +44,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_warc, op6_decontaminate, op7_token_files, op9_html_text)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_byte_bpe, op4_warc, op5_substring_dedup, op6_decontaminate, op7_token_files, op9_html_text, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -46,6 +60,19 @@ SELECT d.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_dige
        CASE WHEN payload_bytes < 100 OR d.page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN payload_bytes < 100 OR d.page_id = first_page THEN NULL ELSE first_page END AS refers_to
 FROM d JOIN m USING (payload_digest)
+""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least_doc AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM (SELECT doc_id, i FROM win JOIN least_doc USING (s) WHERE doc_id > m)),
+lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+word AS (SELECT d.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.k = gone.k WHERE gone.k IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     "op6_decontaminate": r"""
 WITH doc AS (
