@@ -57,9 +57,9 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     owners = known.groupBy("digest").agg(F.min(first).alias("owner"), F.min("bytes").alias("a"), F.max("bytes").alias("b"), F.min("second").alias("c"), F.max("second").alias("d"))
     owners = owners.select("digest", F.when((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")), F.col("owner")).otherwise(F.raise_error(F.concat(F.lit("different payloads have the digest "), F.col("digest")))).alias("owner"))
 
-    o = owners.select(F.col("digest").alias("o_digest"), F.col("owner.page_id").alias("o_page"), F.col("owner.url").alias("o_url"))
-    kept = pages.join(o, (F.col("digest") == F.col("o_digest")) & F.col("page_id").eqNullSafe(F.col("o_page")) & F.col("url").eqNullSafe(F.col("o_url")), "left_semi")
-    kept.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    key = lambda page_id, url: F.concat_ws("\n", "digest", F.coalesce(page_id.cast("string"), F.lit("null")), F.coalesce(url, F.lit("\n"))).alias("key")
+    kept = pages.select("digest", "payload", key(F.col("page_id"), F.col("url"))).join(owners.select(key(F.col("owner.page_id"), F.col("owner.url"))), "key", "left_semi")
+    kept.dropDuplicates(["key"]).select("digest", "payload").write.parquet(f"{path}/payloads")  # a repeated row's copies meet in the join's partitions
 
     records = rows.join(owners, "digest").select("*", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))
     own = F.col("page_id").eqNullSafe(F.col("owner.page_id")) & F.col("url").eqNullSafe(F.col("owner.url")) & (F.col("copy") == 0)
