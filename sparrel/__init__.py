@@ -1,0 +1 @@
+"""A PySpark engine that builds, audits and evaluates labelled relation datasets."""
