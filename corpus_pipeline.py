@@ -1,7 +1,47 @@
-"""A corpus pipeline."""
+"""A corpus pipeline: stages from documents to tokens, each written as Parquet and read again as the next one's input."""
 
-STAGES = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from sparrel.llm import bpe, common, decontaminate, jaccard_join, language_id, substring_dedup
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the model learns from the labelled ones among them."""
+    return language_id.known(docs, language_id.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies, that of the smallest doc_id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words of passages that a document with a smaller doc_id has too; n_chars follows the text."""
+    out = substring_dedup.dedup(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark items."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's encoding."""
+    return bpe.round_trip_digests(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_passages", benchmark_passages), ("tokens", tokens)]
+
+#: SQL cannot express the first stage's model; the pipeline is tested against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -51,6 +51,17 @@ def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], list], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of df that a function of their texts keeps, with all columns."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}
 
 

@@ -11,7 +11,6 @@ The windows travel to the tasks in blocks of a checked size; a benchmark beyond
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -60,13 +59,18 @@ class Index:
                 if start >= 0 and start + length <= n and (held := windows.get(tuple(words[start : start + length]))):
                     found.append((start, start + length))
                     items |= held
-        spans: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-        return spans, items
+        return united(found), items
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, ascending and disjoint."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -96,16 +100,19 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
     return {bytes(r[0]): r[1] for r in counted.groupBy("word").agg(F.sum("n")).collect()}  # at most the vocabulary
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Index]:
+    for items in _blocks(benchmark, block_bytes):
+        vocabulary = frozenset(w for _, text in items for w in words_of(text))
+        yield Index(items, document_frequency(docs, vocabulary), window)
+
+
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans array<bigint> (starts and ends of hit runs of words, alternating), items array<string> for every row of docs.
 
     Null and empty texts have no words and no hits; items without id, text or words never occur; a repeated doc_id gives one row per row of docs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for items in _blocks(benchmark, block_bytes):
-        vocabulary = frozenset(w for _, text in items for w in words_of(text))
-        parts.append(Index(items, document_frequency(docs, vocabulary), window))
+    parts = list(_indexes(docs, benchmark, window, block_bytes))
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
     schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
 
@@ -157,5 +164,21 @@ def judged(found: DataFrame, share: int = HIT_SHARE) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated; all columns stay."""
+    blocks = list(_indexes(docs, benchmark, window, block_bytes))
+
+    def fine(texts: list) -> list[bool]:
+        out = []
+        for text in texts:
+            words = words_of(text.encode() if text else None)
+            hit = sum(b - a for a, b in united([s for index in blocks for s in index.search(words)[0]]))
+            out.append(not (hit and share * hit >= len(words)))
+        return out
+
+    if len(blocks) <= 1:
+        return common.filtered(docs, "text", fine) if blocks else docs
+    # Each block goes to the tasks by itself: findings are put together by row.
+    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    found = judged(search(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_bytes), share)
+    return numbered.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)

@@ -283,3 +283,13 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     checked = met.mapInArrow(own, "comp bigint, node bigint, weight bigint, n_parts int, text binary")
     return common.written(checked.dropDuplicates(["node"]), "jaccard-texts")
+
+
+def one_of_each(docs: DataFrame, **sizes: int) -> DataFrame:
+    """One row of each class of docs, that of its smallest doc_id; all columns stay.
+
+    Null doc_ids stand for themselves by a hash of their text.  Of rows equal in doc_id and text one stays."""
+    named = docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(3)).bitwiseOR(F.lit(-1 << 63))))
+    stay = join(named.select("doc_id", "text"), **sizes).where("doc_id = class_id").select("doc_id").distinct()
+    kept = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).select(*docs.columns)

@@ -22,6 +22,8 @@ UNKNOWN = "und"
 BUCKET_BITS = 15
 MAX_N = 3
 MAX_TRAIN_DOCS = 3_000
+#: Score below which a document's language counts as unknown.
+LEAST_SCORE = 0.5
 _CHUNK = 1 << 18
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -183,3 +185,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     return common.mapped(docs.select(doc_id.alias("doc_id"), "text", (common.fold_of(doc_id) == 0).alias("held_out")), rows, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def known(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is known with at least this score; all columns stay."""
+    return common.filtered(docs, "text", lambda texts: [lang != UNKNOWN and score >= least_score for lang, score in map(model.predict, texts)])

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -94,11 +95,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().cumsum(dtype=np.uint32)
 
 
-def _documents(table: pa.Table) -> list[tuple[int | None, list[bytes]]]:
-    """The group's rows in an order that doesn't depend on how they came, each with its words."""
-    rows = list(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
-    return [(i, t.split() if t else []) for i, t in rows]
+def _order(table: pa.Table) -> list[int]:
+    """An order of the group's rows that doesn't depend on how they came."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    return sorted(range(table.num_rows), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b""))
+
+
+def _documents(table: pa.Table) -> Iterator[tuple[int | None, list[bytes]]]:
+    """doc_id and words of the group's rows, in that order."""
+    rows = table.select(["doc_id", "text"]).take(_order(table))
+    for doc_id, text in zip(rows.column("doc_id"), rows.column("text"), strict=True):
+        yield doc_id.as_py(), (text.as_py() or b"").split()
 
 
 def _keys(hashes: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +229,9 @@ def _removed(table: pa.Table, gone: pa.Table) -> Iterator[tuple[int | None, list
 
 
 def _grouped(docs: DataFrame, group_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """doc_id, text, rest (all other columns), grp; number of buckets."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.struct(*rest).alias("rest"))
     size = common.total_bytes(docs, "text")
     groups, buckets = max(1, -(-size // group_bytes)), max(1, -(-size // bucket_bytes))
     return docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))), buckets
@@ -239,21 +248,24 @@ def find(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BU
 
 
 def dedup(docs: DataFrame, **sizes: int) -> DataFrame:
-    """doc_id, text (kept words joined by one space; unchanged where nothing is removed) for every row of docs."""
+    """docs with the repeated words taken out of text (kept words joined by one space; unchanged where nothing is removed); all other columns stay.
+
+    Every row stays, also one whose words all went."""
+    columns = docs.columns
     docs, gone = find(docs, **sizes)
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), docs.schema["rest"]])
 
     def run(table: pa.Table, gone: pa.Table) -> pa.Table:
-        if gone.num_rows == 0:
-            return pa.Table.from_arrays([table.column("doc_id"), table.column("text").cast(pa.string())], schema=out)
-        ids, kept = [], []
-        whole = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
-        for (doc_id, words, mask), (_, text) in zip(_removed(table, gone), whole, strict=True):
-            ids.append(doc_id)
-            kept.append(None if text is None else text.decode() if mask is None else b" ".join(w for w, g in zip(words, mask.tolist(), strict=True) if not g).decode())
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string())], schema=out)
-
-    return docs.groupBy("grp").cogroup(gone.groupBy("grp")).applyInArrow(run, "doc_id bigint, text string")
+        rows = table.take(_order(table))
+        texts = rows.column("text").cast(pa.string()).to_pylist()
+        if gone.num_rows:
+            for k, (_, words, mask) in enumerate(_removed(table, gone)):
+                if mask is not None:
+                    texts[k] = b" ".join(w for w, g in zip(words, mask.tolist(), strict=True) if not g).decode()
+        return pa.Table.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string()), rows.column("rest")], names=["doc_id", "text", "rest"])
+
+    out = docs.groupBy("grp").cogroup(gone.groupBy("grp")).applyInArrow(run, schema)
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in columns])
 
 
 def digests(docs: DataFrame, **sizes: int) -> DataFrame:
