@@ -23,7 +23,7 @@ BUCKET_BITS = 15
 MAX_N = 3
 MAX_TRAIN_DOCS = 3_000
 #: Score below which a document's language counts as unknown.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 _CHUNK = 1 << 18
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
