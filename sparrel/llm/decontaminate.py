@@ -148,7 +148,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
 def _united(spans: str):
     """The union of runs given as alternating starts and ends."""
     c = F.col(spans)
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(c) / F.lit(2)).cast("array<int>"), lambda i: F.struct(F.element_at(c, 2 * i - 1).alias("a"), F.element_at(c, 2 * i).alias("b"))))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.floor(F.size(c) / 2).cast("int")), lambda i: F.struct(F.element_at(c, 2 * i - 1).alias("a"), F.element_at(c, 2 * i).alias("b"))))
     def add(done, p):
         last = F.element_at(done, -1)
         return F.when((F.size(done) > 0) & (p["a"] <= F.coalesce(last, F.lit(-1))), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, p["b"])))).otherwise(F.concat(done, F.array(p["a"], p["b"])))

@@ -186,9 +186,8 @@ def learn_lexicon(rows: DataFrame, max_candidates: int = MAX_CANDIDATES, max_lex
         for batch in common.slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(_units_of(text))
-        yield pa.RecordBatch.from_pydict({"unit": list(seen[1]), "pos": pa.array(list(seen[1].values()), pa.int64()), "neg": pa.array([seen[0][u] for u in seen[1]], pa.int64())})
-        rest = [u for u in seen[0] if u not in seen[1]]
-        yield pa.RecordBatch.from_pydict({"unit": pa.array(rest, pa.string()), "pos": pa.array([0] * len(rest), pa.int64()), "neg": pa.array([seen[0][u] for u in rest], pa.int64())})
+        for found in (list(seen[1]), [u for u in seen[0] if u not in seen[1]]):
+            yield pa.RecordBatch.from_pydict({"unit": pa.array(found, pa.string()), "pos": pa.array([seen[1][u] for u in found], pa.int64()), "neg": pa.array([seen[0][u] for u in found], pa.int64())})
 
     rows = rows.select("text", F.col("toxic").cast("int"))
     sums = rows.mapInArrow(counted, "unit string, pos bigint, neg bigint").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
