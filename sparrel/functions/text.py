@@ -61,3 +61,12 @@ def recognised(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: st
 def require_text(c: Column) -> Column:
     """The trimmed text; blank or null is an error."""
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.raise_error(F.lit("a description is required")).cast("string")).otherwise(F.trim(c))
+
+
+def dense(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, name: str = "text") -> DataFrame:
+    """id and an array of weights by vocabulary index for every row; zeros where no term is known.  For vocabularies with an index."""
+    size = vocabulary.count()
+    index = vocabulary.select("term", F.col("index").cast("int").alias("index"))
+    entries = transform(docs, vocabulary, id_col, text_col).join(F.broadcast(index) if size <= MAX_BROADCAST_TERMS else index, "term").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("index", "weight"))).alias("_m"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    return docs.select(id_col).join(entries, id_col, "left").select(id_col, wide.alias(name))
