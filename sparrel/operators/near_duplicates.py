@@ -50,16 +50,18 @@ def severity_counts(found: DataFrame, limits=SEVERITIES, flagged: str = "test")
 
 
 def sensitivity(predictions: DataFrame, found: DataFrame, group: str, labels: list[str] | None, limits=SEVERITIES, flagged: str = "test") -> DataFrame:
-    """For each severity: flagged groups, their share, and the metrics without the rows of groups flagged at it or a stricter one."""
-    total = predictions.agg(F.countDistinct(group).alias("groups"))
-    first = found.where(F.col("right_split") == flagged).groupBy(F.col("right_id").alias(group)).agg(F.min(severity_rank(F.col("severity"), limits)).alias("k"))
-    parts = []
-    for k, (name, _, _) in enumerate(limits, 1):
-        out = first.where(F.col("k") <= k).select(group)
-        share = predictions.select(group).distinct().join(out, group, "left_semi").agg(F.count("*").alias("flagged_groups")).crossJoin(total)  # one row each
-        kept = metrics.blocks(predictions.join(out, group, "left_anti"), group, labels=labels)
-        parts.append(share.crossJoin(kept).select(F.lit(name).alias("severity"), "flagged_groups", (F.col("flagged_groups") / F.col("groups")).alias("flagged_fraction"), "rows", "independent_groups", "accuracy", "macro_f1"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]) if len(parts) == 3 else parts[0]
+    """For each severity: flagged groups, their share, and the metrics without the rows of groups flagged at it or a stricter one.
+
+    One pass: each group gets the strictest severity that flags it, and each row counts for the severities that don't flag its group."""
+    names = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("severity")) for k, (n, _, _) in enumerate(limits, 1)])
+    first = found.where(F.col("right_split") == flagged).groupBy(F.col("right_id").alias(group)).agg(F.min(severity_rank(F.col("severity"), limits)).alias("_k"))
+    rows = predictions.join(first, group, "left")
+    groups = rows.groupBy(group).agg(F.min("_k").alias("_k")).select("_k", F.explode(names).alias("s"))
+    out = F.coalesce((F.col("_k") <= F.col("s.position")).cast("long"), F.lit(0))
+    shares = groups.groupBy("s.position", "s.severity").agg(F.sum(out).alias("flagged_groups"), F.avg(out).alias("flagged_fraction"))
+    kept = rows.withColumn("_s", F.explode(names)).where(F.col("_k").isNull() | (F.col("_k") > F.col("_s.position"))).withColumn("severity", F.col("_s.severity"))
+    left = metrics.blocks(kept, group, ["severity"], labels)
+    return shares.join(left, "severity", "left").na.fill(0, ["rows", "independent_groups"]).select("severity", "flagged_groups", "flagged_fraction", "rows", "independent_groups", "accuracy", "macro_f1")
 
 
 def cumulative(severity_column: Column, name: str, limits=SEVERITIES) -> Column:
