@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pieces that a worker remembers; beyond it the memory starts anew.
+#: Pieces, and pairs of tokens, that a worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 400_000
+CACHE_PAIRS = 300_000
 #: Characters from which a text's pieces are taken in blocks.
 LONG_TEXT, BLOCK_PIECES = 2_000_000, 200_000
 #: White space as the Unicode property has it; Python's own class also holds the four separators U+001C to U+001F.
@@ -121,7 +122,7 @@ class PrefixBPE:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > CACHE_PAIRS:
             self._fits.clear()
         self._fits[a, b] = ok
         return ok
