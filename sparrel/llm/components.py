@@ -11,12 +11,14 @@ MAX_ROUNDS = 60
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours (large: those above it; small: those below it and itself) joined to the least of its neighbours and itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    met = both.join(least, "a")
+    """One step over edges (a > b): each node's neighbours (large: those above it; small: those below it and itself) are joined to the least of
+    its neighbours and itself.  The least ones are written before they are joined, so that Spark can split the join of a node with very many edges."""
+    key = "b" if large else "a"
+    around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = common.written(around.groupBy(F.col("a").alias(key)).agg(F.min(F.least("a", "b")).alias("m")), "components-least")
+    met = edges.join(least, key)
     if large:
-        out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = met.select("a", F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
