@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SIGMA = 1.5
-#: Share of a region's content-cluster text beyond which a smaller element inside is preferred.
+#: Shares of the content cluster's text that an article, or the innermost other element, must hold to be the region.
 REGION_SHARE = 0.6
+INNER_SHARE = 0.75
 _FEED = 1 << 20
 
 # HTML element names.
@@ -31,9 +32,14 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 DROPPED = frozenset("head title script style noscript template svg math canvas iframe object audio video nav menu footer aside form button select textarea input dialog".split())
 REGIONS = frozenset("article main section div td body".split())
 #: Words in class, id or role that mark boilerplate.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer form gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus dialog footer form gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Those of them that an article may bear, first words of names that tell of a layout, and words that make a header an article's own.
+ARTICLE_MARKS = frozenset("ad advert advertisement comment comments promo promoted related reply sponsored teaser".split())
+LAYOUT = frozenset("has no with without".split())
+HEADED = frozenset("article entry post story content".split())
 _P_ENDERS = BLOCK - {"br", "option", "caption", "td", "th", "tr"}
 _WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 
 
 class _Node:
@@ -66,11 +72,18 @@ class Blocks(HTMLParser):
         if tag in ("body", "html", "main"):
             return False
         if tag == "header":
-            up = self.node
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            return up is None
-        return any(k in ("class", "id", "role") and v and not MARKS.isdisjoint(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())) for k, v in attrs)
+            return not self.inside_article()
+        marks = ARTICLE_MARKS if tag == "article" else MARKS
+        names = [_WORD.findall(_HUMP.sub(r"\1 \2", name).lower()) for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()]
+        if any(w and w[0] not in LAYOUT and not marks.isdisjoint(w) for w in names):
+            return True
+        return tag != "article" and any("header" in w and HEADED.isdisjoint(w) for w in names) and not self.inside_article()
+
+    def inside_article(self) -> bool:
+        up = self.node
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        return up is not None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -197,12 +210,12 @@ def main_text(html: str | None) -> str:
 
 
 def _region(weight: dict[_Node, int], total: int) -> _Node:
-    """The article or main with most of the content, if that is the larger part; else the innermost region element that holds nearly all of it."""
+    """The article or main with most of the content, if that is the larger part; else the innermost region element that holds most of it."""
     own = [n for n in weight if n.tag in ("article", "main") and weight[n] >= REGION_SHARE * total]
     depth = lambda n: 0 if n is None else 1 + depth_of(n.parent)
     if own:
         return max(own, key=lambda n: (n.tag == "article", depth(n)))
-    near = [n for n in weight if n.parent is None or n.tag in REGIONS and weight[n] >= 0.9 * total]
+    near = [n for n in weight if n.parent is None or n.tag in REGIONS and weight[n] >= INNER_SHARE * total]
     return max(near, key=depth)
 
 

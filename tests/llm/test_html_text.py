@@ -56,3 +56,14 @@ def test_tables(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in H.extract(df).collect()), key=repr)
     assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "v", TEXT, len(TEXT)), (3, "w", "plain", 5), (3, "w", "plain", 5)], key=repr)
     assert H.extract(df.where("false")).count() == 0
+
+
+def test_class_names():
+    body = f"<article class='post has-sidebar'><header class='entry-header'><h1>H</h1></header><p>{TEXT * 3}</p><div class='relatedPosts'><p>{TEXT}</p></div></article>"
+    html = page(f"<div class='site-header'><p>Site of things</p></div><div class='layout with-sidebar'>{body}<div class='sidebar'><p>{TEXT}</p></div></div><div role='contentinfo'>(c)</div>")
+    assert H.main_text(html) == f"H {TEXT * 3}"
+
+
+def test_texts_beside_the_main_one_stay_out_without_any_hint():
+    html = page(f"<div id='x1'><h2>Head</h2><p>{TEXT * 4}</p><p>Short.</p><p>{TEXT * 4}</p></div><div id='x2'><p>someone: {TEXT}</p></div>")
+    assert H.main_text(html) == f"Head {TEXT * 4} Short. {TEXT * 4}"
