@@ -14,7 +14,7 @@ from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATES = ["F", "O", "P"]
-TEMPLATES = ("This listing identifies the component as {name}.", "The description names the part as {name}.")
+TEMPLATES = ("An offer of the kind {name}.", "Its text says {name}.")
 LIMITS = (("very_strict", 16, 24), ("strict", 20, 28), ("screen", 24, 32))
 
 

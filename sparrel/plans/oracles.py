@@ -27,7 +27,7 @@ lab AS (SELECT 'MATCH' AS label, pos, image_id, family, category, category AS tc
         UNION ALL SELECT 'MISMATCH', a.pos, a.image_id, a.family, a.category, b.category FROM place a, z, place b WHERE b.pos = (a.pos + m) % z),
 num AS (SELECT *, (row_number() OVER (PARTITION BY label, tcat ORDER BY pos) - 1) % 2 AS template, row_number() OVER (PARTITION BY image_id, label ORDER BY pos) AS occ FROM lab),
 rel AS (SELECT CAST(image_id AS VARCHAR) || '_' || lower(label) || '_' || lpad(CAST(occ AS VARCHAR), 2, '0') AS sample_id, image_id, num.family AS part_family, num.category AS part_category, tcat AS text_category,
-               cnt.family AS text_family, CASE template WHEN 0 THEN 'This listing identifies the component as ' ELSE 'The description names the part as ' END || replace(tcat, '_', ' ') || '.' AS description, label, 'generated' AS source
+               cnt.family AS text_family, CASE template WHEN 0 THEN 'An offer of the kind ' ELSE 'Its text says ' END || replace(tcat, '_', ' ') || '.' AS description, label, 'generated' AS source
         FROM num JOIN cnt ON cnt.category = tcat)"""
 PARTNERS = QUOTA + """,
 line AS (SELECT q.*, row_number() OVER (ORDER BY family, category) - 1 AS k, count(*) OVER () AS z FROM q),
