@@ -14,9 +14,11 @@ Files are written by tasks to a name of the attempt's own and then moved to the
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, common
+from . import common, pretokenize
 
 TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: Bytes of text that make a file.
-FILE_TEXT_BYTES = 32 << 20
-#: Pieces that a worker remembers; beyond it the memory starts anew.
+FILE_TEXT_BYTES = 16 << 20
+#: Pieces that a worker remembers at most.
 CACHE_PIECES = 600_000
+#: Characters of text that are cut into pieces at once.
+CHUNK_CHARS = 1 << 20
 _MAGIC, _HEAD = b"EFT1", struct.Struct("<4sIQQQq")
 _SAMPLE = 256
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class EliasFano:
@@ -122,7 +127,10 @@ def dump(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int)
 
 
 class Encoder:
-    """The tokenizers library's ids as little-endian bytes.  The library encodes each distinct piece of its own pretokenizer's pattern once."""
+    """The tokenizers library's ids as little-endian bytes.
+
+    Texts are cut into the pieces of the library's pretokenizer here, many characters at a time, and each distinct piece is encoded by the library once; no
+    piece's ids depend on its neighbours.  Pieces are told apart by two 64-bit hashes."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -131,17 +139,83 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.pattern, self.known = bpe.piece_pattern(), {}
-        self.end = np.array([END_ID], f"<u{self.width}").tobytes()
+        self.array = {2: "H", 4: "I"}[self.width]
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        pieces = [self.pattern.findall(t) for t in texts]
-        if new := list({p for ps in pieces for p in ps if p not in self.known}):
-            found = self.library.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, f"<u{self.width}").tobytes()) for p, e in zip(new, found, strict=True))
-        return [b"".join(map(self.known.__getitem__, ps)) + self.end for ps in pieces]
+        """Each text's ids and END_ID."""
+        out: list[bytes] = []
+        part: list[str] = []
+        ends: list[bool] = []
+        size = 0
+        for text in texts:
+            for chunk, last in _chunks(text):
+                part.append(chunk)
+                ends.append(last)
+                size += len(chunk) + 1
+                if size >= CHUNK_CHARS:
+                    out += self._encode(part, ends)
+                    part, ends, size = [], [], 0
+        if part:
+            out += self._encode(part, ends)
+        # A chunk's ids, joined up to the chunk that ends its text.
+        joined, held = [], []
+        for ids, last in out:
+            held.append(ids)
+            if last:
+                joined.append(held[0] if len(held) == 1 else b"".join(held))
+                held = []
+        return joined
+
+    def _encode(self, chunks: list[str], ends: list[bool]) -> list[tuple[bytes, bool]]:
+        if len(self.known) > CACHE_PIECES // 2:  # pieces not met since the last time are forgotten
+            self.known, self.older = {}, self.known
+        text = "\0".join((*chunks, ""))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        borders = np.cumsum([len(c) + 1 for c in chunks]) - 1
+        points[borders] = np.where(ends, pretokenize.END, pretokenize.GAP)
+        starts = pretokenize.starts(points)
+        stops = np.append(starts[1:], len(points))
+        one, two = pretokenize.hashes(points, starts, stops)
+        unique, first, of = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first][of]).any():
+            raise ValueError("two pieces have one hash")  # at odds below 2^-60 a chunk
+        keys = unique.tolist()
+        found = list(map(self.known.get, keys))
+        if new := [k for k, f in enumerate(found) if f is None]:
+            for k in new:
+                if (f := self.older.get(keys[k])) is not None:
+                    found[k] = self.known[keys[k]] = f
+            new = [k for k in new if found[k] is None]
+        if new:
+            begin, stop = starts[first[new]].tolist(), stops[first[new]].tolist()
+            coded = self.library.encode_batch_fast([text[a:b] for a, b in zip(begin, stop, strict=True)], add_special_tokens=False)
+            check = two[first[new]].tobytes()
+            for at, (k, e, point) in enumerate(zip(new, coded, points[begin].tolist(), strict=True)):
+                ids = e.ids if point < pretokenize.END else [END_ID] if point == pretokenize.END else []
+                found[k] = check[8 * at : 8 * at + 8] + array(self.array, ids).tobytes()
+            self.known.update((keys[k], found[k]) for k in new)
+        # Of each distinct piece the second hash and the ids stand one after the other.
+        store = np.frombuffer(b"".join(found), f"<u{self.width}")
+        size, head = np.fromiter(map(len, found), np.int64, len(found)) // self.width, 8 // self.width
+        place = np.cumsum(size) - size
+        if (store[place[:, None] + np.arange(head)].view("<u8").ravel() != two[first]).any():
+            raise ValueError("two pieces have one hash")
+        length, source = (size - head)[of], (place + head)[of]
+        total = np.cumsum(length)
+        ids = store[np.repeat(source - total + length, length) + np.arange(total[-1])]
+        cut = [0, *total[np.searchsorted(starts, borders)].tolist()]
+        return [(ids[a:b].tobytes(), last) for a, b, last in zip(cut[:-1], cut[1:], ends, strict=True)]
+
+
+def _chunks(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in chunks of bounded size, cut only before a space between two words, where a piece always starts; whether it is the last."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS and (m := _CUT.search(text, at + CHUNK_CHARS)):
+        yield text[at : m.start()], False
+        at = m.start()
+    yield text[at:], True
 
 
 @lru_cache(maxsize=2)
