@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,7 +113,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
     Null and empty texts have no words and no hits; items without id, text or words never occur; a repeated doc_id gives one row per row of docs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = list(_indexes(docs, benchmark, window, block_bytes))
+    blocks = _indexes(docs, benchmark, window, block_bytes)  # made one by one; only one is held unless there are more
+    first, second = next(blocks, None), next(blocks, None)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
     schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
 
@@ -130,12 +132,12 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
 
         return run
 
-    if len(parts) <= 1:
-        return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(probe(parts[0] if parts else Index([], {}, window)), schema)
+    if second is None:
+        return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(probe(first or Index([], {}, window)), schema)
     # A row's number keeps repeated doc_ids apart while the blocks' findings are put together.
     numbered = common.written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     keys, found = numbered.select("doc_id", "row"), []
-    for index in parts:
+    for index in chain((first, second), blocks):
         part = numbered.select(F.col("row").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(probe(index), schema)
         found.append(common.written(part, "decontaminate-part"))
     whole = found[0]
@@ -166,18 +168,19 @@ def judged(found: DataFrame, share: int = HIT_SHARE) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that aren't contaminated; all columns stay."""
-    blocks = list(_indexes(docs, benchmark, window, block_bytes))
+    blocks = _indexes(docs, benchmark, window, block_bytes)
+    index, more = next(blocks, None), next(blocks, None)
 
     def fine(texts: list) -> list[bool]:
         out = []
         for text in texts:
             words = words_of(text.encode() if text else None)
-            hit = sum(b - a for a, b in united([s for index in blocks for s in index.search(words)[0]]))
+            hit = sum(b - a for a, b in index.search(words)[0])
             out.append(not (hit and share * hit >= len(words)))
         return out
 
-    if len(blocks) <= 1:
-        return common.filtered(docs, "text", fine) if blocks else docs
+    if more is None:
+        return common.filtered(docs, "text", fine) if index else docs
     # Each block goes to the tasks by itself: findings are put together by row.
     numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     found = judged(search(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_bytes), share)

@@ -114,7 +114,7 @@ def bucket_edges(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, set_key (digest of the shingle set; null without words), sketch (MinHash values) for every row."""
+    """doc_id, text_hash, set_key (digest of the shingle set; null without words), sketch (MinHash values) for every row."""
 
     def rows(batch: pa.RecordBatch) -> list:
         keys, sketches = [], []
@@ -122,9 +122,13 @@ def _signed(docs: DataFrame) -> DataFrame:
             s = shingles(text)
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketches.append(minhashes(s).tobytes() if len(s) else None)
-        return [batch.column(0), keys, sketches]
+        return [batch.column(0), batch.column(2), keys, sketches]
 
-    return common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), rows, "doc_id bigint, set_key binary, sketch binary")
+    return common.mapped(_plain(docs), rows, "doc_id bigint, text_hash bigint, set_key binary, sketch binary")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
 
 _BAND_SCHEMA = "bucket bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
@@ -244,7 +248,8 @@ def join(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART
     Null doc_ids take part; a class with no doc_id has a null class_id.  Repeated rows are documents of their own, linked to each other.  Null and
     empty texts, and texts of white space, have no words: their class is their own doc_id and they have no links."""
     signed = common.written(_signed(docs), "jaccard-signed")
-    nodes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("weight"), F.any_value("sketch").alias("sketch"))
+    nodes = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row"), F.count("*").alias("weight"), F.any_value("sketch").alias("sketch"))
+    nodes = nodes.select("set_key", F.col("row.doc_id").alias("min_doc"), F.col("row.text_hash").alias("text_hash"), "weight", "sketch")
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
     count = nodes.count()
@@ -252,8 +257,8 @@ def join(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART
     bands = nodes.select("node", "sketch").mapInArrow(_bands, _BAND_SCHEMA).repartition(dealt, "bucket").sortWithinPartitions("bucket")
     candidates = connected_components(bands.mapInArrow(_bucket_stream, "a bigint, b bigint"))
 
-    sizes = candidates.groupBy("comp").agg(F.count("*").alias("size"))
-    members = candidates.join(sizes, "comp").join(nodes.select("node", "set_key", "weight", F.col("min_doc").alias("doc_id")), "node").withColumn("n_parts", F.ceil(F.col("size") / part_nodes).cast("int"))
+    sizes = common.written(candidates.groupBy("comp").agg(F.count("*").alias("size")), "jaccard-sizes")  # written, so that Spark can split a large component's join
+    members = candidates.join(sizes, "comp").join(nodes.select("node", "weight", "text_hash", F.col("min_doc").alias("doc_id")), "node").withColumn("n_parts", F.ceil(F.col("size") / part_nodes).cast("int"))
     texts = _texts(docs, members)
     total = max(1, common.total_bytes(texts, "text"))
     groups = max(1, -(-total // group_bytes))
@@ -266,23 +271,18 @@ def join(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
     labelled = nodes.select("node", "set_key", "min_doc", "weight").join(links, "node", "left").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.groupBy("comp").agg(F.min("min_doc").alias("class_id"))
+    labelled = common.written(labelled, "jaccard-labelled")
+    least = common.written(labelled.groupBy("comp").agg(F.min("min_doc").alias("class_id")), "jaccard-classes")
     named = labelled.join(least, "comp").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = signed.join(named, "set_key", "left")
     return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """One text of each member node (its set_key tells which of rows with an equal doc_id)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    met = docs.join(members.select("doc_id", "comp", "node", "weight", "n_parts", "set_key"), docs["doc_id"].eqNullSafe(members["doc_id"])).select("comp", "node", "weight", "n_parts", "set_key", "text")
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            keep = pa.array([hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == k for t, k in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist(), strict=True)], pa.bool_())
-            yield batch.filter(keep).select([0, 1, 2, 3, 5])
-
-    checked = met.mapInArrow(own, "comp bigint, node bigint, weight bigint, n_parts int, text binary")
-    return common.written(checked.dropDuplicates(["node"]), "jaccard-texts")
+    """One text of each member node: that of a row with the node's smallest doc_id, told by its hash from other rows with that id (null ids too)."""
+    docs, m = _plain(docs), members.select("comp", "node", "weight", "n_parts", F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"))
+    met = docs.join(m, (F.col("text_hash") == F.col("m_hash")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
+    return common.written(met.select("comp", "node", "weight", "n_parts", "text").dropDuplicates(["node"]), "jaccard-texts")
 
 
 def one_of_each(docs: DataFrame, **sizes: int) -> DataFrame:
