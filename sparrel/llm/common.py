@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python function turns into objects at once; bounds a worker's memory whatever Arrow's batch size is.
 SLICE_ROWS = 256
+#: Rows and bytes that Spark hands to a Python function at once, at most (a longer row goes alone).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8192", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of a bounded number of rows and bytes, so that long texts don't add up in a worker."""
+    for key, value in BATCHES.items():
+        df.sparkSession.conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:
     """mapInArrow of a function from a slice of a batch to a list of columns, in the schema's order."""
     out = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in _struct(schema)])
@@ -51,7 +60,7 @@ def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], list], schema: str) -
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows(batch), out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def filtered(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
@@ -62,7 +71,7 @@ def filtered(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -
         for batch in slices(batches):
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}

@@ -97,7 +97,7 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
                 seen.update(vocabulary.intersection(words_of(text)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n bigint")
+    counted = common.map_arrow(docs.select(F.col("text").cast("binary")), run, "word binary, n bigint")
     return {bytes(r[0]): r[1] for r in counted.groupBy("word").agg(F.sum("n")).collect()}  # at most the vocabulary
 
 
@@ -133,12 +133,12 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, bl
         return run
 
     if second is None:
-        return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(probe(first or Index([], {}, window)), schema)
+        return common.map_arrow(docs.select("doc_id", F.col("text").cast("binary")), probe(first or Index([], {}, window)), schema)
     # A row's number keeps repeated doc_ids apart while the blocks' findings are put together.
     numbered = common.written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     keys, found = numbered.select("doc_id", "row"), []
     for index in chain((first, second), blocks):
-        part = numbered.select(F.col("row").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(probe(index), schema)
+        part = common.map_arrow(numbered.select(F.col("row").alias("doc_id"), F.col("text").cast("binary")), probe(index), schema)
         found.append(common.written(part, "decontaminate-part"))
     whole = found[0]
     for part in found[1:]:

@@ -254,8 +254,8 @@ def join(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART
 
     count = nodes.count()
     dealt = max(1, -(-count * BANDS // 400_000))
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, _BAND_SCHEMA).repartition(dealt, "bucket").sortWithinPartitions("bucket")
-    candidates = connected_components(bands.mapInArrow(_bucket_stream, "a bigint, b bigint"))
+    bands = common.map_arrow(nodes.select("node", "sketch"), _bands, _BAND_SCHEMA).repartition(dealt, "bucket").sortWithinPartitions("bucket")
+    candidates = connected_components(common.map_arrow(bands, _bucket_stream, "a bigint, b bigint"))
 
     sizes = common.written(candidates.groupBy("comp").agg(F.count("*").alias("size")), "jaccard-sizes")  # written, so that Spark can split a large component's join
     members = candidates.join(sizes, "comp").join(nodes.select("node", "weight", "text_hash", F.col("min_doc").alias("doc_id")), "node").withColumn("n_parts", F.ceil(F.col("size") / part_nodes).cast("int"))

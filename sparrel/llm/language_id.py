@@ -129,7 +129,7 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
         bucket = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(bucket, -1), pa.int64()), "n": pa.array(np.append(df[bucket], rows), pa.int64())})
 
-    found = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most the buckets
+    found = common.map_arrow(texts, run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most the buckets
     out, rows = np.zeros(1 << BUCKET_BITS, np.int64), 0
     for bucket, n in found:
         if bucket < 0:

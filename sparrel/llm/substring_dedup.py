@@ -33,7 +33,7 @@ WINDOW = 50
 BLOCK = 25
 #: Text bytes of a group of documents, and text bytes per bucket of hashes.
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _VALUE_BITS = 30
 _NO_ID = np.iinfo(np.int64).max
 # Odd constants of the three rolling hashes.

@@ -261,7 +261,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER_PATH, file_text
             _publish(ids_path, name, dump(doc_ids, lengths, b"".join(ids), e.width))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, doc_ids[0], len(doc_ids), sum(lengths)), out.types, strict=True)], schema=out)
 
-    ordered.mapInArrow(run, "file string, first_id bigint, docs bigint, ids bigint").write.parquet(f"{path}/manifest")
+    common.map_arrow(ordered, run, "file string, first_id bigint, docs bigint, ids bigint").write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema("file string, first_id bigint, docs bigint, ids bigint").parquet(f"{path}/manifest")
 
 
@@ -282,5 +282,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crcs = [zlib.crc32(f.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * f.docs, pa.string()), pa.array(f.doc_ids(), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], schema=out)
 
-    found = files.mapInArrow(run, "file string, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
+    found = common.map_arrow(files, run, "file string, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(starts, "file").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

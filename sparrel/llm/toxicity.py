@@ -190,7 +190,7 @@ def learn_lexicon(rows: DataFrame, max_candidates: int = MAX_CANDIDATES, max_lex
             yield pa.RecordBatch.from_pydict({"unit": pa.array(found, pa.string()), "pos": pa.array([seen[1][u] for u in found], pa.int64()), "neg": pa.array([seen[0][u] for u in found], pa.int64())})
 
     rows = rows.select("text", F.col("toxic").cast("int"))
-    sums = rows.mapInArrow(counted, "unit string, pos bigint, neg bigint").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = common.map_arrow(rows, counted, "unit string, pos bigint, neg bigint").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     fit = sums.where((F.col("pos") >= 3) & (F.col("pos") >= 20 * F.col("neg")))
     candidates = [r[0] for r in fit.orderBy(F.desc("pos"), "neg", F.desc(F.length(F.rtrim(F.lit("*"), F.col("unit")))), "unit").limit(max_candidates).collect()]
     place = {u: k for k, u in enumerate(candidates)}
