@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from sparrel.llm import fingerprint as P
 
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    cells = lambda s: {p for p in s.split("\n") if p}
+    cells = lambda s: {p for p in re.split(P.BORDER, s) if p}
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
     out = []
     for i, (d, t) in enumerate(rows):
@@ -30,7 +31,7 @@ def same(df, rows):
 
 def test_against_brute_force(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows += [(200, "\n".join(f"line {i}" for i in range(3000))), (199, "\n".join(f"line {i}" for i in range(5, 3000))), (198, "🎉é" * 7)]
+    rows += [(200, "\n".join(f"line {i}" for i in range(3000))), (199, "\n".join(f"line {i}" for i in range(5, 3000))), (198, "🎉é" * 7), (197, "One. It is. Then so.  Ends! É? Île. e. N " * 9)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = same(P.fingerprints(df), rows)
     by_text = {}
