@@ -98,6 +98,11 @@ def normalize(values: Column, mean: float, std: float) -> Column:
     return F.transform(values, lambda x: (x.cast("double") - mean) / std)
 
 
+def beside(*arrays: Column) -> Column:
+    """Feature arrays put one after the other, as numbers; null if one of them is."""
+    return F.concat(*[F.transform(a, lambda x: x.cast("double")) for a in arrays])
+
+
 def pixel_vector(rows: Column) -> Column:
     """Nested rows of 0..255 flattened to 0..1."""
     return F.transform(F.flatten(rows), lambda x: x.cast("double") / 255.0)

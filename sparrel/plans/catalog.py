@@ -609,21 +609,35 @@ def M1_majority(spark, sf):
     return rounded(p.groupBy("category").agg(F.lit(best).alias("prediction"), F.avg((F.col("label") == best).cast("int")).alias("accuracy")))
 
 
-@query
-def M2_logistic_regression(spark, sf):
-    """Quality labels from TF-IDF features of documents, fitted on the train split and scored on the test split."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def labelled_features(spark: SparkSession, sf: str, image: bool) -> DataFrame:
+    """doc_id, split, quality label and a feature vector: TF-IDF of the text (fitted on the train split), or beside it an embedding as the image."""
+    from pyspark.ml.functions import array_to_vector
 
     d = split_documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    vocabulary = T.fit(d.where("split = 'train'"), "doc_id", "text", 128)
-    weights = T.transform(d, vocabulary, "doc_id", "text").join(F.broadcast(vocabulary.select("term", "index")), "term")  # at most 128 terms
-    entries = weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("index", "weight"))).alias("m"))
-    x = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))))
-    rows = d.join(entries, "doc_id").select("doc_id", "split", "label", x.alias("features"))
+    rows = d.join(T.dense(d, T.fit(d.where("split = 'train'"), "doc_id", "text", 128), "doc_id", "text", "x"), "doc_id")
+    if image:
+        e = table(spark, sf, "embeddings")
+        rows = rows.withColumn("vec_id", F.col("doc_id") % e.count()).join(e.select("vec_id", "embedding"), "vec_id").withColumn("x", C.beside(F.col("embedding"), F.col("x")))
+    return rows.select("doc_id", "split", "label", array_to_vector("x").alias("features"))
+
+
+def regression(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
     model = models.logistic_regression(rows.where("split = 'train'"), "features", "label")
     return rounded(model.transform(rows.where("split = 'test'")).select("doc_id", F.col("prediction").cast("int").alias("prediction"), F.element_at(vector_to_array("probability"), 2).alias("probability")))
 
 
+@query
+def M2_logistic_regression(spark, sf):
+    return regression(labelled_features(spark, sf, image=False))
+
+
+@query
+def M2_F17_combined_regression(spark, sf):
+    return regression(labelled_features(spark, sf, image=True))
+
+
 @query
 def M4_M9_head_scores(spark, sf):
     """A small multimodal head network fitted on embeddings of the train split and scored on the test split."""

@@ -162,3 +162,15 @@ def lazy_dataset(relations: DataFrame, features: DataFrame, labels: list[str], c
     r = r.join(codes.select(F.col("c").alias("part_category"), F.col("k").alias("image_code")), "part_category", "left").join(codes.select(F.col("c").alias("text_category"), F.col("k").alias("text_code")), "text_category", "left")
     bad = F.col("features").isNull() | F.col("image_code").isNull() | F.col("text_code").isNull()
     return r.select(F.when(bad, F.raise_error(F.concat(F.lit("no features or codes for "), "sample_id")).cast("string")).otherwise(F.col("sample_id")).alias("sample_id"), "features", "description", encode(F.col("label"), labels).alias("label_code"), "image_code", "text_code")
+
+
+def forbidden_paths(folder: str, forbidden: list[str], excluded: tuple[str, ...] = (".git", ".venv", "__pycache__", ".pytest_cache")) -> list[str]:
+    """Paths below a local folder whose name fits a forbidden pattern; excluded folders are not entered."""
+    import fnmatch
+    import os
+
+    found = []
+    for top, folders, names in os.walk(folder):
+        folders[:] = sorted(f for f in folders if f not in excluded)
+        found += [os.path.relpath(os.path.join(top, n), folder) for n in (*folders, *names) if any(fnmatch.fnmatch(n, p) for p in forbidden)]
+    return sorted(found)

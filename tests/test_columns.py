@@ -115,3 +115,9 @@ def test_blank_descriptions_are_an_error(spark):
     assert one(spark, T.require_text(F.lit(" a "))) == "a"
     with pytest.raises(PySparkException, match="description"):
         one(spark, T.require_text(F.lit("  ")))
+
+
+def test_feature_arrays(spark):
+    assert one(spark, C.beside(F.array(F.lit(1), F.lit(2)), F.array(F.lit(0.5)))) == [1.0, 2.0, 0.5]
+    assert one(spark, C.pixel_vector(F.array(F.array(F.lit(0), F.lit(255)), F.array(F.lit(51), F.lit(102))))) == [0.0, 1.0, 0.2, 0.4]
+    assert one(spark, C.normalize(F.array(F.lit(3.0)), 1.0, 2.0)) == [1.0]

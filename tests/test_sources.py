@@ -156,3 +156,10 @@ def test_zip_in_memory_is_read_like_a_file(spark):
         z.writestr("p/1.jpg", png(2, 2))
     df = spark.createDataFrame([("m", buffer.getvalue())], "path string, content binary")
     assert readers.inspect_archive(df).first().width == 2
+
+
+def test_forbidden_paths(tmp_path):
+    for name in ("a/x.pt", "a/y.py", ".git/z.pt", "b.tmp"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).touch()
+    assert readers.forbidden_paths(str(tmp_path), ["*.pt", "*.tmp"]) == ["a/x.pt", "b.tmp"]
