@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import findable
 from ..functions import columns as C
 from ..functions import text as T
 from ..operators import audit, metrics, models, near_duplicates, pairs, ranking, resample
@@ -24,7 +25,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return findable(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
