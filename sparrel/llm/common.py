@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import findable
+
 #: Rows that a Python function turns into objects at once; bounds a worker's memory whatever Arrow's batch size is.
 SLICE_ROWS = 256
 #: Rows and bytes that Spark hands to a Python function at once, at most (a longer row goes alone).
@@ -18,7 +20,7 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8192", "spark.sql.ex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return findable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -48,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches of a bounded number of rows and bytes, so that long texts don't add up in a worker."""
     for key, value in BATCHES.items():
-        df.sparkSession.conf.set(key, value)
+        findable(df.sparkSession).conf.set(key, value)
     return df.mapInArrow(run, schema)
 
 
