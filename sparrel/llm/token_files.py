@@ -129,45 +129,63 @@ def dump(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int)
 class Encoder:
     """The tokenizers library's ids as little-endian bytes.
 
-    Texts are cut into the pieces of the library's pretokenizer here, many characters at a time, and each distinct piece is encoded by the library once; no
-    piece's ids depend on its neighbours.  Pieces are told apart by two 64-bit hashes."""
+    Texts are cut at the added tokens of the tokenizer's file first, which have ids of their own.  What stands between is cut into the pieces of the library's
+    pretokenizer here, many characters at a time, and each distinct piece is encoded by the library once; no piece's ids depend on its neighbours.  Pieces
+    are told apart by two 64-bit hashes."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.array = {2: "H", 4: "I"}[self.width]
+        added = self.library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        self.added = {t.content: array(self.array, [i]).tobytes() for i, t in added.items()}
+        # The leftmost is taken, of those that start at one place the longest.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.known: dict[int, bytes] = {}
         self.older: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and END_ID."""
-        out: list[bytes] = []
+        out: list[tuple[bytes, bool]] = []
         part: list[str] = []
         ends: list[bool] = []
+        after: list[bytes] = []
         size = 0
         for text in texts:
-            for chunk, last in _chunks(text):
+            for chunk, last, added in self._parts(text):
                 part.append(chunk)
                 ends.append(last)
+                after.append(added)
                 size += len(chunk) + 1
                 if size >= CHUNK_CHARS:
                     out += self._encode(part, ends)
                     part, ends, size = [], [], 0
         if part:
             out += self._encode(part, ends)
-        # A chunk's ids, joined up to the chunk that ends its text.
+        # A chunk's ids and the added token behind it, joined up to the chunk that ends its text.
         joined, held = [], []
-        for ids, last in out:
-            held.append(ids)
+        for (ids, last), added in zip(out, after, strict=True):
+            held.append(ids + added if added else ids)
             if last:
                 joined.append(held[0] if len(held) == 1 else b"".join(held))
                 held = []
         return joined
 
+    def _parts(self, text: str) -> Iterator[tuple[str, bool, bytes]]:
+        """A text's chunks between its added tokens; whether the text ends there, and the id of the added token that follows."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            for chunk, last in _chunks(text[at : m.start()]):
+                yield chunk, False, self.added[m.group()] if last else b""
+            at = m.end()
+        for chunk, last in _chunks(text[at:] if at else text):
+            yield chunk, last, b""
+
     def _encode(self, chunks: list[str], ends: list[bool]) -> list[tuple[bytes, bool]]:
         if len(self.known) > CACHE_PIECES // 2:  # pieces not met since the last time are forgotten
             self.known, self.older = {}, self.known

@@ -75,3 +75,29 @@ def test_random_access_by_document(spark, docs):
 def test_odd_and_empty_tables(spark, odd, empty):
     assert result(spark, odd)[0] == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert result(spark, empty)[0] == []
+
+
+ADDED = "<|endoftext|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.just(ADDED), st.sampled_from([ADDED[:-1], ADDED[1:], "<|", " ", "  ", "\n ", "'s", "\0"]), st.text("ab 1'\n<|>é", max_size=6)), max_size=8).map("".join), min_size=1, max_size=4), st.integers(3, 60))
+def test_added_tokens_have_their_own_ids(texts, chunk):
+    untouched, encoder, kept = Tokenizer.from_file(token_files.TOKENIZER_PATH), token_files.encoder(token_files.TOKENIZER_PATH), token_files.CHUNK_CHARS
+    token_files.CHUNK_CHARS = chunk
+    try:
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+    finally:
+        token_files.CHUNK_CHARS = kept
+    assert got == [untouched.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_files_with_added_tokens(spark):
+    rows = [(1, f"x{ADDED}"), (2, ADDED), (3, f"a b {ADDED} {ADDED}{ADDED}\n\n{ADDED}s"), (4, "after")]
+    untouched, start, want = Tokenizer.from_file(token_files.TOKENIZER_PATH), 0, []
+    assert untouched.encode(rows[0][1], add_special_tokens=False).ids == [87, 50256]
+    for doc_id, text in rows:
+        ids = untouched.encode(text, add_special_tokens=False).ids + [0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert result(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))[0] == want
