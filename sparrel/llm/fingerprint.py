@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame and SQL functions only.
 
-A paragraph is a line, cut after the end of a sentence where the next one begins with a letter from E to N (so cuts depend on the words around them alone, and
-long lines give several paragraphs); empty ones don't count.  Its digest is a 64-bit hash; a text is the set of its digests.  Digests are dealt to segments by hash, one segment for
+A paragraph is a line, cut after every end of a sentence, in any script (so cuts depend on the characters around them alone, and long lines give several
+paragraphs); empty ones don't count.  Its digest is a 64-bit hash; a text is the set of its digests.  Digests are dealt to segments by hash, one segment for
 every SEGMENT_KEYS paragraphs rounded up to a power of two.  A segment's sketch has CELLS cells of (count, XOR of digests, XOR of checks); a digest goes to one
 cell in each third.  Subtracting two sketches leaves the digests that differ; peeling takes out cells of a single digest until all are empty.  If cells
 remain, the segment's sketches are made again with twice as many cells, and again; beyond the largest the segment's digests are compared themselves.
@@ -21,8 +21,9 @@ SEGMENT_KEYS = 16
 CELLS = 48
 RETRIES = (96, 192, 384)
 _ROUNDS = 24
-#: Where a text is cut into paragraphs, as a pattern.
-BORDER = "\n|(?<=[.!?]) +(?=[E-NÈ-Î])"
+#: Where a text is cut into paragraphs, as a pattern: at line ends, at spaces after marks that end a sentence (and a quote or bracket that closes), and after
+#: the marks of scripts that put no space there.
+BORDER = '\n|(?<=[.!?…؟۔।॥։።။។]) +|(?<=[.!?…؟۔।॥։][")”’»]) +|(?<=[。！？｡．])(?![。！？｡．”’」』）]) *|(?<=[。！？｡．][”’」』）]) *'
 #: Text bytes of a range of neighbouring documents, and how many bounds between ranges are found by quantiles (finer ranges are cut evenly).
 RANGE_BYTES, MAX_BOUNDS = 8 << 20, 128
 

@@ -68,3 +68,13 @@ def test_differences_are_recovered_also_when_small_sketches_fail(spark):
 def test_the_plan_has_no_python(spark, docs):
     plan = P.fingerprints(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_of_one_line_in_any_script_are_near_their_edited_text(spark):
+    sentence = {
+        5: ("Some words {}.", " "), 4: ("some words {}!", " "), 3: ("Слова числа {}.", " "), 2: ("这是第{}句话。", ""), 1: ("هل هذا {}؟", " "), 0: ('He said "words {}."', " "),
+    }
+    rows = [(d, gap.join(s.format(chr(97 + k) * 3) for k in range(12))) for d, (s, gap) in sentence.items()]
+    for r in same(P.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")), rows):
+        assert 0.2 < r.near_edited < 0.8, r.doc_id
+        assert r.near_next == 0
