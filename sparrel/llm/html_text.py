@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SIGMA = 1.5
-#: Shares of the content cluster's text that an article, or the innermost other element, must hold to be the region.
+#: Shares of the content cluster's text that the articles, or the innermost other element, must hold to be the region.
 REGION_SHARE = 0.6
 INNER_SHARE = 0.75
 _FEED = 1 << 20
@@ -43,26 +44,34 @@ _HUMP = re.compile(r"([a-z])([A-Z])")
 
 
 class _Node:
-    __slots__ = ("dropped", "parent", "tag")
+    __slots__ = ("dropped", "mark", "parent", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, mark: bool) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.dropped = mark or parent is not None and parent.dropped
+
+    def up(self) -> Iterator[_Node]:
+        """The element and those around it."""
+        node: _Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, tags seen, characters in links, innermost element, dropped)."""
+    """Blocks of a page: (text, tags seen, characters in links, innermost element)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.node = _Node("", None, False)
-        self.blocks: list[tuple[str, int, int, _Node, bool]] = []
+        self.blocks: list[tuple[str, int, int, _Node]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = 0
 
     def border(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.tags, self.linked, self.node, self.node.dropped))
+            self.blocks.append((text, self.tags, self.linked, self.node))
             self.tags = self.linked = 0
         self.parts.clear()
 
@@ -96,7 +105,7 @@ class Blocks(HTMLParser):
         if tag == "a":
             self.in_link = 1
         if tag not in VOID:
-            self.node = _Node(tag, self.node, self.node.dropped or self.marked(tag, attrs))
+            self.node = _Node(tag, self.node, self.marked(tag, attrs))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -181,7 +190,7 @@ def main_text(html: str | None) -> str:
     for at in range(0, len(html), _FEED):
         parser.feed(html[at : at + _FEED])
     parser.close()
-    blocks = [b for b in parser.blocks if not b[4]]
+    blocks = _kept(parser.blocks)
     if not blocks:
         return ""
     ratios = smoothed([(len(b[0]) - b[2]) / max(1, b[1]) for b in blocks])
@@ -196,27 +205,44 @@ def main_text(html: str | None) -> str:
             while up is not None:
                 weight[up] = weight.get(up, 0) + n
                 up = up.parent
-    region = _region(weight, total)
-    out = []
-    for text, _, linked, node, _ in blocks:
-        if 2 * linked > len(text) and node.tag in ("li", "a", "div", "td", "span") and linked < 400:
-            continue  # a menu's line
-        up = node
-        while up is not None and up is not region:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return " ".join(out)
-
-
-def _region(weight: dict[_Node, int], total: int) -> _Node:
-    """The article or main with most of the content, if that is the larger part; else the innermost region element that holds most of it."""
-    own = [n for n in weight if n.tag in ("article", "main") and weight[n] >= REGION_SHARE * total]
-    depth = lambda n: 0 if n is None else 1 + depth_of(n.parent)
-    if own:
-        return max(own, key=lambda n: (n.tag == "article", depth(n)))
-    near = [n for n in weight if n.parent is None or n.tag in REGIONS and weight[n] >= INNER_SHARE * total]
-    return max(near, key=depth)
+    regions = _regions(blocks, weight, total)
+    return " ".join(text for text, _, _, node in blocks if any(n in regions for n in node.up()))
+
+
+def _kept(blocks: list[tuple[str, int, int, _Node]]) -> list[tuple[str, int, int, _Node]]:
+    """Blocks outside boilerplate.  On pages without an article or main outside it, a mark (or form) counts for nothing if its element holds
+    most of the page's text, or the article that is larger than all text outside."""
+    kept = [b for b in blocks if not b[3].dropped]
+    if len(kept) == len(blocks) or any(n.tag in ("article", "main") for b in kept for n in b[3].up()):
+        return kept
+    held: dict[_Node, int] = {}
+    total = 0
+    for text, _, _, node in blocks:
+        path = list(node.up())
+        if not any(n.tag in DROPPED and n.tag != "form" for n in path):
+            total += len(text)
+            for n in path:
+                held[n] = held.get(n, 0) + len(text)
+    spared = {n for n in held if n.mark and 2 * held[n] > total}
+    articles = [n for n in held if n.tag in ("article", "main") and not n.mark]
+    if articles and held[a := max(articles, key=held.__getitem__)] > sum(len(b[0]) for b in kept):
+        spared.update(n for n in a.up() if n.mark)
+    return [b for b in blocks if not b[3].dropped or not any(n.mark and n not in spared for n in b[3].up())]
+
+
+def _regions(blocks: list[tuple[str, int, int, _Node]], weight: dict[_Node, int], total: int) -> set[_Node]:
+    """All articles (or mains) that have content or aren't mostly links, if they hold the larger part of the content; else the innermost region element
+    that holds most of it."""
+    plain: dict[_Node, int] = {}
+    for text, _, linked, node in blocks:
+        for n in node.up():
+            if n.tag in ("article", "main"):
+                plain[n] = plain.get(n, 0) + len(text) - 2 * linked
+    for tags in (("article",), ("article", "main")):
+        outer = {n for n in plain if n.tag in tags and not any(u is not n and u.tag in tags for u in n.up()) and (n in weight or plain[n] > 0)}
+        if sum(weight.get(n, 0) for n in outer) >= REGION_SHARE * total:
+            return outer
+    return {max((n for n in weight if n.parent is None or n.tag in REGIONS and weight[n] >= INNER_SHARE * total), key=depth_of)}
 
 
 def depth_of(node: _Node | None) -> int:

@@ -67,3 +67,17 @@ def test_class_names():
 def test_texts_beside_the_main_one_stay_out_without_any_hint():
     html = page(f"<div id='x1'><h2>Head</h2><p>{TEXT * 4}</p><p>Short.</p><p>{TEXT * 4}</p></div><div id='x2'><p>someone: {TEXT}</p></div>")
     assert H.main_text(html) == f"Head {TEXT * 4} Short. {TEXT * 4}"
+
+
+def test_linked_lists_and_cells_of_an_article_stay():
+    html = page(f"<article><p>{TEXT * 3}</p><ul><li><a href='/r'>Reference one</a></li></ul><table><tr><td><a href='/c'>Cell</a></td></tr></table></article>")
+    assert H.main_text(html) == f"{TEXT * 3} Reference one Cell"
+
+
+def test_two_articles_stay():
+    assert H.main_text(page(f"<article><p>{TEXT * 6}</p></article><article><p>{TEXT * 4}</p></article>")) == f"{TEXT * 6} {TEXT * 4}"
+
+
+def test_marks_and_forms_around_the_whole_text_count_for_nothing():
+    assert H.main_text(page(f"<p>x</p><div class='content-sidebar-left'><article><p>{TEXT * 3}</p></article><div class='ad'>Buy</div></div>")) == TEXT * 3
+    assert H.main_text(page(f"<form action='/'><div><p>{TEXT * 3}</p><p>{TEXT}</p></div></form>")) == f"{TEXT * 3} {TEXT}"
