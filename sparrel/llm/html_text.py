@@ -1,18 +1,28 @@
 """Main text of HTML pages from streamed parser events.
 
-The standard library's parser feeds blocks ("lines"): text between borders of block elements.  Every block has a text-to-tag ratio; the ratios are smoothed
-by a Gaussian over neighbouring blocks and split in two clusters around a threshold.  The clusters choose the region: the element that holds
-most of the content cluster's text.  All blocks of that region that are no boilerplate (menus, adverts, forms, comments and the like, by
-element, role or class) are the text, short ones too.
+The standard library's parser feeds blocks ("lines"): text between borders of block elements.  Every block has a text-to-tag ratio; the ratios' logarithms (so
+that one very long paragraph doesn't make all others look short) are smoothed by a Gaussian over neighbouring blocks and split in two clusters around a threshold;
+the blocks of the upper one are the content.
 
-Null and empty pages have no text.  Unclosed elements end with their parent; pages cut off in mid-tag keep what came before.
+The region is all outer articles (or mains) if they hold the larger part of the content, else the innermost element that holds all of it (links apart).  All blocks of the
+region are the text, short and linked ones too, but for boilerplate:
+
+* elements that are never text (scripts, menus, forms, footers and the like), and a header outside an article;
+* elements named as boilerplate: a class, id or role of which every word is a mark or a word of layout ("cookie-notice", "sidebar-right").  Such a name counts
+  for nothing if its element holds the page's article or most of its text;
+* elements most of whose blocks are outside the content and most of whose text is links, if a mark stands among other words in their name ("market-share") or the page has no
+  article or main.
+
+Null and empty pages have no text.  Unclosed elements end with their parent; pages cut off in mid-tag keep what came before.  Work grows with the page's length,
+however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,9 +32,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SIGMA = 1.5
-#: Shares of the content cluster's text that the articles, or the innermost other element, must hold to be the region.
+#: Share of the content that the articles must hold to be the region.
 REGION_SHARE = 0.6
-INNER_SHARE = 0.75
+#: Characters a tag, after smoothing, that make a block content on any page, also where other blocks have many more.
+ENOUGH = 5
 _FEED = 1 << 20
 
 # HTML element names.
@@ -38,36 +49,50 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising alert ban
 ARTICLE_MARKS = frozenset("ad advert advertisement comment comments promo promoted related reply sponsored teaser".split())
 LAYOUT = frozenset("has no with without".split())
 HEADED = frozenset("article entry post story content".split())
+#: Words that tell where or in what shape an element is, not what it holds.
+SHAPES = frozenset("area articles bar block body bottom box btn button buttons center col column container content count counter fixed float footer group head header holder icon icons inline inner item items label left line link links list main menu module outer page panel popup post posts primary right row secondary section site slot small sticky stories strip tab text title top unit view wrap wrapper".split())
+WEAK, NAMED, NEVER = 1, 2, 3
 _P_ENDERS = BLOCK - {"br", "option", "caption", "td", "th", "tr"}
 _WORD = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"([a-z])([A-Z])")
 
 
 class _Node:
-    __slots__ = ("dropped", "mark", "parent", "tag")
+    """An element: what its name marks, whether it or one around it is left out, and sums over the blocks inside it (all text, linked text, content
+    outside links, blocks, blocks of the content)."""
 
-    def __init__(self, tag: str, parent: _Node | None, mark: bool) -> None:
+    __slots__ = ("blocks", "content", "dense", "dropped", "flag", "held", "linked", "mark", "parent", "tag")
+
+    def __init__(self, tag: str, parent: _Node | None, mark: int) -> None:
         self.tag, self.parent, self.mark = tag, parent, mark
-        self.dropped = mark or parent is not None and parent.dropped
+        self.dropped = mark >= NAMED or parent is not None and parent.dropped
+        self.flag, self.held, self.linked, self.content, self.blocks, self.dense = False, 0, 0, 0, 0, 0
 
-    def up(self) -> Iterator[_Node]:
-        """The element and those around it."""
-        node: _Node | None = self
-        while node is not None:
-            yield node
-            node = node.parent
+    def links_only(self) -> bool:
+        """Most blocks inside are outside the content, and most of the text is links."""
+        return 2 * self.dense < self.blocks and 2 * self.linked > self.held
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, tags seen, characters in links, innermost element)."""
+    """Blocks of a page: (text, tags seen, characters in links, innermost element); all its elements, outer ones first."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.node = _Node("", None, False)
+        self.node = _Node("", None, 0)
+        self.nodes = [self.node]
+        self.open: Counter[str] = Counter()
         self.blocks: list[tuple[str, int, int, _Node]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = 0
 
+    def leave(self, up: _Node) -> None:
+        """Close all elements up to and with this one."""
+        while True:
+            self.open[self.node.tag] -= 1
+            done, self.node = self.node is up, self.node.parent
+            if done:
+                return
+
     def border(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
@@ -75,29 +100,35 @@ class Blocks(HTMLParser):
             self.tags = self.linked = 0
         self.parts.clear()
 
-    def marked(self, tag: str, attrs: list) -> bool:
+    def marked(self, tag: str, attrs: list) -> int:
         if tag in DROPPED:
-            return True
+            return NEVER
         if tag in ("body", "html", "main"):
-            return False
+            return 0
         if tag == "header":
-            return not self.inside_article()
-        marks = ARTICLE_MARKS if tag == "article" else MARKS
-        names = [_WORD.findall(_HUMP.sub(r"\1 \2", name).lower()) for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()]
-        if any(w and w[0] not in LAYOUT and not marks.isdisjoint(w) for w in names):
-            return True
-        return tag != "article" and any("header" in w and HEADED.isdisjoint(w) for w in names) and not self.inside_article()
+            return 0 if self.inside_article() else NEVER
+        marks, found = ARTICLE_MARKS if tag == "article" else MARKS, 0
+        for k, v in attrs:
+            if k in ("class", "id", "role") and v:
+                for name in v.split():
+                    w = _WORD.findall(_HUMP.sub(r"\1 \2", name).lower())
+                    if not w or w[0] in LAYOUT:
+                        continue
+                    if not marks.isdisjoint(w):
+                        if all(x in marks or x in SHAPES for x in w):
+                            return NAMED
+                        found = WEAK
+                    elif tag != "article" and "header" in w and HEADED.isdisjoint(w) and not self.inside_article():
+                        return NAMED
+        return found
 
     def inside_article(self) -> bool:
-        up = self.node
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is not None
+        return self.open["article"] + self.open["main"] > 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
         if tag in BLOCK:
             self.border()
+        self.tags = 0 if tag == "body" else self.tags + 1
         if tag in ("article", "main") and self.node.dropped:
             self.leave_unclosed()
         if tag in _P_ENDERS:
@@ -106,6 +137,8 @@ class Blocks(HTMLParser):
             self.in_link = 1
         if tag not in VOID:
             self.node = _Node(tag, self.node, self.marked(tag, attrs))
+            self.nodes.append(self.node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -118,13 +151,13 @@ class Blocks(HTMLParser):
         while up is not None and up.tag not in ("nav", "footer", "header", "menu", "form", "head"):
             up = up.parent
         if up is not None and up.parent is not None and not up.parent.dropped:
-            self.node = up.parent
+            self.leave(up)
 
     def close_p(self) -> None:
-        up = self.node
+        up = self.node if self.open["p"] else None
         while up is not None and (up.tag not in BLOCK or up.tag == "p"):
             if up.tag == "p":
-                self.node = up.parent
+                self.leave(up)
                 return
             up = up.parent
 
@@ -134,13 +167,13 @@ class Blocks(HTMLParser):
             self.border()
         if tag == "a":
             self.in_link = 0
-        up = self.node
+        up = self.node if self.open[tag] else None
         while up is not None and up.tag != tag:
             if up.tag in ("article", "main", "body", "table") and tag in ("p", "b", "i", "em", "strong", "span", "a"):
                 return
             up = up.parent
         if up is not None and up.parent is not None:
-            self.node = up.parent
+            self.leave(up)
 
     def handle_data(self, data: str) -> None:
         if self.node.tag in ("script", "style"):
@@ -169,8 +202,10 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """Between the means of two clusters (k-means in one dimension); at most the smallest value if all are equal."""
+    """Between the means of two clusters (k-means in one dimension); the smallest value if all are equal."""
     low, high = min(values), max(values)
+    if high - low < 1e-9:
+        return low
     cut = (low + high) / 2
     for _ in range(32):
         below, above = [v for v in values if v < cut], [v for v in values if v >= cut]
@@ -190,66 +225,79 @@ def main_text(html: str | None) -> str:
     for at in range(0, len(html), _FEED):
         parser.feed(html[at : at + _FEED])
     parser.close()
-    blocks = _kept(parser.blocks)
+    nodes = parser.nodes
+    blocks = _unmarked(nodes, parser.blocks)
     if not blocks:
         return ""
-    ratios = smoothed([(len(b[0]) - b[2]) / max(1, b[1]) for b in blocks])
-    cut = threshold(ratios)
-    weight: dict[_Node, int] = {}
-    total = 0
-    for b, r in zip(blocks, ratios, strict=True):
-        if r >= cut:
-            n = max(1, len(b[0]) - b[2])
-            total += n
-            up = b[3]
+    ratios = smoothed([math.log1p(max(0, len(b[0]) - b[2]) / max(1, b[1])) for b in blocks])
+    cut = min(threshold(ratios), math.log1p(ENOUGH))
+    _sum_up(nodes, blocks, [r >= cut for r in ratios])
+    for n in nodes[1:]:
+        n.dropped = n.parent.dropped or n.mark == WEAK and n.links_only()
+    _choose(nodes)
+    return " ".join(text for text, _, _, node in blocks if node.flag and not node.dropped)
+
+
+def _sum_up(nodes: list[_Node], blocks: list[tuple[str, int, int, _Node]], content: list[bool]) -> None:
+    for n in nodes:
+        n.held = n.linked = n.content = n.blocks = n.dense = 0
+    for (text, _, linked, node), is_content in zip(blocks, content, strict=True):
+        node.held += len(text)
+        node.linked += linked
+        node.blocks += 1
+        if is_content:
+            node.content += max(0, len(text) - linked)
+            node.dense += 1
+    for n in reversed(nodes[1:]):  # inner elements come after outer ones
+        n.parent.held += n.held
+        n.parent.linked += n.linked
+        n.parent.content += n.content
+        n.parent.blocks += n.blocks
+        n.parent.dense += n.dense
+
+
+def _flag(nodes: list[_Node], chosen: Callable[[_Node], bool]) -> None:
+    """Set flag for the chosen elements and all inside them."""
+    nodes[0].flag = chosen(nodes[0])
+    for n in nodes[1:]:
+        n.flag = n.parent.flag or chosen(n)
+
+
+def _unmarked(nodes: list[_Node], blocks: list[tuple[str, int, int, _Node]]) -> list[tuple[str, int, int, _Node]]:
+    """Blocks outside boilerplate; sets dropped anew without weak marks.  Where no article or main stands outside it, a name (or form) counts for nothing if its
+    element holds most of the page's text, or the article that is larger than all text outside."""
+    _flag(nodes, lambda n: n.tag in ("article", "main"))
+    kept = [b for b in blocks if not b[3].dropped]
+    if len(kept) < len(blocks) and not any(b[3].flag for b in kept):
+        _flag(nodes, lambda n: n.mark == NEVER and n.tag != "form")
+        possible = [b for b in blocks if not b[3].flag]
+        _sum_up(nodes, possible, [False] * len(possible))
+        spared = {n for n in nodes if n.mark and 2 * n.held > nodes[0].held}
+        articles = [n for n in nodes if n.tag in ("article", "main") and not n.mark]
+        if articles and (up := max(articles, key=lambda n: n.held)).held > sum(len(b[0]) for b in kept):
             while up is not None:
-                weight[up] = weight.get(up, 0) + n
+                spared.add(up)
                 up = up.parent
-    regions = _regions(blocks, weight, total)
-    return " ".join(text for text, _, _, node in blocks if any(n in regions for n in node.up()))
+        for n in nodes[1:]:
+            n.dropped = n.parent.dropped or n.mark >= NAMED and n not in spared
+        kept = [b for b in blocks if not b[3].dropped]
+    return kept
 
 
-def _kept(blocks: list[tuple[str, int, int, _Node]]) -> list[tuple[str, int, int, _Node]]:
-    """Blocks outside boilerplate.  On pages without an article or main outside it, a mark (or form) counts for nothing if its element holds
-    most of the page's text, or the article that is larger than all text outside."""
-    kept = [b for b in blocks if not b[3].dropped]
-    if len(kept) == len(blocks) or any(n.tag in ("article", "main") for b in kept for n in b[3].up()):
-        return kept
-    held: dict[_Node, int] = {}
-    total = 0
-    for text, _, _, node in blocks:
-        path = list(node.up())
-        if not any(n.tag in DROPPED and n.tag != "form" for n in path):
-            total += len(text)
-            for n in path:
-                held[n] = held.get(n, 0) + len(text)
-    spared = {n for n in held if n.mark and 2 * held[n] > total}
-    articles = [n for n in held if n.tag in ("article", "main") and not n.mark]
-    if articles and held[a := max(articles, key=held.__getitem__)] > sum(len(b[0]) for b in kept):
-        spared.update(n for n in a.up() if n.mark)
-    return [b for b in blocks if not b[3].dropped or not any(n.mark and n not in spared for n in b[3].up())]
-
-
-def _regions(blocks: list[tuple[str, int, int, _Node]], weight: dict[_Node, int], total: int) -> set[_Node]:
-    """All articles (or mains) that have content or aren't mostly links, if they hold the larger part of the content; else the innermost region element
-    that holds most of it."""
-    plain: dict[_Node, int] = {}
-    for text, _, linked, node in blocks:
-        for n in node.up():
-            if n.tag in ("article", "main"):
-                plain[n] = plain.get(n, 0) + len(text) - 2 * linked
+def _choose(nodes: list[_Node]) -> None:
+    """Set flag for the region's elements: all outer articles (or mains) that have content or aren't mostly links, if they hold the larger part of the content; else
+    the innermost element that holds all of it, without what is only links."""
+    total = nodes[0].content
     for tags in (("article",), ("article", "main")):
-        outer = {n for n in plain if n.tag in tags and not any(u is not n and u.tag in tags for u in n.up()) and (n in weight or plain[n] > 0)}
-        if sum(weight.get(n, 0) for n in outer) >= REGION_SHARE * total:
-            return outer
-    return {max((n for n in weight if n.parent is None or n.tag in REGIONS and weight[n] >= INNER_SHARE * total), key=depth_of)}
-
-
-def depth_of(node: _Node | None) -> int:
-    n = 0
-    while node is not None:
-        n, node = n + 1, node.parent
-    return n
+        _flag(nodes, lambda n, tags=tags: n.tag in tags)
+        outer = {n for n in nodes if n.tag in tags and not n.parent.flag and (n.content or n.held > 2 * n.linked)}
+        if sum(n.content for n in outer) >= REGION_SHARE * total:
+            _flag(nodes, outer.__contains__)
+            return
+    region = max((k for k, n in enumerate(nodes) if n.tag in REGIONS and total and n.content == total), default=0)
+    _flag(nodes, lambda n: n is nodes[region])
+    for n in nodes[1:]:
+        n.dropped = n.dropped or n.parent.dropped or n.parent.flag and n.links_only()
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 from sparrel.llm import html_text as H
 
 TEXT = "One two three four five six seven eight nine ten, and so on for a while longer than a menu."
@@ -64,9 +68,116 @@ def test_class_names():
     assert H.main_text(html) == f"H {TEXT * 3}"
 
 
-def test_texts_beside_the_main_one_stay_out_without_any_hint():
-    html = page(f"<div id='x1'><h2>Head</h2><p>{TEXT * 4}</p><p>Short.</p><p>{TEXT * 4}</p></div><div id='x2'><p>someone: {TEXT}</p></div>")
-    assert H.main_text(html) == f"Head {TEXT * 4} Short. {TEXT * 4}"
+def test_without_article_all_dense_text_stays_and_link_lists_go():
+    links = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(12))
+    html = page(f"<div id='y'><ul>{links}</ul></div><div id='x1'><p>{TEXT}</p></div><div id='x2'><h2>Head</h2><p>{TEXT * 4}</p><p>Short.</p><p>{TEXT * 4}</p></div><div id='z'><ul>{links}</ul></div>")
+    assert H.main_text(html) == f"{TEXT} Head {TEXT * 4} Short. {TEXT * 4}"
+
+
+def test_marks_among_other_words_drop_no_dense_text():
+    for name in ("class='market-share'", "id='alert-level'", "class='search-results-article'"):
+        assert H.main_text(page(f"<article><p>{TEXT * 2}</p><p {name}>{TEXT}</p><p>{TEXT}</p></article>")) == f"{TEXT * 2} {TEXT} {TEXT}"
+        assert H.main_text(page(f"<div {name}><p>{TEXT * 3}</p></div>")) == TEXT * 3
+    assert H.main_text(page(f"<div class='layout sidebar-right'><p>{TEXT * 3}</p></div>")) == TEXT * 3
+    for name in ("cookie-notice", "share-buttons", "ad_slot", "newsletterBox", "comments-list"):
+        assert H.main_text(page(f"<article><p>{TEXT * 3}</p><div class='{name}'><p>{TEXT}</p></div></article>")) == TEXT * 3
+
+
+def test_nested_blocks_take_linear_time():
+    began = time.time()
+    assert H.main_text("<div>text" * 50_000).count("text") == 50_000
+    assert H.main_text("<article>" + "<div class='x'><span>text</b></i>" * 20_000).count("text") == 20_000
+    assert time.time() - began < 10
+
+
+class Tree:
+    """A random element with what it holds, in order: texts and elements."""
+
+    def __init__(self, rng, depth, tag, menu=False):
+        menu = menu or tag == "nav"  # an article would end it
+        self.tag, self.cls, self.children = tag, rng.choice(["", "", "", "", "x", "sidebar", "market-share", "ad-box"]) if tag not in ("body", "article") else "", []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.random()
+            if kind < 0.5 or not depth:
+                words = " ".join(rng.choice(("aa", "bbbb", "cccccc")) for _ in range(rng.choice((1, 2, 5, 40))))
+                self.children.append((words, rng.random() < 0.3))
+            else:
+                self.children.append(Tree(rng, depth - 1, rng.choice(("div", "div", "section", "div" if menu or tag == "article" else "article", "nav", "aside", "ul")), menu))
+
+    def html(self):
+        inner = "".join(c.html() if isinstance(c, Tree) else f"<p><a>{c[0]}</a></p>" if c[1] else f"<p>{c[0]}</p>" for c in self.children)
+        return f"<{self.tag} class='{self.cls}'>{inner}</{self.tag}>"
+
+
+def brute(root):
+    """The rules as the module states them, element by element; every sum is taken over all blocks again."""
+    blocks = []  # text, linked, path of elements
+    events = []  # tags since the last block
+
+    def walk(t, path):
+        if t is not root:
+            events.append(1)
+        for c in t.children:
+            if isinstance(c, Tree):
+                walk(c, (*path, c))
+            else:
+                events.extend([1] * (2 if c[1] else 1))
+                blocks.append([c[0], len(c[0]) if c[1] else 0, path, 0])
+                events.extend([1] * (2 if c[1] else 1))
+                blocks[-1][3] = len(events)
+                events.clear()
+        events.append(1)
+
+    walk(root, (root,))
+    never = lambda t: t.tag in ("nav", "aside")
+    named = lambda t: t.cls in ("sidebar", "ad-box")
+    article = lambda path: any(t.tag == "article" for t in path)
+    gone = lambda t: never(t) or named(t)
+    kept = [b for b in blocks if not any(map(gone, b[2]))]
+    held = lambda t, within: sum(len(b[0]) for b in within if t in b[2])
+    if len(kept) < len(blocks) and not any(article(b[2]) for b in kept):
+        possible = [b for b in blocks if not any(map(never, b[2]))]
+        whole = sum(len(b[0]) for b in possible)
+        every = {t for b in blocks for t in b[2]}
+        spared = {t for t in every if 2 * held(t, possible) > whole and gone(t)}
+        order = [t for b in blocks for t in b[2] if t.tag == "article"]
+        if order:
+            best = max(order, key=lambda t: held(t, possible))
+            if held(best, possible) > sum(len(b[0]) for b in kept):
+                spared |= set(next(b[2][: b[2].index(best) + 1] for b in blocks if best in b[2]))
+        kept = [b for b in blocks if not any(gone(t) and t not in spared for t in b[2])]
+    if not kept:
+        return ""
+    smooth = H.smoothed([math.log1p((len(b[0]) - b[1]) / max(1, b[3])) for b in kept])
+    cut = min(H.threshold(smooth), math.log1p(H.ENOUGH))
+    dense = [b for b, r in zip(kept, smooth, strict=True) if r >= cut]
+    plain = lambda part: sum(len(b[0]) - b[1] for b in part)
+    total = plain(dense)
+    inside = lambda t, part: [b for b in part if t in b[2]]
+    size = lambda part: sum(len(b[0]) for b in part)
+    weak = lambda t: t.cls == "market-share" and 2 * len(inside(t, dense)) < len(inside(t, kept)) and 2 * sum(x[1] for x in inside(t, kept)) > size(inside(t, kept))
+    outer = []
+    for b in kept:
+        first = next((t for t in b[2] if t.tag == "article"), None)
+        if first and first not in outer and (plain(inside(first, dense)) or size(inside(first, kept)) > 2 * sum(x[1] for x in inside(first, kept))):
+            outer.append(first)
+    if sum(plain(inside(t, dense)) for t in outer) >= H.REGION_SHARE * total:
+        return " ".join(b[0] for b in kept if any(t in outer for t in b[2]) and not any(map(weak, b[2])))
+    region = max((t for b in dense for t in b[2] if total and t.tag in H.REGIONS and plain(inside(t, dense)) == total), key=lambda t: next(b[2].index(t) for b in kept if t in b[2]), default=root)
+    path = lambda t: next(b[2] for b in kept if t in b[2])
+    links = lambda t: t is not region and region in path(t)[: path(t).index(t)] and 2 * len(inside(t, dense)) < len(inside(t, kept)) and 2 * sum(x[1] for x in inside(t, kept)) > size(inside(t, kept))
+    alone = lambda b: b[1] and not any(b is x for x in dense)  # a paragraph that is a link
+    return " ".join(b[0] for b in kept if (region is root or region in b[2]) and not alone(b) and not any(weak(t) or links(t) for t in b[2]))
+
+
+def test_against_brute_force_on_random_trees():
+    rng, seen = random.Random(5), set()
+    for _ in range(1500):
+        tree = Tree(rng, 3, "body")
+        got = H.main_text(f"<html>{tree.html()}</html>")
+        assert got == brute(tree), tree.html()
+        seen.add(got)
+    assert len(seen) > 1000
 
 
 def test_linked_lists_and_cells_of_an_article_stay():
