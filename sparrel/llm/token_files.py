@@ -198,7 +198,7 @@ class Encoder:
         one, two = pretokenize.hashes(points, starts, stops)
         unique, first, of = np.unique(one, return_index=True, return_inverse=True)
         if (two != two[first][of]).any():
-            raise ValueError("two pieces have one hash")  # at odds below 2^-60 a chunk
+            return self._whole(chunks, ends)
         keys = unique.tolist()
         found = list(map(self.known.get, keys))
         if new := [k for k, f in enumerate(found) if f is None]:
@@ -219,7 +219,7 @@ class Encoder:
         size, head = np.fromiter(map(len, found), np.int64, len(found)) // self.width, 8 // self.width
         place = np.cumsum(size) - size
         if (store[place[:, None] + np.arange(head)].view("<u8").ravel() != two[first]).any():
-            raise ValueError("two pieces have one hash")
+            return self._whole(chunks, ends)
         length, source = (size - head)[of], (place + head)[of]
         total = np.cumsum(length)
         ids = store[np.repeat(source - total + length, length) + np.arange(total[-1])]
@@ -227,6 +227,12 @@ class Encoder:
         return [(ids[a:b].tobytes(), last) for a, b, last in zip(cut[:-1], cut[1:], ends, strict=True)]
 
 
+    def _whole(self, chunks: list[str], ends: list[bool]) -> list[tuple[bytes, bool]]:
+        """The library's ids of whole chunks: two pieces have one hash (at odds below 2^-60 a chunk)."""
+        coded = (c.ids for c in self.library.encode_batch_fast(chunks, add_special_tokens=False))
+        return [(array(self.array, [*ids, END_ID] if last else ids).tobytes(), last) for ids, last in zip(coded, ends, strict=True)]
+
+
 def _chunks(text: str) -> Iterator[tuple[str, bool]]:
     """A text in chunks of bounded size, cut only before a space between two words, where a piece always starts; whether it is the last."""
     at = 0
@@ -256,11 +262,12 @@ def _publish(uri: str, name: str, content: bytes) -> None:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER_PATH, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
-    """Write the ids of docs (doc_id, text) to path/ids in ascending doc_id order (nulls first, equal ids by text) and return the manifest:
-    file string, first_id bigint, docs bigint, ids bigint.  Null texts count as empty; each document ends with END_ID."""
+    """Write the ids of docs (doc_id, text) to path/ids in ascending doc_id order (nulls first, null and equal ids by hash of the text, so that they may fill several files)
+    and return the manifest: file string, first_id bigint, docs bigint, ids bigint.  Null texts count as empty; each document ends with END_ID."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     files = max(1, -(-common.total_bytes(docs, "text") // file_text_bytes))
-    ordered = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    by = F.col("doc_id"), F.xxhash64("text")
+    ordered = docs.repartitionByRange(files, *by).sortWithinPartitions(*by, "text")
     ids_path, (fs, folder) = f"{path}/ids", _filesystem(f"{path}/ids")
     fs.create_dir(folder)
     out = pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
