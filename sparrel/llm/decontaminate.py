@@ -1,32 +1,44 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
-A window is 13 consecutive words of an item (the whole item if it has fewer).  A text contains a window only if it contains every word of it, so the
-necessary prefix of the window's words, ordered from rare to frequent over all documents, is its rarest word.  Documents meet windows at that word alone;
-the word's place in the window bounds where the window starts and ends, and what is left is compared word by word.
-
-Words: A-Z are lower-cased, then maximal runs of anything but ASCII other than letters and digits, on UTF-8 bytes.
-
-The windows travel to the tasks in blocks of a checked size; a benchmark beyond one block is searched block by block, each against all documents.
+Words: A-Z are lower-cased, then maximal runs of anything but ASCII other than letters and digits, on UTF-8 bytes.  A window is 13 consecutive words of an item (the
+whole item if it has fewer).  A window is the set of its shingles of three words (all its words if it has fewer).
+
+1. Windows are made once, each different one counts once, whatever items have it.
+2. Over all documents it is counted in how many of them each shingle of a window is; this is the order by rarity.
+3. A text contains a window only if it contains all its shingles, so the necessary prefix of the ordered window is its rarest shingle.  Windows whose rarest
+   shingle is in no document go.
+4. Documents meet windows in an equi-join at this shingle.  The shingle's place in the window bounds where the window starts and ends in the document (the
+   positional and the length bound), and the words there are compared with the window's, exactly.
+5. Where windows occur is put together by text, so that copies of a text are searched as one.
+
+What tasks need beforehand is a Bloom filter over the shingles, of FILTER_BITS at most whatever the benchmark's size (a full one lets more through to the join, which
+is exact).  Both passes over the documents stay two for any benchmark.  Nothing of the benchmark is held by the driver but the filter.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .substring_dedup import Rolling, word_hashes
 
 WINDOW_WORDS = 13
+SHINGLE_WORDS = 3
 #: A document counts as contaminated if at least one in so many of its words is hit.
 HIT_SHARE = 20
-#: UTF-8 bytes of item text that travel to the tasks at once.
-BLOCK_BYTES = 16 << 20
+#: Bits of a Bloom filter at most, and bits for each shingle below that.
+FILTER_BITS, BITS_EACH = 1 << 27, 16
+#: Bytes of a join's smaller side up to which it is broadcast, and parts that the rows of one key are dealt to beyond it.
+BROADCAST_BYTES, SALTS = 8 << 20, 16
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 500_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_rolling = Rolling(0xA24BAED4963EE407)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -37,151 +49,195 @@ def windows_of(words: list[bytes], size: int = WINDOW_WORDS) -> set[tuple[bytes,
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-class Index:
-    """Windows by their rarest word; ties go to the smaller word."""
-
-    def __init__(self, items: list[tuple[str, bytes]], frequency: dict[bytes, int], size: int = WINDOW_WORDS) -> None:
-        holders: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(words_of(text), size):
-                holders[w].add(item)
-        by: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], set[str]]]] = defaultdict(lambda: defaultdict(dict))
-        for w, held in holders.items():
-            rare = min(w, key=lambda x: (frequency.get(x, 0), x))
-            by[rare][w.index(rare), len(w)][w] = held
-        self.by = {k: dict(v) for k, v in by.items()}
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of the words inside occurrences, ascending and disjoint; the items that have them."""
-        by, n, found, items = self.by, len(words), [], set()
-        for at in [i for i, w in enumerate(words) if w in by]:
-            for (place, length), windows in by[words[at]].items():
-                start = at - place
-                if start >= 0 and start + length <= n and (held := windows.get(tuple(words[start : start + length]))):
-                    found.append((start, start + length))
-                    items |= held
-        return united(found), items
-
-
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans, ascending and disjoint."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items, a block of bounded size at a time."""
-    held, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null").toLocalIterator():
-        held.append((row[0], bytes(row[1])))
-        size += len(row[1])
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """In how many of all documents each word of a vocabulary of bounded size is."""
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of all sequences of so many words."""
+    return _rolling(word_hashes(words), size)
+
+
+class Filter:
+    """A Bloom filter over 64-bit hashes, two bits each."""
+
+    def __init__(self, hashes: DataFrame, most_bits: int | None = None) -> None:
+        """hashes: one bigint column of distinct values."""
+        name = hashes.columns[0]
+        count = hashes.count()
+        bits = 1 << min((most_bits or FILTER_BITS).bit_length() - 1, max(10, (count * BITS_EACH).bit_length()))
+        self.mask = bits - 1
+        places = F.explode(F.array(F.col(name).bitwiseAND(self.mask), F.shiftrightunsigned(name, 32).bitwiseAND(self.mask)))
+        slots = hashes.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("set"))
+        found = slots.toArrow()  # at most a row per 64 bits
+        self.words = np.zeros(bits // 64, np.int64)
+        self.words[found.column("slot").to_numpy()] = found.column("set").to_numpy()
+        self.words = self.words.view(np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be in it."""
+        out = np.ones(len(hashes), bool)
+        for shift in (0, 32):
+            at = (hashes >> np.uint64(shift)) & np.uint64(self.mask)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
+_WINDOWS = pa.schema([("item", pa.string()), ("win", pa.string()), ("n", pa.int32()), ("k", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """item (null where item_id is), win (its words, joined), n (words), k (words of a shingle), shingles of every window of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 16):
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                n = min(window, len(words))
+                k = min(SHINGLE_WORDS, n)
+                of = shingles(words, k).view(np.int64) if n else None
+                for i in range(len(words) - n + 1 if n else 0):
+                    rows.append((item, b" ".join(words[i : i + n]).decode(), n, k, of[i : i + n - k + 1]))
+                    if len(rows) == 4096:
+                        yield _batch(rows, _WINDOWS)
+                        rows = []
+            yield _batch(rows, _WINDOWS)
+
+    return common.map_arrow(benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")), run, "item string, win string, n int, k int, shingles array<bigint>")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+
+def document_frequency(docs: DataFrame, wanted: Filter, sizes: list[int]) -> DataFrame:
+    """shingle, df: in how many of docs (text binary) each shingle is that the filter lets through."""
+    schema = pa.schema([("shingle", pa.int64()), ("df", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: dict[int, int] = {}
         for batch in common.slices(batches):
             for text in batch.column(0).to_pylist():
-                seen.update(vocabulary.intersection(words_of(text)))
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    counted = common.map_arrow(docs.select(F.col("text").cast("binary")), run, "word binary, n bigint")
-    return {bytes(r[0]): r[1] for r in counted.groupBy("word").agg(F.sum("n")).collect()}  # at most the vocabulary
-
-
-def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Index]:
-    for items in _blocks(benchmark, block_bytes):
-        vocabulary = frozenset(w for _, text in items for w in words_of(text))
-        yield Index(items, document_frequency(docs, vocabulary), window)
-
-
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans array<bigint> (starts and ends of hit runs of words, alternating), items array<string> for every row of docs.
-
-    Null and empty texts have no words and no hits; items without id, text or words never occur; a repeated doc_id gives one row per row of docs.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _indexes(docs, benchmark, window, block_bytes)  # made one by one; only one is held unless there are more
-    first, second = next(blocks, None), next(blocks, None)
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-    schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
-
-    def probe(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches):
-                n, spans, items = [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    s, i = index.search(words)
-                    n.append(len(words))
-                    spans.append([x for span in s for x in span])
-                    items.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, out.types[2]), pa.array(items, out.types[3])], schema=out)
-
-        return run
-
-    if second is None:
-        return common.map_arrow(docs.select("doc_id", F.col("text").cast("binary")), probe(first or Index([], {}, window)), schema)
-    # A row's number keeps repeated doc_ids apart while the blocks' findings are put together.
-    numbered = common.written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    keys, found = numbered.select("doc_id", "row"), []
-    for index in chain((first, second), blocks):
-        part = common.map_arrow(numbered.select(F.col("row").alias("doc_id"), F.col("text").cast("binary")), probe(index), schema)
-        found.append(common.written(part, "decontaminate-part"))
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    merged = whole.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return keys.join(merged, "row").select("doc_id", "n_words", _united("spans").alias("spans"), "items")
-
-
-def _united(spans: str):
-    """The union of runs given as alternating starts and ends."""
-    c = F.col(spans)
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.floor(F.size(c) / 2).cast("int")), lambda i: F.struct(F.element_at(c, 2 * i - 1).alias("a"), F.element_at(c, 2 * i).alias("b"))))
-    def add(done, p):
-        last = F.element_at(done, -1)
-        return F.when((F.size(done) > 0) & (p["a"] <= F.coalesce(last, F.lit(-1))), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, p["b"])))).otherwise(F.concat(done, F.array(p["a"], p["b"])))
-
-    return F.when(F.size(c) == 0, c).otherwise(F.aggregate(pairs, F.expr("cast(array() as array<bigint>)"), add))
+                words = words_of(text)
+                for k in sizes:
+                    r = shingles(words, k)
+                    for h in np.unique(r[wanted(r)]).view(np.int64).tolist():
+                        held[h] = held.get(h, 0) + 1
+            if len(held) > HELD_COUNTS:
+                yield _batch(list(held.items()), schema)
+                held = {}
+        yield _batch(list(held.items()), schema)
+
+    return common.map_arrow(docs, run, "shingle bigint, df bigint").groupBy("shingle").agg(F.sum("df").alias("df"))
+
+
+def prefixes(wins: DataFrame, frequency: DataFrame) -> DataFrame:
+    """win, n, k, shingle, place of the rarest shingle of each window that may occur (ties: the smaller hash, then the first place)."""
+    each = wins.select("win", "n", "k", F.posexplode("shingles").alias("place", "shingle")).join(frequency, "shingle", "left")
+    least = each.groupBy("win", "n", "k").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("least"))
+    return least.where("least.df > 0").select("win", "n", "k", F.col("least.shingle").alias("shingle"), F.col("least.place").alias("place"))
+
+
+_PROBED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("shingle", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("around", pa.string())])
+
+
+def probe(docs: DataFrame, wanted: Filter, sizes: list[int], window: int) -> DataFrame:
+    """Of every document (doc_id, k1, k2, text binary) a row with its number of words, and a row for each place of a shingle that the filter lets through, with
+    the words around it that a window may cover (the first of them is word number first)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            rows: list[tuple] = []
+            for doc_id, k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                rows.append((doc_id, k1, k2, len(words), None, None, None, None))
+                for k in sizes:
+                    r = shingles(words, k)
+                    for at in np.flatnonzero(wanted(r)).tolist():
+                        first = max(0, at - window + k)
+                        rows.append((doc_id, k1, k2, len(words), int(r[at : at + 1].view(np.int64)[0]), at, first, b" ".join(words[first : at + window]).decode()))
+                        if len(rows) >= 4096:
+                            yield _batch(rows, _PROBED)
+                            rows = []
+            yield _batch(rows, _PROBED)
+
+    return common.map_arrow(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, shingle bigint, at bigint, first bigint, around string")
+
+
+def joined(large: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """large joined with small: broadcast if small's bytes allow, else with the rows of one key of large dealt to SALTS parts by spread."""
+    bytes_each = 40 + sum(F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in small.dtypes if not t.startswith("array"))
+    bytes_each = sum((F.coalesce(F.size(c), F.lit(0)) * 24 for c, t in small.dtypes if t.startswith("array")), bytes_each)
+    if (small.agg(F.sum(bytes_each)).first()[0] or 0) <= BROADCAST_BYTES:
+        return large.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
+def text_keys(text: str) -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, k1, k2, n_words of every document; k1, k2, spans, items of every text with hits (None: no windows)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys("text"), F.col("text").cast("binary").alias("text"))
+    every = common.written(windows(benchmark, window), "decontaminate-windows")
+    wins = common.written(every.drop("item").dropDuplicates(["win"]), "decontaminate-distinct")
+    sizes = sorted(r[0] for r in wins.select("k").distinct().collect())  # at most SHINGLE_WORDS
+    if not sizes:
+        return common.map_arrow(docs, _counted, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint"), None
+    frequency = document_frequency(docs.select("text"), Filter(wins.select(F.explode("shingles").alias("h")).distinct()), sizes)
+    prefix = common.written(prefixes(wins, frequency), "decontaminate-prefixes")
+    probed = common.written(probe(docs, Filter(prefix.select("shingle").distinct()), sizes, window), "decontaminate-probed")
+
+    met = joined(probed.where("shingle is not null"), prefix, ["shingle"], F.xxhash64("k1", "at"))
+    begin = (F.col("at") - F.col("place") - F.col("first")).cast("int")
+    met = met.withColumn("begin", begin).withColumn("w", F.split("around", " ")).where("begin >= 0 and begin + n <= size(w)")
+    hits = met.where(F.array_join(F.slice("w", F.col("begin") + 1, F.col("n")), " ") == F.col("win")).select("k1", "k2", (F.col("at") - F.col("place")).alias("a"), (F.col("at") - F.col("place") + F.col("n")).alias("b"), "win")
+    hits = common.written(hits.distinct(), "decontaminate-hits")
+
+    # Runs of hit words: a run ends where the next window starts behind all before it.
+    before = Window.partitionBy("k1", "k2").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("k1", "k2").orderBy("a", "b")
+    runs = hits.select("k1", "k2", "a", "b").distinct().withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(before), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(run))
+    runs = runs.groupBy("k1", "k2", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    holders = every.where("item is not null").select("win", "item").distinct()
+    items = joined(hits.select("k1", "k2", "win").distinct(), holders, ["win"], F.xxhash64("k1")).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = runs.join(items, ["k1", "k2"], "left").select("k1", "k2", F.flatten(F.transform("runs", lambda r: F.array(r["a"], r["b"]))).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return probed.where("shingle is null").select("doc_id", "k1", "k2", "n_words"), common.written(found, "decontaminate-found")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.slices(batches):
+        n = [len(words_of(t)) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "k1", "k2", "n_words"])
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """doc_id, n_words, spans array<bigint> (starts and ends of hit runs of words, alternating), items array<string> (ascending) for every row of docs.
+
+    Null and empty texts have no words and no hits; items without text or words never occur; windows of items without item_id hit words but name no item; a
+    repeated row of docs gives a row each; equal item_ids are one item."""
+    base, found = _search(docs, benchmark, window)
+    none = F.array()
+    if found is None:
+        return base.select("doc_id", "n_words", none.cast("array<bigint>").alias("spans"), none.cast("array<string>").alias("items"))
+    out = joined(base, found, ["k1", "k2"], F.xxhash64("doc_id"), "left")
+    return out.select("doc_id", "n_words", F.coalesce("spans", none.cast("array<bigint>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def judged(found: DataFrame, share: int = HIT_SHARE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from search()."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: x - acc)  # ends minus starts: alternating sum
-    items = F.array_sort(F.col("items"))
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"))
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that aren't contaminated; all columns stay."""
-    blocks = _indexes(docs, benchmark, window, block_bytes)
-    index, more = next(blocks, None), next(blocks, None)
-
-    def fine(texts: list) -> list[bool]:
-        out = []
-        for text in texts:
-            words = words_of(text.encode() if text else None)
-            hit = sum(b - a for a, b in index.search(words)[0])
-            out.append(not (hit and share * hit >= len(words)))
-        return out
-
-    if more is None:
-        return common.filtered(docs, "text", fine) if index else docs
-    # Each block goes to the tasks by itself: findings are put together by row.
-    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-    found = judged(search(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_bytes), share)
-    return numbered.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE, window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of docs that aren't contaminated; all columns stay, whatever their names."""
+    base, found = _search(docs, benchmark, window)
+    if found is None:
+        return docs
+    sizes = base.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"))
+    dirty = judged(found.join(sizes, ["k1", "k2"]).withColumn("doc_id", F.struct("k1", "k2")), share).where("contaminated").select("doc_id.k1", "doc_id.k2")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_keys("text"))
+    kept = joined(rows, common.written(dirty.distinct(), "decontaminate-dirty"), ["k1", "k2"], F.xxhash64("row.doc_id"), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

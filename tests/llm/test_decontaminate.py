@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from sparrel.llm import decontaminate as D
 
 from .conftest import words
@@ -17,7 +19,7 @@ def brute(docs, items):
                 for i in range(len(w) - len(win) + 1):
                     if tuple(w[i : i + len(win)]) == win:
                         hit |= set(range(i, i + len(win)))
-                        found.add(str(item))
+                        found |= {str(item)} - {'None'}
         out.setdefault(doc_id, []).append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)))
     return out
 
@@ -38,20 +40,23 @@ def case(seed=3):
 
 
 def check(found, docs, items):
-    want, got = brute(docs, [i for i in items if i[0] is not None]), {}
+    want, got = brute(docs, items), {}
     for r in found.collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-def test_against_brute_force_in_one_and_in_many_blocks(spark):
+def test_against_brute_force_with_broadcast_and_with_salted_joins(spark, monkeypatch):
     docs, items = case()
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     check(D.judged(D.search(d, b)), docs, items)
-    check(D.judged(D.search(d, b, block_bytes=100)), docs, items)
-    dirty = [d for d, rows in brute(docs, [i for i in items if i[0] is not None]).items() for r in rows if r[4]]
-    for size in (1 << 20, 100):
-        kept = [r.doc_id for r in D.clean(d, b, block_bytes=size).collect()]
+    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(D, "FILTER_BITS", 1 << 10)
+    check(D.judged(D.search(d, b)), docs, items)
+    dirty = [d for d, rows in brute(docs, items).items() for r in rows if r[4]]
+    for size in (1 << 20, -1):
+        monkeypatch.setattr(D, "BROADCAST_BYTES", size)
+        kept = [r.doc_id for r in D.clean(d, b).collect()]
         assert len(kept) + len(dirty) == len(docs) and not set(kept) & set(dirty)
 
 
@@ -64,7 +69,29 @@ def test_odd_and_empty_tables(spark, odd, empty):
     assert D.clean(odd, some).columns == odd.columns and D.clean(odd, some).count() == 4 and D.clean(odd, none).count() == 7
 
 
-def test_the_prefix_is_the_rarest_word():
-    index = D.Index([("1", b"common rare common")], {b"common": 9, b"rare": 1})
-    assert set(index.by) == {b"rare"}
-    assert index.search([b"x", b"common", b"rare", b"common", b"rare"]) == ([(1, 4)], {"1"})
+def test_the_prefix_is_the_rarest_shingle(spark):
+    b = spark.createDataFrame([(1, "common one two rare x y"), (2, "never seen here")], "item_id bigint, text string")
+    wins = D.windows(b).drop("item").dropDuplicates(["win"])
+    docs = spark.createDataFrame([("common one two",), ("common one two rare x",), ("rare x y",), ("a one two rare common one two",)], "text string").select(F.col("text").cast("binary"))
+    frequency = D.document_frequency(docs, D.Filter(wins.select(F.explode("shingles").alias("h")).distinct()), [3])
+    hashes = {r.shingle: r.df for r in frequency.collect()}
+    words = b"common one two rare x y".split()
+    each = [hashes.get(int(h), 0) for h in D.shingles(words, 3).view("i8")]
+    assert each == [3, 2, 1, 1]
+    (found,) = D.prefixes(wins, frequency).collect()  # the other item's shingle is in no document
+    assert found.win == "common one two rare x y" and found.place in (2, 3)
+
+
+def test_columns_that_clash_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "mine", 5, 6), (2, "x y", "mine", 7, 8)], "doc_id bigint, text string, _row string, k1 int, salt int")
+    b = spark.createDataFrame([(1, "b c d")], "item_id bigint, text string")
+    assert [tuple(r) for r in D.clean(docs, b).collect()] == [(2, "x y", "mine", 7, 8)]
+
+
+def test_a_larger_benchmark_with_one_hot_passage(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(words(rng, 60))) for k in range(300)]
+    docs = [(k, " ".join(words(rng, 20)) + " " + items[5][1]) for k in range(500)] + [(600, items[7][1][:200])]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {r.doc_id: (r.n_hit, r.n_items) for r in D.judged(D.search(d, b)).collect()}
+    assert all(found[k] == (60, 1) for k in range(500)) and found[600][1] == 1
