@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_ROUNDS = 60
+#: Rounds beyond which something is wrong: two steps at least halve the longest path, so that 2^64 nodes take fewer.
+MAX_ROUNDS = 200
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if _is_stars(edges):
             break
         edges = common.written(_star(_star(edges, large=True), large=False), "components")
+    else:
+        raise RuntimeError("components did not settle")
     stars = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     return common.written(stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
 
