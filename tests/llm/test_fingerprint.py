@@ -8,7 +8,7 @@ from sparrel.llm import fingerprint as P
 
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    cells = lambda s: {p for p in re.split(P.BORDER, s) if p}
+    cells = lambda s: {p for p in re.sub(P.ENDS, r"\1\n", s).split("\n") if p}
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
     out = []
     for i, (d, t) in enumerate(rows):
@@ -57,12 +57,36 @@ def test_odd_and_empty_tables(spark, odd, empty):
 
 
 def test_differences_are_recovered_also_when_small_sketches_fail(spark):
-    a, b = "array_distinct(transform(sequence(1, n), x -> xxhash64(x)))", "array_distinct(transform(sequence(n, 3 * n), x -> xxhash64(x)))"
-    rows = spark.createDataFrame([(n,) for n in (1, 2, 15, 16, 17, 40, 100)], "n int")
-    for r in rows.select("n", F.expr(P.difference(a, b)).alias("d"), F.expr(P.peeled(a, b, P.CELLS)).alias("small"), F.expr(P.peeled(a, b, 768)).alias("large")).collect():
-        assert r.d == 3 * r.n - 1
-        assert r.small in (None, r.d) and r.large == r.d
+    a, b = "array_distinct(transform(sequence(1, n), v -> xxhash64(v)))", "array_distinct(transform(sequence(n, 3 * n), v -> xxhash64(v)))"
+    rows = spark.createDataFrame([(n,) for n in (1, 2, 15, 16, 17, 40, 100, 700)], "n int").select("n", F.expr(a).alias("a"), F.expr(b).alias("b"))
+    rows = rows.select("*", F.expr(P.sketch("a")).alias("s"), F.expr(P.sketch("b")).alias("t"))
+    both = F.expr(P.peeled("s", "t", "16")).alias("small"), F.expr(P.difference("s", "t")).alias("d"), F.expr(P.likeness("s", "t", "a", "b")).alias("l")
+    for r in rows.select("n", "a", "b", *both).collect():
+        assert set(r.d.one) == set(r.a) - set(r.b) and set(r.d.other) == set(r.b) - set(r.a)
+        assert r.small is None or len(r.small.one) + len(r.small.other) == 3 * r.n - 1
         assert r.n < 40 or r.small is None
+        assert abs(r.l - 1 / (3 * r.n)) < 1e-12
+
+
+def test_likeness_follows_from_the_fingerprints(spark, docs):
+    found = P.fingerprints(docs).select("*", F.expr(P.sketch_of("fingerprint")).alias("s"), F.expr(P.sketch_of("edited_fingerprint")).alias("t"))
+    rows = found.select("doc_id", "near_edited", F.expr(P.likeness_of("s", "t")).alias("l")).collect()
+    assert sum(r.l is None for r in rows) <= len(rows) // 10
+    assert all(r.l is None or r.l == r.near_edited for r in rows)
+
+
+def test_hot_and_null_ids_are_dealt_to_several_ranges(spark):
+    rows = [(None if k % 3 else 7, f"Text {k}. It is. " * 5) for k in range(600)] + [(k, f"Other {k}.") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    d = df.select("doc_id", F.xxhash64("text").alias("h"))
+    n = d.select(P._range(F.col("doc_id"), F.col("h"), [3, 7, 7, 7, 7, 200], 2, 12).alias("r"), "doc_id").groupBy("r").agg(F.count("*").alias("n")).collect()
+    assert len(n) > 14 and max(r.n for r in n) < 200
+    pairs = {}
+    for r in P.with_next(df, range_bytes=2000).collect():
+        pairs.setdefault((r.doc_id, r.t), []).append(r.next_t)
+    assert sum(map(len, pairs.values())) == len(rows)
+    followed = sorted(x for v in pairs.values() for x in v)
+    assert followed == sorted(t for _, t in rows)  # a cycle: every text follows exactly one row
 
 
 def test_the_plan_has_no_python(spark, docs):
