@@ -6,9 +6,9 @@ are one node.  Two nodes are linked if the Jaccard similarity of their sets is a
 1. MinHash values of each distinct set.  Bands of three values name buckets; a pair at 0.8 misses all buckets with probability (1 - 0.8^3)^30 < 1e-9.
 2. In a bucket, MinHash values (a byte each) are compared eight at a time.  A pair is dropped as soon as the posterior probability, over a uniform prior,
    that its similarity reaches the threshold falls below the tolerance.  What survives joins a bucket's nodes to candidate components; a bucket
-   gives one edge a node at most, never its pairs.
+   gives one edge a node at most, never its pairs.  A bucket beyond BUCKET_NODES is dealt out as pairs of parts, so that every two of its nodes still meet.
 3. Candidate components are verified exactly: intersection sizes of all pairs inside, counted by matrix products over shingles.  A component beyond
-   PART_NODES is dealt out as pairs of parts.  Each task returns sums of link weights and one edge a node, never pairs.
+   PART_NODES nodes, or beyond GROUP_BYTES of text, is dealt out as pairs of parts.  Each task returns sums of link weights and one edge a node, never pairs.
 
 Documents without words are classes of their own with no links, however often they occur.
 """
@@ -38,7 +38,9 @@ COMPARED, STEP = 32, 8
 #: A pair is dropped when its posterior probability of reaching the threshold falls below this.
 TOLERANCE = 1e-7
 PART_NODES = 1024
-#: Text bytes of a group of small components.
+#: Nodes of a bucket that are compared in one task.
+BUCKET_NODES = 2048
+#: Text bytes of a group of small components, and of a part of a large one.
 GROUP_BYTES = 8 << 20
 _HASHES = BANDS * BAND_ROWS
 _rolling = Rolling(0x9FB21C651E98DF25)
@@ -114,17 +116,18 @@ def bucket_edges(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, set_key (digest of the shingle set; null without words), sketch (MinHash values) for every row."""
+    """doc_id, text_hash, bytes (of text), set_key (digest of the shingle set; null without words), sketch (MinHash values) for every row."""
 
     def rows(batch: pa.RecordBatch) -> list:
-        keys, sketches = [], []
+        keys, sketches, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
+            sizes.append(len(text or b""))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketches.append(minhashes(s).tobytes() if len(s) else None)
-        return [batch.column(0), batch.column(2), keys, sketches]
+        return [batch.column(0), batch.column(2), sizes, keys, sketches]
 
-    return common.mapped(_plain(docs), rows, "doc_id bigint, text_hash bigint, set_key binary, sketch binary")
+    return common.mapped(_plain(docs), rows, "doc_id bigint, text_hash bigint, bytes bigint, set_key binary, sketch binary")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -132,7 +135,8 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 _BAND_SCHEMA = "bucket bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Edges (a, b); or, with a bucket, nodes a of one that is too large, by parts.
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("part", pa.int64()), *((f"s{k}", pa.int64()) for k in range(4))])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +155,15 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "s0", "s1", "s2", "s3"])
 
 
-def _bucket_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of rows that come sorted by bucket; an unfinished bucket waits for the next batch."""
-    rest = np.zeros((6, 0), np.int64)
+def _bucket_stream(batches: Iterator[pa.RecordBatch], bucket_nodes: int = BUCKET_NODES) -> Iterator[pa.RecordBatch]:
+    """Edges of rows that come sorted by bucket; an unfinished bucket waits for the next batch.  Nodes of a bucket beyond bucket_nodes are handed on, by parts."""
+    rest, over, dealt = np.zeros((6, 0), np.int64), None, 0
 
-    def edges(t: np.ndarray) -> pa.RecordBatch:
+    def handed_on(t: np.ndarray, first: int) -> pa.RecordBatch:
+        part = (first + np.arange(t.shape[1])) // bucket_nodes
+        return pa.RecordBatch.from_arrays([pa.array(t[1]), pa.nulls(t.shape[1], pa.int64()), pa.array(t[0]), pa.array(part), *(pa.array(t[2 + k]) for k in range(4))], schema=_FOUND)
+
+    def finished(t: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], t[0, 1:] != t[0, :-1]))) if t.shape[1] else np.zeros(0, int)
         size = np.diff(np.append(first, t.shape[1]))
         found: set[tuple[int, int]] = set()
@@ -169,17 +177,57 @@ def _bucket_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             a, b = t[1, two[ok]], t[1, two[ok] + 1]
             found.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
         for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            found.update(bucket_edges(t[1, i : i + n], sketches[i : i + n]))
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], schema=_EDGES)
+            if n > bucket_nodes:
+                yield handed_on(t[:, i : i + n], 0)
+            else:
+                found.update(bucket_edges(t[1, i : i + n], sketches[i : i + n]))
+        yield _edge_rows(found)
 
     for batch in batches:
-        t = np.concatenate((rest, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+        t = np.stack([c.to_numpy() for c in batch.columns])
+        if over is not None:  # more of the bucket that is handed on
+            n = int(np.searchsorted(t[0], over, side="right"))
+            if n:
+                yield handed_on(t[:, :n], dealt)
+                dealt += n
+            t = t[:, n:]
         if t.shape[1]:
+            over, t = None, np.concatenate((rest, t), axis=1)
             cut = int(np.searchsorted(t[0], t[0, -1]))
             if cut:
-                yield edges(t[:, :cut])
+                yield from finished(t[:, :cut])
             rest = t[:, cut:]
-    yield edges(rest)
+            if rest.shape[1] > bucket_nodes:
+                yield handed_on(rest, 0)
+                over, dealt, rest = int(rest[0, 0]), rest.shape[1], rest[:, :0]
+    yield from finished(rest)
+
+
+def _edge_rows(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = ([e[k] for e in found] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), pa.int64()) for _ in range(6))], schema=_FOUND)
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Edges of a pair of a bucket's parts."""
+    sketches = np.ascontiguousarray(np.stack([table.column(f"s{k}").to_numpy() for k in range(4)]).T).view(np.uint8).reshape(-1, COMPARED)
+    found = bucket_edges(table.column("node").to_numpy(), sketches)
+    return pa.Table.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _candidate_edges(nodes: DataFrame, bucket_nodes: int) -> DataFrame:
+    """a, b: edges that join the nodes (node, sketch) of surviving pairs."""
+    dealt = max(1, -(-nodes.count() * BANDS // 400_000))
+    bands = common.map_arrow(nodes.select("node", "sketch"), _bands, _BAND_SCHEMA).repartition(dealt, "bucket").sortWithinPartitions("bucket")
+    schema = "a bigint, b bigint, bucket bigint, part bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    found = common.written(common.map_arrow(bands, lambda batches: _bucket_stream(batches, bucket_nodes), schema), "jaccard-buckets")
+    large, edges = found.where("bucket is not null").withColumnRenamed("a", "node"), found.where("bucket is null").select("a", "b")
+    if not large.limit(1).count():
+        return edges
+    parts = common.written(large.groupBy("bucket").agg(F.max("part").alias("last")), "jaccard-large")
+    met = large.drop("b").join(parts, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    pairs = met.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "s0", "s1", "s2", "s3")
+    return edges.unionByName(pairs.groupBy("bucket", "i", "j").applyInArrow(_compared, "a bigint, b bigint"))
 
 
 def _linked(sets: list[np.ndarray], split: int | None) -> np.ndarray:
@@ -236,30 +284,35 @@ def _verified(nodes: list[int], weights: list[int], sets: list[np.ndarray], part
 def _verify(table: pa.Table) -> pa.Table:
     """Components of a group; columns comp, i, j, node, weight, part, text.  A group holds whole small components, or one pair of parts."""
     by: dict[int, list[tuple]] = {}
+    if table.num_rows and table.column("i")[0] != table.column("j")[0] and len(table.column("part").unique()) == 1:
+        table = table.slice(0, 0)  # the other part is empty, and this one's own pairs are counted alone
     for comp, node, weight, part, text in zip(*(table.column(c).to_pylist() for c in ("comp", "node", "weight", "part", "text")), strict=True):
         by.setdefault(comp, []).append((node, weight, shingles(text), part))
     out = [r for members in by.values() if len(members) > 1 for r in _verified(*(list(x) for x in zip(*[(m[0], m[1], m[2], m[3]) for m in members], strict=True)))]
     return pa.Table.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["node", "links", "root"])
 
 
-def join(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART_NODES) -> DataFrame:
+def join(docs: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_links (other documents with similarity of at least 0.8) for every row of docs.
 
     Null doc_ids take part; a class with no doc_id has a null class_id.  Repeated rows are documents of their own, linked to each other.  Null and
     empty texts, and texts of white space, have no words: their class is their own doc_id and they have no links."""
+    out = _classes(docs, **sizes)
+    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART_NODES, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
+    """doc_id, text_hash, set_key (null without words), first (unnamed, doc_id, text_hash of the class's first row: smallest doc_id, null last), n_links."""
     signed = common.written(_signed(docs), "jaccard-signed")
-    nodes = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row"), F.count("*").alias("weight"), F.any_value("sketch").alias("sketch"))
-    nodes = nodes.select("set_key", F.col("row.doc_id").alias("min_doc"), F.col("row.text_hash").alias("text_hash"), "weight", "sketch")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    nodes = signed.where("set_key is not null").groupBy("set_key").agg(F.min(row).alias("row"), F.count("*").alias("weight"), F.max("bytes").alias("bytes"), F.any_value("sketch").alias("sketch"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    candidates = connected_components(_candidate_edges(nodes, bucket_nodes))
 
-    count = nodes.count()
-    dealt = max(1, -(-count * BANDS // 400_000))
-    bands = common.map_arrow(nodes.select("node", "sketch"), _bands, _BAND_SCHEMA).repartition(dealt, "bucket").sortWithinPartitions("bucket")
-    candidates = connected_components(common.map_arrow(bands, _bucket_stream, "a bigint, b bigint"))
-
-    sizes = common.written(candidates.groupBy("comp").agg(F.count("*").alias("size")), "jaccard-sizes")  # written, so that Spark can split a large component's join
-    members = candidates.join(sizes, "comp").join(nodes.select("node", "weight", "text_hash", F.col("min_doc").alias("doc_id")), "node").withColumn("n_parts", F.ceil(F.col("size") / part_nodes).cast("int"))
-    texts = _texts(docs, members)
+    members = candidates.join(nodes.select("node", "weight", "bytes", F.col("row.text_hash").alias("text_hash"), F.col("row.doc_id").alias("doc_id")), "node")
+    n_parts = F.greatest(F.ceil(F.count("*") / part_nodes), F.ceil(F.sum("bytes") / group_bytes), F.lit(1)).cast("int")
+    sizes = common.written(members.groupBy("comp").agg(F.least(n_parts, F.count("*").cast("int")).alias("n_parts")), "jaccard-sizes")  # written, so that Spark can split a large component's join
+    texts = _texts(docs, members.join(sizes, "comp"))
     total = max(1, common.total_bytes(texts, "text"))
     groups = max(1, -(-total // group_bytes))
 
@@ -270,12 +323,11 @@ def join(docs: DataFrame, group_bytes: int = GROUP_BYTES, part_nodes: int = PART
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
-    labelled = nodes.select("node", "set_key", "min_doc", "weight").join(links, "node", "left").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled = nodes.select("node", "set_key", "row", "weight").join(links, "node", "left").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled = common.written(labelled, "jaccard-labelled")
-    least = common.written(labelled.groupBy("comp").agg(F.min("min_doc").alias("class_id")), "jaccard-classes")
-    named = labelled.join(least, "comp").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = signed.join(named, "set_key", "left")
-    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = common.written(labelled.groupBy("comp").agg(F.min("row").alias("first")), "jaccard-classes")
+    named = labelled.join(least, "comp").select("set_key", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return signed.join(named, "set_key", "left").select("doc_id", "text_hash", "set_key", "first", "n_links")
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -286,10 +338,11 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **sizes: int) -> DataFrame:
-    """One row of each class of docs, that of its smallest doc_id; all columns stay.
-
-    Null doc_ids stand for themselves by a hash of their text.  Of rows equal in doc_id and text one stays."""
-    named = docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(3)).bitwiseOR(F.lit(-1 << 63))))
-    stay = join(named.select("doc_id", "text"), **sizes).where("doc_id = class_id").select("doc_id").distinct()
-    kept = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).select(*docs.columns)
+    """One row of each class of docs, that of its smallest doc_id (of those with it, that of the smallest hash of its text); all columns stay, whatever their names.
+
+    A class without any doc_id keeps the row of the smallest hash.  Rows without words stay.  Of rows equal in doc_id and text one stays."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("text_hash"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    stay = _classes(docs, **sizes).where(F.col("set_key").isNull() | first).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -49,6 +49,7 @@ def test_against_brute_force(spark, docs, odd):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert result(df) == brute(rows)
     assert result(df, part_nodes=7, group_bytes=2000) == brute(rows)  # components in several parts
+    assert result(df, bucket_nodes=3) == brute(rows)  # buckets in several parts
     assert result(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
 
 
@@ -102,3 +103,32 @@ def test_connected_components(spark):
 
 def test_checkpoint_folder_is_the_sessions(spark):
     assert common.shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_large_bucket_is_dealt_out(spark):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    t = np.zeros((6, n + 4), np.int64)
+    t[0, n:] = (1, 1, 2, 3)
+    t[1], t[2:] = np.arange(n + 4), rng.integers(0, 1 << 62, (4, n + 4))
+    t[2:, n] = t[2:, n + 1]
+    batches = [J.pa.RecordBatch.from_arrays([J.pa.array(c) for c in t[:, i : i + 1000]], names=["bucket", "node", "s0", "s1", "s2", "s3"]) for i in range(0, n + 4, 1000)]
+    out = J.pa.Table.from_batches(J._bucket_stream(iter(batches), 512)).to_pylist()
+    large, edges = [r for r in out if r["bucket"] is not None], [r for r in out if r["bucket"] is None]
+    assert sorted(r["a"] for r in large) == list(range(n)) and [(r["a"], r["b"]) for r in edges] == [(n + 1, n)]
+    sizes = np.bincount([r["part"] for r in large])
+    assert sizes.max() <= 512 and len(sizes) == -(-n // 512)
+
+
+def test_equal_ids_and_columns_that_clash(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "mine", 1), (1, "quite other words are in this one", "mine", 2), (2, text, "mine", 3), (None, text, "mine", 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _no_id string, row int")
+    assert sorted(tuple(r) for r in J.one_of_each(df).collect()) == sorted(rows[:2])
+
+
+def test_parts_are_bounded_by_bytes(spark):
+    rng = random.Random(7)
+    base = words(rng, 400)
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(12)]
+    assert result(spark.createDataFrame(rows, "doc_id bigint, text string"), group_bytes=6000) == brute(rows)
