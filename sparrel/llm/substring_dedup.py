@@ -5,12 +5,12 @@ sequence also starts in a document with a smaller doc_id is removed.
 
 Any window holds a whole block of 25 words that starts at a multiple of 25, wherever the window starts.  So the blocks at these places of every document are
 indexed, and every rolling sequence of 25 words of every document probes the index.  Where a block and a sequence of another document meet, only the windows
-around the hit can repeat.  These get strong digests, which tell for each window whether it starts in a smaller document; the union of such windows
-is the maximal exact repeats.
+around the hit can repeat.  These get strong digests, which tell for each window whether it starts in a smaller document.
 
 Documents stay in groups of bounded size; what groups tell each other is packed and dealt out by hash: first 30 bits of each distinct
-rolling hash with two flags (packed to about two bytes), then 96-bit digests of candidate windows.  A value comes at most once from each group, so
-a passage that half of all documents share is no more work for one task than any other.
+rolling hash with two flags (packed to about two bytes), then 96-bit digests of candidate windows.  A hit is extended window by window in both directions, as
+long as digests match; the union of matching windows is the maximal exact repeat.  Either kind of value comes at most once from each group,
+whatever its number of occurrences: the group judges its other documents by its own smallest one, and only that one by the other groups.
 
 Null doc_ids count as larger than any other; null texts have no words; documents with equal ids don't remove each other's words.
 """
@@ -123,7 +123,8 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 _PROBES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("packed", pa.binary())])
-_WINDOWS = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("place", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
+_WINDOWS = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("place", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary()), ("twins", pa.binary())])
+_GONE = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("packed", pa.binary()), ("twins", pa.binary())])
 
 
 def probes(grp: int, table: pa.Table, buckets: int) -> pa.Table:
@@ -163,7 +164,10 @@ def matches(bucket: int, table: pa.Table) -> pa.Table:
 
 
 def windows(grp: int, table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
-    """Strong digests of a group's windows around hits, with their places in the group and runs of doc_ids."""
+    """Each strong digest of a group's windows around hits once, with its first place in the group's smallest document that has it, and runs of doc_ids.
+
+    A row of bucket -1 - grp holds what the group knows by itself: places that go for a smaller document of the group, and twins, places
+    that go if their first place does."""
     if not hits.num_rows:
         return _WINDOWS.empty_table()
     found = np.sort(np.concatenate([np.uint64(b) << np.uint64(_VALUE_BITS) | unpack(p).astype(np.uint64) for b, p in zip(hits.column("bucket").to_pylist(), hits.column("packed").to_pylist(), strict=True)]))
@@ -183,18 +187,28 @@ def windows(grp: int, table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table
     if not out:
         return _WINDOWS.empty_table()
     high, low, place, ids = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((low, high))  # stable: of one digest the smallest document comes first, then the first place
+    first = np.flatnonzero(np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))))
+    head = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    later, twin = ids[order] > ids[head], (ids[order] == ids[head]) & (order != head)
+    own = pack(np.sort(place[order[later]]))
+    twins = np.stack((place[head[twin]], place[order[twin]])).astype("<u4")
+    rows = [(-1 - grp, grp, b"", b"", own, b"", b"", twins.tobytes())] if later.any() or twin.any() else []
+    once = np.sort(order[first])
+    high, low, place, ids = high[once], low[once], place[once], ids[once]
     bucket = ((high >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    rows = []
     for b, i, j in _by_bucket(bucket[order]):
         k = order[i:j]
         run = np.flatnonzero(np.concatenate(([True], ids[k][1:] != ids[k][:-1])))
-        rows.append((b, grp, high[k].tobytes(), low[k].astype("<u4").tobytes(), pack(place[k]), ids[k][run].tobytes(), np.diff(np.append(run, len(k))).astype("<u4").tobytes()))
+        rows.append((b, grp, high[k].tobytes(), low[k].astype("<u4").tobytes(), pack(place[k]), ids[k][run].tobytes(), np.diff(np.append(run, len(k))).astype("<u4").tobytes(), b""))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _WINDOWS.types, strict=True)], schema=_WINDOWS)
 
 
 def verdicts(bucket: int, table: pa.Table) -> pa.Table:
-    """For each group the places of windows whose digest a document with a smaller id has too."""
+    """For each group the places of windows whose digest a document with a smaller id has too; what a group knows by itself is handed on."""
+    if bucket < 0:
+        return pa.Table.from_arrays([table.column(c) for c in ("bucket", "grp", "place", "twins")], schema=_GONE)
     groups, parts = table.column("grp").to_pylist(), []
     for k in range(table.num_rows):
         high, low, place, ids, runs = (table.column(c)[k].as_py() for c in ("high", "low", "place", "ids", "runs"))
@@ -207,13 +221,17 @@ def verdicts(bucket: int, table: pa.Table) -> pa.Table:
     gone = ids > np.repeat(ids[first], np.diff(np.append(first, len(ids))))
     place, of = place[gone], of[gone]
     order = np.lexsort((place, of))
-    rows = [(bucket, groups[k], pack(place[order[i:j]])) for k, i, j in _by_bucket(of[order])]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PROBES.types, strict=True)], schema=_PROBES) if rows else _PROBES.empty_table()
+    rows = [(bucket, groups[k], pack(place[order[i:j]]), b"") for k, i, j in _by_bucket(of[order])]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _GONE.types, strict=True)], schema=_GONE) if rows else _GONE.empty_table()
 
 
 def _removed(table: pa.Table, gone: pa.Table) -> Iterator[tuple[int | None, list[bytes], np.ndarray | None]]:
     """doc_id, words, and which words go (None: none), for each document of a group."""
-    place = np.sort(np.concatenate([unpack(p) for p in gone.column("packed").to_pylist()])).astype(np.int64) if gone.num_rows else np.zeros(0, np.int64)
+    place = np.concatenate([unpack(p) for p in gone.column("packed").to_pylist()]).astype(np.int64) if gone.num_rows else np.zeros(0, np.int64)
+    for twins in filter(None, gone.column("twins").to_pylist()):
+        head, other = np.frombuffer(twins, "<u4").reshape(2, -1).astype(np.int64)
+        place = np.concatenate((place, other[np.isin(head, place)]))
+    place.sort()
     base = 0
     for doc_id, words in _documents(table):
         n = len(words)
@@ -221,8 +239,8 @@ def _removed(table: pa.Table, gone: pa.Table) -> Iterator[tuple[int | None, list
         mask = None
         if b > a:
             edge = np.zeros(n + 1, np.int64)
-            edge[place[a:b] - base] += 1
-            edge[place[a:b] - base + WINDOW] -= 1
+            np.add.at(edge, place[a:b] - base, 1)
+            np.add.at(edge, place[a:b] - base + WINDOW, -1)
             mask = edge.cumsum()[:n] > 0
         yield doc_id, words, mask
         base += n
@@ -243,8 +261,8 @@ def find(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BU
     key = lambda k: k[0].as_py()
     probe = docs.groupBy("grp").applyInArrow(lambda k, t: probes(key(k), t, buckets), "bucket bigint, grp bigint, packed binary")
     hits = probe.groupBy("bucket").applyInArrow(lambda k, t: matches(key(k), t), "bucket bigint, grp bigint, packed binary")
-    strong = docs.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda k, t, h: windows(key(k), t, h, buckets), "bucket bigint, grp bigint, high binary, low binary, place binary, ids binary, runs binary")
-    return docs, strong.groupBy("bucket").applyInArrow(lambda k, t: verdicts(key(k), t), "bucket bigint, grp bigint, packed binary")
+    strong = docs.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda k, t, h: windows(key(k), t, h, buckets), "bucket bigint, grp bigint, high binary, low binary, place binary, ids binary, runs binary, twins binary")
+    return docs, strong.groupBy("bucket").applyInArrow(lambda k, t: verdicts(key(k), t), "bucket bigint, grp bigint, packed binary, twins binary")
 
 
 def dedup(docs: DataFrame, **sizes: int) -> DataFrame:

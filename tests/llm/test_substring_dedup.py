@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,3 +86,19 @@ def test_dedup_of_long_copies_leaves_the_smallest_id(spark):
     text = " ".join(words(rng, 20_000))
     df = spark.createDataFrame([(i, text, "en", "s", 1) for i in (4, 2, 9)], DOCUMENTS)
     assert {r.doc_id: len(r.text) for r in S.dedup(df).collect()} == {2: len(text), 4: 0, 9: 0}
+
+
+def test_a_group_sends_each_digest_once_however_often_it_occurs():
+    rng = random.Random(3)
+    passage = words(rng, 60)
+    texts = [" ".join([*words(rng, 9), *passage, *words(rng, 9)]).encode() for _ in range(1000)]
+    texts.append(" ".join(passage * 3).encode())
+    table = pa.table({"doc_id": pa.array(range(1001), pa.int64()), "text": texts})
+    hits = S.matches(0, S.probes(0, table, 1))
+    rows = S.windows(0, table, hits, 1).to_pylist()
+    (own,), (sent,) = [r for r in rows if r["bucket"] < 0], [r for r in rows if r["bucket"] >= 0]
+    digests = np.frombuffer(sent["high"], np.uint64)
+    assert len(digests) == len(set(digests.tolist())) < 27_000
+    shared = 11  # windows inside the passage
+    assert len(S.unpack(own["place"])) >= 999 * shared + 3 * shared  # the last document has it three times
+    assert S.verdicts(0, pa.Table.from_pylist([sent], schema=S._WINDOWS)).num_rows == 0
