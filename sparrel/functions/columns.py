@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Relation labels in index order, severities in order, and their (pHash, dHash) limits.
+# Relation labels in index order, means and deviations of the colour channels, severities in order, and their (pHash, dHash) limits.
 LABELS = ("MATCH", "MISMATCH", "PARTIAL_MATCH")
+CHANNEL_MEANS, CHANNEL_DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 SEVERITIES = (("very_strict", 4, 6), ("strict", 6, 8), ("screen", 8, 10))
 
 
@@ -70,23 +73,40 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def difference_hash(values: Column) -> Column:
-    """A bit for every neighbouring pair, set if the right value is larger; the first pair's bit is the highest."""
-    n = F.size(values) - 1
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR((F.get(values, i + 1) > F.get(values, i)).cast("long")))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def median_hash(values: Column) -> Column:
-    """A bit for every value but the first, set if it exceeds their median; the first bit is the highest."""
-    rest = F.slice(values, 2, F.size(values) - 1)
-    ordered, n = F.array_sort(rest), F.size(rest)
-    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")).cast("double") + F.get(ordered, F.floor(n / 2).cast("int")).cast("double")) / 2
-    return F.aggregate(F.transform(rest, lambda v: (v.cast("double") > middle).cast("long")), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+def _as_bits(bits: Column) -> Column:
+    """Up to 64 zeros and ones as a long, the first one highest."""
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b.cast("long")))
+
+
+def difference_hash(rows: Column) -> Column:
+    """A bit for every two neighbours in each row (8 rows of 9 values give 64), set if the right value is larger; the first pair's bit is the highest."""
+    return _as_bits(F.flatten(F.transform(rows, lambda r: F.zip_with(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, F.size(r) - 1), lambda right, left: (right > left).cast("int")))))
+
+
+def cosine_rows(size: int, low: int) -> list[list[float]]:
+    """The first rows of the orthonormal DCT-II matrix."""
+    return [[math.sqrt((1 if u == 0 else 2) / size) * math.cos(math.pi * (2 * i + 1) * u / (2 * size)) for i in range(size)] for u in range(low)]
+
+
+def perceptual_hash(pixels: Column, size: int = 32, low: int = 8) -> Column:
+    """64 bits of a size x size matrix: its orthonormal DCT-II's low x low corner, row by row, set where a value exceeds the median of all but the first."""
+    weights = F.array(*[F.array(*[F.lit(v) for v in row]) for row in cosine_rows(size, low)])
+    zeros = F.array_repeat(F.lit(0.0), size)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    down = F.transform(weights, lambda w: F.aggregate(F.zip_with(w, pixels, lambda c, row: F.transform(row, lambda x: x.cast("double") * c)), zeros, add))
+    corner = F.transform(down, lambda t: F.transform(weights, lambda w: F.aggregate(F.zip_with(t, w, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)))
+    middle = lambda flat: F.get(F.sort_array(F.slice(flat, 2, low * low - 1)), F.lit((low * low - 2) // 2))
+    return _bound(F.flatten(corner), lambda flat: _bound(middle(flat), lambda m: _as_bits(F.transform(flat, lambda v: (v > m).cast("int")))))
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    e = _bound(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return _bound(e, lambda e: _bound(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(values: Column) -> Column:
@@ -94,8 +114,13 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def normalize(values: Column, mean: float, std: float) -> Column:
-    return F.transform(values, lambda x: (x.cast("double") - mean) / std)
+def normalize(pixels: Column, means: Sequence[float], stds: Sequence[float]) -> Column:
+    """Pixels (arrays of one value a channel, 0..255, row after row) as one array a channel, scaled to 0..1 and by the channel's mean and deviation."""
+
+    def channel(k: int, mean: float, std: float) -> Column:
+        return F.transform(pixels, lambda x: (F.get(x, F.lit(k)).cast("double") / 255.0 - mean) / std)
+
+    return F.array(*[channel(k, m, s) for k, (m, s) in enumerate(zip(means, stds, strict=True))])
 
 
 def beside(*arrays: Column) -> Column:

@@ -23,16 +23,16 @@ def terms(text: Column) -> Column:
     return F.concat(t, pairs)
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf.  Terms are counted inside each row, so nothing is shuffled."""
-    counted = docs.select(id_col, F.explode(terms(F.col(text_col))).alias("term"))
-    return counted.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def term_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """term, df (rows with it), total (occurrences).  Each row gives its terms and its distinct terms, which are added up by term before anything is shuffled."""
+    both = docs.select(terms(F.col(text_col)).alias("t")).select(F.posexplode(F.array("t", F.array_distinct("t"))).alias("kind", "t")).select("kind", F.explode("t").alias("term"))
+    return both.groupBy("term").agg(F.sum("kind").cast("long").alias("df"), F.sum(1 - F.col("kind")).cast("long").alias("total"))
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = 2048) -> DataFrame:
-    """term, df, total, idf, index (place in alphabetical order) from training rows."""
+    """term, df, total, idf, index (place in alphabetical order) from training rows (id_col isn't needed; repeated ids are rows of their own)."""
     n = docs.count()
-    stats = term_counts(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    stats = term_statistics(docs, text_col)
     if max_features is not None:
         stats = stats.orderBy(F.desc("total"), "term").limit(max_features)
         stats = stats.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)  # at most max_features rows

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
+
+# Shares of units dropped in training (encoders of both sides, the head), rows of a batch.
+DROPOUT = {"i": 0.15, "t": 0.15, "h": 0.20}
+BATCH_ROWS = 256
+
 
 def majority(train: DataFrame, label: str = "label") -> str | None:
     """The most frequent label; of equal ones the first in order."""
@@ -38,44 +46,53 @@ def logistic_regression(train: DataFrame, features: str, label: str, c: float =
 class HeadNetwork:
     """Feed-forward heads: text only, image only, or both encoded, joined and classified, with optional category heads for each side.
 
-    Weights are float64 arrays; forward() has no dropout, fit() uses Adam on summed cross-entropies (relation + weight * each category head)."""
+    Weights are float64 arrays; forward() drops units only if it is given a generator of random numbers, as in training."""
 
     def __init__(self, kind: str, image_size: int, text_size: int, classes: int, categories: int = 0, hidden: int = 128, seed: int = 44) -> None:
         if kind not in ("text_only", "image_only", "multimodal"):
             raise ValueError(f"unknown kind: {kind}")
         self.kind, self.auxiliary = kind, categories > 0 and kind == "multimodal"
+        self.sizes = {"image_size": image_size, "text_size": text_size, "classes": classes, "categories": categories, "hidden": hidden}
         rng = np.random.default_rng(seed)
         shapes = {"text_only": {"h": (text_size, hidden), "o": (hidden, classes)}, "image_only": {"h": (image_size, hidden), "o": (hidden, classes)}, "multimodal": {"i": (image_size, hidden), "t": (text_size, hidden), "h": (2 * hidden, hidden), "o": (hidden, classes)}}[kind]
         if self.auxiliary:
             shapes |= {"ci": (hidden, categories), "ct": (hidden, categories)}
-        self.weights = {k: rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in shapes.items()} | {f"{k}_bias": np.zeros(s[1]) for k, s in shapes.items()}
+        self.weights = {k: rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in shapes.items()}
+        self.weights |= {f"{k}_bias": rng.uniform(-1, 1, s[1]) / np.sqrt(s[0]) for k, s in shapes.items()}
 
     def _layer(self, name: str, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[name] + self.weights[f"{name}_bias"]
 
-    def forward(self, image: np.ndarray, text: np.ndarray) -> dict[str, np.ndarray]:
+    def forward(self, image: np.ndarray, text: np.ndarray, rng: np.random.Generator | None = None) -> dict[str, np.ndarray]:
         out: dict[str, np.ndarray] = {}
+
+        def hidden(name: str, x: np.ndarray) -> np.ndarray:
+            x = np.maximum(self._layer(name, x), 0)
+            return x if rng is None else x * (rng.random(x.shape) >= DROPOUT[name]) / (1 - DROPOUT[name])
+
         if self.kind == "multimodal":
-            out["i"], out["t"] = np.maximum(self._layer("i", image), 0), np.maximum(self._layer("t", text), 0)
+            out["i"], out["t"] = hidden("i", image), hidden("t", text)
             out["x"] = np.concatenate((out["i"], out["t"]), axis=1)
             if self.auxiliary:
                 out["ci"], out["ct"] = self._layer("ci", out["i"]), self._layer("ct", out["t"])
         else:
             out["x"] = text if self.kind == "text_only" else image
-        out["h"] = np.maximum(self._layer("h", out["x"]), 0)
+        out["h"] = hidden("h", out["x"])
         out["o"] = self._layer("o", out["h"])
         return out
 
-    def loss_and_gradients(self, image: np.ndarray, text: np.ndarray, label: np.ndarray, image_category: np.ndarray | None = None, text_category: np.ndarray | None = None, auxiliary_weight: float = 0.15) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss and gradients over a batch."""
-        out, g = self.forward(image, text), {}
+    def loss_and_gradients(self, image: np.ndarray, text: np.ndarray, label: np.ndarray, image_category: np.ndarray | None = None, text_category: np.ndarray | None = None, auxiliary_weight: float = 0.15, rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss and gradients over a batch; with a generator under dropout."""
+        out, g = self.forward(image, text, rng), {}
+        # What a unit passes on: nothing if it is at rest or dropped, else scaled as in forward().
+        live = lambda name: (out[name] > 0) / (1 - (DROPOUT[name] if rng is not None else 0))
         loss, d = _cross_entropy(out["o"], label)
 
         def back(name: str, x: np.ndarray, d: np.ndarray) -> np.ndarray:
             g[name], g[f"{name}_bias"] = x.T @ d, d.sum(axis=0)
             return d @ self.weights[name].T
 
-        d = back("o", out["h"], d) * (out["h"] > 0)
+        d = back("o", out["h"], d) * live("h")
         d = back("h", out["x"], d)
         if self.kind == "multimodal":
             n = out["i"].shape[1]
@@ -86,8 +103,8 @@ class HeadNetwork:
                     loss += auxiliary_weight * more
                     dx = back(f"c{side}", out[side], auxiliary_weight * dc)
                     di, dt = (di + dx, dt) if side == "i" else (di, dt + dx)
-            back("i", image, di * (out["i"] > 0))
-            back("t", text, dt * (out["t"] > 0))
+            back("i", image, di * live("i"))
+            back("t", text, dt * live("t"))
         return loss, g
 
     def predict(self, image: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -118,43 +135,71 @@ class Adam:
             weights[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit_network(rows: DataFrame, network: HeadNetwork, epochs: int, rate: float = 1e-3, auxiliary_weight: float = 0.15) -> list[float]:
-    """Fit on rows (image array<double>, text array<double>, label int, and image_category, text_category int with auxiliary heads); mean loss of each epoch.
-
-    Each epoch is one pass: every task sums the gradients of its rows, tasks' sums are added up before the driver, which takes one Adam step.
-    What reaches the driver is one gradient, whatever the number of rows."""
-    columns = ["image", "text", "label", *(["image_category", "text_category"] if network.auxiliary else [])]
-    rows, adam, losses = rows.select(*columns), Adam(rate), []
-    for _ in range(epochs):
-
-        def gradients(batches: Iterator[pa.RecordBatch], net=network) -> Iterator[pa.RecordBatch]:
-            total, loss, n = None, 0.0, 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    b = batch.slice(at, 4096)
-                    x = [np.array(b.column(k).to_pylist(), float) for k in (0, 1)]
-                    y = [b.column(k).to_numpy().astype(int) for k in range(2, len(columns))]
-                    one, g = net.loss_and_gradients(*x, *y, **({"auxiliary_weight": auxiliary_weight} if net.auxiliary else {}))
-                    flat = np.concatenate([g[k].ravel() for k in sorted(g)]) * b.num_rows
-                    total, loss, n = flat if total is None else total + flat, loss + one * b.num_rows, n + b.num_rows
-            if n:
-                size = 4096
-                parts = [total[i : i + size].tolist() for i in range(0, len(total), size)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([-1, *range(len(parts))], pa.int32()), "g": pa.array([[loss, float(n)], *parts], pa.list_(pa.float64()))})
-
-        sums = rows.mapInArrow(gradients, "part int, g array<double>").select("part", F.posexplode("g")).groupBy("part", "pos").agg(F.sum("col").alias("g"))
-        found = sorted(sums.collect())  # one number per weight
-        loss, n = (r[2] for r in found[:2])
-        flat, at, g = np.array([r[2] for r in found[2:]]) / n, 0, {}
-        for k in sorted(network.weights):
-            w = network.weights[k]
-            g[k] = flat[at : at + w.size].reshape(w.shape)
-            at += w.size
-        adam.step(network.weights, g)
-        losses.append(loss / n)
+def fit_network(rows: DataFrame, network: HeadNetwork, epochs: int, rate: float = 1e-3, auxiliary_weight: float = 0.15, batch: int = BATCH_ROWS, seed: int = 44) -> list[float]:
+    """Fit on rows (image array<double>, text array<double>, label int, and image_category, text_category int with auxiliary heads) by an Adam step for each batch
+    under dropout; mean loss of each epoch.
+
+    Each epoch the cluster sorts the rows anew by a seeded hash and packs them; the driver takes them partition by partition, so it never holds more than one
+    partition, and steps through the batches in order."""
+    columns = ["label", *(["image_category", "text_category"] if network.auxiliary else [])]
+    rng, adam, losses = np.random.default_rng(seed), Adam(rate), []
+    width = network.sizes["image_size"] + network.sizes["text_size"]
+    for epoch in range(epochs):
+        order = F.xxhash64(F.lit(seed), F.lit(epoch), "image", "text", *columns)
+        packed = rows.select(order.alias("order"), "image", "text", *columns).repartitionByRange("order").sortWithinPartitions("order").mapInArrow(_packed, "x binary, y binary")
+        x, y, loss, n = np.zeros((0, width), np.float32), np.zeros((0, len(columns)), np.int64), 0.0, 0
+        for row in packed.toLocalIterator(prefetchPartitions=True):
+            x = np.concatenate((x, np.frombuffer(row[0], np.float32).reshape(-1, width)))
+            y = np.concatenate((y, np.frombuffer(row[1], np.int64).reshape(-1, len(columns))))
+            while len(x) >= batch:
+                loss += batch * _step(network, adam, x[:batch], y[:batch], auxiliary_weight, rng)
+                x, y, n = x[batch:], y[batch:], n + batch
+        if len(x):
+            loss, n = loss + len(x) * _step(network, adam, x, y, auxiliary_weight, rng), n + len(x)
+        losses.append(loss / max(1, n))
     return losses
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (order, image, text, codes) as bytes, up to 1024 at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            x = np.concatenate([np.array(part.column(k).to_pylist(), np.float32).reshape(part.num_rows, -1) for k in (1, 2)], axis=1)
+            y = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(3, part.num_columns)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["x", "y"])
+
+
+def _step(network: HeadNetwork, adam: Adam, x: np.ndarray, y: np.ndarray, auxiliary_weight: float, rng: np.random.Generator) -> float:
+    n = network.sizes["image_size"]
+    more = {"auxiliary_weight": auxiliary_weight} if network.auxiliary else {}
+    loss, g = network.loss_and_gradients(x[:, :n].astype(float), x[:, n:].astype(float), *y.T, **more, rng=rng)
+    adam.step(network.weights, g)
+    return loss
+
+
+def save(network: HeadNetwork, vocabulary: DataFrame, path: str, **about) -> None:
+    """A model below a path that Spark can write: weights, vocabulary (term, idf, index), and what it is, with a digest of the weights."""
+    spark = vocabulary.sparkSession
+    rows = [(k, list(w.shape), np.ascontiguousarray(w, "<f8").tobytes()) for k, w in sorted(network.weights.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, content binary").coalesce(1).write.parquet(f"{path}/weights")
+    vocabulary.write.parquet(f"{path}/vocabulary")
+    about |= {"kind": network.kind, "sizes": network.sizes, "digest": sinks.state_digest(network.weights)}
+    sinks.write_json(about, f"{path}/about.json")
+
+
+def load(spark: SparkSession, path: str) -> tuple[HeadNetwork, DataFrame, dict]:
+    """Network, vocabulary and description of a saved model; weights that don't fit their digest are an error."""
+    about = json.loads(sinks.read_bytes(f"{path}/about.json"))
+    network = HeadNetwork(about["kind"], **about["sizes"])
+    rows = spark.read.parquet(f"{path}/weights").collect()  # one row a layer
+    found = {r.name: np.frombuffer(r.content, "<f8").reshape(r.shape).copy() for r in rows}
+    if {k: w.shape for k, w in found.items()} != {k: w.shape for k, w in network.weights.items()} or sinks.state_digest(found) != about["digest"]:
+        raise ValueError(f"the weights under {path} are not those that were saved")
+    network.weights = found
+    return network, spark.read.parquet(f"{path}/vocabulary"), about
+
+
 def score(rows: DataFrame, network: HeadNetwork, id_col: str, labels: list[str], batch: int = 128) -> DataFrame:
     """id, prediction, model_score and a score per label.  rows must hold only id, image and text: no label or category may reach the model."""
     extra = set(rows.columns) - {id_col, "image", "text"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,27 +12,30 @@ from . import metrics
 
 # Pairs of splits, the earlier one on the left.
 SPLIT_PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
-#: Hash distance up to which a pair must agree in one of distance + 1 bands of bits wide enough to help.
-MAX_BANDED_DISTANCE = 10
+#: Bands of a hash; hash distance up to which a pair is within two bits in one of them.
+BANDS, BAND_BITS, MAX_BANDED_DISTANCE = 4, 16, 11
 
 
 def pairs(hashes: DataFrame, limits=SEVERITIES, split_pairs=SPLIT_PAIRS, banded: bool | None = None) -> DataFrame:
     """severity, category, left/right split and id, both distances, for pairs of rows (id, category, split, phash, dhash) in one category.
 
-    Two hashes within distance r agree in at least one of r + 1 bands, so pairs meet at equal bands of the first hash: exact, and not all
-    pairs of a category.  Beyond MAX_BANDED_DISTANCE bands are too narrow to prune, and pairs meet at the category alone."""
+    Two hashes within distance r are within r / 4 bits (2 at most) in at least one of four bands of 16 bits, so the rows of the later split look up their band's
+    values and all within that many bits: exact, and not all pairs of a category.  Beyond MAX_BANDED_DISTANCE pairs meet at the category alone."""
     r = max(p for _, p, _ in limits)
     banded = r <= MAX_BANDED_DISTANCE if banded is None else banded
     rows = hashes.select("id", "category", "split", "phash", "dhash").where("phash is not null and dhash is not null")
+    nothing = F.lit(0).cast("long")
     if banded:
-        edges = [round(64 * k / (r + 1)) for k in range(r + 2)]
-        bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", a).bitwiseAND((1 << (b - a)) - 1).alias("v")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-        rows = rows.withColumn("band", F.explode(bands))
+        place = lambda k: F.shiftrightunsigned("phash", BAND_BITS * k).bitwiseAND((1 << BAND_BITS) - 1)
+        bands = F.array(*[F.struct(F.lit(k).alias("k"), place(k).alias("v")) for k in range(BANDS)])
+        flips = [sum(1 << b for b in c) for n in range(r // BANDS + 1) for c in combinations(range(BAND_BITS), n)]
+        own, asked = rows.withColumn("b", F.explode(bands)), rows.withColumn("b", F.explode(bands)).withColumn("flip", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])))
+        own, asked = own.withColumn("band", F.col("b.k") * (1 << BAND_BITS) + F.col("b.v")), asked.withColumn("band", F.col("b.k") * (1 << BAND_BITS) + F.col("b.v").bitwiseXOR(F.col("flip")))
     else:
-        rows = rows.withColumn("band", F.lit(0))
+        own = asked = rows.withColumn("band", nothing)
     sides = F.explode(F.array(*[F.struct(F.lit(a).alias("left_split"), F.lit(b).alias("right_split")) for a, b in split_pairs]))
-    left = rows.withColumn("p", sides).where(F.col("split") == F.col("p.left_split")).select("category", "band", "p", F.col("id").alias("left_id"), F.col("phash").alias("lp"), F.col("dhash").alias("ld"))
-    right = rows.select("category", "band", F.col("split").alias("rs"), F.col("id").alias("right_id"), F.col("phash").alias("rp"), F.col("dhash").alias("rd"))
+    left = own.withColumn("p", sides).where(F.col("split") == F.col("p.left_split")).select("category", "band", "p", F.col("id").alias("left_id"), F.col("phash").alias("lp"), F.col("dhash").alias("ld"))
+    right = asked.select("category", "band", F.col("split").alias("rs"), F.col("id").alias("right_id"), F.col("phash").alias("rp"), F.col("dhash").alias("rd"))
     near = hamming(F.col("lp"), F.col("rp")) <= r
     met = left.join(right, (left["category"] == right["category"]) & (left["band"] == right["band"]) & (F.col("p.right_split") == F.col("rs")) & near)
     out = met.select(severity(hamming(F.col("lp"), F.col("rp")), hamming(F.col("ld"), F.col("rd")), limits).alias("severity"), left["category"], F.col("p.left_split").alias("left_split"), F.col("p.right_split").alias("right_split"), "left_id", "right_id", hamming(F.col("lp"), F.col("rp")).alias("phash_distance"), hamming(F.col("ld"), F.col("rd")).alias("dhash_distance"))

@@ -37,6 +37,7 @@ def plan(quota: DataFrame) -> DataFrame:
     p = p.withColumn("start", F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("quota"))
     every = Window.partitionBy(F.lit(1))
     p = p.withColumn("shift", F.max("family_total").over(every)).withColumn("total", F.sum("quota").over(every))
+    p = p.withColumn("width", F.ceil(F.col("total") / F.count("*").over(every)))  # of a bin of places: about one category each
     bad = F.when(F.col("fn") < 2, "a family has a single category").when(2 * F.col("shift") > F.col("total"), "a family has more than half of all units")
     return p.withColumn("shift", F.when(bad.isNotNull(), F.raise_error(bad).cast("long")).otherwise(F.col("shift"))).drop("fi", "fn")
 
@@ -46,14 +47,17 @@ def relations(images: DataFrame, templates: tuple[str, str], source: str = "gene
 
     Columns: sample_id, image_id, part_family, part_category, text_category, text_family, description, label, source."""
     p = small(plan(quotas(images)))
-    ranked = hash_rank(images, ["category"], F.col(digest), ["image_id"]).join(p.select("category", "n", "quota", "partner", "start", "shift", "total"), "category")
+    ranked = hash_rank(images, ["category"], F.col(digest), ["image_id"]).join(p.select("category", "n", "quota", "partner", "start", "shift", "total", "width"), "category")
     units = ranked.withColumn("unit", F.explode(F.sequence(F.col("rank") - 1, F.col("quota") - 1, F.col("n"))))
     rows = units.withColumn("label", F.explode(F.array(F.lit("MATCH"), F.lit("PARTIAL_MATCH"), F.lit("MISMATCH"))))
     rows = rows.withColumn("aim", (F.col("start") + F.col("unit") + F.col("shift")) % F.col("total"))
 
-    across = p.select(F.col("category").alias("t_category"), F.col("start").alias("t_start"), (F.col("start") + F.col("quota")).alias("t_end"))
+    # A place meets the categories that reach into its bin, twice as many rows as categories at most.
+    last = F.floor((F.col("start") + F.col("quota") - 1) / F.col("width"))
+    across = p.select(F.col("category").alias("t_category"), F.col("start").alias("t_start"), (F.col("start") + F.col("quota")).alias("t_end"), F.explode(F.sequence(F.floor(F.col("start") / F.col("width")), last)).alias("bin"))
+    across = small(across)
     near = rows.where("label <> 'MISMATCH'").select("*", F.when(F.col("label") == "MATCH", F.col("category")).otherwise(F.col("partner")).alias("text_category"), F.col("unit").alias("place"))
-    far = rows.where("label = 'MISMATCH'").join(across, (F.col("aim") >= F.col("t_start")) & (F.col("aim") < F.col("t_end"))).withColumn("place", F.col("aim") - F.col("t_start")).withColumnRenamed("t_category", "text_category").drop("t_start", "t_end")
+    far = rows.where("label = 'MISMATCH'").withColumn("bin", F.floor(F.col("aim") / F.col("width"))).join(across, "bin").where("aim >= t_start and aim < t_end").drop("bin").withColumn("place", F.col("aim") - F.col("t_start")).withColumnRenamed("t_category", "text_category").drop("t_start", "t_end")
     both = near.unionByName(far)
     families = p.select(F.col("category").alias("text_category"), F.col("family").alias("text_family"))
     text = F.when(F.col("place") % 2 == 0, F.lit(templates[0])).otherwise(F.lit(templates[1]))

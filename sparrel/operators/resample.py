@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from .ranking import hash_rank
 MAX_EXACT_GROUPS = 20
 REPEATS = 100_000
 BOOTSTRAP_REPEATS = 2_000
+#: Groups up to which their counts (80 bytes each for three labels) are sent to every task.
+LOCAL_GROUPS = 200_000
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, group: str) -> DataFrame:
@@ -46,17 +53,28 @@ def sign_flip_exact(diffs: DataFrame, max_groups: int = MAX_EXACT_GROUPS) -> Dat
     return diffs.sparkSession.range(1 << len(values)).agg(F.count("*").alias("assignments"), extreme.alias("extreme")).withColumn("p_value", F.col("extreme") / F.col("assignments"))
 
 
-def sign(repeat: Column, group: Column, seed: int) -> Column:
-    """-1 or 1 by the first hexadecimal digit of a digest."""
-    return F.when(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), repeat.cast("string"), group.cast("string")), 256), 1, 1) < "8", -1).otherwise(1)
-
-
 def sign_flip_monte_carlo(diffs: DataFrame, group: str, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """repeats, extreme, p_value = (extreme + 1) / (repeats + 1).  Groups without a difference change no sum and are left out."""
-    observed = diffs.agg(F.abs(F.coalesce(F.sum("difference"), F.lit(0))).alias("observed"))
-    drawn = diffs.where("difference <> 0").select(group, "difference", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
-    sums = drawn.groupBy("r").agg(F.sum(sign(F.col("r"), F.col(group), seed) * F.col("difference")).alias("s"))
-    met = sums.crossJoin(observed).agg(F.sum((F.abs("s") >= F.col("observed")).cast("long")).alias("hit"), F.count("*").alias("n"))  # one row on the right
+    """repeats, extreme, p_value = (extreme + 1) / (repeats + 1).  Groups without a difference change no sum and are left out.
+
+    A group's sign in repeat r is bit r mod 256, the highest first, of the SHA-256 of "seed|r div 256|group": 1 keeps it.  Every task adds up the sums of all
+    repeats over its groups; one number a repeat and task is shuffled."""
+    observed = diffs.agg(F.abs(F.coalesce(F.sum("difference"), F.lit(0)))).first()[0]
+    counted = diffs.where("difference <> 0").select(F.col(group).cast("string").alias("g"), F.col("difference").cast("long").alias("d"))
+    blocks = -(-repeats // 256)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_ = np.zeros(blocks * 256, np.int64), False
+        for batch in batches:
+            for g, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                digests = b"".join(hashlib.sha256(f"{seed}|{k}|{g}".encode()).digest() for k in range(blocks))
+                total += d * (2 * np.unpackbits(np.frombuffer(digests, np.uint8)).astype(np.int64) - 1)
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(repeats)), pa.array(total[:repeats])], names=["r", "s"])
+
+    tasks = diffs.sparkSession.sparkContext.defaultParallelism
+    sums = counted.repartition(tasks, "g").mapInArrow(partial, "r bigint, s bigint").groupBy("r").agg(F.sum("s").alias("s"))
+    met = sums.agg(F.sum((F.abs("s") >= observed).cast("long")).alias("hit"), F.count("*").alias("n"))
     # Without any difference every sum is 0 and as extreme as the observed one.
     extreme = F.when(F.col("n") == 0, repeats).otherwise(F.col("hit"))
     return met.select(F.lit(repeats).cast("long").alias("repeats"), extreme.cast("long").alias("extreme")).withColumn("p_value", (F.col("extreme") + 1) / (F.col("repeats") + 1))
@@ -72,16 +90,14 @@ def sign_flip(diffs: DataFrame, group: str, repeats: int = REPEATS, seed: int =
 def bootstrap_replicates(df: DataFrame, group: str, labels: list[str], repeats: int = BOOTSTRAP_REPEATS, seed: int = 42, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """replicate, accuracy, macro_f1 of whole groups drawn with replacement, as many as there are.
 
-    Rows are reduced to a group's confusion counts before any draw; draws of one group in one replicate are counted, not repeated."""
+    Rows are reduced to a group's confusion counts before any draw; draws of one group in one replicate are counted, not repeated.  Slot s of a replicate takes the
+    group whose number is the (s mod 5)-th 48-bit part of the SHA-256 of "seed|replicate|s div 5", modulo the number of groups.  Up to
+    LOCAL_GROUPS groups the counts are sent to every task, which then makes whole replicates; beyond it draws and groups meet in a join."""
     cells = [F.sum(((F.col(label) == a) & (F.col(prediction) == b)).cast("long")).alias(f"c{i}{j}") for i, a in enumerate(labels) for j, b in enumerate(labels)]
-    stats = df.groupBy(group).agg(*cells, F.count("*").alias("n"))
-    stats = _numbered(stats, group)
-    n = stats.count()
-    draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("slot").cast("string")), 256), 1, 12), 16, 10).cast("long") % F.lit(max(n, 1))
-    slots = df.sparkSession.range(repeats * n).select((F.col("id") % F.lit(repeats)).alias("replicate"), F.floor(F.col("id") / repeats).alias("slot"))
-    times = slots.select("replicate", draw.alias("number")).groupBy("replicate", "number").agg(F.count("*").alias("times"))
-    k = range(len(labels))
-    sums = times.join(stats, "number").groupBy("replicate").agg(*[F.sum(F.col(f"c{i}{j}") * F.col("times")).alias(f"c{i}{j}") for i in k for j in k], F.sum(F.col("n") * F.col("times")).alias("n"))
+    stats = _numbered(df.groupBy(group).agg(*cells, F.count("*").alias("n")), group)
+    n, k = stats.count(), range(len(labels))
+    names = [*(f"c{i}{j}" for i in k for j in k), "n"]
+    sums = _drawn_locally(stats, names, n, repeats, seed) if n <= LOCAL_GROUPS else _drawn_by_join(stats, names, n, repeats, seed)
     hits = sum((F.col(f"c{i}{i}") for i in k), F.lit(0))
 
     def f1(i: int) -> Column:
@@ -93,12 +109,49 @@ def bootstrap_replicates(df: DataFrame, group: str, labels: list[str], repeats:
     return sums.select("replicate", (hits / F.col("n")).alias("accuracy"), (sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0)) / present).alias("macro_f1"))
 
 
+def _drawn_locally(stats: DataFrame, names: list[str], n: int, repeats: int, seed: int) -> DataFrame:
+    table = stats.select("number", *names).toArrow().sort_by("number")  # at most LOCAL_GROUPS rows
+    counts = np.stack([table.column(c).to_numpy() for c in names], axis=1).astype(np.int64) if n else np.zeros((0, len(names)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for replicate in batch.column(0).to_pylist():
+                digests = b"".join(hashlib.sha256(f"{seed}|{replicate}|{k}".encode()).digest()[:30] for k in range(-(-n // 5)))
+                parts = np.zeros((len(digests) // 6, 8), np.uint8)
+                parts[:, 2:] = np.frombuffer(digests, np.uint8).reshape(-1, 6)
+                numbers = (parts.view(">u8").ravel()[:n] % np.uint64(n)).astype(np.int64)
+                found.append(np.bincount(numbers, minlength=n) @ counts)
+            sums = np.array(found, np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sums[:, i]) for i in range(len(names)))], names=["replicate", *names])
+
+    spark = stats.sparkSession
+    replicates = spark.range(0, repeats if n else 0, 1, max(1, min(repeats, 4 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "replicate")
+    return replicates.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("replicate", *names)))
+
+
+def _drawn_by_join(stats: DataFrame, names: list[str], n: int, repeats: int, seed: int) -> DataFrame:
+    blocks = -(-n // 5)
+    digests = stats.sparkSession.range(repeats * blocks).select((F.col("id") % repeats).alias("replicate"), F.floor(F.col("id") / repeats).alias("block"))
+    digests = digests.withColumn("x", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("block").cast("string")), 256))
+    parts = digests.select("replicate", "block", F.posexplode(F.array(*[F.substring("x", 1 + 12 * j, 12) for j in range(5)])).alias("j", "part")).where(F.col("block") * 5 + F.col("j") < n)
+    times = parts.select("replicate", (F.conv("part", 16, 10).cast("long") % F.lit(n)).alias("number")).groupBy("replicate", "number").agg(F.count("*").alias("times"))
+    return times.join(stats, "number").groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in names])
+
+
 def _numbered(stats: DataFrame, group: str) -> DataFrame:
     """stats with a dense number from 0, by digest of the group."""
     ranked = hash_rank(stats.withColumn("_all", F.lit(1)), ["_all"], F.sha2(F.col(group).cast("string"), 256), [group], prefix=3)
     return ranked.withColumn("number", F.col("rank") - 1).drop("rank", "rank_of", "_all")
 
 
-def bootstrap_interval(replicates: DataFrame) -> DataFrame:
-    """95% intervals of accuracy and macro F1, by linear interpolation."""
-    return replicates.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{name}") for m in ("accuracy", "macro_f1") for name, q in (("low", 0.025), ("high", 0.975))])
+def bootstrap_interval(accuracy: DataFrame, macro_f1: DataFrame) -> DataFrame:
+    """95% intervals of accuracy and macro F1, by linear interpolation; each metric from replicates of its own."""
+    limits = lambda df, m: df.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{name}") for name, q in (("low", 0.025), ("high", 0.975))])
+    return limits(accuracy, "accuracy").crossJoin(limits(macro_f1, "macro_f1"))  # one row each
+
+
+def bootstrap(df: DataFrame, group: str, labels: list[str], repeats: int = BOOTSTRAP_REPEATS, seed: int = 42, **columns: str) -> DataFrame:
+    """The intervals of a table of predictions: accuracy drawn with the seed, macro F1 with the next one."""
+    one, other = (bootstrap_replicates(df, group, labels, repeats, s, **columns) for s in (seed, seed + 1))
+    return bootstrap_interval(one, other)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +14,12 @@ from .. import findable
 from ..functions import columns as C
 from ..functions import text as T
 from ..operators import audit, metrics, models, near_duplicates, pairs, ranking, resample
-from ..sources import readers
+from ..sources import readers, sinks
+from . import workflows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATES = ["F", "O", "P"]
-TEMPLATES = ("An offer of the kind {name}.", "Its text says {name}.")
+TEMPLATES = ("A: {name}", "B: {name}")
 LIMITS = (("very_strict", 16, 24), ("strict", 20, 28), ("screen", 24, 32))
 
 
@@ -72,7 +76,12 @@ def partners(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), C.median_hash(F.col("embedding")).alias("phash"), C.difference_hash(F.col("embedding")).alias("dhash"))
+    """Embeddings as images: 32 rows of 32 values, each row three values further on, and 8 rows of 9 values."""
+    twice = F.concat("embedding", "embedding")
+    square = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice(twice, 3 * i + 1, 32))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(twice, 8 * i + 1, 9))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), C.perceptual_hash(square).alias("phash"), C.difference_hash(rows).alias("dhash"))
+    e = sinks.written(e, "hashes")  # read several times
     return ranking.stratified_split(e, "category", "id").drop("rank")
 
 
@@ -101,13 +110,19 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def S1_image_manifest(spark, sf):
-    m = audit.require_columns(images(spark, sf), ("image_id", "category", "family", "sha256"))
-    return m.select("image_id", "category", "family", "sha256")
+    """A manifest written as CSV and read with its schema and required columns."""
+    path, columns = sinks.shared_dir(spark, "manifest"), ("image_id", "category", "family", "sha256")
+    images(spark, sf).select(*columns).write.option("header", True).csv(path)
+    return readers.csv(spark, path, columns, "image_id bigint, category string, family string, sha256 string")
 
 
 @query
 def S2_split_relations(spark, sf):
-    return split_images(spark, sf).where("split = 'train'").select("image_id", "category", "split")
+    """Relations written by split, of which the guarded reader reads one."""
+    path = sinks.shared_dir(spark, "relations")
+    split = split_images(spark, sf).select("image_id", "split")
+    sinks.write_partitioned(relations(spark, sf).join(split, "image_id").select("sample_id", "label", "split"), path)
+    return readers.relations(spark, path, "validation").select("sample_id", "label", "split")
 
 
 @query
@@ -117,8 +132,12 @@ def S3_category_index(spark, sf):
 
 @query
 def S4_json_document(spark, sf):
-    k = F.from_json("props", "k bigint")["k"]
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
+    """Properties of events written as JSON documents and read again."""
+    path = sinks.shared_dir(spark, "json")
+    table(spark, sf, "events").select(F.to_json(F.struct("event_type", F.from_json("props", "k bigint").alias("props"))).alias("value")).write.text(path)
+    k = F.col("props.k")
+    read = spark.read.schema("event_type string, props struct<k: bigint>").json(path)
+    return read.groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
 
 
 @query
@@ -132,6 +151,136 @@ def S8_lazy_dataset(spark, sf):
     return d.select("sample_id", F.col("label_code").cast("long").alias("label_code"), F.col("image_code").cast("long").alias("image_code"), F.col("text_code").cast("long").alias("text_code"), F.round(F.col("features")[0].cast("double"), 6).alias("f0"))
 
 
+def archives(spark: SparkSession, sf: str) -> DataFrame:
+    """A zip archive (path, content) for each document, which holds its text."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr(f"data/{doc_id}.jpg", text or "")
+                names.append(str(doc_id))
+                contents.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(packed, "path string, content binary")
+
+
+@query
+def S5_archive_members(spark, sf):
+    return readers.inspect_archive(archives(spark, sf), "data/").select("archive", "path", "safe", "crc_ok", "bytes", "sha256")
+
+
+@query
+def S6_S7_collected_files(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("category"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return readers.collect_manifest(d, 250, table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("sha256")))
+
+
+@query
+def S10_cached_features(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    path = sinks.shared_dir(spark, "features")
+    readers.cached_features(spark, path, e, "vec_id", lambda: e)
+    return readers.cached_features(spark, path, e, "vec_id", lambda: e.where("false"))  # kept, not built again
+
+
+@query
+def S11_single_record(spark, sf):
+    return readers.single_record(spark, "files/a.PNG", "  a small thing ")
+
+
+@query
+def K1_csv_report(spark, sf):
+    path = sinks.shared_dir(spark, "csv")
+    sinks.write_csv(images(spark, sf).select("image_id", "category", "family"), path, ["category", "image_id"])
+    return readers.csv(spark, path, ["image_id", "category", "family"], "image_id bigint, category string, family string")
+
+
+@query
+def K2_K3_documents(spark, sf):
+    """Documents written once, then only when they change; 1 where the sink wrote."""
+    path = sinks.shared_dir(spark, "document") + ".json"
+    counts = {r.n_name: r.n_regionkey for r in table(spark, sf, "nation").collect()}  # 25 rows
+    sinks.write_json(counts, path)
+    wrote = [sinks.write_if_changed(d, path) for d in (counts, counts | {"more": 1})]
+    return spark.createDataFrame([(int(wrote[0]), int(wrote[1]), sinks.digest(path))], "same int, changed int, sha256 string")
+
+
+@query
+def K4_K5_partitioned(spark, sf):
+    path = sinks.shared_dir(spark, "partitioned")
+    s = split_images(spark, sf).select("image_id", "category", "split")
+    sinks.write_partitioned(s.where("image_id < 0"), path)
+    sinks.write_partitioned(s, path, mode="overwrite")
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("images"))
+
+
+@query
+def K6_saved_model(spark, sf):
+    """Layers of a model that was saved and loaded again, and the size of its vocabulary."""
+    d = split_documents(spark, sf).where("split = 'train'")
+    vocabulary = T.fit(d, "doc_id", "text", 64)
+    path = sinks.shared_dir(spark, "model")
+    models.save(models.HeadNetwork("multimodal", 64, 64, 3, categories=25), vocabulary, path)
+    network, terms, _ = models.load(spark, path)
+    rows = [(k, w.size) for k, w in network.weights.items()]
+    return spark.createDataFrame(rows, "layer string, size long").unionByName(terms.agg(F.lit("terms").alias("layer"), F.count("*").alias("size")))
+
+
+@query
+def K8_F3_model_summary(spark, sf):
+    network = models.HeadNetwork("multimodal", 64, 16, 3, categories=25, hidden=8)
+    lines = sinks.model_summary(network.weights).split("\n")
+    again = {k: w.copy() for k, w in network.weights.items()}
+    same = sinks.state_digest(network.weights) == sinks.state_digest(again)
+    again["o"][0, 0] += 1
+    return spark.createDataFrame([(lines[-1], len(lines), same, sinks.state_digest(network.weights) == sinks.state_digest(again))], "total string, lines int, same boolean, changed_same boolean")
+
+
+@query
+def K9_lineage(spark, sf):
+    found = sinks.lineage(spark, 44, {"nation": "x"})
+    return spark.createDataFrame([(found["seed"], found["spark"], len(found["inputs"]), bool(found["revision"]))], "seed long, spark string, inputs int, revision_known boolean")
+
+
+@query
+def P17_lock(spark, sf):
+    """What differs from a lock: before, and after a file and a flag change."""
+    folder = sinks.shared_dir(spark, "lock")
+    files = [f"{folder}/{name}.json" for name in ("a", "b")]
+    for f in files:
+        sinks.write_json({"n": table(spark, sf, "region").count()}, f)
+    sinks.write_lock(files, f"{folder}/lock.json", official=True)
+    before = sinks.verify_lock(f"{folder}/lock.json", folder, official=True)
+    sinks.write_json({"n": 0}, files[1], overwrite=True)
+    after = sinks.verify_lock(f"{folder}/lock.json", folder, official=False)
+    return spark.createDataFrame([("before", x) for x in before] + [("after", x) for x in after], "moment string, difference string")
+
+
+@query
+def P19_forbidden_text(spark, sf):
+    return audit.forbidden_text(table(spark, sf, "documents"), "doc_id", "text", ["@", "http", "password"])
+
+
+@query
+def A24_recomputed(spark, sf):
+    """Stored metrics that the predictions don't give."""
+    r = metrics.blocks(predictions(spark, sf), "group_id").first()
+    wrong = audit.recomputed({"accuracy": r.accuracy, "rows": r.rows}, {"accuracy": r.accuracy, "rows": r.rows + 1, "lost": 1.0})
+    return spark.createDataFrame([(w,) for w in wrong], "metric string")
+
+
+@query
+def W3_selection(spark, sf):
+    """Candidates by category and candidate id in an order by digest, the first of each category selected."""
+    c = images(spark, sf).select("category", F.concat_ws("|", "category", "image_id").alias("candidate"))
+    ranked = ranking.hash_rank(c, ["category"], F.sha2("candidate", 256), ["candidate"])
+    return ranked.where("rank <= 10").select("category", "candidate", F.col("rank").cast("long").alias("selection_order"))
+
+
 @query
 def S9_hash_manifest(spark, sf):
     d = table(spark, sf, "documents")
@@ -208,7 +357,7 @@ def P13_rule_violations(spark, sf):
 def P14_content_hashes(spark, sf):
     d = table(spark, sf, "documents")
     manifest = d.select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
-    return audit.content_hashes(d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), manifest)
+    return audit.content_hashes(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), manifest)
 
 
 @query
@@ -243,14 +392,16 @@ def J2_feature_lookup(spark, sf):
     n = table(spark, sf, "embeddings").count()
     e = table(spark, sf, "embeddings").select(F.col("vec_id"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("feature_sum"))
     r = images(spark, sf).withColumn("vec_id", F.col("image_id") % n)
-    return r.join(e, "vec_id").select("image_id", "vec_id", "feature_sum")
+    return workflows.looked_up(r, e, "vec_id", "feature_sum").select("image_id", "vec_id", "feature_sum")
 
 
 @query
 def J3_text_lookup(spark, sf):
     d = table(spark, sf, "documents")
     once = d.select("text").distinct().select("text", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
-    return d.join(once, "text").select("doc_id", "n_tokens")
+    known = d.where("text is not null")
+    found = workflows.looked_up(known, once, "text", "n_tokens").select("doc_id", "n_tokens")
+    return found.unionByName(d.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n_tokens")))
 
 
 @query
@@ -268,6 +419,16 @@ def J8_near_duplicate_pairs(spark, sf):
     return near(spark, sf).select("severity", "category", "left_split", "right_split", "left_id", "right_id", F.col("phash_distance").cast("long").alias("phash_distance"), F.col("dhash_distance").cast("long").alias("dhash_distance"))
 
 
+@query
+def J8_banded_near_duplicates(spark, sf):
+    """Hashes of the train split, and copies of them with up to six bits changed as the test split."""
+    h = hashes(spark, sf).where("split = 'train'")
+    changed = F.expr("shiftleft(1L, cast(id % 64 as int)) | shiftleft(id % 32, 7)")
+    copies = h.select((F.col("id") + 1_000_000).alias("id"), "category", F.lit("test").alias("split"), F.col("phash").bitwiseXOR(changed).alias("phash"), "dhash")
+    found = near_duplicates.pairs(h.select("id", "category", "split", "phash", "dhash").unionByName(copies), (("very_strict", 4, 6), ("strict", 6, 8), ("screen", 8, 10)))
+    return found.select("severity", "left_id", "right_id", F.col("phash_distance").cast("long").alias("phash_distance"), F.col("dhash_distance").cast("long").alias("dhash_distance"))
+
+
 @query
 def J9_split_overlap(spark, sf):
     return audit.overlap(split_images(spark, sf), "split", list(readers.SPLITS), ["image_id", "segment", "sha256"])
@@ -414,12 +575,12 @@ def A18_sign_flip_exact(spark, sf):
 @query
 def A19_sign_flip_monte_carlo(spark, sf):
     a, b = majority_rows(spark, sf)
-    return rounded(resample.sign_flip_monte_carlo(resample.differences(resample.paired(a, b, "sample_id", "group_id"), "group_id"), "group_id", repeats=200))
+    return rounded(resample.sign_flip_monte_carlo(resample.differences(resample.paired(a, b, "sample_id", "group_id"), "group_id"), "group_id"))
 
 
 @query
 def A20_cluster_bootstrap(spark, sf):
-    return rounded(resample.bootstrap_interval(resample.bootstrap_replicates(predictions(spark, sf), "group_id", STATES, repeats=200)))
+    return rounded(resample.bootstrap(predictions(spark, sf), "group_id", STATES))
 
 
 @query
@@ -517,7 +678,7 @@ def U1_U2_unions(spark, sf):
 
 @query
 def U3_U6_sets(spark, sf):
-    a, b = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    a, b = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
     parts = {"intersection": a.intersect(b), "left_only": a.subtract(b), "right_only": b.subtract(a), "symmetric_difference": a.subtract(b).union(b.subtract(a))}
     return audit.union([p.agg(F.count("*").alias("n")).select(F.lit(k).alias("set"), "n") for k, p in parts.items()])
 
@@ -588,7 +749,8 @@ def F15_softmax(spark, sf):
 @query
 def F16_F21_arrays(spark, sf):
     e = table(spark, sf, "embeddings")
-    n = C.normalize(F.slice("embedding", 1, 8), 0.485, 0.229)
+    colours = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.slice("embedding", 3 * i + 1, 3), lambda x: x.cast("double") * 255))
+    n = F.flatten(C.normalize(colours, C.CHANNEL_MEANS, C.CHANNEL_DEVIATIONS))
     pixels = C.pixel_vector(F.array(F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double") * 255), F.transform(F.slice("embedding", 3, 2), lambda x: x.cast("double") * 255)))
     joined = F.concat(n, pixels)
     return rounded(e.select("vec_id", F.size(joined).cast("long").alias("size"), joined[0].alias("first"), F.element_at(joined, -1).alias("last")))
@@ -615,7 +777,7 @@ def labelled_features(spark: SparkSession, sf: str, image: bool) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     d = split_documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    rows = d.join(T.dense(d, T.fit(d.where("split = 'train'"), "doc_id", "text", 128), "doc_id", "text", "x"), "doc_id")
+    rows = d.join(T.dense(d, T.fit(d.where("split = 'train'"), "doc_id", "text", 512), "doc_id", "text", "x"), "doc_id")
     if image:
         e = table(spark, sf, "embeddings")
         rows = rows.withColumn("vec_id", F.col("doc_id") % e.count()).join(e.select("vec_id", "embedding"), "vec_id").withColumn("x", C.beside(F.col("embedding"), F.col("x")))

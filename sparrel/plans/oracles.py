@@ -27,19 +27,21 @@ lab AS (SELECT 'MATCH' AS label, pos, image_id, family, category, category AS tc
         UNION ALL SELECT 'MISMATCH', a.pos, a.image_id, a.family, a.category, b.category FROM place a, z, place b WHERE b.pos = (a.pos + m) % z),
 num AS (SELECT *, (row_number() OVER (PARTITION BY label, tcat ORDER BY pos) - 1) % 2 AS template, row_number() OVER (PARTITION BY image_id, label ORDER BY pos) AS occ FROM lab),
 rel AS (SELECT CAST(image_id AS VARCHAR) || '_' || lower(label) || '_' || lpad(CAST(occ AS VARCHAR), 2, '0') AS sample_id, image_id, num.family AS part_family, num.category AS part_category, tcat AS text_category,
-               cnt.family AS text_family, CASE template WHEN 0 THEN 'An offer of the kind ' ELSE 'Its text says ' END || replace(tcat, '_', ' ') || '.' AS description, label, 'generated' AS source
+               cnt.family AS text_family, CASE template WHEN 0 THEN 'A: ' ELSE 'B: ' END || replace(tcat, '_', ' ') AS description, label, 'generated' AS source
         FROM num JOIN cnt ON cnt.category = tcat)"""
 PARTNERS = QUOTA + """,
 line AS (SELECT q.*, row_number() OVER (ORDER BY family, category) - 1 AS k, count(*) OVER () AS z FROM q),
 partners AS (SELECT line.category, line.family, a.category AS partial_partner, b.category AS mismatch_partner
              FROM line JOIN line a ON a.family = line.family AND a.fi = (line.fi + 1) % line.fn JOIN line b ON b.k = (line.k + line.fn) % line.z)"""
 HASH = """
-v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS category, embedding AS e FROM embeddings),
-med AS (SELECT id, median(CAST(x AS DOUBLE)) AS m FROM (SELECT id, unnest(e[2:]) AS x FROM v) GROUP BY id),
-h0 AS (SELECT v.id, category,
-   list_reduce(list_prepend(CAST(0 AS BIGINT), [CASE WHEN CAST(x AS DOUBLE) > m THEN CAST(1 AS BIGINT) ELSE 0 END for x in e[2:]]), lambda a, b: a * 2 + b) AS phash,
-   list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(e)), lambda i: CASE WHEN e[i + 1] > e[i] THEN CAST(1 AS BIGINT) ELSE 0 END)), lambda a, b: a * 2 + b) AS dhash
-   FROM v JOIN med USING (id)),
+v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS category, [CAST(x AS DOUBLE) for x in list_concat(embedding, embedding)] AS e FROM embeddings),
+cosine AS (SELECT u, i, sqrt((CASE WHEN u = 0 THEN 1 ELSE 2 END) / 32e0) * cos(pi() * (2 * i + 1) * u / 64) AS c FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS i)),
+down AS (SELECT id, u, j, sum(c * e[3 * i + j + 1]) AS t FROM v, cosine, (SELECT unnest(range(32)) AS j) GROUP BY id, u, j),
+corner AS (SELECT id, 8 * down.u + cosine.u AS place, sum(t * c) AS x FROM down JOIN cosine ON down.j = cosine.i GROUP BY id, down.u, cosine.u),
+mid AS (SELECT id, median(x) AS m FROM corner WHERE place > 0 GROUP BY id),
+ph AS (SELECT id, string_agg(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY place) AS bits FROM corner JOIN mid USING (id) GROUP BY id),
+dh AS (SELECT id, string_agg(CASE WHEN e[8 * r + c + 2] > e[8 * r + c + 1] THEN '1' ELSE '0' END, '' ORDER BY r, c) AS bits FROM v, (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c) GROUP BY id),
+h0 AS (SELECT v.id, category, CAST(CAST(ph.bits AS BIT) AS BIGINT) AS phash, CAST(CAST(dh.bits AS BIT) AS BIGINT) AS dhash FROM v JOIN ph ON ph.id = v.id JOIN dh ON dh.id = v.id),
 hr AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('44|' || CAST(id AS VARCHAR)), id) AS rank, CAST(round_even(count(*) OVER (PARTITION BY category) * 0.15e0, 0) AS BIGINT) AS part FROM h0),
 hs AS (SELECT id, category, phash, dhash, CASE WHEN rank <= part THEN 'test' WHEN rank <= 2 * part THEN 'validation' ELSE 'train' END AS split FROM hr)"""
 NEAR = HASH + """,
@@ -84,7 +86,21 @@ STATES = "['F', 'O', 'P']"
 MODES = "(SELECT unnest(['clean', 'natural']) AS text_mode)"
 ORACLE_SQL: dict[str, str] = {
     "S1_image_manifest": f"WITH {IMG} SELECT image_id, category, family, sha256 FROM img",
-    "S2_split_relations": f"WITH {SPLIT} SELECT image_id, category, split FROM s WHERE split = 'train'",
+    "S2_split_relations": f"WITH {REL}, {SPLIT.removeprefix(IMG + ',')} SELECT sample_id, label, split FROM rel JOIN s USING (image_id) WHERE split = 'validation'",
+    "S5_archive_members": "SELECT CAST(doc_id AS VARCHAR) AS archive, 'data/' || CAST(doc_id AS VARCHAR) || '.jpg' AS path, true AS safe, true AS crc_ok, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "S6_S7_collected_files": """WITH d AS (SELECT lang, sha256(coalesce(text, '')) AS h FROM documents), x AS (SELECT 'category_size' AS "check", (SELECT count(*) FROM (SELECT lang FROM d GROUP BY lang HAVING count(*) <> 250)) AS value
+      UNION ALL SELECT 'repeated_content', count(*) - count(DISTINCT h) FROM d UNION ALL SELECT 'known_content', count(*) FROM d WHERE h IN (SELECT sha256(text) FROM benchmark)) SELECT "check", value, value = 0 AS ok FROM x""",
+    "S10_cached_features": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
+    "S11_single_record": "SELECT 'files/a.PNG' AS path, 'a small thing' AS description",
+    "K1_csv_report": f"WITH {IMG} SELECT image_id, category, family FROM img",
+    "K2_K3_documents": """SELECT 0 AS same, 1 AS changed, sha256('{' || chr(10) || (SELECT string_agg('  "' || k || '": ' || CAST(v AS VARCHAR), ',' || chr(10) ORDER BY k) FROM (SELECT n_name AS k, n_regionkey AS v FROM nation UNION ALL SELECT 'more', 1)) || chr(10) || '}' || chr(10)) AS sha256""",
+    "K4_K5_partitioned": f"WITH {SPLIT} SELECT split, count(*) AS images FROM s GROUP BY split",
+    "K6_saved_model": """SELECT layer, CAST(size AS BIGINT) AS size FROM (VALUES ('i', 64 * 128), ('t', 64 * 128), ('h', 256 * 128), ('o', 128 * 3), ('ci', 128 * 25), ('ct', 128 * 25), ('i_bias', 128), ('t_bias', 128), ('h_bias', 128), ('o_bias', 3), ('ci_bias', 25), ('ct_bias', 25), ('terms', 64)) AS x(layer, size)""",
+    "K8_F3_model_summary": "SELECT 'total ' || CAST(64 * 8 + 16 * 8 + 16 * 8 + 8 * 3 + 2 * 8 * 25 + 3 * 8 + 3 + 2 * 25 AS VARCHAR) AS total, 13 AS lines, true AS same, false AS changed_same",
+    "P17_lock": "SELECT * FROM (VALUES ('after', 'flag official'), ('after', 'changed b.json')) AS x(moment, difference)",
+    "P19_forbidden_text": "SELECT doc_id AS path, word FROM documents, (VALUES ('@'), ('http'), ('password')) AS w(word) WHERE contains(text, word)",
+    "A24_recomputed": "SELECT * FROM (VALUES ('rows'), ('lost')) AS x(metric)",
+    "W3_selection": f"WITH {IMG}, c AS (SELECT category, category || '|' || CAST(image_id AS VARCHAR) AS candidate FROM img) SELECT category, candidate, row_number() OVER (PARTITION BY category ORDER BY sha256(candidate), candidate) AS selection_order FROM c QUALIFY selection_order <= 10",
     "S3_category_index": "SELECT n_name AS category, r_name AS family, rank() OVER (ORDER BY n_name) - 1 AS index FROM nation JOIN region ON n_regionkey = r_regionkey",
     "S4_json_document": "SELECT event_type, count(*) AS events, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(props->>'k' AS BIGINT)) AS k_max FROM events GROUP BY event_type",
     "S8_lazy_dataset": f"""WITH {REL}, c AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation)
@@ -108,7 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     "P13_rule_violations": f"""WITH {REL} SELECT count(*) AS total, count(*) FILTER (label = 'MATCH' AND part_category <> text_category) AS match_violations,
       count(*) FILTER (label = 'PARTIAL_MATCH' AND (part_category = text_category OR part_family <> text_family)) AS partial_violations, count(*) FILTER (label = 'MISMATCH' AND part_family = text_family) AS mismatch_violations,
       count(*) FILTER (a.family <> part_family OR b.family <> text_family) AS family_violations FROM rel JOIN cnt a ON a.category = part_category JOIN cnt b ON b.category = text_category""",
-    "P14_content_hashes": "SELECT count(*) AS files, count(*) FILTER (doc_id % 7 = 0) AS missing, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 10 = 0) AS mismatched FROM documents",
+    "P14_content_hashes": "SELECT count(*) AS files, CAST(0 AS BIGINT) AS missing, count(*) FILTER (doc_id % 10 = 0) AS mismatched FROM documents",
     "P15_path_policy": f"""WITH {SPLIT} SELECT 'open_under_prefix' AS "check", CAST(0 AS BIGINT) AS value, true AS ok
       UNION ALL SELECT 'locked_elsewhere', count(*) FILTER (split = 'test' AND image_id % 11 = 0) AS v, v = 0 FROM s""",
     "P16_plan_check": f"""WITH {PARTNERS}, x AS (SELECT * FROM (SELECT 'categories_per_family' AS "check", (SELECT count(*) FROM (SELECT family FROM partners GROUP BY family HAVING count(*) <> 5)) AS value)
@@ -120,12 +136,16 @@ ORACLE_SQL: dict[str, str] = {
     "P18_provenance": """SELECT 'placeholders' AS "check", count(*) FILTER (event_type = 'purchase') AS value, count(*) FILTER (event_type = 'purchase') = 0 AS ok FROM events UNION ALL SELECT 'reviewed_not_set', count(*) FILTER (NOT value > 1) AS v, v = 0 FROM events""",
     "P21_any_contains": "SELECT p_partkey FROM part WHERE p_name ILIKE '%econ%' OR p_brand ILIKE '%econ%' OR p_type ILIKE '%econ%'",
     "J2_feature_lookup": "SELECT c_custkey AS image_id, vec_id, round(list_sum([CAST(x AS DOUBLE) for x in embedding]), 4) AS feature_sum FROM customer JOIN embeddings ON vec_id = c_custkey % (SELECT count(*) FROM embeddings)",
-    "J3_text_lookup": f"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_tokens FROM documents",
+    "J3_text_lookup": f"SELECT doc_id, CAST(coalesce(len({TOKENS}), 0) AS BIGINT) AS n_tokens FROM documents",
     "J4_J6_relation_pairs": f"WITH {REL} SELECT * FROM rel",
     "J7_expand_modes": f"""WITH {PARTNERS} SELECT CAST(image_id AS VARCHAR) || '_' || text_mode || '_' || lower(label) AS sample_id, image_id, category AS part_category, text_category, label, text_mode FROM (
       SELECT image_id, img.category, 'MATCH' AS label, img.category AS text_category FROM img UNION ALL SELECT image_id, img.category, 'PARTIAL_MATCH', partial_partner FROM img JOIN partners USING (category)
       UNION ALL SELECT image_id, img.category, 'MISMATCH', mismatch_partner FROM img JOIN partners USING (category)), {MODES}""",
     "J8_near_duplicate_pairs": f"WITH {NEAR} SELECT severity, category, left_split, right_split, left_id, right_id, pd AS phash_distance, dd AS dhash_distance FROM found",
+    "J8_banded_near_duplicates": f"""WITH {HASH}, h AS (SELECT * FROM hs WHERE split = 'train'),
+      c AS (SELECT id + 1000000 AS id, category, xor(phash, CAST(1::HUGEINT << CAST(id % 64 AS INTEGER) AS UBIGINT)::BIT::BIGINT | ((id % 32) << 7)) AS phash, dhash FROM h),
+      m AS (SELECT h.id AS left_id, c.id AS right_id, CAST(bit_count(xor(h.phash, c.phash)) AS BIGINT) AS p, CAST(bit_count(xor(h.dhash, c.dhash)) AS BIGINT) AS d FROM h JOIN c USING (category))
+      SELECT CASE WHEN p <= 4 AND d <= 6 THEN 'very_strict' WHEN p <= 6 AND d <= 8 THEN 'strict' ELSE 'screen' END AS severity, left_id, right_id, p AS phash_distance, d AS dhash_distance FROM m WHERE p <= 8 AND d <= 10""",
     "J9_split_overlap": f"""WITH {SPLIT}, l AS (SELECT split, 'image_id' AS "column", CAST(image_id AS VARCHAR) AS v FROM s UNION SELECT split, 'segment', segment FROM s UNION SELECT split, 'sha256', sha256 FROM s),
       pairs AS (SELECT * FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) AS x("left", "right")), cols AS (SELECT DISTINCT "column" FROM l)
       SELECT "left", "right", cols."column", (SELECT count(*) FROM l a JOIN l b ON a.v = b.v AND a."column" = b."column" WHERE a.split = "left" AND b.split = "right" AND a."column" = cols."column") AS shared FROM pairs, cols""",
@@ -173,14 +193,21 @@ ORACLE_SQL: dict[str, str] = {
       t AS (SELECT a, abs(sum(CASE WHEN (a >> i) & 1 = 1 THEN v ELSE -v END)) AS s FROM a, num GROUP BY a)
       SELECT count(*) AS assignments, count(*) FILTER (s >= (SELECT abs(sum(v)) FROM d)) AS extreme, round(count(*) FILTER (s >= (SELECT abs(sum(v)) FROM d)) / count(*), 6) AS p_value FROM t""",
     "A19_sign_flip_monte_carlo": f"""WITH {PAIRED}, d AS (SELECT group_id, sum(l - r) AS v FROM pair GROUP BY group_id),
-      t AS (SELECT r, abs(sum(CASE WHEN left(sha256('42|' || CAST(r AS VARCHAR) || '|' || CAST(group_id AS VARCHAR)), 1) < '8' THEN -v ELSE v END)) AS s FROM d, (SELECT unnest(range(200)) AS r) GROUP BY r)
+      h AS (SELECT v, b, sha256('42|' || CAST(b AS VARCHAR) || '|' || CAST(group_id AS VARCHAR)) AS x FROM d, (SELECT unnest(range(391)) AS b) WHERE v <> 0),
+      digit AS (SELECT b, k, v, strpos('0123456789abcdef', substr(x, CAST(k + 1 AS INTEGER), 1)) - 1 AS y FROM h, (SELECT unnest(range(64)) AS k)),
+      four AS (SELECT b, k, [sum(CASE WHEN y >= 8 THEN v ELSE -v END), sum(CASE WHEN y & 4 > 0 THEN v ELSE -v END), sum(CASE WHEN y & 2 > 0 THEN v ELSE -v END), sum(CASE WHEN y & 1 > 0 THEN v ELSE -v END)] AS z FROM digit GROUP BY b, k),
+      t AS (SELECT abs(s) AS s FROM (SELECT b * 256 + k * 4 AS r, unnest(z) AS s, unnest(range(4)) AS i FROM four) WHERE r + i < 100000)
       SELECT count(*) AS repeats, count(*) FILTER (s >= (SELECT abs(sum(v)) FROM d)) AS extreme, round((count(*) FILTER (s >= (SELECT abs(sum(v)) FROM d)) + 1) / (count(*) + 1), 6) AS p_value FROM t""",
     "A20_cluster_bootstrap": f"""WITH {P}, g AS (SELECT group_id, row_number() OVER (ORDER BY sha256(CAST(group_id AS VARCHAR)), group_id) - 1 AS i, count(*) OVER () AS z FROM (SELECT DISTINCT group_id FROM p)),
-      draw AS (SELECT b, CAST(concat('0x', left(sha256('42|' || CAST(b AS VARCHAR) || '|' || CAST(j AS VARCHAR)), 12)) AS BIGINT) % z AS i FROM (SELECT unnest(range(200)) AS b), (SELECT z, unnest(range(z)) AS j FROM (SELECT max(z) AS z FROM g))),
-      cell AS (SELECT b, label, prediction, count(*) AS n FROM draw JOIN g USING (i) JOIN p USING (group_id) GROUP BY ALL),
-      lab AS (SELECT b, c, sum(t) AS sup, sum(q) AS pred, sum(h) AS hit FROM (SELECT b, label AS c, n AS t, 0 AS q, CASE WHEN label = prediction THEN n ELSE 0 END AS h FROM cell UNION ALL SELECT b, prediction, 0, n, 0 FROM cell) GROUP BY ALL),
-      rep AS (SELECT b, (SELECT sum(n) FILTER (label = prediction) / sum(n) FROM cell WHERE cell.b = lab.b) AS acc, avg(2e0 * hit / (sup + pred)) AS f FROM lab GROUP BY b)
-      SELECT round(quantile_cont(acc, 0.025), 6) AS accuracy_low, round(quantile_cont(acc, 0.975), 6) AS accuracy_high, round(quantile_cont(f, 0.025), 6) AS macro_f1_low, round(quantile_cont(f, 0.975), 6) AS macro_f1_high FROM rep""",
+      x AS (SELECT seed, b, j, z, sha256(CAST(seed AS VARCHAR) || '|' || CAST(b AS VARCHAR) || '|' || CAST(j // 5 AS VARCHAR)) AS x
+            FROM (VALUES (42), (43)) AS seeds(seed), (SELECT unnest(range(2000)) AS b), (SELECT z, unnest(range(z)) AS j FROM (SELECT max(z) AS z FROM g))),
+      draw AS (SELECT seed, b, CAST(concat('0x', substr(x, CAST(1 + 12 * (j % 5) AS INTEGER), 12)) AS BIGINT) % z AS i FROM x),
+      own AS (SELECT i, label, prediction, count(*) AS n FROM g JOIN p USING (group_id) GROUP BY ALL),
+      cell AS (SELECT seed, b, label, prediction, sum(n) AS n FROM draw JOIN own USING (i) GROUP BY ALL),
+      lab AS (SELECT seed, b, c, sum(t) AS sup, sum(q) AS pred, sum(h) AS hit FROM (SELECT seed, b, label AS c, n AS t, 0 AS q, CASE WHEN label = prediction THEN n ELSE 0 END AS h FROM cell UNION ALL SELECT seed, b, prediction, 0, n, 0 FROM cell) GROUP BY ALL),
+      acc AS (SELECT b, sum(n) FILTER (label = prediction) / sum(n) AS acc FROM cell WHERE seed = 42 GROUP BY b),
+      f AS (SELECT b, avg(2e0 * hit / (sup + pred)) AS f FROM lab WHERE seed = 43 GROUP BY b)
+      SELECT round(quantile_cont(acc, 0.025), 6) AS accuracy_low, round(quantile_cont(acc, 0.975), 6) AS accuracy_high, round(quantile_cont(f, 0.025), 6) AS macro_f1_low, round(quantile_cont(f, 0.975), 6) AS macro_f1_high FROM acc JOIN f USING (b)""",
     "A21_ablation": f"""WITH {P}, run AS (SELECT category, sample_id % 3 AS seed, avg(CAST(label = prediction AS INTEGER)) AS a, min(prediction) AS m FROM p GROUP BY ALL)
       SELECT category, round(avg(a), 6) AS mean_metric, round(min(a), 6) AS min_metric, round(max(a), 6) AS max_metric, count(DISTINCT m) = 1 AS collapsed, round(0.4e0 - avg(a), 6) AS gap_to_selected FROM run GROUP BY category""",
     "A22_rule_diagnostic": f"""WITH {REL}, nx AS (SELECT a.category, b.category AS nxt FROM q a JOIN q b ON a.family = b.family AND b.fi = (a.fi + 1) % a.fn),
@@ -206,7 +233,7 @@ ORACLE_SQL: dict[str, str] = {
     "O6_seeded_sample": f"WITH {IMG} SELECT segment, image_id, row_number() OVER (PARTITION BY segment ORDER BY sha256('44|' || CAST(image_id AS VARCHAR)), image_id) AS rank FROM img QUALIFY rank <= 15",
     "O8_sorted_distinct": "SELECT row_number() OVER (ORDER BY p_type, p_brand) AS position, p_type, p_brand FROM (SELECT DISTINCT p_type, p_brand FROM part)",
     "U1_U2_unions": f"WITH {SPLIT} SELECT count(*) AS all_rows, count(DISTINCT segment) AS distinct_rows FROM s WHERE split IN ('train', 'validation')",
-    "U3_U6_sets": """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0), w AS (SELECT k, k IN (SELECT k FROM a) AS ia, k IN (SELECT k FROM b) AS ib FROM (SELECT k FROM a UNION SELECT k FROM b))
+    "U3_U6_sets": """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier), w AS (SELECT k, k IN (SELECT k FROM a) AS ia, k IN (SELECT k FROM b) AS ib FROM (SELECT k FROM a UNION SELECT k FROM b))
       SELECT 'intersection' AS "set", count(*) FILTER (ia AND ib) AS n FROM w UNION ALL SELECT 'left_only', count(*) FILTER (ia AND NOT ib) FROM w UNION ALL SELECT 'right_only', count(*) FILTER (ib AND NOT ia) FROM w UNION ALL SELECT 'symmetric_difference', count(*) FILTER (ia <> ib) FROM w""",
     "F1_F2_digests": "SELECT n_name AS category, sha256(n_name) AS sha256, 44 + CAST(concat('0x', left(sha256(n_name), 8)) AS BIGINT) AS seed FROM nation",
     "F4_F6_strings": """SELECT p_partkey, p_name AS display, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded, CASE WHEN p_partkey % 50 = 0 THEN 'x.JPG' ELSE replace(p_name, ' ', '_') || '.jpg' END AS file, true AS is_jpg, p_partkey % 50 <> 0 AS safe FROM part""",
@@ -219,7 +246,7 @@ ORACLE_SQL: dict[str, str] = {
     "F14_math": f"WITH {IMG} SELECT category, CAST(round_even(count(*) * 0.15e0, 0) AS BIGINT) AS part, abs(count(*) - 60) AS gap, round(avg(image_id), 6) AS mean_id, median(image_id) AS median_id, round(quantile_cont(image_id, 0.975), 6) AS high FROM img GROUP BY category",
     "F15_softmax": """WITH l AS (SELECT vec_id, [CAST(x AS DOUBLE) * 10 for x in embedding[1:3]] AS z FROM embeddings), e AS (SELECT vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l)
       SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS best, round(list_max(e) / list_sum(e), 6) AS score FROM e""",
-    "F16_F21_arrays": "SELECT vec_id, CAST(12 AS BIGINT) AS size, round((CAST(embedding[1] AS DOUBLE) - 0.485e0) / 0.229e0, 6) AS first, round(CAST(embedding[4] AS DOUBLE), 6) AS last FROM embeddings",
+    "F16_F21_arrays": "SELECT vec_id, CAST(16 AS BIGINT) AS size, round((CAST(embedding[1] AS DOUBLE) - 0.485e0) / 0.229e0, 6) AS first, round(CAST(embedding[4] AS DOUBLE), 6) AS last FROM embeddings",
     "F19_json": f"""WITH {P} SELECT '{{' || string_agg('"' || category || '":' || CAST(n AS VARCHAR), ',' ORDER BY category) || '}}' AS document FROM (SELECT category, count(*) AS n FROM p GROUP BY category)""",
     "M1_majority": f"WITH {P}, top AS (SELECT label AS best FROM p GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT category, best AS prediction, round(avg(CAST(label = best AS INTEGER)), 6) AS accuracy FROM p, top GROUP BY category, best",
 }

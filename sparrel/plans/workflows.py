@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import text as T
 from ..operators import audit, metrics, models, near_duplicates, pairs, ranking
-from ..sources import readers
+from ..sources import readers, sinks
 
 # Names and kinds of the candidate networks.
 CANDIDATES = (("text_only", "text_only", False), ("image_only", "image_only", False), ("multimodal_no_auxiliary", "multimodal", False), ("multimodal_auxiliary", "multimodal", True))
@@ -42,7 +42,7 @@ def build(spark: SparkSession, images: DataFrame, out: str, templates: dict[str,
     if not relations_only:
         images = ranking.stratified_split(images.drop("split", "rank"), "category", "image_id")
     parts = [pairs.relations(images.where(F.col("split") == s), templates[s], "final_test" if s == "test" else "development").withColumn("split", F.lit(s)) for s in readers.SPLITS]
-    relations = audit.union(parts)
+    relations = sinks.written(audit.union(parts), "relations")  # checked and published as they are
     categories = images.select("category", "family").distinct()
     violations = [c for c in audit.rule_violations(relations, categories).columns if c != "total"]
     checks = [
@@ -74,14 +74,22 @@ def check(spark: SparkSession, out: str, include_locked_test: bool = False) -> D
     return audit.union(found)
 
 
+def looked_up(rows: DataFrame, dimension: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with a dimension's columns by key; a key that the dimension lacks (a null one too) or whose value is null is an error, never a lost row."""
+    met = rows.join(dimension, key, "left")
+    error = F.raise_error(F.concat(F.lit(f"no {value} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return met.withColumn(value, F.when(F.col(value).isNull(), error.cast(met.schema[value].dataType)).otherwise(F.col(value)))
+
+
 def _inputs(spark: SparkSession, out: str, features: DataFrame, vocabulary: DataFrame, relations: DataFrame) -> DataFrame:
     """sample_id, image, text, and codes of label and categories; text features are made once per distinct description."""
     categories = spark.read.parquet(f"{out}/categories")
     once = relations.select("description").distinct()
     texts = T.dense(once, vocabulary, "description", "description")
-    rows = relations.join(texts, "description").join(features.select("image_id", F.col("features").alias("image")), "image_id")
+    rows = looked_up(relations, texts, "description", "text")
+    rows = looked_up(rows, features.select("image_id", F.col("features").alias("image")), "image_id", "image")
     for side, name in (("part_category", "image_category"), ("text_category", "text_category_code")):
-        rows = rows.join(pairs.small(categories.select(F.col("category").alias(side), F.col("index").alias(name))), side)
+        rows = looked_up(rows, pairs.small(categories.select(F.col("category").alias(side), F.col("index").alias(name))), side, name)
     return rows.select("sample_id", "image_id", "part_category", "text_category", "label", "image", "text", C.encode(F.col("label"), LABELS).cast("int").alias("code"), "image_category", F.col("text_category_code"))
 
 
@@ -128,7 +136,11 @@ def final_test(spark: SparkSession, out: str, features: DataFrame, confirm: bool
     vocabulary = T.fit(development, "sample_id", "description", chosen["max_text_features"])
     sizes = (len(features.first()["features"]), vocabulary.count(), spark.read.parquet(f"{out}/categories").count())
     network = _fit(_inputs(spark, out, features, vocabulary, development), kind, auxiliary, *sizes, chosen["selected"]["epochs"], chosen["selected"]["seed"], **options)
-    _scored(_inputs(spark, out, features, vocabulary, test), network).write.parquet(f"{out}/predictions")
+    scored = sinks.written(_scored(_inputs(spark, out, features, vocabulary, test), network), "predictions")
+    if scored.count() != test.count():
+        raise ValueError("not every test row has a prediction")
+    scored.write.parquet(f"{out}/predictions")
+    models.save(network, vocabulary, f"{out}/model", labels=LABELS)
     saved = spark.read.parquet(f"{out}/predictions")
     r = metrics.blocks(saved, "image_id").first()
     matrix = [list(x)[2:] for x in metrics.confusion_matrix(saved, LABELS).orderBy("position").collect()]
@@ -152,6 +164,15 @@ def audit_result(spark: SparkSession, out: str, hashes: DataFrame, limits=C.SEVE
     }
 
 
+def predict_saved(spark: SparkSession, model: str, path: str, description: str, features: DataFrame) -> DataFrame:
+    """predict() of one record by a saved model; features: path, features."""
+    network, vocabulary, _ = models.load(spark, model)
+    found = predict(readers.single_record(spark, path, description), features, vocabulary, network)
+    if not found.limit(1).count():
+        raise ValueError(f"no features for {path}")
+    return found
+
+
 def predict(record: DataFrame, features: DataFrame, vocabulary: DataFrame, network: models.HeadNetwork) -> DataFrame:
     """Scores of one record (path, description) with features (path, features): label, score, best first, and how many terms of the text are known."""
     row = record.select("path", T.require_text(F.col("description")).alias("description"))

@@ -7,10 +7,30 @@ import json
 import os
 import subprocess
 import sys
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode, where that is unset, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='sparrel-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: computed once, and its lineage is cut."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", single_file: bool = False) -> None:
     """CSV with a header, newlines as line ends, in a total order.  A single file is for small reports only; else sorted part files follow each other."""
     out = df.orderBy(*order)
@@ -26,30 +46,56 @@ def rendered(document: dict) -> str:
     return json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
+def _place(path: str):
+    """The file system and path of a path with a scheme, as Spark sees it; a path without one is local."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{os.path.abspath(path)}")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str) -> bool:
+    files, p = _place(path)
+    return files.exists(p)
+
+
+def read_bytes(path: str) -> bytes:
+    """A small file's content."""
+    files, p = _place(path)
+    stream = files.open(p)
+    try:
+        return bytes(SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(content: bytes, path: str, overwrite: bool = False) -> None:
+    """A small file, wherever Spark can write; an existing one is refused unless told otherwise."""
+    files, p = _place(path)
+    if not overwrite and files.exists(p):
+        raise FileExistsError(path)
+    stream = files.create(p, overwrite)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def write_json(document: dict, path: str, overwrite: bool = False) -> None:
     """A small document with sorted keys; an existing file is refused."""
-    with open(path, "w" if overwrite else "x", encoding="utf-8", newline="\n") as f:
-        f.write(rendered(document))
+    write_bytes(rendered(document).encode(), path, overwrite)
 
 
 def write_if_changed(document: dict, path: str) -> bool:
     """Write only if the bytes differ; whether it wrote."""
     new = rendered(document).encode()
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            if f.read() == new:
-                return False
-    with open(path, "wb") as f:
-        f.write(new)
+    if exists(path) and read_bytes(path) == new:
+        return False
+    write_bytes(new, path, overwrite=True)
     return True
 
 
-def digest(path: str, block: int = 1 << 20) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while data := f.read(block):
-            h.update(data)
-    return h.hexdigest()
+def digest(path: str) -> str:
+    return hashlib.sha256(read_bytes(path)).hexdigest()
 
 
 def write_lock(paths: list[str], path: str, **flags: bool) -> None:
@@ -59,12 +105,11 @@ def write_lock(paths: list[str], path: str, **flags: bool) -> None:
 
 def verify_lock(lock: str, folder: str, **flags: bool) -> list[str]:
     """What differs from a lock: flags, and files that are missing or changed."""
-    with open(lock, encoding="utf-8") as f:
-        document = json.load(f)
+    document = json.loads(read_bytes(lock))
     wrong = [f"flag {k}" for k, v in flags.items() if document["flags"].get(k) != v]
     for name, want in document["files"].items():
-        p = os.path.join(folder, name)
-        if not os.path.exists(p):
+        p = f"{folder.rstrip('/')}/{name}"
+        if not exists(p):
             wrong.append(f"missing {name}")
         elif digest(p) != want:
             wrong.append(f"changed {name}")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -52,9 +53,17 @@ def test_encode(spark):
 
 
 def test_hashes_of_arrays(spark):
-    values = F.array(*[F.lit(float(v)) for v in (9, 1, 3, 2, 8)])
-    assert one(spark, C.difference_hash(values)) == 0b0101
-    assert one(spark, C.median_hash(values)) == 0b0101
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in ((9, 1, 3, 2, 8), (1, 2, 2, 1, 9))])
+    assert one(spark, C.difference_hash(rows)) == 0b01011001
+    rng = np.random.default_rng(1)
+    for k in range(3):
+        pixels = rng.integers(0, 256, (32, 32)).astype(float)
+        u, i = np.arange(8)[:, None], np.arange(32)[None, :]
+        a = np.sqrt(np.where(u == 0, 1, 2) / 32) * np.cos(np.pi * (2 * i + 1) * u / 64)
+        low = (a @ pixels @ a.T).ravel()
+        want = int("".join("01"[int(v > np.median(low[1:]))] for v in low), 2)
+        df = spark.createDataFrame([(pixels.tolist(),)], "p array<array<double>>")
+        assert df.select(C.perceptual_hash(F.col("p"))).first()[0] % (1 << 64) == want
     assert one(spark, C.stable_seed(F.lit("x"))) == 44 + int(__import__("hashlib").sha256(b"x").hexdigest()[:8], 16)
 
 
@@ -120,4 +129,4 @@ def test_blank_descriptions_are_an_error(spark):
 def test_feature_arrays(spark):
     assert one(spark, C.beside(F.array(F.lit(1), F.lit(2)), F.array(F.lit(0.5)))) == [1.0, 2.0, 0.5]
     assert one(spark, C.pixel_vector(F.array(F.array(F.lit(0), F.lit(255)), F.array(F.lit(51), F.lit(102))))) == [0.0, 1.0, 0.2, 0.4]
-    assert one(spark, C.normalize(F.array(F.lit(3.0)), 1.0, 2.0)) == [1.0]
+    assert one(spark, C.normalize(F.array(*[F.array(F.lit(v), F.lit(255.0)) for v in (51.0, 102.0)]), (0.2, 0.5), (0.5, 0.25))) == [[0.0, 0.4], [2.0, 2.0]]

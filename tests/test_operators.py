@@ -1,4 +1,5 @@
 import itertools
+import hashlib
 import random
 
 import numpy as np
@@ -172,19 +173,45 @@ def test_paired_rows_must_agree(spark):
 
 def test_bootstrap_of_one_group_is_a_point(spark):
     df = spark.createDataFrame([("a", "F", "F"), ("a", "O", "F"), ("a", "O", "O")], "g string, label string, prediction string")
-    r = resample.bootstrap_interval(resample.bootstrap_replicates(df, "g", ["F", "O"], repeats=20)).first()
+    r = resample.bootstrap(df, "g", ["F", "O"], repeats=20).first()
     assert abs(r.accuracy_low - 2 / 3) < 1e-12 and r.accuracy_low == r.accuracy_high and r.macro_f1_low == r.macro_f1_high
 
 
 def test_bootstrap_is_near_the_normal_interval(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(g, "F", "F" if rng.random() < 0.7 else "O") for g in range(300)], "g long, label string, prediction string")
-    r = resample.bootstrap_interval(resample.bootstrap_replicates(df, "g", ["F", "O"], repeats=400)).first()
+    r = resample.bootstrap(df, "g", ["F", "O"], repeats=400).first()
     p = df.where("label = prediction").count() / 300
     half = 1.96 * (p * (1 - p) / 300) ** 0.5
     assert abs(r.accuracy_low - (p - half)) < 0.02 and abs(r.accuracy_high - (p + half)) < 0.02
 
 
+def test_both_ways_to_draw_a_bootstrap_agree(spark, monkeypatch):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k % 37, rng.choice("FO"), rng.choice("FO")) for k in range(200)], "g long, label string, prediction string")
+    found = [{r.replicate: (r.accuracy, r.macro_f1) for r in resample.bootstrap_replicates(df, "g", ["F", "O"], repeats=30).collect()}]
+    monkeypatch.setattr(resample, "LOCAL_GROUPS", 0)
+    found.append({r.replicate: (r.accuracy, r.macro_f1) for r in resample.bootstrap_replicates(df, "g", ["F", "O"], repeats=30).collect()})
+    assert found[0] == found[1] and len(found[0]) == 30
+    groups = sorted(range(37), key=lambda g: (hashlib.sha256(str(g).encode()).hexdigest(), g))
+    rows = df.collect()
+    for b in range(30):
+        drawn = [groups[int(hashlib.sha256(f"42|{b}|{s // 5}".encode()).hexdigest()[12 * (s % 5) :][:12], 16) % 37] for s in range(37)]
+        taken = [r for g in drawn for r in rows if r.g == g]
+        assert abs(found[0][b][0] - sum(r.label == r.prediction for r in taken) / len(taken)) < 1e-12
+
+
+def test_sign_flips_against_brute_force(spark):
+    values = {f"g{k}": k % 5 - 2 for k in range(23)}
+    df = spark.createDataFrame(list(values.items()), "g string, difference long")
+    sums = []
+    for r in range(700):
+        bit = lambda g, r=r: int(hashlib.sha256(f"42|{r // 256}|{g}".encode()).hexdigest(), 16) >> (255 - r % 256) & 1
+        sums.append(abs(sum(v if bit(g) else -v for g, v in values.items())))
+    found = resample.sign_flip_monte_carlo(df, "g", repeats=700).first()
+    assert found.extreme == sum(s >= abs(sum(values.values())) for s in sums) and found.repeats == 700
+
+
 # Near duplicates
 
 

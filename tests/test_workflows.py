@@ -1,5 +1,7 @@
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from sparrel.sources import readers
 from sparrel.streaming import incremental
 
 
+TEMPLATES = {s: (f"{s} a {{name}}", f"{s} b {{name}}") for s in readers.SPLITS}
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     rng = random.Random(1)
@@ -20,7 +25,7 @@ def built(spark, tmp_path_factory):
     where = {c: [float(c == x) for x in ("a_x", "a_y", "b_x", "b_y")] for c in ("a_x", "a_y", "b_x", "b_y")}
     features = spark.createDataFrame([(i, where[c]) for i, c, *_ in rows], "image_id string, features array<double>")
     out = str(tmp_path_factory.mktemp("built") / "out")
-    return out, images, features, W.build(spark, images, out, cli.TEMPLATES)
+    return out, images, features, W.build(spark, images, out, TEMPLATES)
 
 
 def test_build_and_check(spark, built):
@@ -29,12 +34,12 @@ def test_build_and_check(spark, built):
     assert counts == {"test": 8, "validation": 8, "train": 24} and lock["test_rows"] == 48
     assert W.check(spark, out).where("not ok").count() == 0 and W.check(spark, out, True).where("not ok").count() == 0
     with pytest.raises(AnalysisException):
-        W.build(spark, images, out, cli.TEMPLATES)
+        W.build(spark, images, out, TEMPLATES)
 
 
 def test_a_build_with_repeated_contents_publishes_nothing(spark, built, tmp_path):
     with pytest.raises(ValueError, match="sha256"):
-        W.build(spark, built[1].withColumn("sha256", F.lit("00")), str(tmp_path / "x"), cli.TEMPLATES)
+        W.build(spark, built[1].withColumn("sha256", F.lit("00")), str(tmp_path / "x"), TEMPLATES)
     assert not (tmp_path / "x").exists()
 
 
@@ -65,7 +70,8 @@ def test_single_prediction(spark):
 
 def test_command_line(spark, built, tmp_path, capsys):
     built[1].write.parquet(str(tmp_path / "images"))
-    cli.main(["build", "--images", str(tmp_path / "images"), "--out", str(tmp_path / "out")])
+    (tmp_path / "templates.json").write_text(json.dumps(TEMPLATES))
+    cli.main(["build", "--images", str(tmp_path / "images"), "--templates", str(tmp_path / "templates.json"), "--out", str(tmp_path / "out")])
     cli.main(["check", "--out", str(tmp_path / "out"), "--include-locked-test"])
     assert "lock" in capsys.readouterr().out
 
@@ -80,3 +86,33 @@ def test_streamed_metrics_are_those_of_the_batch(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(map(tuple, spark.sql("select window, g, rows, accuracy from accuracy").collect())) == sorted(map(tuple, incremental.accuracy(df, "ts", "g").collect()))
     assert spark.sql("select sum(errors) from errors").first()[0] == 12
+
+
+def test_a_missing_feature_or_text_is_an_error(spark, built):
+    out, _, features, _ = built
+    with pytest.raises(Exception, match="no image for image_id"):
+        W.validate(spark, out, features.where("image_id <> 'a_x1'"), epochs=1)
+    rows, known = spark.createDataFrame([("a",), (None,)], "k string"), spark.createDataFrame([("a", 1)], "k string, v int")
+    with pytest.raises(Exception, match="no v for k null"):
+        W.looked_up(rows, known, "k", "v").collect()
+    assert W.looked_up(rows.where("k is not null"), known, "k", "v").collect()[0].v == 1
+
+
+def test_a_model_is_saved_and_loaded(spark, tmp_path):
+    vocabulary = T.fit(spark.createDataFrame([(1, "brake disc"), (2, "oil filter")], "id int, t string"), "id", "t", 10)
+    network = models.HeadNetwork("multimodal", 2, vocabulary.count(), 3, categories=4, hidden=5)
+    path = f"file://{tmp_path}/model"
+    models.save(network, vocabulary, path, labels=["a"])
+    again, terms, about = models.load(spark, path)
+    x, y = np.ones((2, 2)), np.ones((2, vocabulary.count()))
+    assert (again.predict(x, y) == network.predict(x, y)).all() and about["labels"] == ["a"] and terms.count() == vocabulary.count()
+    features = spark.createDataFrame([("p.png", [1.0, 0.0])], "path string, features array<double>")
+    found = W.predict_saved(spark, path, "p.png", " brake disc ", features).collect()
+    assert len(found) == 3 and abs(sum(r.score for r in found) - 1) < 1e-9 and found[0].score >= found[1].score
+    with pytest.raises(ValueError, match="no features"):
+        W.predict_saved(spark, path, "q.png", "oil", features)
+    about = (tmp_path / "model" / "about.json").read_text()
+    (tmp_path / "model" / ".about.json.crc").unlink(missing_ok=True)
+    (tmp_path / "model" / "about.json").write_text(about.replace('"digest": "', '"digest": "0'))
+    with pytest.raises(ValueError, match="not those"):
+        models.load(spark, path)
