@@ -4,8 +4,9 @@ Features: densities of a fixed and of a learned lexicon (also of obfuscated spel
 capitals, punctuation and obfuscation.  The learned lexicon holds words and word beginnings that toxic rows have and others don't, chosen greedily until
 every toxic row is covered several times.
 
-Lexicon, trees and calibration are fitted on a bounded sample of labelled rows, max_train_rows.  Rows with crc32(doc_id) mod 5 = 0 are never learned from;
-those with 1 only calibrate.  Null texts count as empty; without labelled rows of both kinds every score is the share of toxic rows (0 if there is none).
+Lexicon, trees and calibration are fitted on a bounded sample of labelled rows, max_train_rows; of rows that share a doc_id the smallest text counts.  Rows
+with crc32(doc_id) mod 5 = 0 are never learned from; those with 1 only calibrate (without both kinds among them the learned rows do).  Null texts
+count as empty; without learned rows of both kinds every score is the share of toxic ones (0 if there is none).
 """
 
 from __future__ import annotations
@@ -198,22 +199,34 @@ def learn_lexicon(rows: DataFrame, max_candidates: int = MAX_CANDIDATES, max_lex
     def present(batch: pa.RecordBatch) -> list:
         return [[sorted(place[u] for u in _units_of(t) if u in place) for t in batch.column(0).to_pylist()]]
 
-    has = common.mapped(rows.where("toxic = 1").select("text"), present, "units array<int>").collect()
-    matrix = np.zeros((len(has), len(candidates)), np.float32)
-    for k, (own,) in enumerate(has):
-        matrix[k, own] = 1
-    covered, chosen = np.zeros(len(has)), []
-    least = max(3, len(has) // 400)
-    while candidates and len(chosen) < max_lexicon:
-        gain = (covered < COVER).astype(np.float32) @ matrix
-        best = int(gain.argmax())  # of equal gains the first, so the more frequent and then the longer entry
-        if gain[best] < least:
+    has = common.mapped(rows.where("toxic = 1").select("text"), present, "units array<int>").toArrow().column("units").combine_chunks()
+    return frozenset(candidates[k] for k in covering(candidates, has.offsets.to_numpy(), has.values.to_numpy(), max_lexicon))
+
+
+def covering(candidates: list[str], starts: np.ndarray, units: np.ndarray, most: int = MAX_LEXICON) -> list[int]:
+    """Candidates chosen one by one, each the one that most rows have that aren't covered COVER times yet; row k has units[starts[k] : starts[k + 1]].
+
+    What a chosen one's other forms have doesn't count again.  Of equal gains the first is taken, so the more frequent and then the longer entry."""
+    n, size = len(starts) - 1, len(candidates)
+    of = np.repeat(np.arange(n), np.diff(starts))
+    units = units[starts[0] : starts[-1]]
+    order = np.argsort(units, kind="stable")
+    bounds, rows = np.searchsorted(units[order], np.arange(size + 1)), of[order]
+    covered, alive, gain, chosen = np.zeros(n, int), np.ones(size, bool), np.bincount(units, minlength=size), []
+    least = max(3, n // 400)
+    while size and len(chosen) < most:
+        best = int(np.where(alive, gain, -1).argmax())
+        if not alive[best] or gain[best] < least:
             break
-        chosen.append(candidates[best])
-        covered += matrix[:, best]
+        chosen.append(best)
+        has = rows[bounds[best] : bounds[best + 1]]
+        covered[has] += 1
+        done = np.zeros(n, bool)
+        done[has[covered[has] == COVER]] = True
+        gain = gain - np.bincount(units[done[of]], minlength=size)
         own = candidates[best].rstrip("*")
-        matrix[:, [k for k, u in enumerate(candidates) if own.startswith(b := u.rstrip("*")) or b.startswith(own)]] = 0  # other forms of it don't count again
-    return frozenset(chosen)
+        alive &= ~np.array([own.startswith(b := u.rstrip("*")) or b.startswith(own) for u in candidates])
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -223,9 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     n, scale = known.count(), 1 << 30
     taken = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(scale)) < min(scale, scale * max_train_rows // max(1, n))).limit(2 * max_train_rows)
     # At most twice max_train_rows rows of 20 bytes, so small enough to send to every task.
-    rows = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id"), "toxicity-rows")
-    few = rows.count() < 200
-    learning = rows if few else rows.where("fold <> 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")
+    rows = common.written(rows.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")), "toxicity-rows")
+    learning = rows.where("fold <> 1")
     kinds = {r[0]: r[1] for r in learning.groupBy("toxic").count().collect()}
     model = Model(share=kinds.get(1, 0) / max(1, sum(kinds.values())))
     if len(kinds) < 2:
@@ -237,9 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
 
     table = common.mapped(rows.select("doc_id", "text", "toxic", "fold"), featurized, "doc_id bigint, toxic int, fold bigint, x array<double>").toArrow().sort_by("doc_id")
     x, y, fold = np.array(table.column("x").to_pylist()).reshape(-1, N_FEATURES), table.column("toxic").to_numpy(), table.column("fold").to_numpy()
-    own = np.ones(len(y), bool) if few else fold != 1
+    own = fold != 1
     model.trees.fit(x[own], y[own].astype(float))
-    held = ~own if not few and 0 < y[~own].mean() < 1 else own
+    held = ~own if 0 < y[~own].sum() < (~own).sum() else own
     model.knots = isotonic(model.trees.raw(x[held]), y[held].astype(float))
     return model
 
