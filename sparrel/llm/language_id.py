@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Training is follow-the-regularised-leader with elastic-net penalties (FTRL-Proximal), then one temperature is fitted on labelled rows that training left
-out.  Document frequencies cover all training rows; the regression is fitted on a bounded sample, max_train_docs, spread evenly over the languages.
+out.  Document frequencies cover all training rows; the regression is fitted on a bounded sample, max_train_docs, spread evenly over the languages, of which
+the max_languages most frequent are learned (both bound the model; repeated rows of the sample count once).
 
 Only the text is an input of a prediction.  Texts that are null or have no letter are `und` with score 0; without labelled rows every text is.
 """
@@ -22,6 +23,7 @@ UNKNOWN = "und"
 BUCKET_BITS = 15
 MAX_N = 3
 MAX_TRAIN_DOCS = 3_000
+MAX_LANGUAGES = 512
 #: Score below which a document's language counts as unknown.
 LEAST_SCORE = 0.4
 _CHUNK = 1 << 18
@@ -139,10 +141,11 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
     return rows, out
 
 
-def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """A model from docs (doc_id, text, lang).  Rows with crc32(doc_id) mod 5 = 0, null doc_id, text or lang are not used; those with 1 only calibrate."""
+def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model from docs (doc_id, text, lang).  Rows with crc32(doc_id) mod 5 = 0, null doc_id, text or lang are not used; those with 1 only calibrate, unless a
+    language has no others."""
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and text is not null and lang is not null").withColumn("fold", common.fold_of(F.col("doc_id"))).where("fold <> 0")
-    per_lang = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
+    per_lang = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     languages = sorted(per_lang)
     if not languages:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
@@ -151,7 +154,7 @@ def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
 
     cap, scale = max(1, max_train_docs // len(languages)), 1 << 30
     limits = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(scale, scale * cap // per_lang[lang]))])
-    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(scale)) < limits[F.col("lang")])
+    sample = train.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(scale)) < limits[F.col("lang")]).dropDuplicates(["doc_id", "text", "lang"])
     place = {lang: k for k, lang in enumerate(languages)}
 
     def featurized(batch: pa.RecordBatch) -> list:
@@ -159,13 +162,13 @@ def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
         buckets = [np.flatnonzero(c) for c in found]
         return [batch.column(0), batch.column(2), batch.column(3), buckets, [c[b] for c, b in zip(found, buckets, strict=True)]]
 
-    taken = common.mapped(sample.select("doc_id", "text", "lang", "fold"), featurized, "doc_id bigint, lang string, fold bigint, bucket array<int>, n array<int>").toArrow()
-    taken = taken.sort_by("doc_id").slice(0, 2 * max_train_docs)
+    taken = common.mapped(sample.select("doc_id", "text", "lang", "fold"), featurized, "doc_id bigint, lang string, fold bigint, bucket array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    learned = {lang for lang, fold in zip(taken.column("lang").to_pylist(), taken.column("fold").to_pylist(), strict=True) if fold != 1}
     model = Model(languages, idf, np.zeros((len(df), len(languages)), np.float32), np.zeros(len(languages), np.float32))
     fitted, held, labels = [], [], []
     for lang, fold, bucket, n in zip(*(taken.column(c) for c in ("lang", "fold", "bucket", "n")), strict=True):
         b, c = bucket.values.to_numpy(), n.values.to_numpy()
-        if fold.as_py() == 1 and len(taken) > 50:
+        if fold.as_py() == 1 and lang.as_py() in learned:
             held.append((b, c))
             labels.append(place[lang.as_py()])
         else:
@@ -188,5 +191,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is known with at least this score; all columns stay."""
+    """The rows of docs whose language is known with at least this score, all rows if no language could be learned; all columns stay."""
+    if not model.languages:
+        return docs
     return common.filtered(docs, "text", lambda texts: [lang != UNKNOWN and score >= least_score for lang, score in map(model.predict, texts)])
