@@ -27,6 +27,8 @@ from . import common
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces, and pairs of tokens, that a worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 400_000
+#: Characters of a piece that is remembered, at most.
+CACHE_CHARS = 64
 CACHE_PAIRS = 300_000
 #: Characters from which a text's pieces are taken in blocks.
 LONG_TEXT, BLOCK_PIECES = 2_000_000, 200_000
@@ -172,7 +174,9 @@ class Pieces(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = self.bpe.encode_piece(piece.encode())
+        ids = self.bpe.encode_piece(piece.encode())
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
         return ids
 
 

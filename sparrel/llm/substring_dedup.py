@@ -34,6 +34,8 @@ BLOCK = 25
 #: Text bytes of a group of documents, and text bytes per bucket of hashes.
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 CACHE_WORDS = 150_000
+#: Bytes of a word that is remembered, at most.
+CACHE_BYTES = 64
 _VALUE_BITS = 30
 _NO_ID = np.iinfo(np.int64).max
 # Odd constants of the three rolling hashes.
@@ -42,7 +44,9 @@ _WEAK, _STRONG_A, _STRONG_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D64
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_BYTES:
+            self[word] = h
         return h
 
 

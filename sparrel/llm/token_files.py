@@ -36,6 +36,8 @@ END_ID = 0
 FILE_TEXT_BYTES = 16 << 20
 #: Pieces that a worker remembers at most.
 CACHE_PIECES = 600_000
+#: Bytes of ids that are remembered of a piece, at most.
+CACHE_BYTES = 128
 #: Characters of text that are cut into pieces at once.
 CHUNK_CHARS = 1 << 20
 _MAGIC, _HEAD = b"EFT1", struct.Struct("<4sIQQQq")
@@ -213,7 +215,7 @@ class Encoder:
             for at, (k, e, point) in enumerate(zip(new, coded, points[begin].tolist(), strict=True)):
                 ids = e.ids if point < pretokenize.END else [END_ID] if point == pretokenize.END else []
                 found[k] = check[8 * at : 8 * at + 8] + array(self.array, ids).tobytes()
-            self.known.update((keys[k], found[k]) for k in new)
+            self.known.update((keys[k], found[k]) for k in new if len(found[k]) <= CACHE_BYTES)
         # Of each distinct piece the second hash and the ids stand one after the other.
         store = np.frombuffer(b"".join(found), f"<u{self.width}")
         size, head = np.fromiter(map(len, found), np.int64, len(found)) // self.width, 8 // self.width

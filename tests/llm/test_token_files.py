@@ -9,9 +9,7 @@ from sparrel.llm import common, token_files
 
 
 def library():
-    t = Tokenizer.from_file(token_files.TOKENIZER_PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(token_files.TOKENIZER_PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -101,3 +99,24 @@ def test_files_with_added_tokens(spark):
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert result(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))[0] == want
+
+
+def test_null_and_equal_ids_fill_several_files(spark):
+    rows = [(None if k % 2 else 5, f"text number {k} " * 20) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    path = common.shared_dir(spark, "test-tokens")
+    manifest = token_files.write(df, path, file_text_bytes=15_000).collect()
+    assert len(manifest) >= 6 and max(r.docs for r in manifest) < 200
+    got = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 200 + [5] * 200
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    t = library()
+    ids = lambda text: zlib.crc32(np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(ids(text) for _, text in rows)
+
+
+def test_a_chunk_with_colliding_hashes_is_encoded_whole(monkeypatch):
+    encoder = token_files.Encoder(token_files.TOKENIZER_PATH)
+    monkeypatch.setattr(token_files.pretokenize, "hashes", lambda points, starts, stops: (np.zeros(len(starts), np.uint64), np.arange(len(starts)).astype(np.uint64)))
+    texts = ["one two  three's", "", "four <|endoftext|> five"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [encoder.library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
