@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import findable
 from ..functions import columns as C
 from ..functions import text as T
-from ..operators import audit, metrics, models, near_duplicates, pairs, ranking, resample
+from ..operators import audit, metrics, models, near_duplicates, networks, pairs, ranking, resample
 from ..sources import readers, sinks
 from . import workflows
 
@@ -791,6 +791,11 @@ def regression(rows: DataFrame) -> DataFrame:
     return rounded(model.transform(rows.where("split = 'test'")).select("doc_id", F.col("prediction").cast("int").alias("prediction"), F.element_at(vector_to_array("probability"), 2).alias("probability")))
 
 
+@query
+def M3_M5_parameters(spark, sf):
+    return networks.parameter_counts(spark, 342).groupBy("network").agg(F.sum("parameters").alias("parameters"), F.count("*").alias("arrays"))
+
+
 @query
 def M2_logistic_regression(spark, sf):
     return regression(labelled_features(spark, sf, image=False))

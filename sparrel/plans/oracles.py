@@ -100,6 +100,8 @@ ORACLE_SQL: dict[str, str] = {
     "P17_lock": "SELECT * FROM (VALUES ('after', 'flag official'), ('after', 'changed b.json')) AS x(moment, difference)",
     "P19_forbidden_text": "SELECT doc_id AS path, word FROM documents, (VALUES ('@'), ('http'), ('password')) AS w(word) WHERE contains(text, word)",
     "A24_recomputed": "SELECT * FROM (VALUES ('rows'), ('lost')) AS x(metric)",
+    "M3_M5_parameters": """SELECT network, CAST(parameters AS BIGINT) AS parameters, CAST(arrays AS BIGINT) AS arrays FROM (VALUES ('small_text', 24131, 6), ('small_image', 21459, 10), ('small_multimodal', 58579, 22), ('small_multimodal_no_auxiliary', 57923, 18),
+      ('large_multimodal', 512 * 128 + 128 + 342 * 256 + 256 + 256 * 128 + 128 + 256 * 256 + 256 + 256 * 96 + 96 + 96 * 3 + 3 + 2 * (128 * 8 + 8), 16), ('large_multimodal_no_auxiliary', 512 * 128 + 128 + 342 * 256 + 256 + 256 * 128 + 128 + 256 * 256 + 256 + 256 * 96 + 96 + 96 * 3 + 3, 12)) AS x(network, parameters, arrays)""",
     "W3_selection": f"WITH {IMG}, c AS (SELECT category, category || '|' || CAST(image_id AS VARCHAR) AS candidate FROM img) SELECT category, candidate, row_number() OVER (PARTITION BY category ORDER BY sha256(candidate), candidate) AS selection_order FROM c QUALIFY selection_order <= 10",
     "S3_category_index": "SELECT n_name AS category, r_name AS family, rank() OVER (ORDER BY n_name) - 1 AS index FROM nation JOIN region ON n_regionkey = r_regionkey",
     "S4_json_document": "SELECT event_type, count(*) AS events, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(props->>'k' AS BIGINT)) AS k_max FROM events GROUP BY event_type",

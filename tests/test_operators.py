@@ -317,3 +317,14 @@ def test_network_learns_in_spark_and_scores_without_labels(spark):
     assert right > 270
     with pytest.raises(ValueError, match="label"):
         models.score(df.select("id", "image", "text", "label"), net, "id", ["NO", "YES"])
+
+
+def test_parameter_counts_of_the_networks(spark):
+    from sparrel.operators import networks
+
+    # Published counts of trainable parameters.
+    published = {"small_text": 24131, "small_image": 21459, "small_multimodal": 58579, "small_multimodal_no_auxiliary": 57923}
+    found = {r.network: r.n for r in networks.parameter_counts(spark, 342).groupBy("network").agg(F.sum("parameters").alias("n")).collect()}
+    assert {k: found[k] for k in published} == published and set(found) == set(networks.NETWORKS)
+    with pytest.raises(ValueError, match="unknown"):
+        networks.layers("x", 3)
