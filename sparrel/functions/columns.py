@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Relation labels in index order, means and deviations of the colour channels, severities in order, and their (pHash, dHash) limits.
+# Relation labels in index order, limits of a changed brightness, means and deviations of the colour channels, severities in order, and their (pHash, dHash) limits.
 LABELS = ("MATCH", "MISMATCH", "PARTIAL_MATCH")
+BRIGHTNESS = (0.9, 1.1)
 CHANNEL_MEANS, CHANNEL_DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 SEVERITIES = (("very_strict", 4, 6), ("strict", 6, 8), ("screen", 8, 10))
 
@@ -123,6 +124,17 @@ def normalize(pixels: Column, means: Sequence[float], stds: Sequence[float]) ->
     return F.array(*[channel(k, m, s) for k, (m, s) in enumerate(zip(means, stds, strict=True))])
 
 
+def augment(rows: Column, key: Column, seed: int = 44) -> Column:
+    """A channel's rows (0..1), mirrored for half of the keys and times a brightness within BRIGHTNESS, cut to 0..1.
+
+    Both come from the SHA-256 of "seed|key", so a row is changed alike on every run: the first digit mirrors if below 8, the next eight give the brightness."""
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)
+    low, high = BRIGHTNESS
+    factor = low + (high - low) * F.conv(F.substring(h, 2, 8), 16, 10).cast("double") / float(1 << 32)
+    turned = F.when(F.substring(h, 1, 1) < "8", F.transform(rows, F.reverse)).otherwise(rows)
+    return _bound(factor, lambda f: F.transform(turned, lambda r: F.transform(r, lambda x: F.least(F.greatest(x * f, F.lit(0.0)), F.lit(1.0)))))
+
+
 def beside(*arrays: Column) -> Column:
     """Feature arrays put one after the other, as numbers; null if one of them is."""
     return F.concat(*[F.transform(a, lambda x: x.cast("double")) for a in arrays])

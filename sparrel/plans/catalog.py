@@ -295,6 +295,12 @@ def K7_content_path(spark, sf):
     return s.select("image_id", name.alias("content_id"), F.concat_ws("/", "split", "category", name).alias("path"))
 
 
+@query
+def K7_verified_copies(spark, sf):
+    s = split_images(spark, sf).select("image_id", C.content_id("v4", F.col("category"), F.col("split"), F.col("rank"), F.col("sha256")).alias("target"), F.col("image_id").cast("string").cast("binary").alias("content"), "sha256")
+    return sinks.copy_verified(s, sinks.shared_dir(spark, "copies"))
+
+
 # Projections, predicates, checks
 
 
@@ -756,6 +762,14 @@ def F16_F21_arrays(spark, sf):
     return rounded(e.select("vec_id", F.size(joined).cast("long").alias("size"), joined[0].alias("first"), F.element_at(joined, -1).alias("last")))
 
 
+@query
+def F18_augmentation(spark, sf):
+    e = table(spark, sf, "embeddings")
+    rows = F.array(*[F.transform(F.slice("embedding", a, 4), lambda x: F.abs(x.cast("double"))) for a in (1, 5)])
+    changed = e.select("vec_id", C.augment(rows, F.col("vec_id")).alias("p"))
+    return rounded(changed.select("vec_id", F.col("p")[0][0].alias("first"), F.col("p")[1][3].alias("last")))
+
+
 @query
 def F19_json(spark, sf):
     p = predictions(spark, sf).groupBy("category").agg(F.count("*").alias("n"))

@@ -96,6 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "K2_K3_documents": """SELECT 0 AS same, 1 AS changed, sha256('{' || chr(10) || (SELECT string_agg('  "' || k || '": ' || CAST(v AS VARCHAR), ',' || chr(10) ORDER BY k) FROM (SELECT n_name AS k, n_regionkey AS v FROM nation UNION ALL SELECT 'more', 1)) || chr(10) || '}' || chr(10)) AS sha256""",
     "K4_K5_partitioned": f"WITH {SPLIT} SELECT split, count(*) AS images FROM s GROUP BY split",
     "K6_saved_model": """SELECT layer, CAST(size AS BIGINT) AS size FROM (VALUES ('i', 64 * 128), ('t', 64 * 128), ('h', 256 * 128), ('o', 128 * 3), ('ci', 128 * 25), ('ct', 128 * 25), ('i_bias', 128), ('t_bias', 128), ('h_bias', 128), ('o_bias', 3), ('ci_bias', 25), ('ct_bias', 25), ('terms', 64)) AS x(layer, size)""",
+    "K7_verified_copies": f"WITH {SPLIT} SELECT 'v4_' || category || '_' || split || '_' || lpad(CAST(rank AS VARCHAR), 4, '0') || '_' || left(sha256, 16) AS target, sha256 FROM s",
     "K8_F3_model_summary": "SELECT 'total ' || CAST(64 * 8 + 16 * 8 + 16 * 8 + 8 * 3 + 2 * 8 * 25 + 3 * 8 + 3 + 2 * 25 AS VARCHAR) AS total, 13 AS lines, true AS same, false AS changed_same",
     "P17_lock": "SELECT * FROM (VALUES ('after', 'flag official'), ('after', 'changed b.json')) AS x(moment, difference)",
     "P19_forbidden_text": "SELECT doc_id AS path, word FROM documents, (VALUES ('@'), ('http'), ('password')) AS w(word) WHERE contains(text, word)",
@@ -249,6 +250,9 @@ ORACLE_SQL: dict[str, str] = {
     "F15_softmax": """WITH l AS (SELECT vec_id, [CAST(x AS DOUBLE) * 10 for x in embedding[1:3]] AS z FROM embeddings), e AS (SELECT vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l)
       SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS best, round(list_max(e) / list_sum(e), 6) AS score FROM e""",
     "F16_F21_arrays": "SELECT vec_id, CAST(16 AS BIGINT) AS size, round((CAST(embedding[1] AS DOUBLE) - 0.485e0) / 0.229e0, 6) AS first, round(CAST(embedding[4] AS DOUBLE), 6) AS last FROM embeddings",
+    "F18_augmentation": """WITH h AS (SELECT vec_id, [abs(CAST(x AS DOUBLE)) for x in embedding] AS e, sha256('44|' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
+      f AS (SELECT vec_id, e, left(h, 1) < '8' AS turned, 0.9e0 + (1.1e0 - 0.9e0) * CAST(concat('0x', substr(h, 2, 8)) AS BIGINT) / 4294967296e0 AS b FROM h)
+      SELECT vec_id, round(least((CASE WHEN turned THEN e[4] ELSE e[1] END) * b, 1e0), 6) AS first, round(least((CASE WHEN turned THEN e[5] ELSE e[8] END) * b, 1e0), 6) AS last FROM f""",
     "F19_json": f"""WITH {P} SELECT '{{' || string_agg('"' || category || '":' || CAST(n AS VARCHAR), ',' ORDER BY category) || '}}' AS document FROM (SELECT category, count(*) AS n FROM p GROUP BY category)""",
     "M1_majority": f"WITH {P}, top AS (SELECT label AS best FROM p GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT category, best AS prediction, round(avg(CAST(label = best AS INTEGER)), 6) AS accuracy FROM p, top GROUP BY category, best",
 }

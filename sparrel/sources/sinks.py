@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -31,6 +32,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def copy_verified(files: DataFrame, path: str) -> DataFrame:
+    """target, sha256 of files (target, content, sha256) copied below path; what was written is read again, and bytes without their digest are an error."""
+    files.select("target", "content", "sha256").write.parquet(path)
+    copied = files.sparkSession.read.parquet(path)
+    error = F.raise_error(F.concat(F.lit("not the bytes of "), F.coalesce("target", F.lit("null")))).cast("string")
+    return copied.select(F.when(F.sha2("content", 256) == F.col("sha256"), F.col("target")).otherwise(error).alias("target"), "sha256")
+
+
 def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", single_file: bool = False) -> None:
     """CSV with a header, newlines as line ends, in a total order.  A single file is for small reports only; else sorted part files follow each other."""
     out = df.orderBy(*order)

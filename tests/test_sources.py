@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import struct
@@ -163,3 +164,10 @@ def test_forbidden_paths(tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).touch()
     assert readers.forbidden_paths(str(tmp_path), ["*.pt", "*.tmp"]) == ["a/x.pt", "b.tmp"]
+
+
+def test_copies_are_verified(spark, tmp_path):
+    rows = spark.createDataFrame([("a", b"x", hashlib.sha256(b"x").hexdigest()), ("b", b"y", "00")], "target string, content binary, sha256 string")
+    assert sinks.copy_verified(rows.where("target = 'a'"), str(tmp_path / "good")).collect()[0].target == "a"
+    with pytest.raises(Exception, match="not the bytes of b"):
+        sinks.copy_verified(rows, str(tmp_path / "bad")).collect()
