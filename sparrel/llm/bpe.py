@@ -26,7 +26,7 @@ from . import common
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces, and pairs of tokens, that a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Characters of a piece that is remembered, at most.
 CACHE_CHARS = 64
 CACHE_PAIRS = 300_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -47,11 +48,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system (workers are used again, stage after stage)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches of a bounded number of rows and bytes, so that long texts don't add up in a worker."""
     for key, value in BATCHES.items():
         findable(df.sparkSession).conf.set(key, value)
-    return df.mapInArrow(run, schema)
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(fresh, schema)
 
 
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:
