@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -46,19 +47,18 @@ def logistic_regression(train: DataFrame, features: str, label: str, c: float =
 class HeadNetwork:
     """Feed-forward heads: text only, image only, or both encoded, joined and classified, with optional category heads for each side.
 
-    Weights are float64 arrays; forward() drops units only if it is given a generator of random numbers, as in training."""
+    Weights are float64 arrays, at first drawn(); forward() drops units only if it is given a generator of random numbers, as in training."""
 
     def __init__(self, kind: str, image_size: int, text_size: int, classes: int, categories: int = 0, hidden: int = 128, seed: int = 44) -> None:
         if kind not in ("text_only", "image_only", "multimodal"):
             raise ValueError(f"unknown kind: {kind}")
         self.kind, self.auxiliary = kind, categories > 0 and kind == "multimodal"
         self.sizes = {"image_size": image_size, "text_size": text_size, "classes": classes, "categories": categories, "hidden": hidden}
-        rng = np.random.default_rng(seed)
         shapes = {"text_only": {"h": (text_size, hidden), "o": (hidden, classes)}, "image_only": {"h": (image_size, hidden), "o": (hidden, classes)}, "multimodal": {"i": (image_size, hidden), "t": (text_size, hidden), "h": (2 * hidden, hidden), "o": (hidden, classes)}}[kind]
         if self.auxiliary:
             shapes |= {"ci": (hidden, categories), "ct": (hidden, categories)}
-        self.weights = {k: rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in shapes.items()}
-        self.weights |= {f"{k}_bias": rng.uniform(-1, 1, s[1]) / np.sqrt(s[0]) for k, s in shapes.items()}
+        self.weights = {k: drawn(seed, k, s) / np.sqrt(s[0]) for k, s in shapes.items()}
+        self.weights |= {f"{k}_bias": drawn(seed, f"{k}_bias", (1, s[1]))[0] / np.sqrt(s[0]) for k, s in shapes.items()}
 
     def _layer(self, name: str, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[name] + self.weights[f"{name}_bias"]
@@ -114,6 +114,12 @@ class HeadNetwork:
         return e / e.sum(axis=1, keepdims=True)
 
 
+def drawn(seed: int, name: str, shape: tuple[int, int]) -> np.ndarray:
+    """Numbers between -1 and 1, each from the SHA-256 of "seed|name|row|column": its first eight digits as a share of 2^32."""
+    draw = lambda i, j: int(hashlib.sha256(f"{seed}|{name}|{i}|{j}".encode()).hexdigest()[:8], 16)
+    return np.array([[draw(i, j) for j in range(shape[1])] for i in range(shape[0])], float).reshape(shape) / (1 << 31) - 1
+
+
 def _cross_entropy(z: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
     z = z - z.max(axis=1, keepdims=True)
     p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
@@ -135,49 +141,6 @@ class Adam:
             weights[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit_network(rows: DataFrame, network: HeadNetwork, epochs: int, rate: float = 1e-3, auxiliary_weight: float = 0.15, batch: int = BATCH_ROWS, seed: int = 44) -> list[float]:
-    """Fit on rows (image array<double>, text array<double>, label int, and image_category, text_category int with auxiliary heads) by an Adam step for each batch
-    under dropout; mean loss of each epoch.
-
-    Each epoch the cluster sorts the rows anew by a seeded hash and packs them; the driver takes them partition by partition, so it never holds more than one
-    partition, and steps through the batches in order."""
-    columns = ["label", *(["image_category", "text_category"] if network.auxiliary else [])]
-    rng, adam, losses = np.random.default_rng(seed), Adam(rate), []
-    width = network.sizes["image_size"] + network.sizes["text_size"]
-    for epoch in range(epochs):
-        order = F.xxhash64(F.lit(seed), F.lit(epoch), "image", "text", *columns)
-        packed = rows.select(order.alias("order"), "image", "text", *columns).repartitionByRange("order").sortWithinPartitions("order").mapInArrow(_packed, "x binary, y binary")
-        x, y, loss, n = np.zeros((0, width), np.float32), np.zeros((0, len(columns)), np.int64), 0.0, 0
-        for row in packed.toLocalIterator(prefetchPartitions=True):
-            x = np.concatenate((x, np.frombuffer(row[0], np.float32).reshape(-1, width)))
-            y = np.concatenate((y, np.frombuffer(row[1], np.int64).reshape(-1, len(columns))))
-            while len(x) >= batch:
-                loss += batch * _step(network, adam, x[:batch], y[:batch], auxiliary_weight, rng)
-                x, y, n = x[batch:], y[batch:], n + batch
-        if len(x):
-            loss, n = loss + len(x) * _step(network, adam, x, y, auxiliary_weight, rng), n + len(x)
-        losses.append(loss / max(1, n))
-    return losses
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (order, image, text, codes) as bytes, up to 1024 at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            part = b.slice(at, 1024)
-            x = np.concatenate([np.array(part.column(k).to_pylist(), np.float32).reshape(part.num_rows, -1) for k in (1, 2)], axis=1)
-            y = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(3, part.num_columns)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["x", "y"])
-
-
-def _step(network: HeadNetwork, adam: Adam, x: np.ndarray, y: np.ndarray, auxiliary_weight: float, rng: np.random.Generator) -> float:
-    n = network.sizes["image_size"]
-    more = {"auxiliary_weight": auxiliary_weight} if network.auxiliary else {}
-    loss, g = network.loss_and_gradients(x[:, :n].astype(float), x[:, n:].astype(float), *y.T, **more, rng=rng)
-    adam.step(network.weights, g)
-    return loss
-
-
 def save(network: HeadNetwork, vocabulary: DataFrame, path: str, **about) -> None:
     """A model below a path that Spark can write: weights, vocabulary (term, idf, index), and what it is, with a digest of the weights."""
     spark = vocabulary.sparkSession

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as T
-from ..operators import audit, metrics, models, near_duplicates, pairs, ranking
+from ..operators import audit, metrics, models, near_duplicates, pairs, ranking, training
 from ..sources import readers, sinks
 
 # Names and kinds of the candidate networks.
@@ -93,11 +93,11 @@ def _inputs(spark: SparkSession, out: str, features: DataFrame, vocabulary: Data
     return rows.select("sample_id", "image_id", "part_category", "text_category", "label", "image", "text", C.encode(F.col("label"), LABELS).cast("int").alias("code"), "image_category", F.col("text_category_code"))
 
 
-def _fit(rows: DataFrame, kind: str, auxiliary: bool, image_size: int, text_size: int, categories: int, epochs: int, seed: int, **options) -> models.HeadNetwork:
-    network = models.HeadNetwork(kind, image_size, text_size, len(LABELS), categories if auxiliary else 0, seed=seed, hidden=options.pop("hidden", 128))
-    train = rows.select("image", "text", F.col("code").alias("label"), "image_category", F.col("text_category_code").alias("text_category"))
-    models.fit_network(train, network, epochs, **options)
-    return network
+_CODES = ("code", "image_category", "text_category_code")
+
+
+def _network(kind: str, auxiliary: bool, sizes: tuple[int, int, int], seed: int, hidden: int = 128) -> models.HeadNetwork:
+    return models.HeadNetwork(kind, sizes[0], sizes[1], len(LABELS), sizes[2] if auxiliary else 0, seed=seed, hidden=hidden)
 
 
 def _scored(rows: DataFrame, network: models.HeadNetwork) -> DataFrame:
@@ -105,27 +105,31 @@ def _scored(rows: DataFrame, network: models.HeadNetwork) -> DataFrame:
     return rows.select("sample_id", "image_id", "part_category", "text_category", "label").join(guess, "sample_id").withColumn("correct", F.col("label") == F.col("prediction"))
 
 
-def validate(spark: SparkSession, out: str, features: DataFrame, epochs: int = 8, max_text_features: int = 512, seed: int = 44, **options) -> dict:
-    """Fit each candidate on train, measure it on validation, and write the selection: most macro F1, then accuracy."""
+def validate(spark: SparkSession, out: str, features: DataFrame, epochs: int = 8, max_text_features: int = 512, seed: int = 44, hidden: int = 128, batch: int = models.BATCH_ROWS, **options) -> dict:
+    """Fit each candidate on train, measure it on validation after each epoch, keep its best epoch's state, and write the selection: most macro F1, then accuracy.
+
+    options go to training.fit()."""
     train, validation = (readers.relations(spark, f"{out}/relations", s) for s in ("train", "validation"))
-    vocabulary = T.fit(train, "sample_id", "description", max_text_features).cache()
+    vocabulary = sinks.written(T.fit(train, "sample_id", "description", max_text_features), "vocabulary")
     sizes = (len(features.first()["features"]), vocabulary.count(), spark.read.parquet(f"{out}/categories").count())
-    a, b = (_inputs(spark, out, features, vocabulary, r).cache() for r in (train, validation))
+    b = sinks.written(_inputs(spark, out, features, vocabulary, validation), "validation")
+    packed = [training.pack(r, _CODES, batch, seed) for r in (_inputs(spark, out, features, vocabulary, train), b)]
     table = []
     for k, (name, kind, auxiliary) in enumerate(CANDIDATES):
-        network = _fit(a, kind, auxiliary, *sizes, epochs, seed + k, **options)
+        network = _network(kind, auxiliary, sizes, seed + k, hidden)
+        history = training.fit(spark, network, packed[0], epochs, packed[1], seed=seed + k, **options)
         r = metrics.blocks(_scored(b, network), "image_id").first()
-        table.append({"model": name, "accuracy": r.accuracy, "macro_f1": r.macro_f1, "epochs": epochs, "seed": seed + k})
+        table.append({"model": name, "accuracy": r.accuracy, "macro_f1": r.macro_f1, "epochs": history.best_epoch, "seed": seed + k, "history": history.epochs})
     best = max(table, key=lambda r: (r["macro_f1"], r["accuracy"]))
-    summary = {"models": table, "selected": best, "text_features": sizes[1], "max_text_features": max_text_features}
+    settings = {"hidden": hidden, "batch": batch, **options}
+    summary = {"models": table, "selected": best, "text_features": sizes[1], "max_text_features": max_text_features, "settings": settings}
     write_document(spark, summary, f"{out}/validation")
-    for df in (vocabulary, a, b):
-        df.unpersist()
     return summary
 
 
-def final_test(spark: SparkSession, out: str, features: DataFrame, confirm: bool, **options) -> dict:
-    """Fit the selected model on train and validation and score the test split, once: needs confirmation, an intact lock and no earlier result."""
+def final_test(spark: SparkSession, out: str, features: DataFrame, confirm: bool) -> dict:
+    """Fit the selected model on train and validation, for as many epochs as its best one took and as it was fitted before, and score the test split, once: needs
+    confirmation, an intact lock and no earlier result."""
     if not confirm:
         raise PermissionError("the final test needs confirmation")
     audit.enforce(check(spark, out, include_locked_test=True))
@@ -133,9 +137,12 @@ def final_test(spark: SparkSession, out: str, features: DataFrame, confirm: bool
     name, kind, auxiliary = next(c for c in CANDIDATES if c[0] == chosen["selected"]["model"])
     development = readers.relations(spark, f"{out}/relations", "train").unionByName(readers.relations(spark, f"{out}/relations", "validation"))
     test = readers.relations(spark, f"{out}/relations", "test", allow_locked_test=True)
-    vocabulary = T.fit(development, "sample_id", "description", chosen["max_text_features"])
+    vocabulary = sinks.written(T.fit(development, "sample_id", "description", chosen["max_text_features"]), "vocabulary")
     sizes = (len(features.first()["features"]), vocabulary.count(), spark.read.parquet(f"{out}/categories").count())
-    network = _fit(_inputs(spark, out, features, vocabulary, development), kind, auxiliary, *sizes, chosen["selected"]["epochs"], chosen["selected"]["seed"], **options)
+    settings, seed = dict(chosen["settings"]), chosen["selected"]["seed"]
+    network = _network(kind, auxiliary, sizes, seed, settings.pop("hidden"))
+    rows = training.pack(_inputs(spark, out, features, vocabulary, development), _CODES, settings.pop("batch"), seed)
+    training.fit(spark, network, rows, chosen["selected"]["epochs"], seed=seed, **settings)
     scored = sinks.written(_scored(_inputs(spark, out, features, vocabulary, test), network), "predictions")
     if scored.count() != test.count():
         raise ValueError("not every test row has a prediction")

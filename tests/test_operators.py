@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sparrel.operators import audit, metrics, models, near_duplicates, pairs, ranking, resample
+from sparrel.operators import audit, metrics, models, near_duplicates, pairs, ranking, resample, training
 
 
 def rows_of(df, *columns):
@@ -309,8 +309,8 @@ def test_network_learns_in_spark_and_scores_without_labels(spark):
     rows = [(k, [float(v) for v in x[k, :2]], [float(v) for v in x[k, 2:]], int(x[k, 0] > 0), 0, 1) for k in range(300)]
     df = spark.createDataFrame(rows, "id long, image array<double>, text array<double>, label int, image_category int, text_category int").repartition(3)
     net = models.HeadNetwork("multimodal", 2, 2, 2, categories=2, hidden=8)
-    losses = models.fit_network(df, net, epochs=25, rate=0.05)
-    assert losses[-1] < 0.6 * losses[0]
+    history = training.fit(spark, net, training.pack(df, ("label", "image_category", "text_category")), epochs=12, rate=0.05, chunks=1)
+    assert history.epochs[-1]["train_loss"] < 0.6 * history.epochs[0]["train_loss"] and history.best_epoch is None
     scored = models.score(df.select("id", "image", "text"), net, "id", ["NO", "YES"])
     assert scored.columns == ["id", "prediction", "model_score", "score_no", "score_yes"]
     right = scored.join(df, "id").where((F.col("prediction") == "YES") == (F.col("label") == 1)).count()

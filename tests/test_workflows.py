@@ -49,10 +49,10 @@ def test_select_test_once_and_audit(spark, built):
     assert [m["model"] for m in summary["models"]] == [c[0] for c in W.CANDIDATES] and summary["selected"]["macro_f1"] == max(m["macro_f1"] for m in summary["models"])
     with pytest.raises(PermissionError):
         W.final_test(spark, out, features, confirm=False)
-    result = W.final_test(spark, out, features, confirm=True, rate=0.02, hidden=24)
+    result = W.final_test(spark, out, features, confirm=True)
     assert result["rows"] == 48 and sum(map(sum, result["confusion"])) == 48
     with pytest.raises(AnalysisException):
-        W.final_test(spark, out, features, confirm=True, rate=0.02, hidden=24)
+        W.final_test(spark, out, features, confirm=True)
     hashes = spark.read.parquet(f"{out}/images").select(F.col("image_id").alias("id"), "category", "split", F.xxhash64("category").alias("phash"), F.xxhash64("category").alias("dhash"))
     report = W.audit_result(spark, out, hashes)
     assert report["images"].first().groups == 8 and report["categories"].count() == 4
