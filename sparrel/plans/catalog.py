@@ -6,14 +6,17 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import findable
 from ..functions import columns as C
+from ..functions import pixels as P
 from ..functions import text as T
-from ..operators import audit, metrics, models, near_duplicates, networks, pairs, ranking, resample
+from ..operators import audit, metrics, models, near_duplicates, networks, pairs, ranking, resample, training
+from ..sources import images as images_io
 from ..sources import readers, sinks
 from . import workflows
 
@@ -827,5 +830,84 @@ def M4_M9_head_scores(spark, sf):
     wide = lambda a, n: F.transform(F.slice("embedding", a, n), lambda v: v.cast("double"))
     rows = e.select("vec_id", "split", wide(1, 48).alias("image"), wide(49, 16).alias("text"), F.pmod("label", F.lit(3)).cast("int").alias("label"), F.pmod("label", F.lit(3)).cast("int").alias("image_category"), F.pmod("label", F.lit(3)).cast("int").alias("text_category"))
     network = models.HeadNetwork("multimodal", 48, 16, 3, categories=3, hidden=16)
-    models.fit_network(rows.where("split = 'train'"), network, epochs=3, rate=0.01)
+    training.fit(spark, network, training.pack(rows.where("split = 'train'"), ("label", "image_category", "text_category")), epochs=3, rate=0.01)
     return models.score(rows.where("split = 'test'").select("vec_id", "image", "text"), network, "vec_id", list(C.LABELS))
+
+
+def embedded(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_id, split, image (the embedding), text (its last 16 values), label (0 to 2): whole embeddings as rows to train on."""
+    numbers = lambda c: F.transform(c, lambda v: v.cast("double"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.pmod("label", F.lit(3)).cast("int").alias("label"), numbers(F.col("embedding")).alias("image"), numbers(F.slice("embedding", 49, 16)).alias("text"))
+    return ranking.stratified_split(e, "label", "vec_id").drop("rank")
+
+
+@query
+def M7_training_history(spark, sf):
+    """Loss and validation metrics of each epoch of a network trained by whole-table steps, and which epoch is kept."""
+    rows = embedded(spark, sf)
+    train, validation = (training.pack(rows.where(F.col("split") == s)) for s in ("train", "validation"))
+    network = models.HeadNetwork("image_only", 64, 16, 3, hidden=8)
+    history = training.fit(spark, network, train, 4, validation, rate=0.05, dropout=False, chunks=len(train.chunks))
+    return rounded(history.frame(spark))
+
+
+@query
+def M9_scores_of_saved_weights(spark, sf):
+    """Scores of all rows by a network with both encoders, its first weights saved and loaded again."""
+    path = sinks.shared_dir(spark, "model")
+    nothing = spark.createDataFrame([], "term string, idf double, index int")
+    models.save(models.HeadNetwork("multimodal", 64, 16, 3, hidden=8), nothing, path)
+    network, _, _ = models.load(spark, path)
+    return rounded(models.score(embedded(spark, sf).select("vec_id", "image", "text"), network, "vec_id", list(C.LABELS)))
+
+
+def textures(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_id, and a picture of 20 to 26 rows of 30 to 34 pixels, all of whose values come from the whole embedding."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (20 + F.col("vec_id") % 7).cast("int").alias("h"), (30 + F.col("vec_id") % 5).cast("int").alias("w"))
+    value = lambda k, y, x: F.floor(F.abs(F.get("embedding", ((13 * y + 7 * x + 5 * k) % 64).cast("int")).cast("double")) * 1e6) % 256
+    across = lambda k, y: F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: value(k, y, x))
+    channel = lambda k: F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: across(k, y))
+    return e.select("vec_id", F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), channel).alias("channels"))
+
+
+def checksums(values: Column) -> list[Column]:
+    """Sums that any moved or changed value alters: of the values, and of the values times their places from 1."""
+    add = lambda a, b: a + b
+    zero = F.lit(0).cast("double")
+    placed = F.transform(values, lambda v, k: v.cast("double") * (k + 1))
+    return [F.aggregate(F.transform(values, lambda v: v.cast("double")), zero, add).alias("total"), F.aggregate(placed, zero, add).alias("weighted")]
+
+
+@query
+def S6_F21_loaded_images(spark, sf):
+    """Pictures written as PNG files, decoded, brought to 16 x 16 pixels, and flattened to shares of 0..1."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [images_io.encode_png(np.moveaxis(np.array(c), 0, 2)) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"files/{k}.png" for k in batch.column(0).to_pylist()], pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+
+    path = sinks.shared_dir(spark, "pictures")
+    textures(spark, sf).mapInArrow(packed, "path string, content binary").write.parquet(path)
+    asked = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("files\\"), "vec_id", F.lit(".png")).alias("path"))
+    found = images_io.loaded(asked, spark.read.parquet(path), 16, 16).select("vec_id", C.pixel_vector(F.array(P.interleaved(F.col("channels")))).alias("v"))
+    return rounded(found.select("vec_id", F.size("v").cast("long").alias("size"), *checksums(F.col("v"))))
+
+
+@query
+def F11_F12_resized_hashes(spark, sf):
+    """Grey pictures of 32 x 32 and of 9 x 8 pixels and their hashes."""
+    greys = textures(spark, sf).select("vec_id", P.grey(F.col("channels")).alias("g"))
+    small = greys.select("vec_id", P.resized(F.col("g"), 32, 32, "lanczos").alias("a"), P.resized(F.col("g"), 9, 8, "lanczos").alias("b"))
+    total, weighted = checksums(F.flatten(F.array(F.flatten("a"), F.flatten("b"))))
+    return small.select("vec_id", C.perceptual_hash(F.col("a")).alias("phash"), C.difference_hash(F.col("b")).alias("dhash"), total, weighted)
+
+
+@query
+def F18_full_augmentation(spark, sf):
+    """Whole embeddings as 8 x 8 pixels in three channels: mirrored, turned, and brightness, contrast and saturation changed."""
+    value = lambda k, y, x: F.least(F.abs(F.get("embedding", ((8 * y + x + 21 * k) % 64).cast("int")).cast("double")), F.lit(1.0))
+    eight = F.sequence(F.lit(0), F.lit(7))
+    channels = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.transform(eight, lambda y: F.transform(eight, lambda x: value(k, y, x))))
+    changed = table(spark, sf, "embeddings").select("vec_id", P.changed(channels, F.col("vec_id")).alias("p"))
+    return rounded(changed.select("vec_id", *checksums(P.interleaved(F.col("p")))))

@@ -256,3 +256,141 @@ ORACLE_SQL: dict[str, str] = {
     "F19_json": f"""WITH {P} SELECT '{{' || string_agg('"' || category || '":' || CAST(n AS VARCHAR), ',' ORDER BY category) || '}}' AS document FROM (SELECT category, count(*) AS n FROM p GROUP BY category)""",
     "M1_majority": f"WITH {P}, top AS (SELECT label AS best FROM p GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT category, best AS prediction, round(avg(CAST(label = best AS INTEGER)), 6) AS accuracy FROM p, top GROUP BY category, best",
 }
+
+EMB = """
+v AS (SELECT vec_id, CAST(label % 3 AS INT) AS label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+vr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('44|' || CAST(vec_id AS VARCHAR)), vec_id) AS rank, CAST(round_even(count(*) OVER (PARTITION BY label) * 0.15e0, 0) AS BIGINT) AS part FROM v),
+emb AS (SELECT vec_id, label, e, CASE WHEN rank <= part THEN 'test' WHEN rank <= 2 * part THEN 'validation' ELSE 'train' END AS split FROM vr)"""
+
+
+def _drawn(layer: str, inputs: int, outputs: int) -> str:
+    """A layer's first weights (i, j, w): each from the SHA-256 of its name and place; the bias is the row after the last input."""
+    name = f"CASE WHEN i < {inputs} THEN '44|{layer}|' || i || '|' || j ELSE '44|{layer}_bias|0|' || j END"
+    draw = f"CAST('0x' || left(sha256({name}), 8) AS BIGINT) / 2147483648e0 - 1"
+    return f"(SELECT i, j, ({draw}) / sqrt({inputs}e0) AS w FROM (SELECT unnest(range({inputs + 1})) AS i), (SELECT unnest(range({outputs})) AS j))"
+
+
+def _product(rows: str, weights: str, relu: bool, inputs: int) -> str:
+    """rows (id, i, x) with a one after the last input, times weights: id, i, x."""
+    total = "greatest(sum(x * w), 0)" if relu else "sum(x * w)"
+    return f"(SELECT id, j AS i, {total} AS x FROM (SELECT id, i, x FROM {rows} UNION ALL SELECT DISTINCT id, {inputs}, 1e0 FROM {rows}) a JOIN {weights} b USING (i) GROUP BY id, j)"
+
+
+def _softmax(logits: str) -> str:
+    top = f"(SELECT *, max(x) OVER (PARTITION BY id) AS top FROM {logits})"
+    return f"(SELECT id, i, exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY id) AS p FROM {top})"
+
+
+def _history(epochs: int, rate: float) -> str:
+    """Forward pass, gradients and an Adam step over the whole train split for each epoch, then the metrics of the validation split."""
+    steps = []
+    for k in range(1, epochs + 1):
+        old = f"{k - 1}"
+        steps.append(f"""
+h{k} AS MATERIALIZED {_product("tx", "wh" + old, True, 64)}, o{k} AS MATERIALIZED {_product(f"h{k}", "wo" + old, False, 8)}, p{k} AS MATERIALIZED {_softmax(f"o{k}")},
+l{k} AS (SELECT -avg(ln(p)) AS loss FROM p{k} JOIN ty USING (id) WHERE i = label),
+d{k} AS MATERIALIZED (SELECT id, i AS j, (p - CASE WHEN i = label THEN 1 ELSE 0 END) / (SELECT count(*) FROM ty) AS d FROM p{k} JOIN ty USING (id)),
+dh{k} AS MATERIALIZED (SELECT h.id, h.i AS j, CASE WHEN h.x > 0 THEN sum(d.d * w.w) ELSE 0 END AS d FROM h{k} h JOIN wo{old} w ON w.i = h.i JOIN d{k} d ON d.id = h.id AND d.j = w.j GROUP BY h.id, h.i, h.x),
+go{k} AS (SELECT i, j, sum(x * d) AS g FROM (SELECT id, i, x FROM h{k} UNION ALL SELECT DISTINCT id, 8, 1e0 FROM h{k}) a JOIN d{k} USING (id) GROUP BY i, j),
+gh{k} AS (SELECT i, j, sum(x * d) AS g FROM (SELECT id, i, x FROM tx UNION ALL SELECT DISTINCT id, 64, 1e0 FROM tx) a JOIN dh{k} USING (id) GROUP BY i, j)""")
+        for layer in "ho":
+            steps.append(f"""
+a{layer}{k} AS MATERIALIZED (SELECT i, j, 0.9e0 * m + 0.1e0 * g AS m, 0.999e0 * v + 0.001e0 * g * g AS v FROM a{layer}{old} JOIN g{layer}{k} USING (i, j)),
+w{layer}{k} AS MATERIALIZED (
+  SELECT i, j, w - {rate}e0 * (m / (1 - 0.9e0 ** {k})) / (sqrt(v / (1 - 0.999e0 ** {k})) + 1e-8) AS w FROM a{layer}{k} JOIN w{layer}{old} USING (i, j))""")
+        steps.append(f"""
+vh{k} AS MATERIALIZED {_product("vx", f"wh{k}", True, 64)}, vo{k} AS MATERIALIZED {_product(f"vh{k}", f"wo{k}", False, 8)},
+g{k} AS (SELECT label, arg_max(i, (x, -i)) AS guess FROM vo{k} JOIN vy USING (id) GROUP BY id, label),
+f{k} AS (SELECT c, 2e0 * count(*) FILTER (label = c AND guess = c) / (count(*) FILTER (label = c) + count(*) FILTER (guess = c)) AS f1 FROM g{k}, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c HAVING count(*) FILTER (label = c OR guess = c) > 0),
+e{k} AS (SELECT {k} AS epoch, (SELECT loss FROM l{k}) AS train_loss, (SELECT avg(CASE WHEN label = guess THEN 1e0 ELSE 0 END) FROM g{k}) AS a, (SELECT avg(f1) FROM f{k}) AS f)""")
+    return f"""
+WITH {EMB},
+tx AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(e) AS x FROM emb WHERE split = 'train'), ty AS (SELECT vec_id AS id, label FROM emb WHERE split = 'train'),
+vx AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(e) AS x FROM emb WHERE split = 'validation'), vy AS (SELECT vec_id AS id, label FROM emb WHERE split = 'validation'),
+wh0 AS MATERIALIZED {_drawn("h", 64, 8)}, wo0 AS MATERIALIZED {_drawn("o", 8, 3)},
+ah0 AS (SELECT i, j, 0e0 AS m, 0e0 AS v FROM wh0), ao0 AS (SELECT i, j, 0e0 AS m, 0e0 AS v FROM wo0),{",".join(steps)},
+every AS ({" UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(1, epochs + 1))})
+SELECT epoch, round(train_loss, 6) AS train_loss, round(a, 6) AS validation_accuracy, round(f, 6) AS validation_macro_f1,
+       epoch = (SELECT min(epoch) FROM every WHERE f = (SELECT max(f) FROM every)) AS best
+FROM every"""
+
+
+ORACLE_SQL["M7_training_history"] = _history(4, 0.05)
+ORACLE_SQL["M9_scores_of_saved_weights"] = f"""
+WITH {EMB},
+x AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(e) AS x FROM emb), t AS MATERIALIZED (SELECT id, i - 48 AS i, x FROM x WHERE i >= 48),
+wi AS MATERIALIZED {_drawn("i", 64, 8)}, wt AS MATERIALIZED {_drawn("t", 16, 8)}, wh AS MATERIALIZED {_drawn("h", 16, 8)}, wo AS MATERIALIZED {_drawn("o", 8, 3)},
+a AS MATERIALIZED {_product("x", "wi", True, 64)}, b AS MATERIALIZED {_product("t", "wt", True, 16)}, ab AS (SELECT * FROM a UNION ALL SELECT id, i + 8, x FROM b),
+h AS MATERIALIZED {_product("ab", "wh", True, 16)}, o AS MATERIALIZED {_product("h", "wo", False, 8)}, p AS {_softmax("o")}
+SELECT id AS vec_id, ['MATCH', 'MISMATCH', 'PARTIAL_MATCH'][arg_max(i, (p, -i)) + 1] AS prediction, round(max(p), 6) AS model_score,
+       round(max(p) FILTER (i = 0), 6) AS score_match, round(max(p) FILTER (i = 1), 6) AS score_mismatch, round(max(p) FILTER (i = 2), 6) AS score_partial_match
+FROM p GROUP BY id"""
+
+TEXTURE = """
+tx AS MATERIALIZED (
+  SELECT vec_id, k, y, x, h, w, CAST(floor(abs(CAST(embedding[(13 * y + 7 * x + 5 * k) % 64 + 1] AS DOUBLE)) * 1e6) AS BIGINT) % 256 AS v
+  FROM (SELECT vec_id, embedding, 20 + vec_id % 7 AS h, 30 + vec_id % 5 AS w FROM embeddings), range(3) AS c(k), range(26) AS a(y), range(34) AS b(x) WHERE y < h AND x < w)"""
+
+
+def _taps(name: str, sizes: str, target: int, curve: str, reach: int) -> str:
+    """name (s, o, i, w): the whole-number weight of place i of s in place o of the target."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT s, o, i, CAST(trunc(w / sum(w) OVER (PARTITION BY s, o) * 4194304e0 + CASE WHEN w / sum(w) OVER (PARTITION BY s, o) < 0 THEN -0.5e0 ELSE 0.5e0 END) AS BIGINT) AS w
+  FROM (SELECT s, o, i, {curve} AS w
+        FROM (SELECT *, (i - c + 0.5e0) / f AS t FROM (SELECT s, o, (o + 0.5e0) * (s / {target}e0) AS c, greatest(s / {target}e0, 1e0) AS f FROM {sizes}, range({target}) AS t(o)), range(64) AS u(i)
+              WHERE i < s AND i >= trunc(c - {reach} * f + 0.5e0) AND i < trunc(c + {reach} * f + 0.5e0))))"""
+
+
+def _resized(name: str, source: str, across: str, down: str) -> str:
+    """source (vec_id, k, y, x, h, w, v) as name (vec_id, k, y, x, v): rows first, then columns, whole numbers after each."""
+    whole = "CAST(least(greatest(floor((2097152 + sum(v * t.w)) / 4194304e0), 0), 255) AS BIGINT) AS v"
+    return f"""
+{name}a AS MATERIALIZED (SELECT vec_id, k, y, t.o AS x, h, {whole} FROM {source} p JOIN {across} t ON t.s = p.w AND t.i = p.x GROUP BY vec_id, k, y, t.o, h),
+{name} AS MATERIALIZED (SELECT vec_id, k, t.o AS y, x, {whole} FROM {name}a p JOIN {down} t ON t.s = p.h AND t.i = p.y GROUP BY vec_id, k, t.o, x)"""
+
+
+_SIZES = "hs AS (SELECT DISTINCT h AS s FROM tx), ws AS (SELECT DISTINCT w AS s FROM tx)"
+_SINC = "(CASE WHEN t = 0 THEN 1e0 WHEN abs(t) >= 3 AND t <> -3 THEN 0e0 ELSE sin(pi() * t) / (pi() * t) * (sin(pi() * t / 3) / (pi() * t / 3)) END)"
+
+ORACLE_SQL["S6_F21_loaded_images"] = f"""
+WITH {TEXTURE}, {_SIZES},{_taps("wt", "ws", 16, "greatest(1 - abs(t), 0)", 1)},{_taps("ht", "hs", 16, "greatest(1 - abs(t), 0)", 1)},{_resized("small", "tx", "wt", "ht")}
+SELECT vec_id, count(*) AS size, round(sum(v / 255e0), 6) AS total, round(sum(v / 255e0 * (48 * y + 3 * x + k + 1)), 6) AS weighted FROM small GROUP BY vec_id"""
+
+ORACLE_SQL["F11_F12_resized_hashes"] = f"""
+WITH {TEXTURE}, {_SIZES},
+grey AS MATERIALIZED (SELECT vec_id, 0 AS k, y, x, h, w, (sum(v * CASE k WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768) // 65536 AS v FROM tx GROUP BY vec_id, y, x, h, w),
+{_taps("wa", "ws", 32, _SINC, 3)},{_taps("ha", "hs", 32, _SINC, 3)},{_taps("wb", "ws", 9, _SINC, 3)},{_taps("hb", "hs", 8, _SINC, 3)},{_resized("big", "grey", "wa", "ha")},{_resized("low", "grey", "wb", "hb")},
+cosine AS (SELECT u, i, sqrt((CASE WHEN u = 0 THEN 1 ELSE 2 END) / 32e0) * cos(pi() * (2 * i + 1) * u / 64) AS c FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS i)),
+half AS (SELECT vec_id, u, x, sum(c * v) AS t FROM big JOIN cosine ON i = y GROUP BY vec_id, u, x),
+corner AS (SELECT vec_id, 8 * half.u + cosine.u AS place, sum(t * c) AS v FROM half JOIN cosine ON x = i GROUP BY vec_id, half.u, cosine.u),
+mid AS (SELECT vec_id, median(v) AS m FROM corner WHERE place > 0 GROUP BY vec_id),
+ph AS (SELECT vec_id, string_agg(CASE WHEN v > m THEN '1' ELSE '0' END, '' ORDER BY place) AS bits FROM corner JOIN mid USING (vec_id) GROUP BY vec_id),
+dh AS (SELECT a.vec_id, string_agg(CASE WHEN b.v > a.v THEN '1' ELSE '0' END, '' ORDER BY a.y, a.x) AS bits FROM low a JOIN low b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY a.vec_id),
+every AS (SELECT vec_id, 32 * y + x + 1 AS place, v FROM big UNION ALL SELECT vec_id, 1024 + 9 * y + x + 1, v FROM low),
+sums AS (SELECT vec_id, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(v * place) AS DOUBLE) AS weighted FROM every GROUP BY vec_id)
+SELECT vec_id, CAST(CAST(ph.bits AS BIT) AS BIGINT) AS phash, CAST(CAST(dh.bits AS BIT) AS BIGINT) AS dhash, total, weighted FROM ph JOIN dh USING (vec_id) JOIN sums USING (vec_id)"""
+
+
+def _jitter(k: int) -> str:
+    """The k-th change of each picture, by its order's k-th place."""
+    return f"""
+g{k} AS MATERIALIZED (SELECT vec_id, y, x, sum(v * CASE k WHEN 0 THEN 0.2989e0 WHEN 1 THEN 0.587e0 ELSE 0.114e0 END) AS g FROM p{k} GROUP BY vec_id, y, x),
+m{k} AS (SELECT vec_id, avg(g) AS m FROM g{k} GROUP BY vec_id),
+p{k + 1} AS MATERIALIZED (
+  SELECT vec_id, k, y, x, least(greatest(CASE substr(o, {k + 1}, 1) WHEN 'b' THEN v * fb WHEN 'c' THEN m + fc * (v - m) ELSE g + fs * (v - g) END, 0), 1) AS v
+  FROM p{k} JOIN g{k} USING (vec_id, y, x) JOIN m{k} USING (vec_id) JOIN d USING (vec_id))"""
+
+
+ORACLE_SQL["F18_full_augmentation"] = f"""
+WITH h AS (SELECT vec_id, embedding AS e, sha256('44|' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
+u AS (SELECT vec_id, e, h, [CAST('0x' || substr(h, 2 + 8 * i, 8) AS BIGINT) / 4294967296e0 FOR i IN range(5)] AS u FROM h),
+d AS (SELECT vec_id, e, left(h, 1) < '8' AS mirror, radians(12 * u[1] - 6) AS t, 0.9e0 + 0.2e0 * u[2] AS fb, 0.9e0 + 0.2e0 * u[3] AS fc, 0.92e0 + 0.16e0 * u[4] AS fs,
+             ['bcs', 'bsc', 'cbs', 'csb', 'sbc', 'scb'][CAST(floor(u[5] * 6) AS INT) + 1] AS o FROM u),
+p AS MATERIALIZED (SELECT vec_id, k, y, CASE WHEN mirror THEN 7 - x ELSE x END AS x, least(abs(CAST(e[(8 * y + x + 21 * k) % 64 + 1] AS DOUBLE)), 1) AS v FROM d, range(3) AS a(k), range(8) AS b(y), range(8) AS c(x)),
+-- Where each place comes from, and the four pixels around it.
+s AS (SELECT vec_id, y, x, sin(t) * (x - 3.5e0) + cos(t) * (y - 3.5e0) + 3.5e0 AS sy, cos(t) * (x - 3.5e0) - sin(t) * (y - 3.5e0) + 3.5e0 AS sx FROM d, range(8) AS b(y), range(8) AS c(x)),
+near AS (SELECT vec_id, y, x, floor(sy) + a AS ny, floor(sx) + b AS nx, (CASE a WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE b WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS f FROM s, range(2) AS i(a), range(2) AS j(b)),
+p0 AS MATERIALIZED (SELECT n.vec_id, c.k, n.y, n.x, coalesce(sum(n.f * p.v), 0) AS v FROM near n CROSS JOIN range(3) AS c(k) LEFT JOIN p ON p.vec_id = n.vec_id AND p.k = c.k AND p.y = n.ny AND p.x = n.nx GROUP BY n.vec_id, c.k, n.y, n.x),
+{_jitter(0)},{_jitter(1)},{_jitter(2)}
+SELECT vec_id, round(sum(v), 6) AS total, round(sum(v * (24 * y + 3 * x + k + 1)), 6) AS weighted FROM p3 GROUP BY vec_id"""
