@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import _bound
+
 #: Terms up to which a vocabulary is sent to every task; a larger one is joined by shuffle.
 MAX_BROADCAST_TERMS = 100_000
 
@@ -18,9 +20,11 @@ def tokens(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    t = tokens(text)
-    pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(t, pairs)
+    def both(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.concat(t, F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return _bound(tokens(text), both)
 
 
 def term_statistics(docs: DataFrame, text_col: str) -> DataFrame:
@@ -70,3 +74,14 @@ def dense(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, na
     entries = transform(docs, vocabulary, id_col, text_col).join(F.broadcast(index) if size <= MAX_BROADCAST_TERMS else index, "term").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("index", "weight"))).alias("_m"))
     wide = F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
     return docs.select(id_col).join(entries, id_col, "left").select(id_col, wide.alias(name))
+
+
+def sparse(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, name: str = "text") -> DataFrame:
+    """id and a sparse vector (size, indices in order, values) of weights by vocabulary index for every row; empty where no term is known."""
+    size = vocabulary.count()
+    index = vocabulary.select("term", F.col("index").cast("int").alias("index"))
+    weights = transform(docs, vocabulary, id_col, text_col).join(F.broadcast(index) if size <= MAX_BROADCAST_TERMS else index, "term")
+    each = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("_e"))  # no more than the vocabulary
+    some = F.coalesce("_e", F.array().cast("array<struct<index: int, weight: double>>"))
+    vector = F.struct(F.lit(size).alias("size"), F.transform(some, lambda e: e.index).alias("indices"), F.transform(some, lambda e: e.weight).alias("values"))
+    return docs.select(id_col).join(each, id_col, "left").select(id_col, vector.alias(name))

@@ -36,14 +36,6 @@ def best_epoch(history: DataFrame, model: str = "model", epoch: str = "epoch", m
     return history.groupBy(model).agg(best).select(model, (-F.col("b.e")).alias(epoch), F.col("b.m").alias(metric))
 
 
-def logistic_regression(train: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 100):
-    """A fitted multinomial model with an L2 penalty of 1 / (rows * c), features unscaled."""
-    from pyspark.ml.classification import LogisticRegression
-
-    n = max(1, train.count())
-    return LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", standardization=False, regParam=1.0 / (n * c), maxIter=max_iter).fit(train)
-
-
 class HeadNetwork:
     """Feed-forward heads: text only, image only, or both encoded, joined and classified, with optional category heads for each side.
 

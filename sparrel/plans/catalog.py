@@ -15,7 +15,7 @@ from .. import findable
 from ..functions import columns as C
 from ..functions import pixels as P
 from ..functions import text as T
-from ..operators import audit, metrics, models, near_duplicates, networks, pairs, ranking, resample, training
+from ..operators import audit, metrics, models, near_duplicates, networks, pairs, ranking, regression, resample, training
 from ..sources import images as images_io
 from ..sources import readers, sinks
 from . import workflows
@@ -789,25 +789,39 @@ def M1_majority(spark, sf):
     return rounded(p.groupBy("category").agg(F.lit(best).alias("prediction"), F.avg((F.col("label") == best).cast("int")).alias("accuracy")))
 
 
-def labelled_features(spark: SparkSession, sf: str, image: bool) -> DataFrame:
-    """doc_id, split, quality label and a feature vector: TF-IDF of the text (fitted on the train split), or beside it an embedding as the image."""
-    from pyspark.ml.functions import array_to_vector
+#: Iterations that each baseline may take: text, pixels, both.  Fixed values.
+ITERATIONS = {"text": 3000, "pixels": 3000, "both": 4000}
 
+
+def labelled_features(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """doc_id, split, quality label and sparse features: TF-IDF of the text (fitted on the train split), an embedding as the pixels, or both, pixels first."""
     d = split_documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    rows = d.join(T.dense(d, T.fit(d.where("split = 'train'"), "doc_id", "text", 512), "doc_id", "text", "x"), "doc_id")
-    if image:
+    if kind != "pixels":
+        d = d.join(T.sparse(d, T.fit(d.where("split = 'train'"), "doc_id", "text", 512), "doc_id", "text", "t"), "doc_id")
+    if kind != "text":
         e = table(spark, sf, "embeddings")
-        rows = rows.withColumn("vec_id", F.col("doc_id") % e.count()).join(e.select("vec_id", "embedding"), "vec_id").withColumn("x", C.beside(F.col("embedding"), F.col("x")))
-    return rows.select("doc_id", "split", "label", array_to_vector("x").alias("features"))
+        d = d.withColumn("vec_id", F.col("doc_id") % e.count()).join(e.select("vec_id", regression.from_dense(F.col("embedding"), 64).alias("p")), "vec_id")
+    features = F.col("t") if kind == "text" else F.col("p") if kind == "pixels" else regression.beside(F.col("p"), F.col("t"))
+    return sinks.written(d.select("doc_id", "split", "label", features.alias("features")), "regression")
 
 
-def regression(rows: DataFrame) -> DataFrame:
+def regressed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Predictions of the test split and the probability of label 1."""
     from pyspark.ml.functions import vector_to_array
 
-    model = models.logistic_regression(rows.where("split = 'train'"), "features", "label")
+    rows = regression.vectors(labelled_features(spark, sf, kind), "features")
+    model = regression.fit(rows.where("split = 'train'"), "features", "label", max_iter=ITERATIONS[kind])
     return rounded(model.transform(rows.where("split = 'test'")).select("doc_id", F.col("prediction").cast("int").alias("prediction"), F.element_at(vector_to_array("probability"), 2).alias("probability")))
 
 
+def optimum(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Each feature's sum over the train rows of a class, and the objective's derivative there, which is 0 if the solver has converged."""
+    train = labelled_features(spark, sf, kind).where("split = 'train'")
+    model = regression.fit(regression.vectors(train, "features"), "features", "label", max_iter=ITERATIONS[kind])
+    found = regression.stationarity(model, train, "features", "label")
+    return found.select("class", "index", F.round("observed", 6).alias("observed"), (F.round("gradient", 4) + 0.0).alias("gradient"))
+
+
 @query
 def M3_M5_parameters(spark, sf):
     return networks.parameter_counts(spark, 342).groupBy("network").agg(F.sum("parameters").alias("parameters"), F.count("*").alias("arrays"))
@@ -815,12 +829,32 @@ def M3_M5_parameters(spark, sf):
 
 @query
 def M2_logistic_regression(spark, sf):
-    return regression(labelled_features(spark, sf, image=False))
+    return regressed(spark, sf, "text")
+
+
+@query
+def M2_pixels_regression(spark, sf):
+    return regressed(spark, sf, "pixels")
 
 
 @query
 def M2_F17_combined_regression(spark, sf):
-    return regression(labelled_features(spark, sf, image=True))
+    return regressed(spark, sf, "both")
+
+
+@query
+def M2_text_optimum(spark, sf):
+    return optimum(spark, sf, "text")
+
+
+@query
+def M2_pixels_optimum(spark, sf):
+    return optimum(spark, sf, "pixels")
+
+
+@query
+def M2_F17_combined_optimum(spark, sf):
+    return optimum(spark, sf, "both")
 
 
 @query

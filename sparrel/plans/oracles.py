@@ -394,3 +394,32 @@ near AS (SELECT vec_id, y, x, floor(sy) + a AS ny, floor(sx) + b AS nx, (CASE a
 p0 AS MATERIALIZED (SELECT n.vec_id, c.k, n.y, n.x, coalesce(sum(n.f * p.v), 0) AS v FROM near n CROSS JOIN range(3) AS c(k) LEFT JOIN p ON p.vec_id = n.vec_id AND p.k = c.k AND p.y = n.ny AND p.x = n.nx GROUP BY n.vec_id, c.k, n.y, n.x),
 {_jitter(0)},{_jitter(1)},{_jitter(2)}
 SELECT vec_id, round(sum(v), 6) AS total, round(sum(v * (24 * y + 3 * x + k + 1)), 6) AS weighted FROM p3 GROUP BY vec_id"""
+
+# What a converged regression must give: each feature's sum by class, and derivatives of 0.
+_LABELLED = """
+ld AS (SELECT doc_id, split, quality AS class FROM ds JOIN labels USING (doc_id) JOIN documents USING (doc_id)),
+lt AS (SELECT doc_id, class FROM ld WHERE split = 'train')"""
+_LTERMS = f"""
+tok AS (SELECT doc_id, split, {TOKENS} AS t FROM ds JOIN (SELECT doc_id FROM labels) USING (doc_id)),
+term AS (SELECT doc_id, split, unnest(t) AS term FROM tok UNION ALL SELECT doc_id, split, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, split, t, unnest(range(1, len(t))) AS i FROM tok)),
+tf AS (SELECT doc_id, split, term, count(*) AS tf FROM term GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM lt),
+vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf WHERE split = 'train' GROUP BY term ORDER BY total DESC, term LIMIT 512),
+fit AS (SELECT term, ln((1e0 + n) / (1e0 + df)) + 1e0 AS idf, row_number() OVER (ORDER BY term) - 1 AS index FROM vocab, n),
+raw AS (SELECT doc_id, index, (1e0 + ln(tf)) * idf AS raw FROM tf JOIN fit USING (term) WHERE split = 'train'),
+norm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS z FROM raw GROUP BY doc_id),
+tx AS (SELECT doc_id, index, raw / z AS x FROM raw JOIN norm USING (doc_id))"""
+_LPIXELS = "px AS (SELECT doc_id, unnest(range(64)) AS index, unnest([CAST(v AS DOUBLE) FOR v IN embedding]) AS x FROM lt JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings))"
+
+
+def _optimum(entries: str, size: str) -> str:
+    return f"""
+kinds AS (SELECT DISTINCT class FROM lt), every AS (SELECT class, index FROM kinds, (SELECT unnest(range(-1, {size})) AS index)),
+entry AS (SELECT doc_id, index, x FROM ({entries}) UNION ALL SELECT doc_id, -1, 1e0 FROM lt),
+observed AS (SELECT class, index, sum(x) AS x FROM entry JOIN lt USING (doc_id) GROUP BY ALL)
+SELECT CAST(class AS INT) AS class, CAST(index AS INT) AS index, round(coalesce(x, 0), 6) AS observed, 0e0 AS gradient FROM every LEFT JOIN observed USING (class, index)"""
+
+
+ORACLE_SQL["M2_text_optimum"] = f"WITH {DOCS},{_LABELLED},{_LTERMS},{_optimum('SELECT * FROM tx', '(SELECT count(*) FROM fit)')}"
+ORACLE_SQL["M2_pixels_optimum"] = f"WITH {DOCS},{_LABELLED},{_LPIXELS},{_optimum('SELECT * FROM px', '64')}"
+ORACLE_SQL["M2_F17_combined_optimum"] = f"WITH {DOCS},{_LABELLED},{_LTERMS},{_LPIXELS},{_optimum('SELECT * FROM px UNION ALL SELECT doc_id, index + 64, x FROM tx', '64 + (SELECT count(*) FROM fit)')}"
