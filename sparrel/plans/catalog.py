@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -16,13 +17,15 @@ from ..functions import columns as C
 from ..functions import pixels as P
 from ..functions import text as T
 from ..operators import audit, metrics, models, near_duplicates, networks, pairs, ranking, regression, resample, training
+from ..sources import charts, features, files, readers, sinks, staged
 from ..sources import images as images_io
-from ..sources import readers, sinks
 from . import workflows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATES = ["F", "O", "P"]
 TEMPLATES = ("A: {name}", "B: {name}")
+#: Tables and columns whose rows a run's lineage names.
+LINEAGE = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_mktsegment", "c_nationkey"]}
 LIMITS = (("very_strict", 16, 24), ("strict", 20, 28), ("screen", 24, 32))
 
 
@@ -39,6 +42,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def checksums(values: Column) -> list[Column]:
+    """Sums that any moved or changed value alters: of the values, and of the values times their places from 1."""
+    add = lambda a, b: a + b
+    zero = F.lit(0).cast("double")
+    placed = F.transform(values, lambda v, k: v.cast("double") * (k + 1))
+    return [F.aggregate(F.transform(values, lambda v: v.cast("double")), zero, add).alias("total"), F.aggregate(placed, zero, add).alias("weighted")]
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as samples of customers: the status is the truth, a rule over line statuses the prediction (no lines: O)."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("a"), F.max("l_linestatus").alias("b"))
@@ -139,7 +150,7 @@ def S4_json_document(spark, sf):
     path = sinks.shared_dir(spark, "json")
     table(spark, sf, "events").select(F.to_json(F.struct("event_type", F.from_json("props", "k bigint").alias("props"))).alias("value")).write.text(path)
     k = F.col("props.k")
-    read = spark.read.schema("event_type string, props struct<k: bigint>").json(path)
+    read = readers.json_documents(spark, path, "event_type string, props struct<k: bigint>", lines=True)
     return read.groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
 
 
@@ -151,7 +162,7 @@ def S8_lazy_dataset(spark, sf):
     features = e.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("features"))
     ids = r.select("image_id", "vec").distinct().join(features, "vec").select("image_id", "features")
     d = readers.lazy_dataset(r, ids, list(C.LABELS), readers.category_index(families(spark, sf), "category", "family"))
-    return d.select("sample_id", F.col("label_code").cast("long").alias("label_code"), F.col("image_code").cast("long").alias("image_code"), F.col("text_code").cast("long").alias("text_code"), F.round(F.col("features")[0].cast("double"), 6).alias("f0"))
+    return d.select("sample_id", F.col("label_code").cast("long").alias("label_code"), F.col("image_code").cast("long").alias("image_code"), F.col("text_code").cast("long").alias("text_code"), *[F.round(c, 6).alias(n) for c, n in zip(checksums(F.col("features")), ("total", "weighted"))])
 
 
 def archives(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,15 +195,19 @@ def S6_S7_collected_files(spark, sf):
 
 @query
 def S10_cached_features(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    e = table(spark, sf, "embeddings").select("vec_id", *checksums(F.col("embedding")))
     path = sinks.shared_dir(spark, "features")
     readers.cached_features(spark, path, e, "vec_id", lambda: e)
-    return readers.cached_features(spark, path, e, "vec_id", lambda: e.where("false"))  # kept, not built again
+    return rounded(readers.cached_features(spark, path, e, "vec_id", lambda: e.where("false")))  # kept, not built again
 
 
 @query
 def S11_single_record(spark, sf):
-    return readers.single_record(spark, "files/a.PNG", "  a small thing ")
+    """Parts as records to predict: pictures of several kinds, some without a description."""
+    p = table(spark, sf, "part")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("JPG", "png", "webp", "gif", "jpeg.txt")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    words = F.when(F.col("p_partkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("  ")))
+    return readers.uploads(p.select(F.concat(F.lit("files/"), "p_partkey", F.lit("."), suffix).alias("path"), words.alias("description")))
 
 
 @query
@@ -235,18 +250,26 @@ def K6_saved_model(spark, sf):
 
 @query
 def K8_F3_model_summary(spark, sf):
-    network = models.HeadNetwork("multimodal", 64, 16, 3, categories=25, hidden=8)
-    lines = sinks.model_summary(network.weights).split("\n")
+    """Arrays of a network as wide as the tables say, from its summary; whether its digest stays, and changes with a weight."""
+    width = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    categories = families(spark, sf).count()
+    network = models.HeadNetwork("multimodal", width, table(spark, sf, "region").count(), 3, categories=categories, hidden=8)
     again = {k: w.copy() for k, w in network.weights.items()}
     same = sinks.state_digest(network.weights) == sinks.state_digest(again)
     again["o"][0, 0] += 1
-    return spark.createDataFrame([(lines[-1], len(lines), same, sinks.state_digest(network.weights) == sinks.state_digest(again))], "total string, lines int, same boolean, changed_same boolean")
+    changed = sinks.state_digest(network.weights) == sinks.state_digest(again)
+    rows = [(line.split(" ")[0], int(line.split(" ")[-1]), same, changed) for line in sinks.model_summary(network.weights).split("\n")]
+    return spark.createDataFrame(rows, "name string, parameters long, same boolean, changed_same boolean")
 
 
 @query
 def K9_lineage(spark, sf):
-    found = sinks.lineage(spark, 44, {"nation": "x"})
-    return spark.createDataFrame([(found["seed"], found["spark"], len(found["inputs"]), bool(found["revision"]))], "seed long, spark string, inputs int, revision_known boolean")
+    """Digests of the rows that a run read, from its lineage document."""
+    inputs = {name: staged.rows_digest(table(spark, sf, name).select(*columns)) for name, columns in LINEAGE.items()}
+    path = sinks.shared_dir(spark, "lineage") + ".json"
+    sinks.write_json(sinks.lineage(spark, 44, inputs), path)
+    found = json.loads(sinks.read_bytes(path))
+    return spark.createDataFrame([(k, v, found["seed"], found["spark"] == spark.version) for k, v in found["inputs"].items()], "input string, digest string, seed int, same_version boolean")
 
 
 @query
@@ -750,27 +773,28 @@ def F14_math(spark, sf):
 
 @query
 def F15_softmax(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 10)
     e = table(spark, sf, "embeddings").select("vec_id", C.softmax(logits).alias("p"))
-    return rounded(e.select("vec_id", C.argmax(F.col("p")).cast("long").alias("best"), F.array_max("p").alias("score")))
+    return rounded(e.select("vec_id", C.argmax(F.col("p")).cast("long").alias("best"), F.array_max("p").alias("score"), checksums(F.col("p"))[1]))
 
 
 @query
 def F16_F21_arrays(spark, sf):
+    """Whole embeddings as 64 pixels of three channels, and as 8 rows of 8 values."""
     e = table(spark, sf, "embeddings")
-    colours = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.slice("embedding", 3 * i + 1, 3), lambda x: x.cast("double") * 255))
+    places = F.sequence(F.lit(0), F.lit(63))
+    colours = F.transform(places, lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.get("embedding", (i + k) % 64).cast("double") * 255))
     n = F.flatten(C.normalize(colours, C.CHANNEL_MEANS, C.CHANNEL_DEVIATIONS))
-    pixels = C.pixel_vector(F.array(F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double") * 255), F.transform(F.slice("embedding", 3, 2), lambda x: x.cast("double") * 255)))
-    joined = F.concat(n, pixels)
-    return rounded(e.select("vec_id", F.size(joined).cast("long").alias("size"), joined[0].alias("first"), F.element_at(joined, -1).alias("last")))
+    pixels = C.pixel_vector(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda x: x.cast("double") * 255)))
+    joined = e.select("vec_id", F.concat(n, pixels).alias("v"))
+    return rounded(joined.select("vec_id", F.size("v").cast("long").alias("size"), *checksums(F.col("v"))))
 
 
 @query
 def F18_augmentation(spark, sf):
     e = table(spark, sf, "embeddings")
-    rows = F.array(*[F.transform(F.slice("embedding", a, 4), lambda x: F.abs(x.cast("double"))) for a in (1, 5)])
-    changed = e.select("vec_id", C.augment(rows, F.col("vec_id")).alias("p"))
-    return rounded(changed.select("vec_id", F.col("p")[0][0].alias("first"), F.col("p")[1][3].alias("last")))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda x: F.abs(x.cast("double"))))
+    return rounded(e.select("vec_id", *checksums(F.flatten(C.augment(rows, F.col("vec_id"))))))
 
 
 @query
@@ -904,14 +928,6 @@ def textures(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), channel).alias("channels"))
 
 
-def checksums(values: Column) -> list[Column]:
-    """Sums that any moved or changed value alters: of the values, and of the values times their places from 1."""
-    add = lambda a, b: a + b
-    zero = F.lit(0).cast("double")
-    placed = F.transform(values, lambda v, k: v.cast("double") * (k + 1))
-    return [F.aggregate(F.transform(values, lambda v: v.cast("double")), zero, add).alias("total"), F.aggregate(placed, zero, add).alias("weighted")]
-
-
 @query
 def S6_F21_loaded_images(spark, sf):
     """Pictures written as PNG files, decoded, brought to 16 x 16 pixels, and flattened to shares of 0..1."""
@@ -945,3 +961,106 @@ def F18_full_augmentation(spark, sf):
     channels = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.transform(eight, lambda y: F.transform(eight, lambda x: value(k, y, x))))
     changed = table(spark, sf, "embeddings").select("vec_id", P.changed(channels, F.col("vec_id")).alias("p"))
     return rounded(changed.select("vec_id", *checksums(P.interleaved(F.col("p")))))
+
+
+# Files, archives, features, charts
+
+
+def files_of_suppliers(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A folder with a file for each supplier, but for every 13th, and a manifest (sha256, path) of what they should hold; every 11th holds something else."""
+    root = sinks.shared_dir(spark, "tree")
+    s = table(spark, sf, "supplier")
+    k, kind = F.col("s_suppkey"), F.element_at(F.array(F.lit("json"), F.lit("pt"), F.lit("txt"), F.lit("TMP")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    folder = F.when(k % 9 == 0, F.lit(".hidden/old_Set")).when(k % 10 == 0, F.lit("__pycache__")).otherwise(F.concat(F.lit("nation/"), "s_nationkey"))
+    rows = s.select(k.alias("k"), F.concat_ws("/", folder, F.concat_ws(".", k.cast("string"), kind)).alias("path"), F.col("s_name").alias("content"))
+    files.written(rows.where("k % 13 <> 0").select("path", F.when(F.col("k") % 11 == 0, F.lit("changed")).otherwise(F.col("content")).cast("binary").alias("content")), root).count()
+    return root, rows.select(F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), "path")
+
+
+@query
+def P20_forbidden_paths(spark, sf):
+    root, _ = files_of_suppliers(spark, sf)
+    return files.forbidden_paths(spark, root, ["*.pt", "*.TMP"], ["OLD_set"], excluded=("__pycache__",))
+
+
+@query
+def P14_P20_tree(spark, sf):
+    """Folders with the number and bytes of their files."""
+    root, _ = files_of_suppliers(spark, sf)
+    found = files.tree(spark, root).where("not folder")
+    return found.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query
+def S9_P14_verified_files(spark, sf):
+    root, manifest = files_of_suppliers(spark, sf)
+    return files.verified(spark, manifest, root)
+
+
+@query
+def S5_archive_source(spark, sf):
+    """Archives of many documents each, read member by member by several tasks."""
+    root = sinks.shared_dir(spark, "archives")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+                    z.writestr(f"data\\{doc_id}.JPG", text)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{ids[0]}.zip"], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+
+    files.written(docs.mapInArrow(packed, "path string, content binary"), root).count()
+    return files.archive_members(spark, root, "data/", task_bytes=1 << 20).select("path", "safe", "crc_ok", "bytes", "sha256")
+
+
+@query
+def M6_S10_feature_store(spark, sf):
+    """Features of all pictures, half of which an earlier request had left in the store."""
+    small = textures(spark, sf).select("vec_id", F.transform("channels", lambda c: P.resized(c, 16, 16)).alias("channels"))
+    small, path = sinks.written(small, "pictures"), sinks.shared_dir(spark, "features")
+    extractor = features.Convolution(4)
+    features.kept(small.where("vec_id % 2 = 0"), "vec_id", path, extractor)
+    return rounded(features.kept(small, "vec_id", path, extractor).select("vec_id", F.posexplode("features").alias("filter", "feature")))
+
+
+@query
+def K4_published_tables(spark, sf):
+    """Tables published together, the rows of each as read from where they were published, and whether all still fit their digests."""
+    out = sinks.shared_dir(spark, "published")
+    s = staged.Staged(spark, out, {"tables": "images and relations"})
+    s.table("images", split_images(spark, sf), "split")
+    s.table("relations", relations(spark, sf), "label")
+    s.publish()
+    intact = not staged.checked(spark, out)
+    return audit.union([spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.lit(intact).alias("intact")) for name in ("images", "relations")])
+
+
+@query
+def M12_bar_chart(spark, sf):
+    path = sinks.shared_dir(spark, "chart") + ".json"
+    points = metrics.blocks(predictions(spark, sf), "group_id", ["category"], STATES)
+    charts.write(charts.bar(rounded(points), "category", ["accuracy", "macro_f1"], "Segments"), path)
+    return charts.read(spark, path, "category string, series string, value double")
+
+
+@query
+def M12_line_chart(spark, sf):
+    path = sinks.shared_dir(spark, "chart") + ".json"
+    charts.write(charts.line(history(spark, sf), "epoch", "macro_f1", "model", "By day", None), path)
+    return charts.read(spark, path, "model string, epoch long, macro_f1 double")
+
+
+@query
+def M12_heat_map(spark, sf):
+    path = sinks.shared_dir(spark, "chart") + ".json"
+    charts.write(charts.heat_map(metrics.confusion(predictions(spark, sf)), "label", "prediction", "n", STATES, "Confusion"), path)
+    return charts.read(spark, path, "label string, prediction string, n double")
+
+
+@query
+def M12_histogram(spark, sf):
+    path = sinks.shared_dir(spark, "chart") + ".json"
+    charts.write(charts.histogram(table(spark, sf, "orders"), "o_totalprice", 20, "Prices"), path)
+    return charts.read(spark, path, "bin int, rows long")

@@ -84,20 +84,35 @@ def block(source: str, by: str, group: str, labels: str | None) -> str:
 
 STATES = "['F', 'O', 'P']"
 MODES = "(SELECT unnest(['clean', 'natural']) AS text_mode)"
+def _weighted(v: str) -> str:
+    return f"round(list_sum([x * i FOR x, i IN {v}]), 6) AS weighted"
+
+
+def _sums(v: str) -> str:
+    """Sums of a list's values, and of the values times their places from 1."""
+    return f"round(list_sum({v}), 6) AS total, {_weighted(v)}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "S1_image_manifest": f"WITH {IMG} SELECT image_id, category, family, sha256 FROM img",
     "S2_split_relations": f"WITH {REL}, {SPLIT.removeprefix(IMG + ',')} SELECT sample_id, label, split FROM rel JOIN s USING (image_id) WHERE split = 'validation'",
     "S5_archive_members": "SELECT CAST(doc_id AS VARCHAR) AS archive, 'data/' || CAST(doc_id AS VARCHAR) || '.jpg' AS path, true AS safe, true AS crc_ok, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "S6_S7_collected_files": """WITH d AS (SELECT lang, sha256(coalesce(text, '')) AS h FROM documents), x AS (SELECT 'category_size' AS "check", (SELECT count(*) FROM (SELECT lang FROM d GROUP BY lang HAVING count(*) <> 250)) AS value
       UNION ALL SELECT 'repeated_content', count(*) - count(DISTINCT h) FROM d UNION ALL SELECT 'known_content', count(*) FROM d WHERE h IN (SELECT sha256(text) FROM benchmark)) SELECT "check", value, value = 0 AS ok FROM x""",
-    "S10_cached_features": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
-    "S11_single_record": "SELECT 'files/a.PNG' AS path, 'a small thing' AS description",
+    "S10_cached_features": f"SELECT vec_id, {_sums('e')} FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings)",
+    "S11_single_record": """
+      WITH r AS (SELECT 'files/' || p_partkey || '.' || ['JPG', 'png', 'webp', 'gif', 'jpeg.txt'][p_partkey % 5 + 1] AS path, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS description FROM part)
+      SELECT path, description, CASE WHEN path LIKE '%.gif' OR path LIKE '%.txt' THEN 'not one of jpg, jpeg, png, webp: ' || path WHEN description = '' THEN 'a description is required' END AS problem FROM r""",
     "K1_csv_report": f"WITH {IMG} SELECT image_id, category, family FROM img",
     "K2_K3_documents": """SELECT 0 AS same, 1 AS changed, sha256('{' || chr(10) || (SELECT string_agg('  "' || k || '": ' || CAST(v AS VARCHAR), ',' || chr(10) ORDER BY k) FROM (SELECT n_name AS k, n_regionkey AS v FROM nation UNION ALL SELECT 'more', 1)) || chr(10) || '}' || chr(10)) AS sha256""",
     "K4_K5_partitioned": f"WITH {SPLIT} SELECT split, count(*) AS images FROM s GROUP BY split",
     "K6_saved_model": """SELECT layer, CAST(size AS BIGINT) AS size FROM (VALUES ('i', 64 * 128), ('t', 64 * 128), ('h', 256 * 128), ('o', 128 * 3), ('ci', 128 * 25), ('ct', 128 * 25), ('i_bias', 128), ('t_bias', 128), ('h_bias', 128), ('o_bias', 3), ('ci_bias', 25), ('ct_bias', 25), ('terms', 64)) AS x(layer, size)""",
     "K7_verified_copies": f"WITH {SPLIT} SELECT 'v4_' || category || '_' || split || '_' || lpad(CAST(rank AS VARCHAR), 4, '0') || '_' || left(sha256, 16) AS target, sha256 FROM s",
-    "K8_F3_model_summary": "SELECT 'total ' || CAST(64 * 8 + 16 * 8 + 16 * 8 + 8 * 3 + 2 * 8 * 25 + 3 * 8 + 3 + 2 * 25 AS VARCHAR) AS total, 13 AS lines, true AS same, false AS changed_same",
+    "K8_F3_model_summary": """
+      WITH n AS (SELECT (SELECT max(len(embedding)) FROM embeddings) AS image, (SELECT count(*) FROM region) AS words, (SELECT count(*) FROM nation) AS c),
+      a AS (SELECT unnest(['i', 't', 'h', 'o', 'ci', 'ct']) AS name, unnest([image, words, 16, 8, 8, 8]) AS inputs, unnest([8, 8, 8, 3, c, c]) AS outputs FROM n),
+      p AS (SELECT name, inputs * outputs AS parameters FROM a UNION ALL SELECT name || '_bias', outputs FROM a)
+      SELECT name, parameters, true AS same, false AS changed_same FROM (SELECT * FROM p UNION ALL SELECT 'total', CAST(sum(parameters) AS BIGINT) FROM p)""",
     "P17_lock": "SELECT * FROM (VALUES ('after', 'flag official'), ('after', 'changed b.json')) AS x(moment, difference)",
     "P19_forbidden_text": "SELECT doc_id AS path, word FROM documents, (VALUES ('@'), ('http'), ('password')) AS w(word) WHERE contains(text, word)",
     "A24_recomputed": "SELECT * FROM (VALUES ('rows'), ('lost')) AS x(metric)",
@@ -107,7 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "S3_category_index": "SELECT n_name AS category, r_name AS family, rank() OVER (ORDER BY n_name) - 1 AS index FROM nation JOIN region ON n_regionkey = r_regionkey",
     "S4_json_document": "SELECT event_type, count(*) AS events, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(props->>'k' AS BIGINT)) AS k_max FROM events GROUP BY event_type",
     "S8_lazy_dataset": f"""WITH {REL}, c AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation)
-      SELECT sample_id, CASE rel.label WHEN 'MATCH' THEN 0 WHEN 'MISMATCH' THEN 1 ELSE 2 END::BIGINT AS label_code, a.k AS image_code, b.k AS text_code, round(CAST(embedding[1] AS DOUBLE), 6) AS f0
+      SELECT sample_id, CASE rel.label WHEN 'MATCH' THEN 0 WHEN 'MISMATCH' THEN 1 ELSE 2 END::BIGINT AS label_code, a.k AS image_code, b.k AS text_code, {_sums('[CAST(x AS DOUBLE) FOR x IN embedding]')}
       FROM rel JOIN c a ON a.n_name = part_category JOIN c b ON b.n_name = text_category JOIN embeddings ON vec_id = image_id % (SELECT count(*) FROM embeddings)""",
     "S9_hash_manifest": "SELECT sha256(text) AS sha256, CAST(doc_id AS VARCHAR) AS path FROM documents",
     "K7_content_path": f"""WITH {SPLIT}, k AS (SELECT *, 'v4_' || category || '_' || split || '_' || lpad(CAST(rank AS VARCHAR), 4, '0') || '_' || left(sha256, 16) AS content_id FROM s)
@@ -247,12 +262,17 @@ ORACLE_SQL: dict[str, str] = {
     "F11_F12_hashes": f"WITH {HASH} SELECT id, split, phash, dhash FROM hs",
     "F13_hamming": f"WITH {HASH} SELECT id, CAST(bit_count(xor(phash, dhash)) AS BIGINT) AS distance FROM hs",
     "F14_math": f"WITH {IMG} SELECT category, CAST(round_even(count(*) * 0.15e0, 0) AS BIGINT) AS part, abs(count(*) - 60) AS gap, round(avg(image_id), 6) AS mean_id, median(image_id) AS median_id, round(quantile_cont(image_id, 0.975), 6) AS high FROM img GROUP BY category",
-    "F15_softmax": """WITH l AS (SELECT vec_id, [CAST(x AS DOUBLE) * 10 for x in embedding[1:3]] AS z FROM embeddings), e AS (SELECT vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l)
-      SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS best, round(list_max(e) / list_sum(e), 6) AS score FROM e""",
-    "F16_F21_arrays": "SELECT vec_id, CAST(16 AS BIGINT) AS size, round((CAST(embedding[1] AS DOUBLE) - 0.485e0) / 0.229e0, 6) AS first, round(CAST(embedding[4] AS DOUBLE), 6) AS last FROM embeddings",
-    "F18_augmentation": """WITH h AS (SELECT vec_id, [abs(CAST(x AS DOUBLE)) for x in embedding] AS e, sha256('44|' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
-      f AS (SELECT vec_id, e, left(h, 1) < '8' AS turned, 0.9e0 + (1.1e0 - 0.9e0) * CAST(concat('0x', substr(h, 2, 8)) AS BIGINT) / 4294967296e0 AS b FROM h)
-      SELECT vec_id, round(least((CASE WHEN turned THEN e[4] ELSE e[1] END) * b, 1e0), 6) AS first, round(least((CASE WHEN turned THEN e[5] ELSE e[8] END) * b, 1e0), 6) AS last FROM f""",
+    "F15_softmax": f"""WITH l AS (SELECT vec_id, [CAST(x AS DOUBLE) * 10 FOR x IN embedding] AS z FROM embeddings), e AS (SELECT vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l),
+      p AS (SELECT vec_id, z, [x / list_sum(e) FOR x IN e] AS p FROM e)
+      SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS best, round(list_max(p), 6) AS score, {_weighted('p')} FROM p""",
+    "F16_F21_arrays": f"""
+      WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+      v AS (SELECT vec_id, list_concat([(e[i % 64 + 1] - 0.485e0) / 0.229e0 FOR i IN range(64)], [(e[(i + 1) % 64 + 1] - 0.456e0) / 0.224e0 FOR i IN range(64)], [(e[(i + 2) % 64 + 1] - 0.406e0) / 0.225e0 FOR i IN range(64)], e) AS v FROM e)
+      SELECT vec_id, len(v) AS size, {_sums('v')} FROM v""",
+    "F18_augmentation": f"""WITH h AS (SELECT vec_id, [abs(CAST(x AS DOUBLE)) FOR x IN embedding] AS e, sha256('44|' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
+      f AS (SELECT vec_id, e, left(h, 1) < '8' AS turned, 0.9e0 + (1.1e0 - 0.9e0) * CAST(concat('0x', substr(h, 2, 8)) AS BIGINT) / 4294967296e0 AS b FROM h),
+      v AS (SELECT vec_id, [least(e[CASE WHEN turned THEN i // 8 * 8 + 8 - i % 8 ELSE i + 1 END] * b, 1e0) FOR i IN range(64)] AS v FROM f)
+      SELECT vec_id, {_sums('v')} FROM v""",
     "F19_json": f"""WITH {P} SELECT '{{' || string_agg('"' || category || '":' || CAST(n AS VARCHAR), ',' ORDER BY category) || '}}' AS document FROM (SELECT category, count(*) AS n FROM p GROUP BY category)""",
     "M1_majority": f"WITH {P}, top AS (SELECT label AS best FROM p GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT category, best AS prediction, round(avg(CAST(label = best AS INTEGER)), 6) AS accuracy FROM p, top GROUP BY category, best",
 }
@@ -423,3 +443,41 @@ SELECT CAST(class AS INT) AS class, CAST(index AS INT) AS index, round(coalesce(
 ORACLE_SQL["M2_text_optimum"] = f"WITH {DOCS},{_LABELLED},{_LTERMS},{_optimum('SELECT * FROM tx', '(SELECT count(*) FROM fit)')}"
 ORACLE_SQL["M2_pixels_optimum"] = f"WITH {DOCS},{_LABELLED},{_LPIXELS},{_optimum('SELECT * FROM px', '64')}"
 ORACLE_SQL["M2_F17_combined_optimum"] = f"WITH {DOCS},{_LABELLED},{_LTERMS},{_LPIXELS},{_optimum('SELECT * FROM px UNION ALL SELECT doc_id, index + 64, x FROM tx', '64 + (SELECT count(*) FROM fit)')}"
+
+
+def _rows_digest(name: str, columns: list[str]) -> str:
+    """A table's name, and the number of its rows and sums over parts of each row's SHA-256."""
+    row = " || chr(31) || ".join(f"CAST({c} AS VARCHAR)" for c in sorted(columns))
+    parts = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))
+    return f"SELECT '{name}' AS input, CAST(count(*) AS VARCHAR) || '-' || {parts} AS digest, 44 AS seed, true AS same_version FROM (SELECT sha256({row}) AS h FROM {name})"
+
+
+ORACLE_SQL["K9_lineage"] = " UNION ALL ".join(_rows_digest(n, c) for n, c in (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("customer", ["c_custkey", "c_mktsegment", "c_nationkey"])))
+
+FILES = """
+f AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9 = 0 THEN '.hidden/old_Set' WHEN s_suppkey % 10 = 0 THEN '__pycache__' ELSE 'nation/' || s_nationkey END AS folder,
+             ['json', 'pt', 'txt', 'TMP'][s_suppkey % 4 + 1] AS kind, CASE WHEN s_suppkey % 11 = 0 THEN 'changed' ELSE s_name END AS content FROM supplier),
+w AS (SELECT *, folder || '/' || k || '.' || kind AS path FROM f WHERE k % 13 <> 0)"""
+ORACLE_SQL |= {
+    "P20_forbidden_paths": f"""WITH {FILES}, kept AS (SELECT * FROM w WHERE folder <> '__pycache__')
+      SELECT path, '*.' || kind AS rule FROM kept WHERE kind IN ('pt', 'TMP') UNION ALL SELECT path, 'OLD_set' FROM kept WHERE folder LIKE '.hidden%'
+      UNION ALL SELECT DISTINCT folder, 'OLD_set' FROM kept WHERE folder LIKE '.hidden%'""",
+    "P14_P20_tree": f"WITH {FILES} SELECT folder, count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM w GROUP BY folder",
+    "S9_P14_verified_files": f"""WITH {FILES} SELECT folder || '/' || k || '.' || kind AS path, CASE WHEN k % 13 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM f WHERE k % 13 = 0 OR k % 11 = 0""",
+    "S5_archive_source": "SELECT 'data/' || doc_id || '.JPG' AS path, true AS safe, true AS crc_ok, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "M6_S10_feature_store": f"""
+WITH {TEXTURE}, {_SIZES},{_taps("wt", "ws", 16, "greatest(1 - abs(t), 0)", 1)},{_taps("ht", "hs", 16, "greatest(1 - abs(t), 0)", 1)},{_resized("small", "tx", "wt", "ht")},
+weight AS (SELECT i, j, (CAST('0x' || left(sha256('44|filter|' || i || '|' || j), 8) AS BIGINT) / 2147483648e0 - 1) / sqrt(27e0) AS w FROM range(27) AS a(i), range(4) AS b(j)),
+place AS (SELECT vec_id, py, px, j, sum(v / 255e0 * w) AS z FROM small JOIN range(7) AS a(py) ON y - 2 * py BETWEEN 0 AND 2 JOIN range(7) AS b(px) ON x - 2 * px BETWEEN 0 AND 2
+          JOIN weight ON i = 9 * k + 3 * (y - 2 * py) + x - 2 * px GROUP BY vec_id, py, px, j)
+SELECT vec_id, CAST(j AS INT) AS filter, round(avg(greatest(z, 0)), 6) AS feature FROM place GROUP BY vec_id, j""",
+    "K4_published_tables": f"WITH {REL} SELECT 'images' AS table, count(*) AS rows, true AS intact FROM img UNION ALL SELECT 'relations', count(*), true FROM rel",
+    "M12_bar_chart": f"""WITH {P}, b AS ({block('p', 'category', 'group_id', STATES)}), s AS (SELECT category, macro_f1 AS last, unnest([0, 1]) AS k, unnest(['accuracy', 'macro_f1']) AS series, unnest([accuracy, macro_f1]) AS value FROM b)
+      SELECT CAST(row_number() OVER (ORDER BY last, category, k) - 1 AS INT) AS place, category, series, value FROM s""",
+    "M12_line_chart": f"WITH {HISTORY} SELECT CAST(row_number() OVER (ORDER BY model, epoch) - 1 AS INT) AS place, model, epoch, macro_f1 FROM h",
+    "M12_heat_map": f"""WITH {P}, c AS (SELECT unnest(range(9)) AS place, unnest(['F', 'F', 'F', 'O', 'O', 'O', 'P', 'P', 'P']) AS label, unnest(['F', 'O', 'P', 'F', 'O', 'P', 'F', 'O', 'P']) AS prediction)
+      SELECT CAST(place AS INT) AS place, label, prediction, CAST((SELECT count(*) FROM p WHERE p.label = c.label AND p.prediction = c.prediction) AS DOUBLE) AS n FROM c""",
+    "M12_histogram": """WITH m AS (SELECT min(CAST(o_totalprice AS DOUBLE)) AS low, max(CAST(o_totalprice AS DOUBLE)) AS high FROM orders),
+      b AS (SELECT CAST(least(floor((CAST(o_totalprice AS DOUBLE) - low) / ((high - low) / 20)), 19) AS INT) AS bin FROM orders, m)
+      SELECT bin AS place, bin, (SELECT count(*) FROM b WHERE b.bin = r.bin) AS rows FROM (SELECT CAST(unnest(range(20)) AS INT) AS bin) r""",
+}

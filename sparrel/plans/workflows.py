@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import text as T
 from ..operators import audit, metrics, models, near_duplicates, pairs, ranking, training
-from ..sources import readers, sinks
+from ..sources import readers, sinks, staged
 
 # Names and kinds of the candidate networks.
 CANDIDATES = (("text_only", "text_only", False), ("image_only", "image_only", False), ("multimodal_no_auxiliary", "multimodal", False), ("multimodal_auxiliary", "multimodal", True))
 LABELS = list(C.LABELS)
+#: Columns of the test split that its lock covers.
+LOCKED = ["sample_id", "image_id", "text_category", "description", "label"]
 
 
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
@@ -28,16 +30,12 @@ def read_document(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def _digest(df: DataFrame, columns: list[str]) -> str:
-    """A digest of a table's rows in any order."""
-    h = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    parts = df.select(*[F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)").alias(f"p{k}") for k in range(8)])
-    return "-".join(str(v) for v in parts.agg(F.count("*"), *[F.sum(f"p{k}") for k in range(8)]).first())
+_digest = staged.rows_digest
 
 
 def build(spark: SparkSession, images: DataFrame, out: str, templates: dict[str, tuple[str, str]], relations_only: bool = False) -> dict:
     """Split images (image_id, category, family, sha256) unless they have a split already, make relations for each split, validate, write images,
-    relations (by split), categories and a lock."""
+    relations (by split), categories and a lock: all at once, see sources.staged.  A build that was stopped goes on where it was."""
     audit.require_columns(images, ("image_id", "category", "family", "sha256"))
     if not relations_only:
         images = ranking.stratified_split(images.drop("split", "rank"), "category", "image_id")
@@ -52,12 +50,13 @@ def build(spark: SparkSession, images: DataFrame, out: str, templates: dict[str,
         *[audit.finding(audit.balance(relations, by, "label", LABELS).where("not balanced"), f"unbalanced({by})", F.count("*"), 0) for by in ("image_id", "description")],
     ]
     audit.enforce(audit.union(checks))
-    images.write.partitionBy("split").parquet(f"{out}/images")
-    relations.write.partitionBy("split").parquet(f"{out}/relations")
-    readers.category_index(categories, "category", "family").write.parquet(f"{out}/categories")
-    test = spark.read.parquet(f"{out}/relations").where("split = 'test'")
-    lock = {"test_rows": test.count(), "test_digest": _digest(test, ["sample_id", "image_id", "text_category", "description", "label"]), "official": True}
-    write_document(spark, lock, f"{out}/lock")
+    stage = staged.Staged(spark, out, {"images": _digest(images, ["image_id", "category", "family", "sha256", "split"]), "templates": {k: list(v) for k, v in templates.items()}})
+    stage.table("images", images, "split")
+    test = stage.table("relations", relations, "split").where("split = 'test'")
+    stage.table("categories", readers.category_index(categories, "category", "family"))
+    lock = {"test_rows": test.count(), "test_digest": _digest(test, LOCKED), "official": True}
+    stage.document("lock", lock)
+    stage.publish()
     return lock
 
 
@@ -69,7 +68,7 @@ def check(spark: SparkSession, out: str, include_locked_test: bool = False) -> D
     if include_locked_test:
         lock = read_document(spark, f"{out}/lock")
         test = relations.where("split = 'test'")
-        same = _digest(test, ["sample_id", "image_id", "text_category", "description", "label"]) == lock["test_digest"]
+        same = _digest(test, LOCKED) == lock["test_digest"]
         found.append(spark.createDataFrame([("lock", 0 if same else 1, same)], "check string, value long, ok boolean"))
     return audit.union(found)
 

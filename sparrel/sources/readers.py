@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.audit import require_columns
@@ -45,8 +45,10 @@ def category_index(dimension: DataFrame, category: str, family: str, expected: i
     return dimension.select(F.col(category).alias("category"), F.col(family).alias("family"), (F.row_number().over(Window.orderBy(category)) - 1).alias("index"))
 
 
-def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def json_documents(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Documents of JSON files: one a file, however many lines it has (or the elements of its list), or with lines one a line.  Broken ones are an error."""
+    reader = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def hash_manifest(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -144,13 +146,25 @@ def cached_features(spark: SparkSession, path: str, ids: DataFrame, id_col: str,
     return spark.read.parquet(path)
 
 
+def upload_problem(path: Column, description: Column) -> Column:
+    """Why a record (path, description) can't be predicted: another suffix, or no description; null if it can."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./\\\\]*)$", 1))
+    wrong = ~F.coalesce(suffix, F.lit("")).isin(*UPLOAD_SUFFIXES)
+    kinds = F.lit(f"not one of {', '.join(UPLOAD_SUFFIXES)}: ")
+    return F.when(wrong, F.concat(kinds, F.coalesce(path, F.lit("null")))).when(F.coalesce(F.trim(description), F.lit("")) == "", "a description is required")
+
+
+def uploads(records: DataFrame) -> DataFrame:
+    """path, description (trimmed), problem of records to predict; who scores them takes those without a problem."""
+    return records.select("path", F.trim("description").alias("description"), upload_problem(F.col("path"), F.col("description")).alias("problem"))
+
+
 def single_record(spark: SparkSession, path: str, description: str) -> DataFrame:
     """One row (path, description) for the single-record predictor; other suffixes and blank descriptions are errors."""
-    if path.rpartition(".")[2].lower() not in UPLOAD_SUFFIXES:
-        raise ValueError(f"not one of {', '.join(UPLOAD_SUFFIXES)}: {path}")
-    if not description.strip():
-        raise ValueError("a description is required")
-    return spark.createDataFrame([(path, description.strip())], "path string, description string")
+    (row,) = uploads(spark.createDataFrame([(path, description)], "path string, description string")).collect()
+    if row.problem is not None:
+        raise ValueError(row.problem)
+    return spark.createDataFrame([(row.path, row.description)], "path string, description string")
 
 
 def lazy_dataset(relations: DataFrame, features: DataFrame, labels: list[str], categories: DataFrame) -> DataFrame:
@@ -162,15 +176,3 @@ def lazy_dataset(relations: DataFrame, features: DataFrame, labels: list[str], c
     r = r.join(codes.select(F.col("c").alias("part_category"), F.col("k").alias("image_code")), "part_category", "left").join(codes.select(F.col("c").alias("text_category"), F.col("k").alias("text_code")), "text_category", "left")
     bad = F.col("features").isNull() | F.col("image_code").isNull() | F.col("text_code").isNull()
     return r.select(F.when(bad, F.raise_error(F.concat(F.lit("no features or codes for "), "sample_id")).cast("string")).otherwise(F.col("sample_id")).alias("sample_id"), "features", "description", encode(F.col("label"), labels).alias("label_code"), "image_code", "text_code")
-
-
-def forbidden_paths(folder: str, forbidden: list[str], excluded: tuple[str, ...] = (".git", ".venv", "__pycache__", ".pytest_cache")) -> list[str]:
-    """Paths below a local folder whose name fits a forbidden pattern; excluded folders are not entered."""
-    import fnmatch
-    import os
-
-    found = []
-    for top, folders, names in os.walk(folder):
-        folders[:] = sorted(f for f in folders if f not in excluded)
-        found += [os.path.relpath(os.path.join(top, n), folder) for n in (*folders, *names) if any(fnmatch.fnmatch(n, p) for p in forbidden)]
-    return sorted(found)

@@ -67,6 +67,20 @@ def exists(path: str) -> bool:
     return files.exists(p)
 
 
+def remove(path: str) -> None:
+    """A file or folder with all that is in it; nothing if it isn't there."""
+    files, p = _place(path)
+    files.delete(p, True)
+
+
+def rename(path: str, to: str) -> None:
+    """Move a file or folder; refused if the target exists."""
+    files, p = _place(path)
+    target = _place(to)[1]
+    if files.exists(target) or not files.rename(p, target):
+        raise FileExistsError(to)
+
+
 def read_bytes(path: str) -> bytes:
     """A small file's content."""
     files, p = _place(path)

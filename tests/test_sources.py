@@ -159,12 +159,6 @@ def test_zip_in_memory_is_read_like_a_file(spark):
     assert readers.inspect_archive(df).first().width == 2
 
 
-def test_forbidden_paths(tmp_path):
-    for name in ("a/x.pt", "a/y.py", ".git/z.pt", "b.tmp"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).touch()
-    assert readers.forbidden_paths(str(tmp_path), ["*.pt", "*.tmp"]) == ["a/x.pt", "b.tmp"]
-
 
 def test_copies_are_verified(spark, tmp_path):
     rows = spark.createDataFrame([("a", b"x", hashlib.sha256(b"x").hexdigest()), ("b", b"y", "00")], "target string, content binary, sha256 string")
