@@ -192,3 +192,88 @@ def test_two_articles_stay():
 def test_marks_and_forms_around_the_whole_text_count_for_nothing():
     assert H.main_text(page(f"<p>x</p><div class='content-sidebar-left'><article><p>{TEXT * 3}</p></article><div class='ad'>Buy</div></div>")) == TEXT * 3
     assert H.main_text(page(f"<form action='/'><div><p>{TEXT * 3}</p><p>{TEXT}</p></div></form>")) == f"{TEXT * 3} {TEXT}"
+
+
+def test_dropped_inline_elements_take_only_their_own_text():
+    long = f"<p>{TEXT * 2}</p>"
+    gone = ["<button>GONE</button>", "<textarea>GONE</textarea>", "<svg><text>GONE</text></svg>", "<video>GONE</video>", "<iframe>GONE</iframe>", "<object>GONE</object>", "<math><mi>GONE</mi></math>",
+            "<template>GONE</template>", "<canvas>GONE</canvas>", "<audio>GONE</audio>", "<span class='ad'>GONE</span>", "<span class='share'>GO <br>NE</span>", "<select><option>GO<option>NE</select>"]
+    for inline in gone:
+        assert H.main_text(page(f"<article>{long}<p>Intro {inline} rest</p></article>")) == f"{TEXT * 2} Intro rest", inline
+        assert H.main_text(page(f"<article>{long}{inline}Loose end</article>")) == f"{TEXT * 2} Loose end", inline
+    assert H.main_text(page(f"<article>{long}<p>A long sentence that matters <span class='share'>Share <br>now</span></p></article>")) == f"{TEXT * 2} A long sentence that matters"
+    assert H.main_text(page(f"<article>{long}<p>Important sentence here <button>Share</p><p>More</p></article>")) == f"{TEXT * 2} Important sentence here More"
+
+
+class Inline:
+    """A random paragraph: texts and inline elements, some of which are dropped."""
+
+    def __init__(self, rng, depth, tag="", dropped=False):
+        self.tag, self.dropped = tag, dropped
+        self.children = []
+        for _ in range(rng.randrange(1, 4)):
+            if rng.random() < 0.5 or not depth:
+                self.children.append(rng.choice(("aa ", " bb", "cc", "&amp;", " ")))
+            else:
+                tag, drop = rng.choice((("b", False), ("i", False), ("span", False), ("a", False), ("button", True), ("span class='ad'", True), ("svg", True), ("em class='sidebar'", True)))
+                self.children.append(Inline(rng, depth - 1, tag, drop))
+
+    def html(self):
+        inner = "".join(c if isinstance(c, str) else c.html() for c in self.children)
+        return f"<{self.tag}>{inner}</{self.tag.split(' ')[0]}>" if self.tag else inner
+
+    def kept(self):
+        return "" if self.dropped else "".join(c.replace("&amp;", "&") if isinstance(c, str) else c.kept() for c in self.children)
+
+
+def test_against_brute_force_on_characters_of_inline_elements():
+    rng = random.Random(6)
+    for _ in range(1500):
+        paragraphs = [Inline(rng, 3) for _ in range(rng.randrange(1, 5))]
+        got = H.main_text(page(f"<article><p>{TEXT * 9}</p>{''.join(f'<p>{p.html()}</p>' for p in paragraphs)}</article>"))
+        want = [TEXT * 9, *(" ".join(p.kept().split()) for p in paragraphs)]
+        assert got == " ".join(w for w in want if w), [p.html() for p in paragraphs]
+
+
+def test_names_that_tell_what_an_article_is_about():
+    for head in ("navigation", "search", "sharing", "comments", "footer"):
+        assert H.main_text(page(f"<article><p>{TEXT * 2}</p><h2 id='{head}'>Head</h2><p>{TEXT}</p></article>")) == f"{TEXT * 2} Head {TEXT}"
+    for open_tag, close in (("section id='social'", "section"), ("section id='copyright'", "section"), ("section id='notices'", "section"), ("div class='banner-text'", "div"), ("blockquote class='comment'", "blockquote")):
+        html = page(f"<article><p>{TEXT * 2}</p><{open_tag}><h3>Part</h3><p>{TEXT}</p><p>{TEXT}</p></{close}><p>{TEXT}</p></article>")
+        assert H.main_text(html) == f"{TEXT * 2} Part {TEXT} {TEXT} {TEXT}"
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(9))
+    for name in ("social", "search", "related", "banner"):
+        assert H.main_text(page(f"<article><p>{TEXT * 4}</p><div class='{name}'><ul>{links}</ul></div><p>{TEXT}</p></article>")) == f"{TEXT * 4} {TEXT}"
+
+
+def test_comments_of_readers_and_demands_for_consent_go():
+    for name in ("user-replies", "reader-comments", "commentlist", "blog-comments", "disqus_thread", "comments", "comment-section", "commentThread"):
+        for how in ("class", "id"):
+            inside = page(f"<article><p>{TEXT * 3}</p><div {how}='{name}'><p>{TEXT * 2}</p><p>{TEXT * 2}</p></div></article>")
+            outside = page(f"<article><p>{TEXT * 3}</p></article><section {how}='{name}'><p>{TEXT * 9}</p></section>")
+            alone = page(f"<div><p>{TEXT * 3}</p></div><div {how}='{name}'><p>{TEXT * 9}</p></div>")
+            assert [H.main_text(h) for h in (inside, outside, alone)] == [TEXT * 3] * 3, (how, name)
+    for name in ("cookie-wall", "gdpr-overlay", "cookieBanner", "consent-layer"):
+        notice = f"<div class='{name}'><p>{TEXT * 3}</p><p>{TEXT * 3}</p></div>"
+        assert H.main_text(page(f"{notice}<article><p>{TEXT * 3}</p></article>")) == TEXT * 3
+        assert H.main_text(page(f"{notice}<div id='main'><p>{TEXT * 3}</p></div>")) == TEXT * 3
+
+
+def test_work_grows_with_the_length():
+    n = 20_000
+    pages = {
+        "open elements": "<span><article>" + "<b>x</span>" * n, "open tags": TEXT + "<a " * n, "open quotes": f"<p>{TEXT}</p>" + "<a b='\"" * n, "one open quote": f"<p>{TEXT}<a b=\"" + "<i>x</i>" * n,
+        "open comments": TEXT + "<!-- x " * n, "comments that end once": TEXT + "<!-- x -->" + "<!-- x " * n, "ends alone": TEXT + "</" * n, "declarations": TEXT + "<!x " * n, "instructions": TEXT + "<?x " * n,
+        "paragraphs": "<p><b>" * n, "ends without starts": "<div>" * 50 + "</p></span></b>" * n, "menus left open": "<nav><article>" * n, "references": "&" * n, "scripts": "<script>" + "</x" * n,
+    }
+    for name, html in pages.items():
+        began = time.time()
+        H.main_text(html)
+        assert time.time() - began < 3, name  # a second, on a machine at rest
+
+
+def test_pages_cut_off_keep_what_came_before():
+    for end in ("<di", "<a href='x", "<!-- unfinished <p>not</p>", "</", "<!DOC", "<p class="):
+        assert H.main_text(f"<article><p>{TEXT}</p>{end}") == TEXT, end
+    assert H.main_text(f"<article><p>{TEXT} 1 < 2 and 3 > 2 <3</p></article>") == f"{TEXT} 1 < 2 and 3 > 2 <3"
+    assert H.main_text(f"<article><p>{TEXT} 5 < 6") == f"{TEXT} 5 < 6"
