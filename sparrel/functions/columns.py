@@ -99,10 +99,13 @@ def perceptual_hash(pixels: Column, size: int = 32, low: int = 8) -> Column:
     weights = F.array(*[F.array(*[F.lit(v) for v in row]) for row in cosine_rows(size, low)])
     zeros = F.array_repeat(F.lit(0.0), size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    down = F.transform(weights, lambda w: F.aggregate(F.zip_with(w, pixels, lambda c, row: F.transform(row, lambda x: x.cast("double") * c)), zeros, add))
-    corner = F.transform(down, lambda t: F.transform(weights, lambda w: F.aggregate(F.zip_with(t, w, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)))
+    down = lambda px: F.transform(weights, lambda w: F.aggregate(F.zip_with(w, px, lambda c, row: F.transform(row, lambda x: x * c)), zeros, add))
+    dot = lambda t, w: F.aggregate(F.zip_with(t, w, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    corner = lambda px: F.flatten(F.transform(down(px), lambda t: F.transform(weights, lambda w: dot(t, w))))
     middle = lambda flat: F.get(F.sort_array(F.slice(flat, 2, low * low - 1)), F.lit((low * low - 2) // 2))
-    return _bound(F.flatten(corner), lambda flat: _bound(middle(flat), lambda m: _as_bits(F.transform(flat, lambda v: (v > m).cast("int")))))
+    bits = lambda flat: _bound(middle(flat), lambda m: _as_bits(F.transform(flat, lambda v: (v > m).cast("int"))))
+    numbers = F.transform(pixels, lambda row: F.transform(row, lambda x: x.cast("double")))
+    return _bound(numbers, lambda px: _bound(corner(px), bits))
 
 
 def softmax(logits: Column) -> Column:

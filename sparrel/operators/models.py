@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import sinks
+from ..sources import sinks, staged
 
 
 # Shares of units dropped in training (encoders of both sides, the head), rows of a batch.
@@ -133,25 +133,65 @@ class Adam:
             weights[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def save(network: HeadNetwork, vocabulary: DataFrame, path: str, **about) -> None:
-    """A model below a path that Spark can write: weights, vocabulary (term, idf, index), and what it is, with a digest of the weights."""
+#: Fields that a saved model's description must have; the last three must be false.
+REQUIRED = ("status", "kind", "sizes", "labels", "digest", "vocabulary_digest", "versions", "test_rows_used", "test_inference_after", "tuned_after_test")
+
+
+def save(network: HeadNetwork, vocabulary: DataFrame, path: str, labels: list[str], **about) -> None:
+    """A model below a path that Spark can write: weights, vocabulary (term, idf, index), and last what it is: digests of both, labels in order, versions."""
     spark = vocabulary.sparkSession
     rows = [(k, list(w.shape), np.ascontiguousarray(w, "<f8").tobytes()) for k, w in sorted(network.weights.items())]
     spark.createDataFrame(rows, "name string, shape array<int>, content binary").coalesce(1).write.parquet(f"{path}/weights")
     vocabulary.write.parquet(f"{path}/vocabulary")
-    about |= {"kind": network.kind, "sizes": network.sizes, "digest": sinks.state_digest(network.weights)}
-    sinks.write_json(about, f"{path}/about.json")
+    flags = {"test_rows_used": False, "test_inference_after": False, "tuned_after_test": False}
+    known = {"status": "complete", "kind": network.kind, "sizes": network.sizes, "labels": list(labels), "digest": sinks.state_digest(network.weights), "versions": sinks.versions()}
+    known["vocabulary_digest"] = staged.rows_digest(spark.read.parquet(f"{path}/vocabulary"))
+    sinks.write_json(flags | about | known, f"{path}/about.json")
 
 
-def load(spark: SparkSession, path: str) -> tuple[HeadNetwork, DataFrame, dict]:
-    """Network, vocabulary and description of a saved model; weights that don't fit their digest are an error."""
+def bundle_problems(spark: SparkSession, path: str, labels: list[str] | None = None) -> list[str]:
+    """Why a saved model must not be used: what its description lacks or says, and files that don't fit it.  Nothing if it may be."""
+    if not sinks.exists(f"{path}/about.json"):
+        return ["no description"]
     about = json.loads(sinks.read_bytes(f"{path}/about.json"))
-    network = HeadNetwork(about["kind"], **about["sizes"])
+    missing = [f for f in REQUIRED if f not in about]
+    if missing:
+        return [f"the description lacks {', '.join(missing)}"]
+    wrong = [f"{f} is not false" for f in REQUIRED[-3:] if about[f] is not False]
+    if about["status"] != "complete":
+        wrong.append(f"status {about['status']}")
+    if labels is not None and about["labels"] != list(labels):
+        wrong.append("other labels, or in another order")
+    if len(about["labels"]) != about["sizes"]["classes"]:
+        wrong.append("as many classes as labels")
+    for name in ("weights", "vocabulary"):
+        if not sinks.exists(f"{path}/{name}"):
+            return [*wrong, f"no {name}"]
+    found = _weights(spark, path)
+    shapes = {k: w.shape for k, w in HeadNetwork(about["kind"], **about["sizes"]).weights.items()}
+    if {k: w.shape for k, w in found.items()} != shapes or sinks.state_digest(found) != about["digest"]:
+        wrong.append("the weights are not those that were saved")
+    vocabulary = spark.read.parquet(f"{path}/vocabulary")
+    if staged.rows_digest(vocabulary) != about["vocabulary_digest"]:
+        wrong.append("the vocabulary is not the one that was saved")
+    return wrong
+
+
+def _weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     rows = spark.read.parquet(f"{path}/weights").collect()  # one row a layer
-    found = {r.name: np.frombuffer(r.content, "<f8").reshape(r.shape).copy() for r in rows}
-    if {k: w.shape for k, w in found.items()} != {k: w.shape for k, w in network.weights.items()} or sinks.state_digest(found) != about["digest"]:
-        raise ValueError(f"the weights under {path} are not those that were saved")
-    network.weights = found
+    return {r.name: np.frombuffer(r.content, "<f8").reshape(r.shape).copy() for r in rows}
+
+
+def load(spark: SparkSession, path: str, labels: list[str] | None = None, same_versions: bool = False) -> tuple[HeadNetwork, DataFrame, dict]:
+    """Network, vocabulary and description of a saved model; bundle_problems() are an error, and with same_versions other versions than it was saved with."""
+    wrong = bundle_problems(spark, path, labels)
+    if wrong:
+        raise ValueError(f"{path}: {'; '.join(wrong)}")
+    about = json.loads(sinks.read_bytes(f"{path}/about.json"))
+    if same_versions:
+        sinks.require_versions(about["versions"])
+    network = HeadNetwork(about["kind"], **about["sizes"])
+    network.weights = _weights(spark, path)
     return network, spark.read.parquet(f"{path}/vocabulary"), about
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,27 +10,34 @@ from . import metrics
 
 # Pairs of splits, the earlier one on the left.
 SPLIT_PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
-#: Bands of a hash; hash distance up to which a pair is within two bits in one of them.
-BANDS, BAND_BITS, MAX_BANDED_DISTANCE = 4, 16, 11
+#: Bits of a hash, and hash distance up to which rows meet at bands; beyond it bands are too narrow to tell pairs apart.
+HASH_BITS, MAX_BANDED_DISTANCE = 64, 11
+
+
+def _bands(distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the fewest bands of which one differs by one bit at most in hashes within a distance: half as many as the distance, and one."""
+    n = distance // 2 + 1
+    edges = [HASH_BITS * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def pairs(hashes: DataFrame, limits=SEVERITIES, split_pairs=SPLIT_PAIRS, banded: bool | None = None) -> DataFrame:
     """severity, category, left/right split and id, both distances, for pairs of rows (id, category, split, phash, dhash) in one category.
 
-    Two hashes within distance r are within r / 4 bits (2 at most) in at least one of four bands of 16 bits, so the rows of the later split look up their band's
-    values and all within that many bits: exact, and not all pairs of a category.  Beyond MAX_BANDED_DISTANCE pairs meet at the category alone."""
+    Hashes within distance r differ by one bit at most in one of r / 2 + 1 bands, so the rows of the later split look up each band's value and those one bit
+    away (about 70 lookups a row): exact, and not all pairs of a category.  Beyond MAX_BANDED_DISTANCE pairs meet at the category alone."""
     r = max(p for _, p, _ in limits)
     banded = r <= MAX_BANDED_DISTANCE if banded is None else banded
     rows = hashes.select("id", "category", "split", "phash", "dhash").where("phash is not null and dhash is not null")
-    nothing = F.lit(0).cast("long")
     if banded:
-        place = lambda k: F.shiftrightunsigned("phash", BAND_BITS * k).bitwiseAND((1 << BAND_BITS) - 1)
-        bands = F.array(*[F.struct(F.lit(k).alias("k"), place(k).alias("v")) for k in range(BANDS)])
-        flips = [sum(1 << b for b in c) for n in range(r // BANDS + 1) for c in combinations(range(BAND_BITS), n)]
-        own, asked = rows.withColumn("b", F.explode(bands)), rows.withColumn("b", F.explode(bands)).withColumn("flip", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])))
-        own, asked = own.withColumn("band", F.col("b.k") * (1 << BAND_BITS) + F.col("b.v")), asked.withColumn("band", F.col("b.k") * (1 << BAND_BITS) + F.col("b.v").bitwiseXOR(F.col("flip")))
+        value = lambda first, bits: F.shiftrightunsigned("phash", first).bitwiseAND((1 << bits) - 1)
+        named = lambda k, v: F.lit(k << HASH_BITS // 2).bitwiseOR(v)  # the band's number above its value
+        bands = list(enumerate(_bands(r)))
+        own = rows.withColumn("band", F.explode(F.array(*[named(k, value(*b)) for k, b in bands])))
+        near = [named(k, value(first, bits).bitwiseXOR(F.lit(flip).cast("long"))) for k, (first, bits) in bands for flip in (0, *(1 << x for x in range(bits)))]
+        asked = rows.withColumn("band", F.explode(F.array(*near)))
     else:
-        own = asked = rows.withColumn("band", nothing)
+        own = asked = rows.withColumn("band", F.lit(0).cast("long"))
     sides = F.explode(F.array(*[F.struct(F.lit(a).alias("left_split"), F.lit(b).alias("right_split")) for a, b in split_pairs]))
     left = own.withColumn("p", sides).where(F.col("split") == F.col("p.left_split")).select("category", "band", "p", F.col("id").alias("left_id"), F.col("phash").alias("lp"), F.col("dhash").alias("ld"))
     right = asked.select("category", "band", F.col("split").alias("rs"), F.col("id").alias("right_id"), F.col("phash").alias("rp"), F.col("dhash").alias("rd"))

@@ -91,16 +91,17 @@ def partners(spark: SparkSession, sf: str) -> DataFrame:
 
 def hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as images: 32 rows of 32 values, each row three values further on, and 8 rows of 9 values."""
-    twice = F.concat("embedding", "embedding")
-    square = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice(twice, 3 * i + 1, 32))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(twice, 8 * i + 1, 9))
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), C.perceptual_hash(square).alias("phash"), C.difference_hash(rows).alias("dhash"))
+    square = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice("twice", 3 * i + 1, 32))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("twice", 8 * i + 1, 9))
+    twice = table(spark, sf, "embeddings").select("vec_id", "label", F.concat("embedding", "embedding").alias("twice"))
+    e = twice.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), C.perceptual_hash(square).alias("phash"), C.difference_hash(rows).alias("dhash"))
     e = sinks.written(e, "hashes")  # read several times
     return ranking.stratified_split(e, "category", "id").drop("rank")
 
 
-def near(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.pairs(hashes(spark, sf), LIMITS)
+def near(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    """Near duplicates among hashes(), which are made unless they are known."""
+    return near_duplicates.pairs(hashes(spark, sf) if known is None else known, LIMITS)
 
 
 def majority_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +243,7 @@ def K6_saved_model(spark, sf):
     d = split_documents(spark, sf).where("split = 'train'")
     vocabulary = T.fit(d, "doc_id", "text", 64)
     path = sinks.shared_dir(spark, "model")
-    models.save(models.HeadNetwork("multimodal", 64, 64, 3, categories=25), vocabulary, path)
+    models.save(models.HeadNetwork("multimodal", 64, 64, 3, categories=25), vocabulary, path, list(C.LABELS))
     network, terms, _ = models.load(spark, path)
     rows = [(k, w.size) for k, w in network.weights.items()]
     return spark.createDataFrame(rows, "layer string, size long").unionByName(terms.agg(F.lit("terms").alias("layer"), F.count("*").alias("size")))
@@ -582,8 +583,9 @@ def A13_O4_errors_top10(spark, sf):
 @query
 def A14_J11_duplicate_sensitivity(spark, sf):
     p = predictions(spark, sf)
-    rows = hashes(spark, sf).where("split = 'test'").select("id").join(p, F.col("id") == F.col("sample_id")).select("id", "label", "prediction")
-    return rounded(near_duplicates.sensitivity(rows, near(spark, sf), "id", STATES, LIMITS))
+    h = sinks.written(hashes(spark, sf), "split-hashes")
+    rows = h.where("split = 'test'").select("id").join(p, F.col("id") == F.col("sample_id")).select("id", "label", "prediction")
+    return rounded(near_duplicates.sensitivity(rows, near(spark, sf, h), "id", STATES, LIMITS))
 
 
 @query
@@ -914,7 +916,7 @@ def M9_scores_of_saved_weights(spark, sf):
     """Scores of all rows by a network with both encoders, its first weights saved and loaded again."""
     path = sinks.shared_dir(spark, "model")
     nothing = spark.createDataFrame([], "term string, idf double, index int")
-    models.save(models.HeadNetwork("multimodal", 64, 16, 3, hidden=8), nothing, path)
+    models.save(models.HeadNetwork("multimodal", 64, 16, 3, hidden=8), nothing, path, list(C.LABELS))
     network, _, _ = models.load(spark, path)
     return rounded(models.score(embedded(spark, sf).select("vec_id", "image", "text"), network, "vec_id", list(C.LABELS)))
 
@@ -1064,3 +1066,17 @@ def M12_histogram(spark, sf):
     path = sinks.shared_dir(spark, "chart") + ".json"
     charts.write(charts.histogram(table(spark, sf, "orders"), "o_totalprice", 20, "Prices"), path)
     return charts.read(spark, path, "bin int, rows long")
+
+
+@query
+def M10_predicted_records(spark, sf):
+    """Parts as records, predicted by a saved model: every label's score and place, known terms, and the warning where there are none."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("p/"), "p_partkey", F.lit(".png")).alias("path"), F.when(F.col("p_partkey") % 5 == 0, "0000 zzzz").otherwise(F.col("p_name")).alias("description"), "p_partkey")
+    n = table(spark, sf, "embeddings").count()
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    pictures = p.withColumn("vec_id", F.col("p_partkey") % n).join(e, "vec_id").select("path", "features")
+    vocabulary, path = T.fit(p.where("p_partkey % 5 <> 0"), "path", "description", 16), sinks.shared_dir(spark, "model")
+    models.save(models.HeadNetwork("image_only", 64, 16, 3, hidden=8), vocabulary, path, list(C.LABELS))
+    network, vocabulary, about = models.load(spark, path, list(C.LABELS), same_versions=True)
+    found = workflows.predict(readers.uploads(p).where("problem is null"), pictures, vocabulary, network, about["labels"])
+    return rounded(found.withColumn("recognised", F.col("recognised").cast("long")))

@@ -481,3 +481,17 @@ SELECT vec_id, CAST(j AS INT) AS filter, round(avg(greatest(z, 0)), 6) AS featur
       b AS (SELECT CAST(least(floor((CAST(o_totalprice AS DOUBLE) - low) / ((high - low) / 20)), 19) AS INT) AS bin FROM orders, m)
       SELECT bin AS place, bin, (SELECT count(*) FROM b WHERE b.bin = r.bin) AS rows FROM (SELECT CAST(unnest(range(20)) AS INT) AS bin) r""",
 }
+
+ORACLE_SQL["M10_predicted_records"] = f"""
+WITH part_text AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '0000 zzzz' ELSE p_name END AS text FROM part),
+tok AS (SELECT id, {TOKENS} AS t FROM part_text),
+term AS (SELECT id, unnest(t) AS term FROM tok UNION ALL SELECT id, t[i] || ' ' || t[i + 1] FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM tok)),
+vocab AS (SELECT term FROM term WHERE id % 5 <> 0 GROUP BY term ORDER BY count(*) DESC, term LIMIT 16),
+known AS (SELECT id, count(DISTINCT vocab.term) AS recognised FROM part_text LEFT JOIN term USING (id) LEFT JOIN vocab USING (term) GROUP BY id),
+x AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+wh AS MATERIALIZED {_drawn("h", 64, 8)}, wo AS MATERIALIZED {_drawn("o", 8, 3)},
+h AS MATERIALIZED {_product("x", "wh", True, 64)}, o AS MATERIALIZED {_product("h", "wo", False, 8)}, p AS {_softmax("o")},
+s AS (SELECT known.id, ['MATCH', 'MISMATCH', 'PARTIAL_MATCH'][i + 1] AS label, p, recognised FROM known JOIN p ON p.id = known.id % (SELECT count(*) FROM embeddings))
+SELECT 'p/' || id || '.png' AS path, CAST(row_number() OVER (PARTITION BY id ORDER BY p DESC, label) - 1 AS INT) AS place, label, round(p, 6) AS score, recognised,
+       CASE WHEN recognised = 0 THEN 'no term of the description is known; the picture alone decides' END AS warning
+FROM s"""

@@ -121,18 +121,19 @@ def validate(spark: SparkSession, out: str, features: DataFrame, epochs: int = 8
         table.append({"model": name, "accuracy": r.accuracy, "macro_f1": r.macro_f1, "epochs": history.best_epoch, "seed": seed + k, "history": history.epochs})
     best = max(table, key=lambda r: (r["macro_f1"], r["accuracy"]))
     settings = {"hidden": hidden, "batch": batch, **options}
-    summary = {"models": table, "selected": best, "text_features": sizes[1], "max_text_features": max_text_features, "settings": settings}
+    summary = {"versions": sinks.versions(), "models": table, "selected": best, "text_features": sizes[1], "max_text_features": max_text_features, "settings": settings}
     write_document(spark, summary, f"{out}/validation")
     return summary
 
 
 def final_test(spark: SparkSession, out: str, features: DataFrame, confirm: bool) -> dict:
     """Fit the selected model on train and validation, for as many epochs as its best one took and as it was fitted before, and score the test split, once: needs
-    confirmation, an intact lock and no earlier result."""
+    confirmation, an intact lock, the versions that chose the model, and no earlier result."""
     if not confirm:
         raise PermissionError("the final test needs confirmation")
     audit.enforce(check(spark, out, include_locked_test=True))
     chosen = read_document(spark, f"{out}/validation")
+    sinks.require_versions(chosen["versions"])
     name, kind, auxiliary = next(c for c in CANDIDATES if c[0] == chosen["selected"]["model"])
     development = readers.relations(spark, f"{out}/relations", "train").unionByName(readers.relations(spark, f"{out}/relations", "validation"))
     test = readers.relations(spark, f"{out}/relations", "test", allow_locked_test=True)
@@ -146,7 +147,7 @@ def final_test(spark: SparkSession, out: str, features: DataFrame, confirm: bool
     if scored.count() != test.count():
         raise ValueError("not every test row has a prediction")
     scored.write.parquet(f"{out}/predictions")
-    models.save(network, vocabulary, f"{out}/model", labels=LABELS)
+    models.save(network, vocabulary, f"{out}/model", LABELS)
     saved = spark.read.parquet(f"{out}/predictions")
     r = metrics.blocks(saved, "image_id").first()
     matrix = [list(x)[2:] for x in metrics.confusion_matrix(saved, LABELS).orderBy("position").collect()]
@@ -170,20 +171,21 @@ def audit_result(spark: SparkSession, out: str, hashes: DataFrame, limits=C.SEVE
     }
 
 
-def predict_saved(spark: SparkSession, model: str, path: str, description: str, features: DataFrame) -> DataFrame:
-    """predict() of one record by a saved model; features: path, features."""
-    network, vocabulary, _ = models.load(spark, model)
-    found = predict(readers.single_record(spark, path, description), features, vocabulary, network)
-    if not found.limit(1).count():
-        raise ValueError(f"no features for {path}")
-    return found
+def predict_saved(spark: SparkSession, model: str, path: str, description: str, features: DataFrame, same_versions: bool = False) -> DataFrame:
+    """predict() of one record by a saved model whose bundle is in order; features: path, features (a path without any is an error)."""
+    network, vocabulary, about = models.load(spark, model, LABELS, same_versions)
+    return predict(readers.single_record(spark, path, description), features, vocabulary, network, about["labels"])
 
 
-def predict(record: DataFrame, features: DataFrame, vocabulary: DataFrame, network: models.HeadNetwork) -> DataFrame:
-    """Scores of one record (path, description) with features (path, features): label, score, best first, and how many terms of the text are known."""
-    row = record.select("path", T.require_text(F.col("description")).alias("description"))
-    inputs = row.join(features.select("path", F.col("features").alias("image")), "path").join(T.dense(row, vocabulary, "path", "description"), "path")
-    scores = models.score(inputs.select("path", "image", "text"), network, "path", LABELS)
-    known = T.recognised(row, vocabulary, "path", "description")
-    each = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"score_{x.lower()}").alias("score")) for x in LABELS]))
-    return scores.join(known, "path").select(each.alias("s"), "recognised").select("s.label", "s.score", "recognised").orderBy(F.desc("score"), "label")
+def predict(records: DataFrame, features: DataFrame, vocabulary: DataFrame, network: models.HeadNetwork, labels: list[str] = LABELS) -> DataFrame:
+    """path, place, label, score, recognised, warning of each record (path, description; paths distinct), the best label first.
+
+    recognised: how many distinct terms of the description the model knows; where it knows none, a warning says that the picture alone decides."""
+    row = records.select("path", T.require_text(F.col("description")).alias("description"))
+    texts, known = T.dense(row, vocabulary, "path", "description"), T.recognised(row, vocabulary, "path", "description")
+    inputs = looked_up(row.select("path"), features.select("path", F.col("features").alias("image")), "path", "image").join(texts, "path")
+    scores = models.score(inputs.select("path", "image", "text"), network, "path", labels)
+    each = [F.struct((-F.col(f"score_{x.lower()}")).alias("s"), F.lit(x).alias("label")) for x in labels]
+    placed = scores.join(known, "path").select("path", F.posexplode(F.sort_array(F.array(*each))).alias("place", "x"), "recognised")
+    warning = F.when(F.col("recognised") == 0, "no term of the description is known; the picture alone decides")
+    return placed.select("path", "place", "x.label", (-F.col("x.s")).alias("score"), "recognised", warning.alias("warning")).orderBy("path", "place")

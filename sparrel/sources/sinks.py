@@ -151,6 +151,30 @@ def state_digest(state: dict) -> str:
     return h.hexdigest()
 
 
+def versions() -> dict[str, str]:
+    """Versions of what results depend on."""
+    import numpy
+    import pyarrow
+    import pyspark
+
+    return {"python": sys.version.split()[0], "numpy": numpy.__version__, "pyarrow": pyarrow.__version__, "pyspark": pyspark.__version__}
+
+
+def other_versions(wanted: dict[str, str]) -> list[str]:
+    """What is installed in another version than wanted, build marks (after "+") aside; "3.5" also fits 3.5.1."""
+    found = versions()
+    plain = lambda v: v.split("+", 1)[0]
+    fits = lambda name, v: plain(found.get(name, "none")) == plain(v) or plain(found.get(name, "none")).startswith(plain(v) + ".")
+    return [f"{name} {found.get(name, 'none')}, not {v}" for name, v in sorted(wanted.items()) if not fits(name, v)]
+
+
+def require_versions(wanted: dict[str, str]) -> None:
+    """An error if other_versions() finds any; for runs that must be repeated exactly."""
+    wrong = other_versions(wanted)
+    if wrong:
+        raise RuntimeError("; ".join(wrong))
+
+
 def lineage(spark: SparkSession, seed: int, inputs: dict[str, str] | None = None, folder: str = ".") -> dict:
     """Versions, revision ("unknown" outside a repository), seed and input digests for a run's summary."""
     found = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, cwd=folder, check=False)

@@ -102,17 +102,61 @@ def test_a_model_is_saved_and_loaded(spark, tmp_path):
     vocabulary = T.fit(spark.createDataFrame([(1, "brake disc"), (2, "oil filter")], "id int, t string"), "id", "t", 10)
     network = models.HeadNetwork("multimodal", 2, vocabulary.count(), 3, categories=4, hidden=5)
     path = f"file://{tmp_path}/model"
-    models.save(network, vocabulary, path, labels=["a"])
+    models.save(network, vocabulary, path, W.LABELS)
     again, terms, about = models.load(spark, path)
     x, y = np.ones((2, 2)), np.ones((2, vocabulary.count()))
-    assert (again.predict(x, y) == network.predict(x, y)).all() and about["labels"] == ["a"] and terms.count() == vocabulary.count()
+    assert (again.predict(x, y) == network.predict(x, y)).all() and about["labels"] == W.LABELS and terms.count() == vocabulary.count()
     features = spark.createDataFrame([("p.png", [1.0, 0.0])], "path string, features array<double>")
     found = W.predict_saved(spark, path, "p.png", " brake disc ", features).collect()
     assert len(found) == 3 and abs(sum(r.score for r in found) - 1) < 1e-9 and found[0].score >= found[1].score
-    with pytest.raises(ValueError, match="no features"):
-        W.predict_saved(spark, path, "q.png", "oil", features)
+    with pytest.raises(Exception, match="no image for path q.png"):
+        W.predict_saved(spark, path, "q.png", "oil", features).collect()
     about = (tmp_path / "model" / "about.json").read_text()
     (tmp_path / "model" / ".about.json.crc").unlink(missing_ok=True)
     (tmp_path / "model" / "about.json").write_text(about.replace('"digest": "', '"digest": "0'))
     with pytest.raises(ValueError, match="not those"):
         models.load(spark, path)
+
+
+def test_a_bundle_is_checked(spark, tmp_path):
+    vocabulary = T.fit(spark.createDataFrame([(1, "brake disc"), (2, "oil filter")], "id int, t string"), "id", "t", 10)
+    place = tmp_path / "model"
+    path = f"file://{place}"
+    models.save(models.HeadNetwork("text_only", 2, vocabulary.count(), 3, hidden=2), vocabulary, path, W.LABELS)
+    assert models.bundle_problems(spark, path, W.LABELS) == [] and models.bundle_problems(spark, f"{path}x") == ["no description"]
+    assert models.bundle_problems(spark, path, W.LABELS[::-1]) == ["other labels, or in another order"]
+    good = json.loads((place / "about.json").read_text())
+    (place / ".about.json.crc").unlink(missing_ok=True)
+    for change, why in (({"status": "begun"}, "status begun"), ({"tuned_after_test": True}, "tuned_after_test is not false"), ({"digest": "0"}, "the weights are not"), ({"vocabulary_digest": "0"}, "the vocabulary is not"), ({"labels": ["A"]}, "as many classes")):
+        (place / "about.json").write_text(json.dumps(good | change))
+        (problem,) = models.bundle_problems(spark, path)
+        assert why in problem
+        with pytest.raises(ValueError, match=why):
+            models.load(spark, path)
+    (place / "about.json").write_text(json.dumps({k: v for k, v in good.items() if k != "versions"}))
+    assert models.bundle_problems(spark, path) == ["the description lacks versions"]
+    (place / "about.json").write_text(json.dumps(good | {"versions": {"numpy": "0.1"}}))
+    models.load(spark, path)
+    with pytest.raises(RuntimeError, match="numpy .*not 0.1"):
+        models.load(spark, path, same_versions=True)
+
+
+def test_versions():
+    from sparrel.sources import sinks
+
+    found = sinks.versions()
+    sinks.require_versions(found | {"numpy": found["numpy"] + "+cpu"})
+    major = found["pyspark"].split(".")[0]
+    assert sinks.other_versions({"pyspark": major, "none": "1"}) == ["none none, not 1"]
+
+
+def test_predictions_of_many_records_and_their_warning(spark):
+    vocabulary = T.fit(spark.createDataFrame([(1, "brake disc"), (2, "oil filter")], "id int, t string"), "id", "t", 10)
+    network = models.HeadNetwork("multimodal", 2, vocabulary.count(), 3, hidden=4)
+    records = spark.createDataFrame([("a.png", "brake"), ("b.png", "unheard of")], "path string, description string")
+    pictures = spark.createDataFrame([("a.png", [1.0, 0.0]), ("b.png", [0.0, 1.0])], "path string, features array<double>")
+    rows = W.predict(records, pictures, vocabulary, network).collect()
+    assert [(r.path, r.place) for r in rows] == [(p, k) for p in ("a.png", "b.png") for k in range(3)]
+    assert all((r.warning is None) == (r.recognised > 0) == (r.path == "a.png") for r in rows)
+    with pytest.raises(Exception, match="a description is required"):
+        W.predict(records.withColumn("description", F.lit(" ")), pictures, vocabulary, network).collect()
