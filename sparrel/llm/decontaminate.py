@@ -8,7 +8,9 @@ whole item if it has fewer).  A window is the set of its shingles of three words
 3. A text contains a window only if it contains all its shingles, so the necessary prefix of the ordered window is its rarest shingle.  Windows whose rarest
    shingle is in no document go.
 4. Documents meet windows in an equi-join at this shingle.  The shingle's place in the window bounds where the window starts and ends in the document (the
-   positional and the length bound), and the words there are compared with the window's, exactly.
+   positional and the length bound), and the words there are compared with the window's, exactly.  A document sends the words around a shingle once for all its
+   places with the same ones, and its places packed; a window of no more words than a shingle needs no words around it.  So what a document sends does not
+   grow with its words times the window's, even for an item of a single frequent word.
 5. Where windows occur is put together by text, so that copies of a text are searched as one.
 
 What tasks need beforehand is a Bloom filter over the shingles, of FILTER_BITS at most whatever the benchmark's size (a full one lets more through to the join, which
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .substring_dedup import Rolling, word_hashes
+from .substring_dedup import Rolling, pack, unpack, word_hashes
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
@@ -135,30 +137,57 @@ def prefixes(wins: DataFrame, frequency: DataFrame) -> DataFrame:
     return least.where("least.df > 0").select("win", "n", "k", F.col("least.shingle").alias("shingle"), F.col("least.place").alias("place"))
 
 
-_PROBED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("shingle", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("around", pa.string())])
+_PROBED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("shingle", pa.int64()), ("short", pa.bool_()), ("off", pa.int32()), ("around", pa.string()), ("places", pa.binary())])
 
 
-def probe(docs: DataFrame, wanted: Filter, sizes: list[int], window: int) -> DataFrame:
-    """Of every document (doc_id, k1, k2, text binary) a row with its number of words, and a row for each place of a shingle that the filter lets through, with
-    the words around it that a window may cover (the first of them is word number first)."""
+def _contexts(words: list[bytes], wanted: np.ndarray, hashes: np.ndarray, k: int, reach: int) -> dict[tuple, list[int]]:
+    """(hash, words around, place among them) -> places, of the wanted shingles; reach: words that count on each side."""
+    out: dict[tuple, list[int]] = {}
+    for at in np.flatnonzero(wanted).tolist():
+        first = max(0, at - reach)
+        out.setdefault((int(hashes[at : at + 1].view(np.int64)[0]), b" ".join(words[first : at + k + reach]), at - first), []).append(at)
+    return out
+
+
+def probe(docs: DataFrame, long: Filter, short: Filter, sizes: list[int], window: int) -> DataFrame:
+    """Of every document (doc_id, k1, k2, text binary) a row with its number of words, and a row for each shingle that a filter lets through and each different
+    surrounding of it: the words that a window may cover there (of short windows the shingle alone), its place among them, and its places in the document, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             rows: list[tuple] = []
             for doc_id, k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
-                rows.append((doc_id, k1, k2, len(words), None, None, None, None))
+                rows.append((doc_id, k1, k2, len(words), None, None, None, None, None))
                 for k in sizes:
                     r = shingles(words, k)
-                    for at in np.flatnonzero(wanted(r)).tolist():
-                        first = max(0, at - window + k)
-                        rows.append((doc_id, k1, k2, len(words), int(r[at : at + 1].view(np.int64)[0]), at, first, b" ".join(words[first : at + window]).decode()))
-                        if len(rows) >= 4096:
-                            yield _batch(rows, _PROBED)
-                            rows = []
+                    for is_short, wanted in ((True, short(r)), (False, long(r))):
+                        for (h, around, off), places in _contexts(words, wanted, r, k, 0 if is_short else window - k).items():
+                            rows.append((doc_id, k1, k2, len(words), h, is_short, off, around.decode(), pack(np.array(places))))
+                            if len(rows) >= 4096:
+                                yield _batch(rows, _PROBED)
+                                rows = []
             yield _batch(rows, _PROBED)
 
-    return common.map_arrow(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, shingle bigint, at bigint, first bigint, around string")
+    return common.map_arrow(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, shingle bigint, short boolean, off int, around string, places binary")
+
+
+_SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("spans", pa.list_(pa.int64()))])
+
+
+def _spans(table: pa.Table) -> pa.Table:
+    """Starts and ends of the runs of hit words of a text, alternating, from its windows (n words, lead words before each place)."""
+    starts, ends = [], []
+    for n, lead, places in zip(*(table.column(c).to_pylist() for c in ("n", "lead", "places")), strict=True):
+        at = unpack(places).astype(np.int64) - lead
+        starts.append(at)
+        ends.append(at + n)
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    spans = np.stack((a[new], b[np.append(new[1:], len(a)) - 1]), axis=1).ravel()
+    return pa.Table.from_arrays([table.column("k1")[:1], table.column("k2")[:1], pa.array([spans.tolist()], pa.list_(pa.int64()))], schema=_SPANS)
 
 
 def joined(large: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
@@ -186,22 +215,18 @@ def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFra
         return common.map_arrow(docs, _counted, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint"), None
     frequency = document_frequency(docs.select("text"), Filter(wins.select(F.explode("shingles").alias("h")).distinct()), sizes)
     prefix = common.written(prefixes(wins, frequency), "decontaminate-prefixes")
-    probed = common.written(probe(docs, Filter(prefix.select("shingle").distinct()), sizes, window), "decontaminate-probed")
+    long, short = (Filter(prefix.where(c).select("shingle").distinct()) for c in ("n > k", "n = k"))
+    probed = common.written(probe(docs, long, short, sizes, window), "decontaminate-probed")
 
-    met = joined(probed.where("shingle is not null"), prefix, ["shingle"], F.xxhash64("k1", "at"))
-    begin = (F.col("at") - F.col("place") - F.col("first")).cast("int")
-    met = met.withColumn("begin", begin).withColumn("w", F.split("around", " ")).where("begin >= 0 and begin + n <= size(w)")
-    hits = met.where(F.array_join(F.slice("w", F.col("begin") + 1, F.col("n")), " ") == F.col("win")).select("k1", "k2", (F.col("at") - F.col("place")).alias("a"), (F.col("at") - F.col("place") + F.col("n")).alias("b"), "win")
+    met = joined(probed.where("shingle is not null"), prefix, ["shingle"], F.xxhash64("k1", "around"))
+    begin = F.col("off") - F.col("place")
+    met = met.where(F.col("short") == (F.col("n") == F.col("k"))).withColumn("begin", begin).withColumn("w", F.split("around", " ")).where("begin >= 0 and begin + n <= size(w)")
+    hits = met.where(F.array_join(F.slice("w", F.col("begin") + 1, F.col("n")), " ") == F.col("win")).select("k1", "k2", "win", "n", F.col("place").alias("lead"), "places")
     hits = common.written(hits.distinct(), "decontaminate-hits")
-
-    # Runs of hit words: a run ends where the next window starts behind all before it.
-    before = Window.partitionBy("k1", "k2").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    run = Window.partitionBy("k1", "k2").orderBy("a", "b")
-    runs = hits.select("k1", "k2", "a", "b").distinct().withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(before), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(run))
-    runs = runs.groupBy("k1", "k2", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    runs = hits.select("k1", "k2", "n", "lead", "places").groupBy("k1", "k2").applyInArrow(_spans, "k1 bigint, k2 bigint, spans array<bigint>")
     holders = every.where("item is not null").select("win", "item").distinct()
     items = joined(hits.select("k1", "k2", "win").distinct(), holders, ["win"], F.xxhash64("k1")).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = runs.join(items, ["k1", "k2"], "left").select("k1", "k2", F.flatten(F.transform("runs", lambda r: F.array(r["a"], r["b"]))).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    found = runs.join(items, ["k1", "k2"], "left").select("k1", "k2", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return probed.where("shingle is null").select("doc_id", "k1", "k2", "n_words"), common.written(found, "decontaminate-found")
 
 

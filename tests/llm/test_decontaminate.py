@@ -95,3 +95,42 @@ def test_a_larger_benchmark_with_one_hot_passage(spark):
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     found = {r.doc_id: (r.n_hit, r.n_items) for r in D.judged(D.search(d, b)).collect()}
     assert all(found[k] == (60, 1) for k in range(500)) and found[600][1] == 1
+
+
+def size_of(spark, path):
+    from pathlib import Path
+
+    return sum(f.stat().st_size for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_an_item_of_one_frequent_word_costs_less_than_the_text(spark, monkeypatch):
+    """Every second word of the text is an item; another of two words and one of four are frequent too."""
+    rng = random.Random(10)
+    docs = [(k, " ".join(w for x in words(rng, 10_000) for w in ("the", x))) for k in range(20)] + [(30, "of the of the " * 5000)]
+    items = [(1, "the"), (2, "of the"), (3, "of the of the"), (4, "of the of the of the of the of the of the of")]
+    made, written = [], D.common.written
+
+    def seen(df, label):
+        out = written(df, label)
+        if label.startswith("decontaminate-"):
+            made.append(size_of(spark, out.inputFiles()[0].rpartition("/")[0]) if out.inputFiles() else 0)
+        return out
+
+    monkeypatch.setattr(D.common, "written", seen)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {r.doc_id: r for r in D.judged(D.search(d, b)).collect()}
+    assert all((found[k].n_words, found[k].n_hit, found[k].n_items) == (20_000, 10_000, 1) for k in range(20))
+    assert (found[30].n_words, found[30].n_hit, found[30].n_items) == (20_000, 20_000, 4)
+    text = sum(len(t) for _, t in docs)
+    assert sum(made) < text / 2  # the spans of the hits themselves, which are the result, are most of it
+    assert sum(made) - made[-1] < text / 20
+
+
+def test_short_and_long_items_side_by_side(spark):
+    """Items of one to fourteen words over few words, so that windows overlap, repeat and share their shingles."""
+    rng = random.Random(11)
+    for n in range(6):
+        items = [(k, " ".join(rng.choice("abc") for _ in range(rng.choice((1, 2, 3, 4, 5, 12, 13, 14))))) for k in range(6)]
+        docs = [(k, " ".join(rng.choice("abcd" if k % 2 else "abc") for _ in range(rng.randrange(60)))) for k in range(25)] + [(90, items[0][1])] * 2
+        d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+        check(D.judged(D.search(d, b)), docs, items)
