@@ -17,6 +17,16 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
     return df
 
 
+def require_values(df: DataFrame, column: str, values, shown: int = 50) -> DataFrame:
+    """df, if column holds nothing but the values (and nulls); else an error that names the unknown ones in order, as many as shown, and how many there are."""
+    unknown = df.where(~F.col(column).isin(*values)).select(F.col(column).cast("string").alias("v")).distinct()
+    rows = unknown.orderBy("v").limit(shown + 1).collect()
+    if rows:
+        more = f" and {unknown.count() - shown} more" if len(rows) > shown else ""
+        raise ValueError(f"unknown values of {column}: {', '.join(r.v for r in rows[:shown])}{more}")
+    return df
+
+
 def enforce(findings: DataFrame) -> DataFrame:
     failed = findings.where("not ok").limit(20).collect()
     if failed:

@@ -34,12 +34,6 @@ def sample(df: DataFrame, by: str, id_col: str, n: int, seed: str = "44") -> Dat
     return ranked.where(F.col("rank") <= n).drop("rank_of")
 
 
-def best(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of every group in a total order; partial results before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
 def early_stop(history: DataFrame, by: str, step: str, loss: str, patience: int = 10, least_gain: float = 1e-4) -> DataFrame:
     """by, best_step, best_loss, stopped_step: a loss counts as better if it is lower by more than least_gain; after patience steps without, it stops.
 

@@ -901,16 +901,31 @@ def embedded(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.stratified_split(e, "label", "vec_id").drop("rank")
 
 
+def trained(spark: SparkSession, rows: DataFrame, epochs: int, validation: training.Packed | None = None) -> tuple[models.HeadNetwork, training.History]:
+    """A small network of the embeddings, fitted by steps over all rows at once."""
+    packed, network = training.pack(rows), models.HeadNetwork("image_only", 64, 16, 3, hidden=8)
+    return network, training.fit(spark, network, packed, epochs, validation, rate=0.05, dropout=False, chunks=len(packed.chunks))
+
+
 @query
 def M7_training_history(spark, sf):
     """Loss and validation metrics of each epoch of a network trained by whole-table steps, and which epoch is kept."""
-    rows = embedded(spark, sf)
-    train, validation = (training.pack(rows.where(F.col("split") == s)) for s in ("train", "validation"))
-    network = models.HeadNetwork("image_only", 64, 16, 3, hidden=8)
-    history = training.fit(spark, network, train, 4, validation, rate=0.05, dropout=False, chunks=len(train.chunks))
+    rows = sinks.written(embedded(spark, sf), "embedded")
+    _, history = trained(spark, rows.where("split = 'train'"), 4, training.pack(rows.where("split = 'validation'")))
     return rounded(history.frame(spark))
 
 
+@query
+def M8_refit_and_test(spark, sf):
+    """The same network fitted anew on train and validation for as many epochs as were best, and what it makes of the test split."""
+    rows = sinks.written(embedded(spark, sf), "embedded")
+    _, history = trained(spark, rows.where("split = 'train'"), 4, training.pack(rows.where("split = 'validation'")))
+    network, _ = trained(spark, rows.where("split <> 'test'"), history.best_epoch)
+    accuracy, macro_f1, matrix = training.evaluate(spark, network, training.pack(rows.where("split = 'test'")))
+    cells = [(history.best_epoch, accuracy, macro_f1, t, g, int(n)) for t, line in enumerate(matrix) for g, n in enumerate(line) if n]
+    return rounded(spark.createDataFrame(cells, "epochs int, accuracy double, macro_f1 double, label int, prediction int, n long"))
+
+
 @query
 def M9_scores_of_saved_weights(spark, sf):
     """Scores of all rows by a network with both encoders, its first weights saved and loaded again."""

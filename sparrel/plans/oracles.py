@@ -301,40 +301,73 @@ def _softmax(logits: str) -> str:
     return f"(SELECT id, i, exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY id) AS p FROM {top})"
 
 
-def _history(epochs: int, rate: float) -> str:
-    """Forward pass, gradients and an Adam step over the whole train split for each epoch, then the metrics of the validation split."""
-    steps = []
+def _rows(name: str, where: str) -> str:
+    """name_x (id, i, x) and name_y (id, label) of the embeddings of some splits."""
+    return f"""
+{name}_x AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(e) AS x FROM emb WHERE {where}), {name}_y AS (SELECT vec_id AS id, label FROM emb WHERE {where})"""
+
+
+def _one(rows: str, inputs: int) -> str:
+    """rows and a one after the last input."""
+    return f"(SELECT id, i, x FROM {rows} UNION ALL SELECT DISTINCT id, {inputs}, 1e0 FROM {rows})"
+
+
+def _trained(run: str, data: str, epochs: int, rate: float) -> list[str]:
+    """Forward pass, gradients and an Adam step over all rows of data, for each epoch k: {run}_l{k} has the loss, {run}_wh{k} and {run}_wo{k} the weights."""
+    nothing = ", ".join(f"{run}_a{y}0 AS (SELECT i, j, 0e0 AS m, 0e0 AS v FROM {run}_w{y}0)" for y in "ho")
+    steps = [f"""
+{run}_wh0 AS MATERIALIZED {_drawn("h", 64, 8)}, {run}_wo0 AS MATERIALIZED {_drawn("o", 8, 3)}, {nothing}"""]
     for k in range(1, epochs + 1):
-        old = f"{k - 1}"
+        h, o, p, d, dh = (f"{run}_{x}{k}" for x in ("h", "o", "p", "d", "dh"))
+        wh, wo = f"{run}_wh{k - 1}", f"{run}_wo{k - 1}"
         steps.append(f"""
-h{k} AS MATERIALIZED {_product("tx", "wh" + old, True, 64)}, o{k} AS MATERIALIZED {_product(f"h{k}", "wo" + old, False, 8)}, p{k} AS MATERIALIZED {_softmax(f"o{k}")},
-l{k} AS (SELECT -avg(ln(p)) AS loss FROM p{k} JOIN ty USING (id) WHERE i = label),
-d{k} AS MATERIALIZED (SELECT id, i AS j, (p - CASE WHEN i = label THEN 1 ELSE 0 END) / (SELECT count(*) FROM ty) AS d FROM p{k} JOIN ty USING (id)),
-dh{k} AS MATERIALIZED (SELECT h.id, h.i AS j, CASE WHEN h.x > 0 THEN sum(d.d * w.w) ELSE 0 END AS d FROM h{k} h JOIN wo{old} w ON w.i = h.i JOIN d{k} d ON d.id = h.id AND d.j = w.j GROUP BY h.id, h.i, h.x),
-go{k} AS (SELECT i, j, sum(x * d) AS g FROM (SELECT id, i, x FROM h{k} UNION ALL SELECT DISTINCT id, 8, 1e0 FROM h{k}) a JOIN d{k} USING (id) GROUP BY i, j),
-gh{k} AS (SELECT i, j, sum(x * d) AS g FROM (SELECT id, i, x FROM tx UNION ALL SELECT DISTINCT id, 64, 1e0 FROM tx) a JOIN dh{k} USING (id) GROUP BY i, j)""")
-        for layer in "ho":
+{h} AS MATERIALIZED {_product(data + "_x", wh, True, 64)}, {o} AS MATERIALIZED {_product(h, wo, False, 8)}, {p} AS MATERIALIZED {_softmax(o)},
+{run}_l{k} AS (SELECT -avg(ln(p)) AS loss FROM {p} JOIN {data}_y USING (id) WHERE i = label),
+{d} AS MATERIALIZED (SELECT id, i AS j, (p - CASE WHEN i = label THEN 1 ELSE 0 END) / (SELECT count(*) FROM {data}_y) AS d FROM {p} JOIN {data}_y USING (id)),
+{dh} AS MATERIALIZED (
+  SELECT a.id, a.i AS j, CASE WHEN a.x > 0 THEN sum(d.d * w.w) ELSE 0 END AS d FROM {h} a JOIN {wo} w ON w.i = a.i JOIN {d} d ON d.id = a.id AND d.j = w.j GROUP BY a.id, a.i, a.x),
+{run}_go{k} AS (SELECT i, j, sum(x * d) AS g FROM {_one(h, 8)} a JOIN {d} USING (id) GROUP BY i, j),
+{run}_gh{k} AS (SELECT i, j, sum(x * d) AS g FROM {_one(data + "_x", 64)} a JOIN {dh} USING (id) GROUP BY i, j)""")
+        for y in "ho":
+            step = f"{rate}e0 * (m / (1 - 0.9e0 ** {k})) / (sqrt(v / (1 - 0.999e0 ** {k})) + 1e-8)"
             steps.append(f"""
-a{layer}{k} AS MATERIALIZED (SELECT i, j, 0.9e0 * m + 0.1e0 * g AS m, 0.999e0 * v + 0.001e0 * g * g AS v FROM a{layer}{old} JOIN g{layer}{k} USING (i, j)),
-w{layer}{k} AS MATERIALIZED (
-  SELECT i, j, w - {rate}e0 * (m / (1 - 0.9e0 ** {k})) / (sqrt(v / (1 - 0.999e0 ** {k})) + 1e-8) AS w FROM a{layer}{k} JOIN w{layer}{old} USING (i, j))""")
-        steps.append(f"""
-vh{k} AS MATERIALIZED {_product("vx", f"wh{k}", True, 64)}, vo{k} AS MATERIALIZED {_product(f"vh{k}", f"wo{k}", False, 8)},
-g{k} AS (SELECT label, arg_max(i, (x, -i)) AS guess FROM vo{k} JOIN vy USING (id) GROUP BY id, label),
-f{k} AS (SELECT c, 2e0 * count(*) FILTER (label = c AND guess = c) / (count(*) FILTER (label = c) + count(*) FILTER (guess = c)) AS f1 FROM g{k}, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c HAVING count(*) FILTER (label = c OR guess = c) > 0),
-e{k} AS (SELECT {k} AS epoch, (SELECT loss FROM l{k}) AS train_loss, (SELECT avg(CASE WHEN label = guess THEN 1e0 ELSE 0 END) FROM g{k}) AS a, (SELECT avg(f1) FROM f{k}) AS f)""")
+{run}_a{y}{k} AS MATERIALIZED (SELECT i, j, 0.9e0 * m + 0.1e0 * g AS m, 0.999e0 * v + 0.001e0 * g * g AS v FROM {run}_a{y}{k - 1} JOIN {run}_g{y}{k} USING (i, j)),
+{run}_w{y}{k} AS MATERIALIZED (SELECT i, j, w - {step} AS w FROM {run}_a{y}{k} JOIN {run}_w{y}{k - 1} USING (i, j))""")
+    return steps
+
+
+def _measured(run: str, data: str, k: int) -> str:
+    """{run}_e{k} (a, f): accuracy and macro F1 on data after epoch k; {run}_c{k}: each row's label and guess."""
+    me = f"{run}_{data}{k}"
     return f"""
-WITH {EMB},
-tx AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(e) AS x FROM emb WHERE split = 'train'), ty AS (SELECT vec_id AS id, label FROM emb WHERE split = 'train'),
-vx AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(e) AS x FROM emb WHERE split = 'validation'), vy AS (SELECT vec_id AS id, label FROM emb WHERE split = 'validation'),
-wh0 AS MATERIALIZED {_drawn("h", 64, 8)}, wo0 AS MATERIALIZED {_drawn("o", 8, 3)},
-ah0 AS (SELECT i, j, 0e0 AS m, 0e0 AS v FROM wh0), ao0 AS (SELECT i, j, 0e0 AS m, 0e0 AS v FROM wo0),{",".join(steps)},
-every AS ({" UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(1, epochs + 1))})
-SELECT epoch, round(train_loss, 6) AS train_loss, round(a, 6) AS validation_accuracy, round(f, 6) AS validation_macro_f1,
-       epoch = (SELECT min(epoch) FROM every WHERE f = (SELECT max(f) FROM every)) AS best
-FROM every"""
+{me}_h AS MATERIALIZED {_product(data + "_x", f"{run}_wh{k}", True, 64)}, {me}_o AS MATERIALIZED {_product(me + "_h", f"{run}_wo{k}", False, 8)},
+{run}_c{k} AS (SELECT label, arg_max(i, (x, -i)) AS guess FROM {me}_o JOIN {data}_y USING (id) GROUP BY id, label),
+{me}_f AS (SELECT c, 2e0 * count(*) FILTER (label = c AND guess = c) / (count(*) FILTER (label = c) + count(*) FILTER (guess = c)) AS f1
+           FROM {run}_c{k}, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c HAVING count(*) FILTER (label = c OR guess = c) > 0),
+{run}_e{k} AS (SELECT {k} AS epoch, (SELECT avg(CASE WHEN label = guess THEN 1e0 ELSE 0 END) FROM {run}_c{k}) AS a, (SELECT avg(f1) FROM {me}_f) AS f)"""
+
+
+def _validated(epochs: int, rate: float) -> str:
+    """Common table expressions up to every (epoch, a, f) and best (epoch): training on train, measured on validation."""
+    steps = [_rows("train", "split = 'train'"), _rows("validation", "split = 'validation'"), *_trained("t", "train", epochs, rate), *(_measured("t", "validation", k) for k in range(1, epochs + 1))]
+    every = " UNION ALL ".join(f"SELECT *, (SELECT loss FROM t_l{k}) AS loss FROM t_e{k}" for k in range(1, epochs + 1))
+    return f"WITH {EMB},{','.join(steps)},\nevery AS ({every}), best AS (SELECT min(epoch) AS epoch FROM every WHERE f = (SELECT max(f) FROM every))"
+
+
+def _history(epochs: int, rate: float) -> str:
+    return f"""{_validated(epochs, rate)}
+SELECT epoch, round(loss, 6) AS train_loss, round(a, 6) AS validation_accuracy, round(f, 6) AS validation_macro_f1, epoch = (SELECT epoch FROM best) AS best FROM every"""
+
+
+def _refitted(epochs: int, rate: float) -> str:
+    """As many epochs on train and validation as were best on validation, then the test split."""
+    steps = [_rows("both", "split <> 'test'"), _rows("test", "split = 'test'"), *_trained("r", "both", epochs, rate), *(_measured("r", "test", k) for k in range(1, epochs + 1))]
+    every = " UNION ALL ".join(f"SELECT e.*, label, guess, count(*) AS n FROM r_e{k} e, r_c{k} GROUP BY ALL" for k in range(1, epochs + 1))
+    return f"""{_validated(epochs, rate)},{",".join(steps)}, final AS ({every})
+SELECT epoch AS epochs, round(a, 6) AS accuracy, round(f, 6) AS macro_f1, CAST(label AS INT) AS label, CAST(guess AS INT) AS prediction, n FROM final WHERE epoch = (SELECT epoch FROM best)"""
 
 
+ORACLE_SQL["M8_refit_and_test"] = _refitted(4, 0.05)
 ORACLE_SQL["M7_training_history"] = _history(4, 0.05)
 ORACLE_SQL["M9_scores_of_saved_weights"] = f"""
 WITH {EMB},

@@ -83,6 +83,7 @@ def looked_up(rows: DataFrame, dimension: DataFrame, key: str, value: str) -> Da
 def _inputs(spark: SparkSession, out: str, features: DataFrame, vocabulary: DataFrame, relations: DataFrame) -> DataFrame:
     """sample_id, image, text, and codes of label and categories; text features are made once per distinct description."""
     categories = spark.read.parquet(f"{out}/categories")
+    audit.require_values(relations, "label", LABELS)
     once = relations.select("description").distinct()
     texts = T.dense(once, vocabulary, "description", "description")
     rows = looked_up(relations, texts, "description", "text")

@@ -328,3 +328,15 @@ def test_parameter_counts_of_the_networks(spark):
     assert {k: found[k] for k in published} == published and set(found) == set(networks.NETWORKS)
     with pytest.raises(ValueError, match="unknown"):
         networks.layers("x", 3)
+
+
+def test_unknown_values_are_named_in_order(spark):
+    from sparrel.operators import audit
+
+    df = spark.createDataFrame([("A",), ("z",), (None,), ("b",), ("z",)], "v string")
+    assert audit.require_values(df.where("v = 'A' or v is null"), "v", ["A"]).count() == 2
+    with pytest.raises(ValueError, match="unknown values of v: b, z$"):
+        audit.require_values(df, "v", ["A", "B"])
+    many = spark.range(70).selectExpr("lpad(id, 2, '0') v")
+    with pytest.raises(ValueError, match="00, 01 and 68 more"):
+        audit.require_values(many, "v", ["A"], shown=2)
