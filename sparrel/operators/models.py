@@ -78,7 +78,7 @@ class HeadNetwork:
         out, g = self.forward(image, text, rng), {}
         # What a unit passes on: nothing if it is at rest or dropped, else scaled as in forward().
         live = lambda name: (out[name] > 0) / (1 - (DROPOUT[name] if rng is not None else 0))
-        loss, d = _cross_entropy(out["o"], label)
+        loss, d = cross_entropy(out["o"], label)
 
         def back(name: str, x: np.ndarray, d: np.ndarray) -> np.ndarray:
             g[name], g[f"{name}_bias"] = x.T @ d, d.sum(axis=0)
@@ -91,7 +91,7 @@ class HeadNetwork:
             di, dt = d[:, :n], d[:, n:]
             if self.auxiliary:
                 for side, target in (("i", image_category), ("t", text_category)):
-                    more, dc = _cross_entropy(out[f"c{side}"], target)
+                    more, dc = cross_entropy(out[f"c{side}"], target)
                     loss += auxiliary_weight * more
                     dx = back(f"c{side}", out[side], auxiliary_weight * dc)
                     di, dt = (di + dx, dt) if side == "i" else (di, dt + dx)
@@ -112,7 +112,8 @@ def drawn(seed: int, name: str, shape: tuple[int, int]) -> np.ndarray:
     return np.array([[draw(i, j) for j in range(shape[1])] for i in range(shape[0])], float).reshape(shape) / (1 << 31) - 1
 
 
-def _cross_entropy(z: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+def cross_entropy(z: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean loss of logits, and its gradient by them."""
     z = z - z.max(axis=1, keepdims=True)
     p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
     k = np.arange(len(label))
@@ -122,12 +123,15 @@ def _cross_entropy(z: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]
 
 
 class Adam:
-    def __init__(self, rate: float = 1e-3) -> None:
-        self.rate, self.t, self.m, self.v = rate, 0, {}, {}
+    """decay: share of each weight that is added to its gradient."""
+
+    def __init__(self, rate: float = 1e-3, decay: float = 0.0) -> None:
+        self.rate, self.decay, self.t, self.m, self.v = rate, decay, 0, {}, {}
 
     def step(self, weights: dict[str, np.ndarray], gradients: dict[str, np.ndarray]) -> None:
         self.t += 1
         for k, g in gradients.items():
+            g = g + self.decay * weights[k]
             m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
             v = self.v[k] = 0.999 * self.v.get(k, 0) + 0.001 * g * g
             weights[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
@@ -137,7 +141,7 @@ class Adam:
 REQUIRED = ("status", "kind", "sizes", "labels", "digest", "vocabulary_digest", "versions", "test_rows_used", "test_inference_after", "tuned_after_test")
 
 
-def save(network: HeadNetwork, vocabulary: DataFrame, path: str, labels: list[str], **about) -> None:
+def save(network, vocabulary: DataFrame, path: str, labels: list[str], **about) -> None:
     """A model below a path that Spark can write: weights, vocabulary (term, idf, index), and last what it is: digests of both, labels in order, versions."""
     spark = vocabulary.sparkSession
     rows = [(k, list(w.shape), np.ascontiguousarray(w, "<f8").tobytes()) for k, w in sorted(network.weights.items())]
@@ -168,7 +172,7 @@ def bundle_problems(spark: SparkSession, path: str, labels: list[str] | None = N
         if not sinks.exists(f"{path}/{name}"):
             return [*wrong, f"no {name}"]
     found = _weights(spark, path)
-    shapes = {k: w.shape for k, w in HeadNetwork(about["kind"], **about["sizes"]).weights.items()}
+    shapes = {k: w.shape for k, w in _described(about["kind"], about["sizes"]).weights.items()}
     if {k: w.shape for k, w in found.items()} != shapes or sinks.state_digest(found) != about["digest"]:
         wrong.append("the weights are not those that were saved")
     vocabulary = spark.read.parquet(f"{path}/vocabulary")
@@ -177,12 +181,21 @@ def bundle_problems(spark: SparkSession, path: str, labels: list[str] | None = N
     return wrong
 
 
+def _described(kind: str, sizes: dict):
+    """A network of a saved kind and sizes, with first weights."""
+    if "image" not in sizes:
+        return HeadNetwork(kind, **sizes)
+    from .networks import RelationNetwork
+
+    return RelationNetwork(kind, tuple(sizes["image"]), sizes["text_size"], sizes["classes"], sizes["categories"])
+
+
 def _weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     rows = spark.read.parquet(f"{path}/weights").collect()  # one row a layer
     return {r.name: np.frombuffer(r.content, "<f8").reshape(r.shape).copy() for r in rows}
 
 
-def load(spark: SparkSession, path: str, labels: list[str] | None = None, same_versions: bool = False) -> tuple[HeadNetwork, DataFrame, dict]:
+def load(spark: SparkSession, path: str, labels: list[str] | None = None, same_versions: bool = False) -> tuple:
     """Network, vocabulary and description of a saved model; bundle_problems() are an error, and with same_versions other versions than it was saved with."""
     wrong = bundle_problems(spark, path, labels)
     if wrong:
@@ -190,7 +203,7 @@ def load(spark: SparkSession, path: str, labels: list[str] | None = None, same_v
     about = json.loads(sinks.read_bytes(f"{path}/about.json"))
     if same_versions:
         sinks.require_versions(about["versions"])
-    network = HeadNetwork(about["kind"], **about["sizes"])
+    network = _described(about["kind"], about["sizes"])
     network.weights = _weights(spark, path)
     return network, spark.read.parquet(f"{path}/vocabulary"), about
 

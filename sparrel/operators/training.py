@@ -155,12 +155,12 @@ def evaluate(spark: SparkSession, network: models.HeadNetwork, data: Packed) ->
 
 def fit(
     spark: SparkSession, network: models.HeadNetwork, train: Packed, epochs: int, validation: Packed | None = None, rate: float = 1e-3,
-    auxiliary_weight: float = 0.15, seed: int = 44, dropout: bool = True, chunks: int = CHUNKS,
+    auxiliary_weight: float = 0.15, seed: int = 44, dropout: bool = True, chunks: int = CHUNKS, decay: float = 0.0,
 ) -> History:
     """Adam steps over batches of some chunks.  With validation rows the network ends as it was after its best epoch, else after the last one."""
     if epochs < 1:
         raise ValueError("epochs must be at least one")
-    adam, history, best = models.Adam(rate), [], None
+    adam, history, best = models.Adam(rate, decay), [], None
     for epoch in range(1, epochs + 1):
         order = [train.chunks[k] for k in np.random.default_rng([seed, epoch]).permutation(len(train.chunks))]
         loss = 0.0

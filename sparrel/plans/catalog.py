@@ -850,7 +850,32 @@ def optimum(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 @query
 def M3_M5_parameters(spark, sf):
-    return networks.parameter_counts(spark, 342).groupBy("network").agg(F.sum("parameters").alias("parameters"), F.count("*").alias("arrays"))
+    """Parameters of each network for the vocabulary of the train texts and the nations as categories."""
+    d = split_documents(spark, sf).where("split = 'train'")
+    words, categories = T.fit(d, "doc_id", "text", 342).count(), families(spark, sf).count()
+    return networks.parameter_counts(spark, words, categories=categories).groupBy("network").agg(F.sum("parameters").alias("parameters"), F.count("*").alias("arrays"))
+
+
+def pictured(spark: SparkSession, sf: str, image: tuple[int, ...]) -> DataFrame:
+    """vec_id, image (whole embeddings again and again, in as many numbers as the network reads), text (the embedding)."""
+    value = lambda i: F.get("embedding", (i % 64).cast("int")).cast("double")
+    size = int(np.prod(image))
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("image"), F.transform("embedding", lambda v: v.cast("double")).alias("text"))
+
+
+@query
+def M3_small_network_scores(spark, sf):
+    """All embeddings as pictures of 8 x 8 pixels and as texts, scored by the small network of both encoders."""
+    network = networks.RelationNetwork("small_multimodal", (3, 8, 8), 64)
+    return rounded(models.score(pictured(spark, sf, (3, 8, 8)), network, "vec_id", list(C.LABELS)))
+
+
+@query
+def M5_large_network_scores(spark, sf):
+    """All embeddings as backbone features and as texts, scored by the large network."""
+    network = networks.RelationNetwork("large_multimodal", (512,), 64)
+    return rounded(models.score(pictured(spark, sf, (512,)), network, "vec_id", list(C.LABELS)))
 
 
 @query

@@ -116,8 +116,6 @@ ORACLE_SQL: dict[str, str] = {
     "P17_lock": "SELECT * FROM (VALUES ('after', 'flag official'), ('after', 'changed b.json')) AS x(moment, difference)",
     "P19_forbidden_text": "SELECT doc_id AS path, word FROM documents, (VALUES ('@'), ('http'), ('password')) AS w(word) WHERE contains(text, word)",
     "A24_recomputed": "SELECT * FROM (VALUES ('rows'), ('lost')) AS x(metric)",
-    "M3_M5_parameters": """SELECT network, CAST(parameters AS BIGINT) AS parameters, CAST(arrays AS BIGINT) AS arrays FROM (VALUES ('small_text', 24131, 6), ('small_image', 21459, 10), ('small_multimodal', 58579, 22), ('small_multimodal_no_auxiliary', 57923, 18),
-      ('large_multimodal', 512 * 128 + 128 + 342 * 256 + 256 + 256 * 128 + 128 + 256 * 256 + 256 + 256 * 96 + 96 + 96 * 3 + 3 + 2 * (128 * 8 + 8), 16), ('large_multimodal_no_auxiliary', 512 * 128 + 128 + 342 * 256 + 256 + 256 * 128 + 128 + 256 * 256 + 256 + 256 * 96 + 96 + 96 * 3 + 3, 12)) AS x(network, parameters, arrays)""",
     "W3_selection": f"WITH {IMG}, c AS (SELECT category, category || '|' || CAST(image_id AS VARCHAR) AS candidate FROM img) SELECT category, candidate, row_number() OVER (PARTITION BY category ORDER BY sha256(candidate), candidate) AS selection_order FROM c QUALIFY selection_order <= 10",
     "S3_category_index": "SELECT n_name AS category, r_name AS family, rank() OVER (ORDER BY n_name) - 1 AS index FROM nation JOIN region ON n_regionkey = r_regionkey",
     "S4_json_document": "SELECT event_type, count(*) AS events, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(props->>'k' AS BIGINT)) AS k_max FROM events GROUP BY event_type",
@@ -528,3 +526,66 @@ s AS (SELECT known.id, ['MATCH', 'MISMATCH', 'PARTIAL_MATCH'][i + 1] AS label, p
 SELECT 'p/' || id || '.png' AS path, CAST(row_number() OVER (PARTITION BY id ORDER BY p DESC, label) - 1 AS INT) AS place, label, round(p, 6) AS score, recognised,
        CASE WHEN recognised = 0 THEN 'no term of the description is known; the picture alone decides' END AS warning
 FROM s"""
+
+# The networks with encoders.  Their weights are stored by output: an output's row of weights, drawn from the SHA-256 of its name and place.
+
+
+def _drawn_by_output(layer: str, inputs: int, outputs: int) -> str:
+    """A layer's first weights (i, j, w) from input i to output j; the bias is the row after the last input."""
+    name = f"CASE WHEN i < {inputs} THEN '44|{layer}|' || j || '|' || i ELSE '44|{layer}_bias|' || j || '|0' END"
+    draw = f"CAST('0x' || left(sha256({name}), 8) AS BIGINT) / 2147483648e0 - 1"
+    return f"(SELECT i, j, ({draw}) / sqrt({inputs}e0) AS w FROM (SELECT unnest(range({inputs + 1})) AS i), (SELECT unnest(range({outputs})) AS j))"
+
+
+def _chain(name: str, rows: str, part: str, widths: tuple[int, ...], open_end: bool = False) -> str:
+    """Dense layers of one part over rows (id, i, x): {name}."""
+    out, now = [], rows
+    for k, (a, b) in enumerate(zip(widths, widths[1:])):
+        last = k == len(widths) - 2
+        to = name if last else f"{name}{k}"
+        out.append(f"{name}_w{k} AS MATERIALIZED {_drawn_by_output(f'{part}{k}', a, b)}, {to} AS MATERIALIZED {_product(now, f'{name}_w{k}', not (last and open_end), a)}")
+        now = to
+    return ",\n".join(out)
+
+
+def _convolved(name: str, pixels: str, k: int, inputs: int, outputs: int, side: int) -> str:
+    """Filters of 3 x 3 over pixels (id, c, y, x, v) of side x side, rectified: {name} (id, c, y, x, v)."""
+    return f"""
+{name}_w AS MATERIALIZED {_drawn_by_output(f"convolution{k}", 9 * inputs, outputs)},
+{name}_p AS MATERIALIZED (SELECT id, y - dy + 1 AS y, x - dx + 1 AS x, 9 * c + 3 * dy + dx AS i, v FROM {pixels}, range(3) AS a(dy), range(3) AS b(dx)
+  WHERE y - dy + 1 BETWEEN 0 AND {side - 1} AND x - dx + 1 BETWEEN 0 AND {side - 1}
+  UNION ALL SELECT id, y, x, {9 * inputs}, 1e0 FROM (SELECT DISTINCT id, y, x FROM {pixels})),
+{name} AS MATERIALIZED (SELECT id, j AS c, y, x, greatest(sum(v * w), 0) AS v FROM {name}_p JOIN {name}_w USING (i) GROUP BY id, j, y, x)"""
+
+
+def _scores(steps: list[str]) -> str:
+    return f"""
+WITH e AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), t AS MATERIALIZED (SELECT id, unnest(range(64)) AS i, unnest(e) AS x FROM e),
+{",".join(steps)}, p AS {_softmax("o")}
+SELECT id AS vec_id, ['MATCH', 'MISMATCH', 'PARTIAL_MATCH'][arg_max(i, (p, -i)) + 1] AS prediction, round(max(p), 6) AS model_score,
+       round(max(p) FILTER (i = 0), 6) AS score_match, round(max(p) FILTER (i = 1), 6) AS score_mismatch, round(max(p) FILTER (i = 2), 6) AS score_partial_match
+FROM p GROUP BY id"""
+
+
+_POOL = "{to} AS (SELECT id, c, y // 2 AS y, x // 2 AS x, max(v) AS v FROM {rows} GROUP BY id, c, y // 2, x // 2)"
+ORACLE_SQL["M3_small_network_scores"] = _scores([
+    "px AS MATERIALIZED (SELECT id, c, y, x, e[(64 * c + 8 * y + x) % 64 + 1] AS v FROM e, range(3) AS a(c), range(8) AS b(y), range(8) AS d(x))",
+    _convolved("c0", "px", 0, 3, 16, 8), _POOL.format(to="q0", rows="c0"), _convolved("c1", "q0", 1, 16, 32, 4), _POOL.format(to="q1", rows="c1"), _convolved("c2", "q1", 2, 32, 48, 2),
+    "f AS MATERIALIZED (SELECT id, c AS i, avg(v) AS x FROM c2 GROUP BY id, c)", _chain("a", "f", "projection", (48, 48)), _chain("b", "t", "text", (64, 64, 32)),
+    "ab AS (SELECT * FROM a UNION ALL SELECT id, i + 48, x FROM b)", _chain("o", "ab", "head", (80, 96, 48, 3), True),
+])
+ORACLE_SQL["M5_large_network_scores"] = _scores([
+    "f AS MATERIALIZED (SELECT id, i, e[i % 64 + 1] AS x FROM e, range(512) AS r(i))", _chain("a", "f", "projection", (512, 128)), _chain("b", "t", "text", (64, 256, 128)),
+    "ab AS (SELECT * FROM a UNION ALL SELECT id, i + 128, x FROM b)", _chain("o", "ab", "head", (256, 256, 96, 3), True),
+])
+_SMALL_IMAGE = "3 * 16 * 9 + 16 + 16 * 32 * 9 + 32 + 32 * 48 * 9 + 48 + 48 * 48 + 48"
+_SMALL_BOTH = f"{_SMALL_IMAGE} + t * 64 + 64 + 64 * 32 + 32 + 80 * 96 + 96 + 96 * 48 + 48 + 48 * 3 + 3"
+_LARGE_BOTH = "512 * 128 + 128 + t * 256 + 256 + 256 * 128 + 128 + 256 * 256 + 256 + 256 * 96 + 96 + 96 * 3 + 3"
+ORACLE_SQL["M3_M5_parameters"] = f"""
+WITH {DOCS}, tok AS (SELECT {TOKENS} AS t FROM ds WHERE split = 'train'),
+n AS (SELECT least(342, (SELECT count(DISTINCT w) FROM (SELECT unnest(t) AS w FROM tok UNION ALL SELECT t[i] || ' ' || t[i + 1] FROM (SELECT t, unnest(range(1, len(t))) AS i FROM tok)))) AS t,
+             (SELECT count(*) FROM nation) AS c)
+SELECT unnest(['small_text', 'small_image', 'small_multimodal', 'small_multimodal_no_auxiliary', 'large_multimodal', 'large_multimodal_no_auxiliary']) AS network,
+       unnest([t * 64 + 64 + 64 * 32 + 32 + 32 * 3 + 3, {_SMALL_IMAGE} + 48 * 3 + 3, {_SMALL_BOTH} + 48 * c + c + 32 * c + c, {_SMALL_BOTH}, {_LARGE_BOTH} + 2 * (128 * c + c), {_LARGE_BOTH}]) AS parameters,
+       unnest([6, 10, 22, 18, 16, 12]) AS arrays
+FROM n"""
