@@ -260,10 +260,14 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     return Codec(path, pattern)
 
 
+common.keeps("codec", codec.cache_clear)
+
+
 def encode(docs: DataFrame, path: str = RANKS_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, ids array<int>) per row of docs; null texts give an empty array."""
 
     def rows(batch: pa.RecordBatch) -> list:
+        common.only("codec")
         c = codec(path)
         return [batch.column(0), [c.encode(t or "") for t in batch.column(1).to_pylist()]]
 
@@ -274,6 +278,7 @@ def decode(encoded: DataFrame, path: str = RANKS_PATH) -> DataFrame:
     """One row (doc_id, content binary) per row of encode()."""
 
     def rows(batch: pa.RecordBatch) -> list:
+        common.only("codec")
         c = codec(path)
         return [batch.column(0), [c.decode(ids or ()) for ids in batch.column(1).to_pylist()]]
 
@@ -286,6 +291,7 @@ def round_trip_digests(docs: DataFrame, path: str = RANKS_PATH) -> DataFrame:
     Null and empty texts have no ids (both digests are those of nothing); null ids stay null; repeated rows give repeated rows."""
 
     def rows(batch: pa.RecordBatch) -> list:
+        common.only("codec")
         c = codec(path)
         return [batch.column(0), *(zip(*found, strict=True) if (found := [c.digests(t or "") for t in batch.column(1).to_pylist()]) else ([], [], []))]
 

@@ -48,6 +48,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, clear: Callable[[], object]) -> None:
+    """Says that this process keeps something between tasks, and how to let go of it."""
+    _KEPT[name] = clear
+
+
+def only(name: str) -> None:
+    """Let go of what others keep in this process: workers are used again, stage after stage of other operators."""
+    for other, clear in _KEPT.items():
+        if other != name:
+            clear()
+
+
 def release() -> None:
     """Give memory that earlier tasks of this worker have freed back to the system (workers are used again, stage after stage)."""
     pa.default_memory_pool().release_unused()

@@ -32,10 +32,12 @@ from . import common
 WINDOW = 50
 BLOCK = 25
 #: Text bytes of a group of documents, and text bytes per bucket of hashes.
-GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+GROUP_BYTES, BUCKET_BYTES = 5 << 20, 12 << 20
 CACHE_WORDS = 150_000
 #: Bytes of a word that is remembered, at most.
 CACHE_BYTES = 64
+#: Powers that a rolling hash keeps, at most; those of longer texts are made anew.
+KEPT_POWERS = 1 << 17
 _VALUE_BITS = 30
 _NO_ID = np.iinfo(np.int64).max
 # Odd constants of the three rolling hashes.
@@ -51,6 +53,7 @@ class _Words(dict):
 
 
 _known = _Words()
+common.keeps("words", _known.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -67,19 +70,23 @@ class Rolling:
         self.inverse = pow(factor, -1, 1 << 64)
         self.inverses = np.ones(1, np.uint64)
 
-    def _table(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers), 4096)
-            self.powers = np.concatenate(([np.uint64(1)], np.full(n - 1, self.factor, np.uint64))).cumprod(dtype=np.uint64)
-            self.inverses = np.concatenate(([np.uint64(1)], np.full(n - 1, self.inverse, np.uint64))).cumprod(dtype=np.uint64)
+    def _table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least n powers, and their inverses."""
+        if len(self.powers) >= n:
+            return self.powers, self.inverses
+        n = max(n, min(2 * len(self.powers), KEPT_POWERS), 4096)
+        made = [np.concatenate(([np.uint64(1)], np.full(n - 1, f, np.uint64))).cumprod(dtype=np.uint64) for f in (self.factor, self.inverse)]
+        if n <= KEPT_POWERS:
+            self.powers, self.inverses = made
+        return made[0], made[1]
 
     def __call__(self, hashes: np.ndarray, size: int) -> np.ndarray:
         n = len(hashes)
         if n < size:
             return np.zeros(0, np.uint64)
-        self._table(n)
-        sums = np.concatenate((np.zeros(1, np.uint64), (hashes * self.powers[:n]).cumsum(dtype=np.uint64)))
-        x = (sums[size:] - sums[:-size]) * self.inverses[: n - size + 1]
+        powers, inverses = self._table(n)
+        sums = np.concatenate((np.zeros(1, np.uint64), (hashes * powers[:n]).cumsum(dtype=np.uint64)))
+        x = (sums[size:] - sums[:-size]) * inverses[: n - size + 1]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
