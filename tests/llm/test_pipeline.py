@@ -53,5 +53,5 @@ def test_stages_keep_the_columns_and_take_odd_tables(spark, tmp_path, odd, empty
 
 def test_stages_and_queries_are_complete():
     assert [n for n, _ in C.STAGES] == ["language", "near_duplicates", "repeated_passages", "benchmark_passages", "tokens"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
