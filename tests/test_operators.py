@@ -340,3 +340,18 @@ def test_unknown_values_are_named_in_order(spark):
     many = spark.range(70).selectExpr("lpad(id, 2, '0') v")
     with pytest.raises(ValueError, match="00, 01 and 68 more"):
         audit.require_values(many, "v", ["A"], shown=2)
+
+
+def test_a_bootstrap_of_many_groups_makes_no_row_for_a_draw(spark, monkeypatch):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k % 61, rng.choice("FO"), rng.choice("FO")) for k in range(300)], "g long, label string, prediction string")
+    some = resample.bootstrap_replicates(df, "g", ["F", "O"], repeats=12)
+    found = [sorted(map(tuple, some.collect()))]
+    monkeypatch.setattr(resample, "LOCAL_GROUPS", 0)
+    for slots, size in ((10, 12 * 7), (5, 12 * 7), (1000, 12)):  # several pieces of a replicate, several ranges
+        monkeypatch.setattr(resample, "SLOTS", slots)
+        monkeypatch.setattr(resample, "RANGE_BYTES", size)
+        by_range = resample.bootstrap_replicates(df, "g", ["F", "O"], repeats=12)
+        assert "Generate" not in by_range._jdf.queryExecution().executedPlan().toString()
+        found.append(sorted(map(tuple, by_range.collect())))
+    assert len(found[0]) == 12 and all(f == found[0] for f in found)
