@@ -355,3 +355,13 @@ def test_a_bootstrap_of_many_groups_makes_no_row_for_a_draw(spark, monkeypatch):
         assert "Generate" not in by_range._jdf.queryExecution().executedPlan().toString()
         found.append(sorted(map(tuple, by_range.collect())))
     assert len(found[0]) == 12 and all(f == found[0] for f in found)
+
+
+def test_frames_are_compared_once(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (3, "y")], "k long, v string")
+    b = spark.createDataFrame([(1, None), (2, "z"), (3, "y"), (3, "y")], "k long, v string")
+    found = audit.same(a, b, ["k", "v"])
+    assert tuple(found.first()) == ("frames_equal", 4, False)
+    assert tuple(audit.same(a.limit(0), a.limit(0), ["k", "v"]).first()) == ("frames_equal", 0, True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and "Generate" not in plan  # each frame is read once, and no surplus row is repeated
