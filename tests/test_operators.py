@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from sparrel.functions import text as T
 from sparrel.operators import audit, metrics, models, near_duplicates, pairs, ranking, resample, training
 
 
@@ -365,3 +366,21 @@ def test_frames_are_compared_once(spark):
     assert tuple(audit.same(a.limit(0), a.limit(0), ["k", "v"]).first()) == ("frames_equal", 0, True)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2 and "Generate" not in plan  # each frame is read once, and no surplus row is repeated
+
+
+def test_a_limited_vocabulary_is_made_once_and_exact(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", "x", *(" ".join(rng.choice(["aa", "bb", "cc", "dd é1", "É1", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 60))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(T, "COUNTED_TOKENS", 50)
+    whole = {r.term: (r.df, r.total) for r in docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("total")).collect()}
+    assert {r.term: (r.df, r.total) for r in T.term_statistics(docs, "text").collect()} == whole
+    for n in (3, 9, 25, 10_000):
+        v = T.fit(docs, "doc_id", "text", n)
+        assert [(r.term, (r.df, r.total)) for r in v.orderBy("index").collect()] == sorted(sorted(whole.items(), key=lambda t: (-t[1][1], t[0]))[:n])
+        assert "Aggregate" not in v._jdf.queryExecution().optimizedPlan().toString()  # reading it counts nothing again
+    known = T.fit(docs, "doc_id", "text", 9)
+    want = {(r.doc_id, r.term, r.n) for r in docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).join(known, "term").groupBy("doc_id", "term").agg(F.count("*").alias("n")).collect()}
+    assert {tuple(r) for r in T.known_counts(docs, known, "doc_id", "text").collect()} == want
+    monkeypatch.setattr(T, "MAX_BROADCAST_TERMS", 2)
+    assert {(r.doc_id, r.term, r.n) for r in T.known_counts(docs, known, "doc_id", "text").collect()} == want
