@@ -37,6 +37,8 @@ HIT_SHARE = 20
 FILTER_BITS, BITS_EACH = 1 << 27, 16
 #: Bytes of a join's smaller side up to which it is broadcast, and parts that the rows of one key are dealt to beyond it.
 BROADCAST_BYTES, SALTS = 8 << 20, 16
+#: Words that a task hashes at once (a document's words stay together).
+GROUP_WORDS = 1 << 15
 #: Counts that a task holds before it hands them on.
 HELD_COUNTS = 500_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -56,6 +58,40 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return _rolling(word_hashes(words), size)
 
 
+def grouped(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The texts' words, some texts at a time: the first one's place, and the words of each."""
+    first, group, held = 0, [], 0
+    for at, text in enumerate(texts):
+        words = words_of(text)
+        if group and held + len(words) > GROUP_WORDS:
+            yield first, group
+            first, group, held = at, [], 0
+        group.append(words)
+        held += len(words)
+    if group:
+        yield first, group
+
+
+class Shingled:
+    """The shingles of a group of texts: their hashes by size, each text's own ones only, whatever stands beside it."""
+
+    def __init__(self, group: list[list[bytes]]) -> None:
+        self.lengths = np.array([len(w) for w in group])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.of = np.repeat(np.arange(len(group)), self.lengths)
+        self.hashes = word_hashes([w for words in group for w in words])
+
+    def found(self, k: int, *filters: Filter) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each filter the shingles of k words that it lets through: text, place in it and hash, in order."""
+        r, out = _rolling(self.hashes, k), []
+        for f in filters:
+            at = np.flatnonzero(f(r))
+            at = at[self.of[at] == self.of[at + k - 1]]
+            of = self.of[at]
+            out.append((of, at - self.starts[of], r[at]))
+        return out
+
+
 class Filter:
     """A Bloom filter over 64-bit hashes, two bits each."""
 
@@ -70,14 +106,18 @@ class Filter:
         found = slots.toArrow()  # at most a row per 64 bits
         self.words = np.zeros(bits // 64, np.int64)
         self.words[found.column("slot").to_numpy()] = found.column("set").to_numpy()
-        self.words = self.words.view(np.uint64)
+        self.words, self.empty = self.words.view(np.uint64), count == 0
+
+    def _set(self, hashes: np.ndarray, shift: int) -> np.ndarray:
+        at = (hashes >> np.uint64(shift)) & np.uint64(self.mask)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the hashes may be in it."""
-        out = np.ones(len(hashes), bool)
-        for shift in (0, 32):
-            at = (hashes >> np.uint64(shift)) & np.uint64(self.mask)
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out = np.zeros(len(hashes), bool)
+        if not self.empty:
+            first = np.flatnonzero(self._set(hashes, 0))
+            out[first[self._set(hashes[first], 32)]] = True
         return out
 
 
@@ -116,12 +156,16 @@ def document_frequency(docs: DataFrame, wanted: Filter, sizes: list[int]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, int] = {}
         for batch in common.slices(batches):
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
+            for _, group in grouped(batch.column(0).to_pylist()):
+                of_group = Shingled(group)
                 for k in sizes:
-                    r = shingles(words, k)
-                    for h in np.unique(r[wanted(r)]).view(np.int64).tolist():
-                        held[h] = held.get(h, 0) + 1
+                    of, _, h = of_group.found(k, wanted)[0]
+                    order = np.lexsort((h, of))
+                    of, h = of[order], h[order]
+                    once = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+                    found, df = np.unique(h[once], return_counts=True)
+                    for x, n in zip(found.view(np.int64).tolist(), df.tolist(), strict=True):
+                        held[x] = held.get(x, 0) + n
             if len(held) > HELD_COUNTS:
                 yield _batch(list(held.items()), schema)
                 held = {}
@@ -140,12 +184,12 @@ def prefixes(wins: DataFrame, frequency: DataFrame) -> DataFrame:
 _PROBED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("shingle", pa.int64()), ("short", pa.bool_()), ("off", pa.int32()), ("around", pa.string()), ("places", pa.binary())])
 
 
-def _contexts(words: list[bytes], wanted: np.ndarray, hashes: np.ndarray, k: int, reach: int) -> dict[tuple, list[int]]:
-    """(hash, words around, place among them) -> places, of the wanted shingles; reach: words that count on each side."""
+def _contexts(words: list[bytes], places: np.ndarray, hashes: np.ndarray, k: int, reach: int) -> dict[tuple, list[int]]:
+    """(hash, words around, place among them) -> places, of the shingles at the places; reach: words that count on each side."""
     out: dict[tuple, list[int]] = {}
-    for at in np.flatnonzero(wanted).tolist():
+    for at, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
         first = max(0, at - reach)
-        out.setdefault((int(hashes[at : at + 1].view(np.int64)[0]), b" ".join(words[first : at + k + reach]), at - first), []).append(at)
+        out.setdefault((h, b" ".join(words[first : at + k + reach]), at - first), []).append(at)
     return out
 
 
@@ -156,17 +200,21 @@ def probe(docs: DataFrame, long: Filter, short: Filter, sizes: list[int], window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             rows: list[tuple] = []
-            for doc_id, k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                rows.append((doc_id, k1, k2, len(words), None, None, None, None, None))
+            ids = [c.to_pylist() for c in batch.columns[:3]]
+            for start, group in grouped(batch.column(3).to_pylist()):
+                keys = list(zip(*(c[start : start + len(group)] for c in ids), strict=True))
+                rows += [(*key, len(words), None, None, None, None, None) for key, words in zip(keys, group, strict=True)]
+                of_group = Shingled(group)
                 for k in sizes:
-                    r = shingles(words, k)
-                    for is_short, wanted in ((True, short(r)), (False, long(r))):
-                        for (h, around, off), places in _contexts(words, wanted, r, k, 0 if is_short else window - k).items():
-                            rows.append((doc_id, k1, k2, len(words), h, is_short, off, around.decode(), pack(np.array(places))))
-                            if len(rows) >= 4096:
-                                yield _batch(rows, _PROBED)
-                                rows = []
+                    for is_short, (of, place, hashes) in zip((True, False), of_group.found(k, short, long), strict=True):
+                        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+                        for a, b in zip(edges, edges[1:]):
+                            text = int(of[a])
+                            for (h, around, off), places in _contexts(group[text], place[a:b], hashes[a:b], k, 0 if is_short else window - k).items():
+                                rows.append((*keys[text], len(group[text]), h, is_short, off, around.decode(), pack(np.array(places))))
+                                if len(rows) >= 4096:
+                                    yield _batch(rows, _PROBED)
+                                    rows = []
             yield _batch(rows, _PROBED)
 
     return common.map_arrow(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, shingle bigint, short boolean, off int, around string, places binary")

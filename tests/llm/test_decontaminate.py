@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparrel.llm import decontaminate as D
@@ -134,3 +135,26 @@ def test_short_and_long_items_side_by_side(spark):
         docs = [(k, " ".join(rng.choice("abcd" if k % 2 else "abc") for _ in range(rng.randrange(60)))) for k in range(25)] + [(90, items[0][1])] * 2
         d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
         check(D.judged(D.search(d, b)), docs, items)
+
+
+def test_texts_hashed_together_keep_their_own_shingles(monkeypatch):
+    texts = [None, b"", b"a", b"A b", b"a b c", b"d", b"a b c d a b c", b" ".join(b"w%d" % k for k in range(40)), b"c d"]
+    calls = []
+    real = D.word_hashes
+    monkeypatch.setattr(D, "word_hashes", lambda words: calls.append(len(words)) or real(words))
+
+    class Every:
+        def __call__(self, hashes):
+            return np.ones(len(hashes), bool)
+
+    for size in (1, 5, 1000):
+        monkeypatch.setattr(D, "GROUP_WORDS", size)
+        for k in (1, 2, 3):
+            found = []
+            for first, group in D.grouped(texts):
+                found += [(first + t, p, h) for t, p, h in zip(*(x.tolist() for x in D.Shingled(group).found(k, Every())[0]), strict=True)]
+            alone = [D.shingles(D.words_of(t), k).tolist() for t in texts]
+            assert found == [(t, p, h) for t, hashes in enumerate(alone) for p, h in enumerate(hashes)]
+    calls.clear()
+    list(map(lambda g: D.Shingled(g[1]), D.grouped(texts)))
+    assert len(calls) == 1  # one call for all texts and sizes
