@@ -911,7 +911,7 @@ def M2_F17_combined_optimum(spark, sf):
 @query
 def M4_M9_head_scores(spark, sf):
     """A small multimodal head network fitted on embeddings of the train split and scored on the test split."""
-    e = table(spark, sf, "embeddings").join(hashes(spark, sf).select(F.col("id").alias("vec_id"), "split"), "vec_id")
+    e = ranking.stratified_split(table(spark, sf, "embeddings").withColumn("category", F.col("label").cast("string")), "category", "vec_id")
     wide = lambda a, n: F.transform(F.slice("embedding", a, n), lambda v: v.cast("double"))
     rows = e.select("vec_id", "split", wide(1, 48).alias("image"), wide(49, 16).alias("text"), F.pmod("label", F.lit(3)).cast("int").alias("label"), F.pmod("label", F.lit(3)).cast("int").alias("image_category"), F.pmod("label", F.lit(3)).cast("int").alias("text_category"))
     network = models.HeadNetwork("multimodal", 48, 16, 3, categories=3, hidden=16)

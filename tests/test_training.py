@@ -141,3 +141,34 @@ def test_first_weights_come_from_digests():
 
     draw = int(hashlib.sha256(b"44|t|2|1").hexdigest()[:8], 16) / 2**31 - 1
     assert a.weights["t"][2, 1] == draw / np.sqrt(5)
+
+
+def test_an_epoch_is_one_job_however_many_steps(spark):
+    """Jobs of a fit don't grow with its rows: 16 times as many steps take as many."""
+    packed, context, jobs = training.pack(rows(spark, 1000), batch=32), spark.sparkContext, []
+    network = models.HeadNetwork("image_only", 4, 3, 3, hidden=4)
+    for group, chunks in (("few steps", 64), ("many steps", 4)):
+        assert len(packed.chunks) > 64
+        context.setJobGroup(group, group)
+        training.fit(spark, network, packed, 1, chunks=chunks)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(group)))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 1 and jobs[1] < 10
+
+
+@pytest.mark.parametrize("chunks", [1, 3, 6])
+def test_steps_in_one_job_are_those_of_one_process(spark, chunks):
+    """Both encoders, category heads, dropout; batches of more chunks than tasks, and last ones of fewer chunks."""
+    packed = training.pack(rows(spark, 250), ("label", "image_category", "text_category"), batch=60)
+    network, hand = (models.HeadNetwork("multimodal", 4, 3, 3, categories=2, hidden=5) for _ in range(2))
+    history = training.fit(spark, network, packed, 2, rate=0.02, seed=5, chunks=chunks)
+    data, adam = chunks_of(spark, packed), models.Adam(0.02)
+    for epoch in (1, 2):
+        order, loss = [packed.chunks[k] for k in np.random.default_rng([5, epoch]).permutation(len(packed.chunks))], 0.0
+        for at in range(0, len(order), chunks):
+            parts = [training.gradient_sums(hand, (c, *data[c]), 0.15, (5, epoch)) for c in order[at : at + chunks]]
+            n = sum(p[0] for p in parts)
+            adam.step(hand.weights, {k: sum(p[2][k] for p in parts) / n for k in hand.weights})
+            loss += sum(p[1] for p in parts)
+        assert abs(history.epochs[epoch - 1]["train_loss"] - loss / 250) < 1e-9
+    assert all(np.allclose(network.weights[k], w, atol=1e-9) for k, w in hand.weights.items())
